@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import embed_text
 from codeloom.operators.bm25 import build_bm25, bm25_topk
 from codeloom.operators.chunk_lines import chunk_lines
+from codeloom.functions.vectors import l2_normalise
+from codeloom.operators.dense import cosine_topk
+from codeloom.operators.embed import QUERY_PREFIX, embed
+from codeloom.operators.expand import expand_queries
+from codeloom.plans.hybrid import build_index, fused_ids, hybrid_search
+from codeloom.session import table
 from codeloom.sources.fixtures import benchmark_queries, documents_as_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,4 +69,52 @@ def q_bm25_topk(spark, sf_dir):
     idx = build_bm25(doc_chunks(spark, sf_dir))
     q = benchmark_queries(spark, sf_dir).withColumnRenamed("question", "text")
     return bm25_topk(idx, q, 18).select("query_id", "repo_id", "chunk_id", "score", "rank")
-FLAGSHIP = "bm25_topk"
+
+
+def _dense(spark, sf_dir, method):
+    idx = build_index(doc_chunks(spark, sf_dir))
+    ex = expand_queries(benchmark_queries(spark, sf_dir))
+    qv = embed(ex, "search_text", "qvec", query_prefix=QUERY_PREFIX)
+    return cosine_topk(idx.vectors, qv, 24, method=method) \
+        .select("query_id", "repo_id", "chunk_id", "score", "rank")
+
+
+@register("cosine_topk")
+def q_cosine_topk(spark, sf_dir):
+    return _dense(spark, sf_dir, "native")
+
+
+@register("cosine_topk_blocked")
+def q_cosine_topk_blocked(spark, sf_dir):
+    return _dense(spark, sf_dir, "blocked")
+
+
+@register("rrf_hybrid")
+def q_rrf_hybrid(spark, sf_dir):
+    idx = build_index(doc_chunks(spark, sf_dir))
+    return fused_ids(idx, benchmark_queries(spark, sf_dir), k=6) \
+        .select("query_id", "repo_id", "chunk_id", "rd", "rb", "score", "rank", "retrieval_method")
+
+
+@register("hybrid_search")
+def q_hybrid_search(spark, sf_dir):
+    idx = build_index(doc_chunks(spark, sf_dir))
+    r = hybrid_search(idx, benchmark_queries(spark, sf_dir), k=8)
+    return r.select("query_id", "rank", "repo_id", "chunk_id", "retrieval_method", "score",
+                    "file_path", "chunk_type", "name", "start_line", "end_line", "language", "content")
+
+
+@register("expand_queries")
+def q_expand_queries(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    q = c.select("conv_id", "turn", F.col("text").alias("question"))
+    return expand_queries(q).select("conv_id", "turn", "search_text")
+
+
+@register("l2_normalise")
+def q_l2_normalise(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.transform(l2_normalise("embedding"), lambda x: F.round(x, 6)).alias("unit"))
+
+
+FLAGSHIP = "hybrid_search"

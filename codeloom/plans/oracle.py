@@ -105,3 +105,101 @@ SELECT repo_id, tok, df, round(idf, 6) AS idf FROM idf"""
 ORACLE["bm25_topk"] = f"""
 WITH {DOC_CHUNKS}, {BM25_INDEX}, {BENCH_QUERIES}, {bm25_ranked('bq', 'question', 18)}
 SELECT query_id, repo_id, chunk_id, score, rank FROM bm_top"""
+
+
+def _syn_values() -> str:
+    from codeloom.sources.fixtures import SYNONYMS
+    return ", ".join(f"('{kw}', '{s}')" for kw, syns in SYNONYMS for s in syns)
+
+
+def expanded(src: str, key: str, question: str) -> str:
+    """``ex(<key>, ..., search_text)``: question plus sorted distinct synonyms."""
+    return f"""
+syn(kw, syn) AS (VALUES {_syn_values()}),
+ex_extra AS (
+  SELECT q.{key} AS k, string_agg(DISTINCT s.syn, ' ' ORDER BY s.syn) AS extras
+  FROM {src} q JOIN syn s ON contains(lower(q.{question}), s.kw) GROUP BY q.{key}),
+ex AS (
+  SELECT q.*, CASE WHEN e.extras IS NULL THEN q.{question} ELSE q.{question} || ' ' || e.extras END
+         AS search_text
+  FROM {src} q LEFT JOIN ex_extra e ON e.k = q.{key})"""
+
+
+BUCKET = "(('0x' || substr(md5(tok), 1, 8))::BIGINT % 64)"
+SIGN = "(CASE WHEN ('0x' || substr(md5(tok), 9, 1))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END)"
+
+# Hashed bag-of-tokens vectors in sparse form (bucket, value) and exact cosine.
+DENSE = f"""
+cvec AS (
+  SELECT repo_id, chunk_id, {BUCKET} AS b, sum({SIGN})::DOUBLE AS v
+  FROM (SELECT repo_id, chunk_id, unnest(toks) AS tok FROM ctoks) GROUP BY ALL),
+cnorm AS (SELECT repo_id, chunk_id, sqrt(sum(v * v)) AS n FROM cvec GROUP BY ALL),
+qvec AS (
+  SELECT query_id, repo_id, {BUCKET} AS b, sum({SIGN})::DOUBLE AS v
+  FROM (SELECT query_id, repo_id,
+               unnest({TOKENS.format(x="'Represent this sentence: ' || search_text")}) AS tok FROM ex)
+  GROUP BY ALL),
+qnorm AS (SELECT query_id, sqrt(sum(v * v)) AS n FROM qvec GROUP BY ALL),
+dots AS (
+  SELECT q.query_id, c.chunk_id, sum(q.v * c.v) AS dot
+  FROM qvec q JOIN cvec c ON c.repo_id = q.repo_id AND c.b = q.b GROUP BY ALL),
+dense_all AS (
+  SELECT e.query_id, e.repo_id, cn.chunk_id,
+         CASE WHEN qn.n > 0 AND cn.n > 0 THEN coalesce(d.dot, 0) / (qn.n * cn.n) ELSE 0 END AS score
+  FROM ex e JOIN cnorm cn ON cn.repo_id = e.repo_id JOIN qnorm qn ON qn.query_id = e.query_id
+  LEFT JOIN dots d ON d.query_id = e.query_id AND d.chunk_id = cn.chunk_id),
+dense_ranked AS (
+  SELECT query_id, repo_id, chunk_id, round(score, 6) AS score,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) - 1
+              AS INTEGER) AS rank
+  FROM dense_all)"""
+
+
+def fused(k: int) -> str:
+    return f"""
+cand AS (
+  SELECT query_id, repo_id, chunk_id, rank AS rd, NULL::INTEGER AS rb FROM dense_ranked WHERE rank < {3 * k}
+  UNION ALL
+  SELECT query_id, repo_id, chunk_id, NULL::INTEGER, rank FROM bm_top),
+fsum AS (
+  SELECT query_id, repo_id, chunk_id, min(rd) AS rd, min(rb) AS rb FROM cand GROUP BY ALL),
+fscored AS (
+  SELECT *, coalesce(1::DOUBLE / (60 + rd), 0.0) + coalesce(1::DOUBLE / (60 + rb), 0.0) AS score
+  FROM fsum),
+fused AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rd ASC NULLS LAST,
+                                    rb ASC NULLS LAST) - 1 AS INTEGER) AS rank,
+         CASE WHEN rd IS NOT NULL AND rb IS NOT NULL THEN 'hybrid'
+              WHEN rd IS NOT NULL THEN 'dense' ELSE 'bm25' END AS retrieval_method
+  FROM fscored QUALIFY rank < {k})"""
+
+
+HYBRID_BASE = f"""{DOC_CHUNKS}, {BM25_INDEX}, {BENCH_QUERIES}, {expanded('bq', 'query_id', 'question')},
+{DENSE}"""
+
+ORACLE["cosine_topk"] = f"""
+WITH {HYBRID_BASE}
+SELECT query_id, repo_id, chunk_id, score, rank FROM dense_ranked WHERE rank < 24"""
+ORACLE["cosine_topk_blocked"] = ORACLE["cosine_topk"]
+
+ORACLE["rrf_hybrid"] = f"""
+WITH {HYBRID_BASE}, {bm25_ranked('ex', 'search_text', 18)}, {fused(6)}
+SELECT query_id, repo_id, chunk_id, rd, rb, score, rank, retrieval_method FROM fused"""
+
+ORACLE["hybrid_search"] = f"""
+WITH {HYBRID_BASE}, {bm25_ranked('ex', 'search_text', 24)}, {fused(8)}
+SELECT f.query_id, f.rank, f.repo_id, f.chunk_id, f.retrieval_method, f.score,
+       c.file_path, c.chunk_type, c.name, c.start_line, c.end_line, c.language, trim(c.content) AS content
+FROM fused f JOIN chunks_e c ON c.repo_id = f.repo_id AND c.chunk_id = f.chunk_id"""
+
+ORACLE["expand_queries"] = f"""
+WITH uq AS (SELECT conv_id, turn, text AS question, conv_id * 100000 + turn AS qk
+            FROM conversations WHERE role = 'user'),
+{expanded('uq', 'qk', 'question')}
+SELECT conv_id, turn, search_text FROM ex"""
+
+ORACLE["l2_normalise"] = """
+SELECT vec_id,
+       list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding,
+           lambda y: y::DOUBLE * y::DOUBLE))), 6)) AS unit
+FROM embeddings"""
