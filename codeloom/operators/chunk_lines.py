@@ -60,8 +60,8 @@ def line_blocks(lines: Column, window: int = 60, step: int = 50, min_lines: int
 def chunk_lines(files: DataFrame, window: int = 60, step: int = 50, min_lines: int = 3,
                 language: str | Column = "language") -> DataFrame:
     """Generic chunker over ``files(repo_id, path, source, language)``."""
-    out = files.select(
-        "repo_id", F.col("path").alias("file_path"), col_(language).alias("language"),
-        F.inline(line_blocks(lines_of("source"), window, step, min_lines)),
-    )
+    lined = files.select("repo_id", F.col("path").alias("file_path"), col_(language).alias("language"),
+                         lines_of("source").alias("_lines"))
+    out = lined.select("repo_id", "file_path", "language",
+                       F.inline(line_blocks(F.col("_lines"), window, step, min_lines)))
     return finish_chunks(out)

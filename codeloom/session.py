@@ -66,3 +66,13 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition when the input has fewer partitions than the cluster
+    has task slots (a few large row groups feeding CPU-heavy per-row work).  A no-op
+    for inputs that already span the cluster, so it never reshuffles a large scan."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.session import table
+from codeloom.session import spread, table
 
 # Fixed values that must equal the reference: golden questions and expected symbols.
 GOLDEN_QA = [
@@ -68,14 +68,14 @@ def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a file table: ``source`` is the repository, one text file per
     document, language ``text`` (generic chunker)."""
     d = table(spark, sf_dir, "documents")
-    return d.select(
+    return spread(d.select(
         F.col("source").alias("repo_id"),
         F.concat(F.lit("docs/"), F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"),
                  F.lit(".txt")).alias("path"),
         F.octet_length("text").cast("bigint").alias("length"),
         F.col("text").alias("source"),
         F.lit("text").alias("language"),
-    )
+    ))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
