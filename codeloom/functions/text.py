@@ -15,6 +15,8 @@ LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 # Python's str.isspace() set: Unicode White_Space plus the four separators 0x1c-0x1f.
 WS = "[\\s\u001c-\u001f]"
 WS_RUN = "(?U)" + WS + "+"
+# The same set as characters, derived from Python itself, for ``trim``/``ltrim``.
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # Fixed values that must equal the reference: extension -> language map (13 entries).
 LANGUAGE_BY_EXTENSION = {
@@ -55,11 +57,11 @@ def lines_of(text) -> Column:
 
 def strip_ws(c) -> Column:
     """Python ``str.strip()`` (Unicode whitespace at both ends)."""
-    return F.regexp_replace(col_(c), "(?U)^" + WS + "+|" + WS + "+$", "")
+    return F.trim(col_(c), F.lit(WS_CHARS))
 
 
 def lstrip_ws(c) -> Column:
-    return F.regexp_replace(col_(c), "(?U)^" + WS + "+", "")
+    return F.ltrim(col_(c), F.lit(WS_CHARS))
 
 
 def indent_of(c) -> Column:
