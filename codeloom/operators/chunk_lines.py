@@ -38,8 +38,14 @@ def chunk_struct(chunk_type, name, start_line, end_line, content, parent_name=No
 
 
 def finish_chunks(df: DataFrame) -> DataFrame:
-    """Add ``chunk_id`` and order the columns of an exploded chunk frame."""
-    return df.withColumn("chunk_id", chunk_id()).select(*CHUNK_COLUMNS)
+    """Add ``chunk_id`` and order the columns of an exploded chunk frame.
+
+    Chunkers emit with ``inline_outer`` and drop the null row of chunk-less files here.
+    With plain ``inline`` the optimizer infers ``size(chunks) > 0`` and pushes it below
+    the staged projections, which re-inlines the whole chunk expression into one
+    predicate evaluated before (and besides) the projection."""
+    return (df.filter(F.col("chunk_type").isNotNull())
+            .withColumn("chunk_id", chunk_id()).select(*CHUNK_COLUMNS))
 
 
 def line_blocks(lines: Column, window: int = 60, step: int = 50, min_lines: int = 3) -> Column:
@@ -63,5 +69,5 @@ def chunk_lines(files: DataFrame, window: int = 60, step: int = 50, min_lines: i
     lined = files.select("repo_id", F.col("path").alias("file_path"), col_(language).alias("language"),
                          lines_of("source").alias("_lines"))
     out = lined.select("repo_id", "file_path", "language",
-                       F.inline(line_blocks(F.col("_lines"), window, step, min_lines)))
+                       F.inline_outer(line_blocks(F.col("_lines"), window, step, min_lines)))
     return finish_chunks(out)

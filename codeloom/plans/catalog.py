@@ -20,7 +20,9 @@ from codeloom.operators.embed import QUERY_PREFIX, embed
 from codeloom.operators.expand import expand_queries
 from codeloom.plans.hybrid import build_index, fused_ids, hybrid_search
 from codeloom.session import table
-from codeloom.sources.fixtures import benchmark_queries, documents_as_files
+from codeloom.operators.chunk_js import chunk_files, chunk_javascript
+from codeloom.operators.chunk_python import chunk_python
+from codeloom.sources.fixtures import benchmark_queries, documents_as_files, js_sources, py_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,4 +119,26 @@ def q_l2_normalise(spark, sf_dir):
     return e.select("vec_id", F.transform(l2_normalise("embedding"), lambda x: F.round(x, 6)).alias("unit"))
 
 
+CHUNK_OUT = ["repo_id", "chunk_id", "file_path", "chunk_type", "name", "start_line", "end_line",
+             "language", "parent_name", "docstring", "calls", "imports", "content"]
+
+
+@register("py_chunks")
+def q_py_chunks(spark, sf_dir):
+    return chunk_python(py_sources(spark, sf_dir)).select(*CHUNK_OUT)
+
+
+@register("js_chunks")
+def q_js_chunks(spark, sf_dir):
+    return chunk_javascript(js_sources(spark, sf_dir)).select(*CHUNK_OUT)
+
+
+@register("chunk_files")
+def q_chunk_files(spark, sf_dir):
+    """All three chunkers routed by language over Python, JS/TS and text files."""
+    files = py_sources(spark, sf_dir).unionByName(js_sources(spark, sf_dir)) \
+        .unionByName(documents_as_files(spark, sf_dir))
+    return chunk_files(files).select(*CHUNK_OUT)
+
+
 FLAGSHIP = "hybrid_search"

@@ -203,3 +203,134 @@ SELECT vec_id,
        list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding,
            lambda y: y::DOUBLE * y::DOUBLE))), 6)) AS unit
 FROM embeddings"""
+
+
+# ---------------------------------------------------------------- Python chunker
+# The derived Python files, built with the same text as sources.fixtures.py_sources.
+DQ3 = "repeat(chr(34), 3)"
+SQ3 = "repeat(chr(39), 3)"
+PY_FILES = f"""
+py_fns AS (
+  SELECT s_nationkey AS k, s_suppkey // 100 AS blk,
+         string_agg('def supplier_' || CAST(s_suppkey AS VARCHAR) || '(x):' || {NL}
+           || '    ' || {DQ3} || 'Supplier ' || s_name || '.' || {DQ3} || {NL}
+           || '    total = price_' || CAST(s_suppkey % 7 AS VARCHAR) || '(x)' || {NL}
+           || repeat('    total = step(total)' || {NL}, CAST(s_suppkey % 90 AS INTEGER))
+           || '    return total' || {NL} || {NL}, '' ORDER BY s_suppkey) AS body
+  FROM supplier GROUP BY ALL),
+py_files AS (
+  SELECT 'region_' || CAST(n_regionkey AS VARCHAR) AS repo_id,
+         'src/nation_' || CAST(k AS VARCHAR) || '/block_' || CAST(blk AS VARCHAR) || '.py' AS path,
+         CASE WHEN k % 3 = 0 THEN {DQ3} || 'Sources of ' || n_name || '.' || {DQ3} || {NL} ELSE '' END
+         || 'import os' || {NL} || '# tools' || {NL} || {NL}
+         || 'from region_' || CAST(n_regionkey AS VARCHAR) || ' import tools' || {NL} || {NL}
+         || 'class Nation' || CAST(k AS VARCHAR) || '(Base):' || {NL}
+         || CASE WHEN k % 2 = 0 THEN '    ' || {DQ3} || n_name || ' records.' || {DQ3} || {NL}
+                 ELSE '    ' || {SQ3} || 'Records of' || {NL} || '    ' || n_name || '.' || {NL} || '    ' || {SQ3} || {NL} END
+         || {NL} || '    def __init__(self, key):' || {NL} || '        self.key = key' || {NL}
+         || '        setup(key, ' || CAST(n_regionkey AS VARCHAR) || ')' || {NL} || {NL}
+         || '    def name(self): return ''' || n_name || '''' || {NL} || {NL}
+         || '    async def refresh(self):' || {NL} || '        await load_' || CAST(k AS VARCHAR) || '(self.key)'
+         || {NL} || '        def inner():' || {NL} || '            return helper()' || {NL}
+         || '        return inner' || {NL} || {NL}
+         || body AS source
+  FROM py_fns JOIN nation ON n_nationkey = k)"""
+
+PY_BUILTINS_SQL = ("['print', 'len', 'range', 'str', 'int', 'list', 'dict', 'set', 'tuple', 'bool', "
+                   "'type', 'isinstance', 'hasattr', 'getattr', 'setattr', 'super', 'zip', 'map', "
+                   "'filter', 'enumerate', 'sorted']")
+
+
+def py_calls_sql(x: str) -> str:
+    return (f"list_slice(list_sort(list_filter(list_distinct(regexp_extract_all({x}, "
+            f"'\\b([a-zA-Z_][a-zA-Z0-9_]*)\\s*\\(', 1)), lambda c: NOT list_contains({PY_BUILTINS_SQL}, c))), 1, 15)")
+
+
+# Window form: one row per line; block ends are "next boundary line" windows, the
+# enclosing class of a method is the previous column-0 line.
+PY_CHUNKS = f"""
+pl0 AS (SELECT repo_id, path AS file_path, string_split(source, {NL}) AS p FROM py_files),
+pl1 AS (SELECT repo_id, file_path, CASE WHEN p[len(p)] = '' THEN p[1:len(p)-1] ELSE p END AS l FROM pl0),
+pln AS (SELECT repo_id, file_path, len(l) AS n, unnest(range(len(l))) AS i, unnest(l) AS line FROM pl1),
+pa AS (SELECT *, trim(line) AS s, trim(line) = '' AS blank, length(line) - length(ltrim(line)) AS ind FROM pln),
+pw AS (
+  SELECT *,
+    coalesce(min(CASE WHEN NOT blank AND ind = 0 THEN i END) OVER after - 1, n - 1) AS end0,
+    coalesce(min(CASE WHEN NOT blank AND ind <= 4 THEN i END) OVER after - 1, n - 1) AS end4,
+    max(CASE WHEN NOT blank AND ind = 0 THEN i END) OVER before AS prev0
+  FROM pa
+  WINDOW after AS (PARTITION BY repo_id, file_path ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
+         before AS (PARTITION BY repo_id, file_path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+pcls AS (
+  SELECT repo_id, file_path, i, end0, regexp_extract(line, '^class\\s+([A-Za-z_][A-Za-z0-9_]*)', 1) AS name
+  FROM pw WHERE regexp_matches(line, '^class\\s+[A-Za-z_]')),
+spans AS (
+  SELECT repo_id, file_path, 'class' AS chunk_type, name, i AS s0, least(i + 6, end0) AS e0,
+         NULL::VARCHAR AS parent_name, false AS with_calls
+  FROM pcls
+  UNION ALL
+  SELECT repo_id, file_path, 'function', regexp_extract(line, '^(async def|def)\\s+([A-Za-z_][A-Za-z0-9_]*)', 2),
+         i, least(end0, i + 79), NULL, true
+  FROM pw WHERE regexp_matches(line, '^(async def|def)\\s+[A-Za-z_]')
+  UNION ALL
+  SELECT m.repo_id, m.file_path, 'method',
+         regexp_extract(m.line, '^    (async def|def)\\s+([A-Za-z_][A-Za-z0-9_]*)', 2), m.i, m.end4, c.name, true
+  FROM pw m JOIN pcls c ON c.repo_id = m.repo_id AND c.file_path = m.file_path AND c.i = m.prev0
+  WHERE regexp_matches(m.line, '^    (async def|def)\\s+[A-Za-z_]') AND m.end4 - m.i + 1 >= 3),
+span_text AS (
+  SELECT sp.repo_id, sp.file_path, sp.s0, string_agg(a.line, {NL} ORDER BY a.i) AS content
+  FROM spans sp JOIN pa a ON a.repo_id = sp.repo_id AND a.file_path = sp.file_path AND a.i BETWEEN sp.s0 AND sp.e0
+  GROUP BY ALL),
+dcand AS (
+  SELECT sp.repo_id, sp.file_path, sp.s0, d.i AS d, d.s, left(d.s, 3) AS q
+  FROM spans sp JOIN pa d ON d.repo_id = sp.repo_id AND d.file_path = sp.file_path
+                          AND d.i BETWEEN sp.s0 + 1 AND sp.s0 + 4
+  WHERE left(d.s, 3) IN ({DQ3}, {SQ3})),
+dclose AS (
+  SELECT c.repo_id, c.file_path, c.s0, c.d, min(j.i) AS j
+  FROM dcand c JOIN pa j ON j.repo_id = c.repo_id AND j.file_path = c.file_path
+                        AND j.i BETWEEN c.d + 1 AND c.d + 9 AND contains(j.line, c.q)
+  GROUP BY ALL),
+dbody AS (
+  SELECT c.repo_id, c.file_path, c.s0, c.d, string_agg(trim(b.line), ' ' ORDER BY b.i) AS body
+  FROM dclose c JOIN pa b ON b.repo_id = c.repo_id AND b.file_path = c.file_path AND b.i > c.d AND b.i < c.j
+  GROUP BY ALL),
+dval AS (
+  SELECT c.repo_id, c.file_path, c.s0, c.d,
+         CASE WHEN (length(c.s) - length(replace(c.s, c.q, ''))) / 3 >= 2 THEN trim(trim(c.s, left(c.q, 1)))
+              ELSE trim(CASE WHEN db.body IS NULL THEN ltrim(c.s, left(c.q, 1))
+                             ELSE ltrim(c.s, left(c.q, 1)) || ' ' || db.body END) END AS doc,
+         (length(c.s) - length(replace(c.s, c.q, ''))) / 3 >= 2 OR dc.j IS NOT NULL AS ok
+  FROM dcand c
+  LEFT JOIN dclose dc USING (repo_id, file_path, s0, d)
+  LEFT JOIN dbody db USING (repo_id, file_path, s0, d)),
+dpick AS (
+  SELECT repo_id, file_path, s0, arg_min(doc, d) AS docstring FROM dval WHERE ok GROUP BY ALL),
+pstop AS (
+  SELECT repo_id, file_path,
+         coalesce(min(CASE WHEN NOT blank AND NOT starts_with(s, '#') AND NOT starts_with(s, 'import ')
+                                AND NOT starts_with(s, 'from ') THEN i END), max(n)) AS stop
+  FROM pa GROUP BY ALL),
+pimp AS (
+  SELECT a.repo_id, a.file_path, count(*) AS cnt, string_agg(a.line, {NL} ORDER BY a.i) AS content,
+         list(a.s ORDER BY a.i) AS imports
+  FROM pa a JOIN pstop USING (repo_id, file_path)
+  WHERE a.i < pstop.stop AND (starts_with(a.s, 'import ') OR starts_with(a.s, 'from '))
+  GROUP BY ALL),
+py_chunks AS (
+  SELECT sp.repo_id, sp.file_path, sp.chunk_type, sp.name, CAST(sp.s0 + 1 AS INTEGER) AS start_line,
+         CAST(sp.e0 + 1 AS INTEGER) AS end_line, 'python' AS language, sp.parent_name, dp.docstring,
+         CASE WHEN sp.with_calls THEN {py_calls_sql('t.content')} ELSE []::VARCHAR[] END AS calls,
+         []::VARCHAR[] AS imports, t.content
+  FROM spans sp JOIN span_text t USING (repo_id, file_path, s0)
+  LEFT JOIN dpick dp USING (repo_id, file_path, s0)
+  UNION ALL
+  SELECT repo_id, file_path, 'import_block', 'imports', 1, CAST(cnt AS INTEGER), 'python', NULL, NULL,
+         []::VARCHAR[], imports, content
+  FROM pimp)"""
+
+ORACLE["py_chunks"] = f"""
+WITH {PY_FILES}, {PY_CHUNKS}
+SELECT repo_id, file_path || '::' || name || '::' || CAST(start_line AS VARCHAR) AS chunk_id, file_path,
+       chunk_type, name, start_line, end_line, language, parent_name, docstring, calls, imports, content
+FROM py_chunks"""

@@ -86,3 +86,83 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("src"), F.pmod(F.col("item_id"), F.lit(N_REPOS)).cast("string")).alias("repo_id"),
         F.col("text").alias("question"),
     )
+
+
+# Derived code files.  Suppliers are grouped into files by nation and by blocks of
+# SUPPLIERS_PER_FILE consecutive keys, so a file holds at most that many functions
+# (bounded row size, bounded collect_list) however large the tables grow.
+SUPPLIERS_PER_FILE = 100
+
+
+def _s(c) -> F.Column:
+    return F.col(c).cast("string")
+
+
+def _supplier_files(spark: SparkSession, sf_dir: str, piece) -> DataFrame:
+    """``(k, blk, body)``: per nation and key block, the supplier pieces joined in key
+    order.  The group is bounded by SUPPLIERS_PER_FILE rows."""
+    s = table(spark, sf_dir, "supplier")
+    blk = (F.col("s_suppkey") / SUPPLIERS_PER_FILE).cast("long")
+    parts = s.select(F.col("s_nationkey").alias("k"), blk.alias("blk"), "s_suppkey", piece.alias("piece"))
+    return parts.groupBy("k", "blk").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("s_suppkey", "piece"))), lambda x: x["piece"]), "").alias("body"))
+
+
+def py_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files ``(repo_id, path, length, source, language)``: per nation and key
+    block a module with an optional module docstring, imports, a class with a one-line
+    or multi-line docstring and methods (one too short to keep, one async with a nested
+    def), and one top-level function per supplier whose length varies from 3 to 92
+    lines (some are cut at 80)."""
+    fn = F.concat(
+        F.lit("def supplier_"), _s("s_suppkey"), F.lit("(x):\n"),
+        F.lit('    """Supplier '), F.col("s_name"), F.lit('."""\n'),
+        F.lit("    total = price_"), (F.col("s_suppkey") % 7).cast("string"), F.lit("(x)\n"),
+        F.repeat(F.lit("    total = step(total)\n"), (F.col("s_suppkey") % 90).cast("int")),
+        F.lit("    return total\n\n"))
+    files = _supplier_files(spark, sf_dir, fn)
+    n = table(spark, sf_dir, "nation")
+    k = F.col("k")
+    src = F.concat(
+        F.when(k % 3 == 0, F.concat(F.lit('"""Sources of '), F.col("n_name"), F.lit('."""\n'))).otherwise(F.lit("")),
+        F.lit("import os\n# tools\n\nfrom region_"), _s("n_regionkey"), F.lit(" import tools\n\n"),
+        F.lit("class Nation"), _s("k"), F.lit("(Base):\n"),
+        F.when(k % 2 == 0, F.concat(F.lit('    """'), F.col("n_name"), F.lit(' records."""\n')))
+         .otherwise(F.concat(F.lit("    '''Records of\n    "), F.col("n_name"), F.lit(".\n    '''\n"))),
+        F.lit("\n    def __init__(self, key):\n        self.key = key\n        setup(key, "), _s("n_regionkey"),
+        F.lit(")\n\n    def name(self): return '"), F.col("n_name"), F.lit("'\n\n"),
+        F.lit("    async def refresh(self):\n        await load_"), _s("k"),
+        F.lit("(self.key)\n        def inner():\n            return helper()\n        return inner\n\n"),
+        F.col("body"))
+    out = files.join(n, files.k == n.n_nationkey).select(
+        F.concat(F.lit("region_"), _s("n_regionkey")).alias("repo_id"),
+        F.concat(F.lit("src/nation_"), _s("k"), F.lit("/block_"), _s("blk"), F.lit(".py")).alias("path"),
+        src.alias("source"))
+    return out.select("repo_id", "path", F.octet_length("source").cast("bigint").alias("length"), "source",
+                      F.lit("python").alias("language"))
+
+
+def js_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JavaScript / TypeScript files: imports and ``require``, a one-line function that
+    runs on into the next declaration, a class, ``export default function`` and
+    ``export class`` (not matched), and one arrow function per supplier."""
+    fn = F.concat(
+        F.lit("export const supplier_"), _s("s_suppkey"), F.lit(" = async (x) => {\n  return fetch_"),
+        _s("s_suppkey"), F.lit("(x);\n};\n"))
+    files = _supplier_files(spark, sf_dir, fn)
+    n = table(spark, sf_dir, "nation")
+    k = F.col("k")
+    src = F.concat(
+        F.lit("import tools from 'region_"), _s("n_regionkey"), F.lit("';\nconst util = require('util');\n"),
+        F.lit("function nation"), _s("k"), F.lit("() { return "), _s("k"), F.lit("; }\n"),
+        F.lit("class Nation"), _s("k"), F.lit(" extends Base {\n  constructor() {\n    super();\n  }\n}\n"),
+        F.lit("export default function main() {\n  run();\n}\nexport class Skip {\n  m() {}\n}\n"),
+        F.col("body"))
+    ext = F.when(k % 4 == 1, F.lit(".ts")).otherwise(F.lit(".js"))
+    out = files.join(n, files.k == n.n_nationkey).select(
+        F.concat(F.lit("region_"), _s("n_regionkey")).alias("repo_id"),
+        F.concat(F.lit("web/nation_"), _s("k"), F.lit("/block_"), _s("blk"), ext).alias("path"),
+        src.alias("source"),
+        F.when(ext == ".ts", "typescript").otherwise("javascript").alias("language"))
+    return out.select("repo_id", "path", F.octet_length("source").cast("bigint").alias("length"), "source",
+                      "language")
