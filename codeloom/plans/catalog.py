@@ -19,7 +19,17 @@ from codeloom.operators.dense import cosine_topk
 from codeloom.operators.embed import QUERY_PREFIX, embed
 from codeloom.operators.expand import expand_queries
 from codeloom.plans.hybrid import build_index, fused_ids, hybrid_search
+from codeloom.functions.markup import citations, code_blocks
+from codeloom.functions.text import display_location, in_skipped_dir, language_of, strip_ws
+from codeloom.functions.urls import clone_url, is_rate_limit, job_id, repo_id, repo_name, valid_question, valid_repo_url
+from codeloom.operators.context import build_context, build_prompts, last_turns, parse_sources, reassemble, to_sources
+from codeloom.operators.evaluate import hit_ranks, metrics
+from codeloom.operators.jobs import job_progress, pending_ingests
+from codeloom.operators.metadata import flat_metadata
 from codeloom.session import table
+from codeloom.sources.files import MAX_FILE_BYTES
+from codeloom.sources.fixtures import answers, fragments, part_paths, relevance_pairs, repo_urls
+from codeloom.sources.store import repo_info, upsert_chunks
 from codeloom.operators.chunk_js import chunk_files, chunk_javascript
 from codeloom.operators.chunk_python import chunk_python
 from codeloom.sources.fixtures import benchmark_queries, documents_as_files, js_sources, py_sources
@@ -141,4 +151,159 @@ def q_chunk_files(spark, sf_dir):
     return chunk_files(files).select(*CHUNK_OUT)
 
 
+# ---------------------------------------------------------------- scan filters, URLs
+@register("language_detect")
+def q_language_detect(spark, sf_dir):
+    p = part_paths(spark, sf_dir)
+    lang = language_of("path")
+    keep = ~in_skipped_dir("path") & (F.col("length") <= MAX_FILE_BYTES) & lang.isNotNull()
+    return p.select("p_partkey", "path", lang.alias("language"), in_skipped_dir("path").alias("skipped"),
+                    keep.alias("keep"))
+
+
+@register("url_functions")
+def q_url_functions(spark, sf_dir):
+    u = repo_urls(spark, sf_dir)
+    return u.select("page_id", "url", repo_id("url").alias("repo_id"), job_id("url").alias("job_id"),
+                    clone_url("url").alias("clone_url"), valid_repo_url("url").alias("valid"),
+                    repo_name("url").alias("repo_name"))
+
+
+@register("question_checks")
+def q_question_checks(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", valid_question("text").alias("valid_question"),
+                    is_rate_limit("text").alias("rate_limited"))
+
+
+# ---------------------------------------------------------------- chunk projections, store
+@register("embed_text")
+def q_embed_text(spark, sf_dir):
+    ch = chunk_python(py_sources(spark, sf_dir))
+    return ch.select("repo_id", "chunk_id", embed_text().alias("embed_text"),
+                     display_location().alias("display_location"))
+
+
+@register("flat_metadata")
+def q_flat_metadata(spark, sf_dir):
+    return flat_metadata(chunk_python(py_sources(spark, sf_dir)))
+
+
+@register("repo_info")
+def q_repo_info(spark, sf_dir):
+    return repo_info(doc_chunks(spark, sf_dir))
+
+
+@register("upsert_last_wins")
+def q_upsert_last_wins(spark, sf_dir):
+    old = doc_chunks(spark, sf_dir).select("repo_id", "chunk_id", "content")
+    d = documents_as_files(spark, sf_dir)
+    new = (chunk_lines(d.filter(F.col("path").startswith("docs/en/")))
+           .select("repo_id", "chunk_id", F.lower("content").alias("content")))
+    return upsert_chunks(old, new)
+
+
+# ---------------------------------------------------------------- context, prompts, citations
+def _results(spark, sf_dir, k):
+    idx = build_index(doc_chunks(spark, sf_dir))
+    return hybrid_search(idx, benchmark_queries(spark, sf_dir), k=k)
+
+
+@register("build_context")
+def q_build_context(spark, sf_dir):
+    return build_context(_results(spark, sf_dir, 6))
+
+
+@register("history_last4")
+def q_history_last4(spark, sf_dir):
+    return last_turns(table(spark, sf_dir, "conversations"), 4).select("conv_id", "turn", "role", "text")
+
+
+@register("build_prompts")
+def q_build_prompts(spark, sf_dir):
+    res = _results(spark, sf_dir, 6)
+    hist = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("query_id"), "turn", "role", F.col("text").alias("content"))
+    sizes = repo_info(doc_chunks(spark, sf_dir)).select("repo_id", F.col("total_chunks").alias("n_chunks"))
+    return build_prompts(benchmark_queries(spark, sf_dir), build_context(res), hist, sizes)
+
+
+@register("to_sources")
+def q_to_sources(spark, sf_dir):
+    return to_sources(_results(spark, sf_dir, 6)).select("query_id", "sources_json")
+
+
+@register("parse_sources")
+def q_parse_sources(spark, sf_dir):
+    return parse_sources(answers(spark, sf_dir), "text", "msg_id")
+
+
+@register("reassemble_fragments")
+def q_reassemble_fragments(spark, sf_dir):
+    return reassemble(fragments(spark, sf_dir))
+
+
+@register("extract_citations")
+def q_extract_citations(spark, sf_dir):
+    return answers(spark, sf_dir).select("msg_id", citations("text").alias("citations"))
+
+
+@register("extract_code")
+def q_extract_code(spark, sf_dir):
+    a = answers(spark, sf_dir)
+    return a.select("msg_id", F.posexplode(code_blocks("text")).alias("pos", "b")) \
+        .select("msg_id", "pos", F.col("b.lang").alias("lang"), F.col("b.code").alias("code"))
+
+
+# ---------------------------------------------------------------- evaluation, jobs
+def _eval_sources(spark, sf_dir):
+    r = _results(spark, sf_dir, 8)
+    return r.select("query_id", F.col("rank").alias("pos"), F.col("file_path").alias("file"), "name")
+
+
+def _questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+
+
+@register("eval_hits")
+def q_eval_hits(spark, sf_dir):
+    return hit_ranks(_eval_sources(spark, sf_dir), relevance_pairs(spark, sf_dir),
+                     questions=_questions(spark, sf_dir))
+
+
+@register("eval_metrics")
+def q_eval_metrics(spark, sf_dir):
+    per_q = hit_ranks(_eval_sources(spark, sf_dir), relevance_pairs(spark, sf_dir),
+                      questions=_questions(spark, sf_dir))
+    return metrics(per_q)
+
+
+JOB_STATUS_BY_EVENT = {"click": "pending", "view": "cloning", "signup": "indexing", "purchase": "done",
+                       "error": "error"}
+
+
+def job_log(spark, sf_dir):
+    """``(job_id, status, ts, seq)``: events of user u are status changes of the job
+    for repository URL u."""
+    e = table(spark, sf_dir, "events")
+    u = repo_urls(spark, sf_dir)
+    m = F.create_map(*[F.lit(x) for kv in JOB_STATUS_BY_EVENT.items() for x in kv])
+    return e.join(u, e.user_id == u.page_id).select(
+        job_id(strip_ws(F.col("url"))).alias("job_id"), F.element_at(m, F.col("event_type")).alias("status"),
+        "ts", F.col("event_id").alias("seq"))
+
+
+@register("pending_ingests")
+def q_pending_ingests(spark, sf_dir):
+    return pending_ingests(repo_urls(spark, sf_dir), job_log(spark, sf_dir))
+
+
+@register("job_progress")
+def q_job_progress(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    b = e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("batch_id"),
+                 (F.col("event_id") % 8 + 1).alias("n_chunks"))
+    return job_progress(b)
+
+
 FLAGSHIP = "hybrid_search"

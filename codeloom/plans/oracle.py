@@ -334,3 +334,311 @@ WITH {PY_FILES}, {PY_CHUNKS}
 SELECT repo_id, file_path || '::' || name || '::' || CAST(start_line AS VARCHAR) AS chunk_id, file_path,
        chunk_type, name, start_line, end_line, language, parent_name, docstring, calls, imports, content
 FROM py_chunks"""
+
+
+# ---------------------------------------------------------------- scan filters, URLs
+def _lst(xs) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+def _lang_case(sfx: str) -> str:
+    from codeloom.functions.text import LANGUAGE_BY_EXTENSION
+    return "CASE " + sfx + " " + " ".join(f"WHEN '{e}' THEN '{l}'" for e, l in LANGUAGE_BY_EXTENSION.items()) + " END"
+
+
+def _oracle_paths() -> str:
+    from codeloom.functions.text import SKIP_DIRS
+    from codeloom.sources.fixtures import PATH_DIRS, PATH_EXTS
+    return f"""
+WITH pp AS (
+  SELECT p_partkey,
+         'repo/' || ({_lst(PATH_DIRS)})[p_partkey % {len(PATH_DIRS)} + 1] || '/' || replace(p_name, ' ', '_')
+           || ({_lst(PATH_EXTS)})[p_partkey % {len(PATH_EXTS)} + 1] AS path,
+         CAST(p_size * 20000 AS BIGINT) AS length
+  FROM part),
+pl AS (
+  SELECT *, lower(regexp_extract(path, '[^/.][^/]*(\\.[^./]+)$', 1)) AS sfx,
+         list_has_any(string_split(path, '/'), {_lst(SKIP_DIRS)}) AS skipped
+  FROM pp)
+SELECT p_partkey, path, {_lang_case('sfx')} AS language, skipped,
+       NOT skipped AND length <= 500000 AND {_lang_case('sfx')} IS NOT NULL AS keep
+FROM pl"""
+
+
+ORACLE["language_detect"] = _oracle_paths()
+
+REPO_URLS = """
+u AS (
+  SELECT page_id,
+         CASE page_id % 6 WHEN 0 THEN url
+              WHEN 1 THEN 'https://github.com/' || repo
+              WHEN 2 THEN 'https://github.com/' || repo || '.git'
+              WHEN 3 THEN 'http://github.com/' || repo || '/'
+              WHEN 4 THEN '  gitlab.com/' || repo || ' '
+              ELSE 'https://bitbucket.org/' || repo || '//' END AS url
+  FROM (SELECT *, regexp_extract(url, '://([^/.]+)', 1) || '/repo' || CAST(page_id AS VARCHAR) AS repo FROM pages))"""
+
+
+def _repo_id(x: str) -> str:
+    return f"substr(md5(rtrim(regexp_replace({x}, 'https?://', '', 'g'), '/')), 1, 16)"
+
+
+def _clone_url(x: str) -> str:
+    t = f"rtrim(trim({x}), '/')"
+    return f"CASE WHEN NOT ends_with({t}, '.git') AND contains({t}, 'github.com') THEN {t} || '.git' ELSE {t} END"
+
+
+def _valid_url(x: str) -> str:
+    t = f"trim({x})"
+    return f"({t} <> '' AND (contains({t}, 'github.com') OR contains({t}, 'gitlab.com') OR contains({t}, 'bitbucket')))"
+
+
+ORACLE["url_functions"] = f"""
+WITH {REPO_URLS},
+n AS (SELECT *, string_split(regexp_replace(url, '\\.git$', ''), '/') AS parts FROM u)
+SELECT page_id, url, {_repo_id('url')} AS repo_id, substr(md5(url), 1, 12) AS job_id,
+       {_clone_url('url')} AS clone_url, {_valid_url('url')} AS valid,
+       CASE WHEN array_to_string(list_slice(parts, greatest(len(parts) - 1, 1), len(parts)), '/') <> ''
+            THEN array_to_string(list_slice(parts, greatest(len(parts) - 1, 1), len(parts)), '/') ELSE url END
+         AS repo_name
+FROM n"""
+
+ORACLE["question_checks"] = """
+SELECT conv_id, turn, trim(text) <> '' AS valid_question,
+       regexp_matches(lower(text), '429|quota|rate_limit|resource_exhausted') AS rate_limited
+FROM conversations"""
+
+# ---------------------------------------------------------------- chunk projections, store
+PY_CHUNKS_K = f"""{PY_FILES}, {PY_CHUNKS},
+pyk AS (SELECT *, file_path || '::' || name || '::' || CAST(start_line AS VARCHAR) AS chunk_id FROM py_chunks)"""
+
+ORACLE["embed_text"] = f"""
+WITH {PY_CHUNKS_K}
+SELECT repo_id, chunk_id,
+       '# ' || language || ' ' || chunk_type || ': ' || name
+       || CASE WHEN parent_name IS NOT NULL AND parent_name <> '' THEN ' (in class ' || parent_name || ')' ELSE '' END
+       || {NL} || '# File: ' || file_path || ' lines ' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR)
+       || CASE WHEN docstring IS NOT NULL AND docstring <> '' THEN {NL} || '# Doc: ' || left(docstring, 200) ELSE '' END
+       || {NL} || {NL} || content AS embed_text,
+       file_path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR) AS display_location
+FROM pyk"""
+
+ORACLE["flat_metadata"] = f"""
+WITH {PY_CHUNKS_K}
+SELECT repo_id, chunk_id, file_path, chunk_type, name, start_line, end_line, language,
+       coalesce(parent_name, '') AS parent_name, left(coalesce(docstring, ''), 500) AS docstring,
+       array_to_string(calls[1:20], ',') AS calls
+FROM pyk"""
+
+ORACLE["repo_info"] = f"""
+WITH {DOC_CHUNKS}
+SELECT repo_id, count(*) AS total_chunks, CASE WHEN count(*) > 0 THEN 'ready' ELSE 'not_indexed' END AS status
+FROM chunks_e GROUP BY repo_id"""
+
+ORACLE["upsert_last_wins"] = f"""
+WITH {DOC_CHUNKS},
+u AS (SELECT repo_id, chunk_id, content, 0 AS side FROM chunks_e
+      UNION ALL
+      SELECT repo_id, chunk_id, lower(content), 1 FROM chunks_e WHERE starts_with(file_path, 'docs/en/'))
+SELECT repo_id, chunk_id, content FROM u
+QUALIFY row_number() OVER (PARTITION BY repo_id, chunk_id ORDER BY side DESC) = 1"""
+
+
+# ---------------------------------------------------------------- context, prompts, citations
+def results_sql(k: int) -> str:
+    """``res``: hybrid-search results with chunk rows, as ``hybrid_search`` returns them."""
+    return f"""{HYBRID_BASE}, {bm25_ranked('ex', 'search_text', 3 * k)}, {fused(k)},
+res AS (
+  SELECT f.query_id, f.rank, f.retrieval_method, c.file_path, c.chunk_type, c.name, c.start_line, c.end_line,
+         c.language, NULL::VARCHAR AS parent_name, NULL::VARCHAR AS docstring, trim(c.content) AS content
+  FROM fused f JOIN chunks_e c ON c.repo_id = f.repo_id AND c.chunk_id = f.chunk_id)"""
+
+
+CONTEXT = f"""
+blk AS (
+  SELECT query_id, rank, file_path, name,
+         'LOCATION: [' || file_path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR) || ']'
+         || {NL} || 'TYPE: ' || upper(chunk_type) || ': ' || name
+         || CASE WHEN parent_name <> '' THEN ' (in ' || parent_name || ')' ELSE '' END
+         || CASE WHEN docstring <> '' THEN {NL} || 'DOC: ' || left(docstring, 150) ELSE '' END
+         || {NL} || '```' || language || {NL} || content || {NL} || '```' AS block
+  FROM res),
+fidx AS (SELECT query_id, file_path, min(rank) AS r0, string_agg(name, ', ' ORDER BY rank) AS names FROM blk GROUP BY ALL),
+idx AS (SELECT query_id, string_agg('  ' || file_path || ': ' || names, {NL} ORDER BY r0) AS idx FROM fidx GROUP BY ALL),
+body AS (SELECT query_id, string_agg(block, {NL} || {NL} ORDER BY rank) AS body FROM blk GROUP BY ALL),
+ctx AS (
+  SELECT query_id, 'REFERENCED FILES:' || {NL} || idx || {NL} || {NL} || repeat('=', 60) || {NL} || {NL} || body
+         AS context
+  FROM idx JOIN body USING (query_id))"""
+
+ORACLE["build_context"] = f"""
+WITH {results_sql(6)}, {CONTEXT}
+SELECT query_id, context FROM ctx"""
+
+ORACLE["history_last4"] = """
+SELECT conv_id, turn, role, text FROM conversations
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4"""
+
+
+def _build_prompts() -> str:
+    from codeloom.operators.context import NOT_INDEXED, NOTHING_FOUND, SYSTEM_PROMPT
+    sp = SYSTEM_PROMPT.replace("'", "''")
+    msg = "STRUCT(role VARCHAR, content VARCHAR)"
+    return f"""
+WITH {results_sql(6)}, {CONTEXT},
+sizes AS (SELECT repo_id, count(*) AS n_chunks FROM chunks_e GROUP BY ALL),
+hist AS (
+  SELECT conv_id AS query_id, list({{'role': role, 'content': text}}::{msg} ORDER BY turn) AS h
+  FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4)
+  GROUP BY ALL),
+pr AS (
+  SELECT q.query_id,
+         CASE WHEN coalesce(s.n_chunks, 0) = 0 THEN '{NOT_INDEXED}'
+              WHEN c.context IS NULL THEN '{NOTHING_FOUND}' END AS reply,
+         list_concat([{{'role': 'system', 'content': '{sp}'}}::{msg}], coalesce(h.h, []::{msg}[]),
+                     [{{'role': 'user', 'content': 'CODEBASE CONTEXT:' || {NL} || {NL} || c.context || {NL} || {NL}
+                        || repeat('=', 60) || {NL} || {NL} || 'QUESTION: ' || q.question}}::{msg}]) AS msgs
+  FROM bq q LEFT JOIN ctx c USING (query_id) LEFT JOIN sizes s USING (repo_id) LEFT JOIN hist h USING (query_id))
+SELECT query_id, reply, CASE WHEN reply IS NULL THEN msgs END AS messages FROM pr"""
+
+
+ORACLE["build_prompts"] = _build_prompts()
+
+ORACLE["to_sources"] = f"""
+WITH {results_sql(6)}
+SELECT query_id,
+       CAST(to_json(list({{'file': file_path, 'start': start_line, 'end': end_line, 'name': name,
+                           'type': chunk_type, 'method': retrieval_method}} ORDER BY rank)) AS VARCHAR) AS sources_json
+FROM res GROUP BY query_id"""
+
+
+ANSWERS = f"""
+a AS (
+  SELECT conv_id * 1000 + turn AS msg_id,
+         'The answer is in `' || f || '`. '
+         || CASE turn % 4
+              WHEN 0 THEN '• File: `' || f || '` ' || cite || {NL} || '* Calls ' || text
+              WHEN 1 THEN 'It works. 1. First point ' || cite || '. 2) Second point. ' || text
+              WHEN 2 THEN '## Details' || {NL} || 'Entry point: ' || text || ' — see ' || cite
+              ELSE text || {NL} || '```python' || {NL} || 'def f():' || {NL} || '    return 1' || {NL} || '```' || {NL}
+                   || 'Note: done ' || cite END
+         || CASE conv_id % 3
+              WHEN 0 THEN {NL} || {NL} || '[SOURCES][' || payload || ', ' || payload || '][/SOURCES]'
+              WHEN 1 THEN {NL} || {NL} || '[SOURCES][{{"file": broken[/SOURCES]'
+              ELSE '' END AS text
+  FROM (SELECT *, 'src/mod_' || CAST(conv_id AS VARCHAR) || '.py' AS f,
+               '[src/mod_' || CAST(conv_id AS VARCHAR) || '.py:' || CAST(turn + 1 AS VARCHAR) || '-'
+                 || CAST(turn + 10 AS VARCHAR) || ']' AS cite,
+               '{{"file": "src/mod_' || CAST(conv_id AS VARCHAR) || '.py", "start": ' || CAST(turn + 1 AS VARCHAR)
+                 || ', "end": ' || CAST(turn + 10 AS VARCHAR) || ', "name": "fn_' || CAST(turn AS VARCHAR)
+                 || '", "type": "function", "method": "hybrid"}}' AS payload
+        FROM conversations WHERE role = 'assistant'))"""
+
+SRC_RE = "(?s)\\[SOURCES\\](.*?)\\[/SOURCES\\]"
+SRC_SCHEMA = ('[{"file":"VARCHAR","start":"INTEGER","end":"INTEGER","name":"VARCHAR","type":"VARCHAR",'
+              '"method":"VARCHAR"}]')
+
+ORACLE["parse_sources"] = f"""
+WITH {ANSWERS},
+p AS (SELECT msg_id, regexp_extract(text, '{SRC_RE}', 1) AS payload FROM a WHERE regexp_matches(text, '{SRC_RE}')),
+j AS (SELECT msg_id, from_json(payload, '{SRC_SCHEMA}') AS l FROM p WHERE json_valid(payload)),
+e AS (SELECT msg_id, unnest(range(len(l))) AS pos, unnest(l) AS s FROM j)
+SELECT msg_id, CAST(pos AS INTEGER) AS pos, s.file AS file, s.start AS start, s."end" AS "end", s.name AS name,
+       s.type AS type, s.method AS method
+FROM e"""
+
+WSC = "' ' || chr(10) || chr(9) || chr(13)"
+
+ORACLE["reassemble_fragments"] = f"""
+WITH c AS (SELECT * FROM conversations WHERE role = 'assistant'),
+w AS (SELECT conv_id * 1000 + turn AS msg_id, conv_id, string_split(text, ' ') AS ws FROM c),
+frag AS (
+  SELECT msg_id, CAST(i AS INTEGER) AS seq,
+         replace(CASE WHEN i < len(ws) - 1 THEN ws[i + 1] || ' ' ELSE ws[i + 1] END, {NL}, '\\n') AS data
+  FROM w, range(len(ws)) t(i)
+  UNION ALL
+  SELECT msg_id, 100000, '[ERROR]quota exceeded (429)[/ERROR]' FROM w WHERE conv_id % 4 = 0
+  UNION ALL
+  SELECT msg_id, 100001, '[SOURCES][{{"file": "src/mod_' || CAST(conv_id AS VARCHAR)
+         || '.py", "start": 1, "end": 9, "name": "f", "type": "function", "method": "dense"}}][/SOURCES]'
+  FROM w WHERE conv_id % 3 = 0),
+tagged AS (
+  SELECT msg_id,
+         list(CASE WHEN regexp_matches(data, '{SRC_RE}') THEN 'S' || data
+                   WHEN contains(data, '[ERROR]') THEN 'E' || regexp_replace(data, '\\[ERROR\\]|\\[/ERROR\\]', '', 'g')
+                   ELSE 'T' || replace(data, '\\n', {NL}) END ORDER BY seq) AS l,
+         max(CASE WHEN regexp_matches(data, '{SRC_RE}') THEN regexp_extract(data, '{SRC_RE}', 1) END) AS src
+  FROM frag GROUP BY msg_id)
+SELECT msg_id,
+       trim(regexp_replace(substr(list_reduce(list_prepend('T', l), lambda acc, x:
+              CASE WHEN left(x, 1) = 'S' THEN 'T' || trim(regexp_replace(substr(acc, 2), '{SRC_RE}', '', 'g'), {WSC})
+                   WHEN left(x, 1) = 'E' THEN acc || {NL} || '⚠️ ' || substr(x, 2)
+                   ELSE acc || substr(x, 2) END), 2), '{SRC_RE}', '', 'g'), {WSC}) AS text,
+       src AS sources_json
+FROM tagged"""
+
+ORACLE["extract_citations"] = f"""
+WITH {ANSWERS}
+SELECT msg_id, regexp_extract_all(text, '\\[([^\\]]+\\.\\w+[:\\d][^\\]]{{0,30}})\\]', 1) AS citations FROM a"""
+
+FENCE = "```(\\w*)\\n?([\\s\\S]*?)```"
+
+ORACLE["extract_code"] = f"""
+WITH {ANSWERS},
+b AS (SELECT msg_id, regexp_extract_all(text, '{FENCE}', 1) AS langs, regexp_extract_all(text, '{FENCE}', 2) AS codes
+      FROM a)
+SELECT msg_id, CAST(i AS INTEGER) AS pos, langs[i + 1] AS lang, trim(codes[i + 1], {WSC}) AS code
+FROM b, range(len(langs)) t(i)"""
+
+
+# ---------------------------------------------------------------- evaluation, jobs
+EVAL = f"""{results_sql(8)},
+rel AS (SELECT b.item_id AS query_id, '/doc_' || CAST(d.doc_id AS VARCHAR) || '.txt' AS symbol
+        FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+srcs AS (SELECT query_id, rank AS pos, file_path AS file, name FROM res),
+hits AS (
+  SELECT r.query_id, min(s.pos) + 1 AS hit_rank
+  FROM rel r JOIN srcs s ON s.query_id = r.query_id AND s.pos < 5
+                         AND (contains(lower(s.name), lower(r.symbol)) OR contains(lower(s.file), lower(r.symbol)))
+  GROUP BY ALL),
+per_q AS (SELECT b.item_id AS query_id, CAST(h.hit_rank AS INTEGER) AS hit_rank
+          FROM benchmark b LEFT JOIN hits h ON h.query_id = b.item_id)"""
+
+ORACLE["eval_hits"] = f"""
+WITH {EVAL}
+SELECT query_id, hit_rank FROM per_q"""
+
+ORACLE["eval_metrics"] = f"""
+WITH {EVAL},
+m AS (SELECT count(*) AS n, sum(CASE WHEN hit_rank = 1 THEN 1 ELSE 0 END) AS h1,
+             sum(CASE WHEN hit_rank <= 3 THEN 1 ELSE 0 END) AS h3, sum(CASE WHEN hit_rank <= 5 THEN 1 ELSE 0 END) AS h5,
+             sum(CASE WHEN hit_rank IS NOT NULL THEN 1.0 / hit_rank ELSE 0.0 END) AS rr
+      FROM per_q)
+SELECT n, CAST(h1 AS BIGINT) AS hits_at_1, CAST(h3 AS BIGINT) AS hits_at_3, CAST(h5 AS BIGINT) AS hits_at_5,
+       round(h1 / n, 6) AS hit_at_1, round(h3 / n, 6) AS hit_at_3, round(h5 / n, 6) AS hit_at_5,
+       round(rr / n, 6) AS mrr_at_5
+FROM m"""
+
+ORACLE["pending_ingests"] = f"""
+WITH {REPO_URLS},
+log AS (
+  SELECT substr(md5(trim(u.url)), 1, 12) AS job_id,
+         CASE e.event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'cloning' WHEN 'signup' THEN 'indexing'
+                           WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' END AS status,
+         e.ts, e.event_id AS seq
+  FROM events e JOIN u ON e.user_id = u.page_id),
+latest AS (SELECT job_id, status FROM log QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1),
+req AS (SELECT trim(url) AS url FROM u WHERE {_valid_url('url')})
+SELECT substr(md5(url), 1, 12) AS job_id, url, {_repo_id('url')} AS repo_id, {_clone_url('url')} AS clone_url
+FROM req
+WHERE substr(md5(url), 1, 12) NOT IN (SELECT job_id FROM latest WHERE status IN ('done', 'cloning', 'chunking', 'indexing'))"""
+
+ORACLE["job_progress"] = """
+WITH b AS (SELECT user_id AS job_id, event_id AS batch_id, event_id % 8 + 1 AS n_chunks FROM events),
+r AS (SELECT job_id, batch_id,
+             sum(n_chunks) OVER (PARTITION BY job_id ORDER BY batch_id ROWS UNBOUNDED PRECEDING) AS indexed,
+             sum(n_chunks) OVER (PARTITION BY job_id) AS total
+      FROM b)
+SELECT job_id, batch_id, CAST(indexed AS BIGINT) AS indexed, CAST(total AS BIGINT) AS total,
+       CAST(45 + floor(54 * indexed / total) AS INTEGER) AS progress
+FROM r"""

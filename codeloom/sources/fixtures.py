@@ -166,3 +166,101 @@ def js_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ext == ".ts", "typescript").otherwise("javascript").alias("language"))
     return out.select("repo_id", "path", F.octet_length("source").cast("bigint").alias("length"), "source",
                       "language")
+
+
+# Path shapes for the scan filters: 13 known extensions, upper case, no extension, a
+# bare ".py", unknown extensions, and every skipped directory name.
+PATH_EXTS = [".py", ".js", ".jsx", ".ts", ".tsx", ".go", ".rs", ".java", ".rb", ".cpp", ".c", ".cs", ".php",
+             ".PY", "", "/.py", ".txt", ".b.JS", "/Makefile", ".tar.gz"]
+PATH_DIRS = ["node_modules", ".git", "__pycache__", ".venv", "venv", "env", "dist", "build", ".next",
+             "target", "vendor", "coverage", ".pytest_cache", ".mypy_cache", "eggs", ".eggs",
+             "src", "lib", "app"]
+
+
+def part_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(p_partkey, path, length)`` from ``part``; sizes reach 1,000,000 bytes."""
+    p = table(spark, sf_dir, "part")
+    ext = F.element_at(F.array(*[F.lit(e) for e in PATH_EXTS]), (F.col("p_partkey") % len(PATH_EXTS) + 1).cast("int"))
+    d = F.element_at(F.array(*[F.lit(x) for x in PATH_DIRS]), (F.col("p_partkey") % len(PATH_DIRS) + 1).cast("int"))
+    name = F.regexp_replace("p_name", " ", "_")
+    return p.select("p_partkey", F.concat(F.lit("repo/"), d, F.lit("/"), name, ext).alias("path"),
+                    (F.col("p_size") * 20000).cast("bigint").alias("length"))
+
+
+def repo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, url)``: the page URL and repository URL variants (GitHub with and
+    without ``.git``, trailing slashes, http, GitLab without scheme and padded,
+    Bitbucket)."""
+    pg = table(spark, sf_dir, "pages")
+    owner = F.regexp_extract("url", r"://([^/.]+)", 1)
+    repo = F.concat(owner, F.lit("/repo"), F.col("page_id").cast("string"))
+    v = F.col("page_id") % 6
+    url = (F.when(v == 0, F.col("url"))
+           .when(v == 1, F.concat(F.lit("https://github.com/"), repo))
+           .when(v == 2, F.concat(F.lit("https://github.com/"), repo, F.lit(".git")))
+           .when(v == 3, F.concat(F.lit("http://github.com/"), repo, F.lit("/")))
+           .when(v == 4, F.concat(F.lit("  gitlab.com/"), repo, F.lit(" ")))
+           .otherwise(F.concat(F.lit("https://bitbucket.org/"), repo, F.lit("//"))))
+    return pg.select("page_id", url.alias("url"))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(msg_id, text)``: assistant turns wrapped as model answers with bullets, labels,
+    numbered items, headers, fences, citations, and a valid, malformed or no
+    ``[SOURCES]`` payload."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    f = F.concat(F.lit("src/mod_"), F.col("conv_id").cast("string"), F.lit(".py"))
+    cite = F.concat(F.lit("["), f, F.lit(":"), (F.col("turn") + 1).cast("string"), F.lit("-"),
+                    (F.col("turn") + 10).cast("string"), F.lit("]"))
+    v = F.col("turn") % 4
+    body = (F.when(v == 0, F.concat(F.lit("• File: `"), f, F.lit("` "), cite, F.lit("\n* Calls "), F.col("text")))
+            .when(v == 1, F.concat(F.lit("It works. 1. First point "), cite, F.lit(". 2) Second point. "),
+                                   F.col("text")))
+            .when(v == 2, F.concat(F.lit("## Details\nEntry point: "), F.col("text"), F.lit(" — see "), cite))
+            .otherwise(F.concat(F.col("text"), F.lit("\n```python\ndef f():\n    return 1\n```\nNote: done "),
+                                cite)))
+    payload = F.concat(F.lit('{"file": "'), f, F.lit('", "start": '), (F.col("turn") + 1).cast("string"),
+                       F.lit(', "end": '), (F.col("turn") + 10).cast("string"),
+                       F.lit(', "name": "fn_'), F.col("turn").cast("string"),
+                       F.lit('", "type": "function", "method": "hybrid"}'))
+    s = F.col("conv_id") % 3
+    tail = (F.when(s == 0, F.concat(F.lit("\n\n[SOURCES]["), payload, F.lit(", "), payload, F.lit("][/SOURCES]")))
+            .when(s == 1, F.lit("\n\n[SOURCES][{\"file\": broken[/SOURCES]"))
+            .otherwise(F.lit("")))
+    text = F.concat(F.lit("The answer is in `"), f, F.lit("`. "), body, tail)
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), text.alias("text"))
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(msg_id, seq, data)``: assistant turns streamed word by word with newlines
+    escaped as ``\\n``, an ``[ERROR]`` fragment for every fourth conversation and a
+    sources fragment for every third."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    mid = (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id")
+    words = c.select(mid, "conv_id", F.posexplode(F.split("text", " ")).alias("seq", "w"),
+                     F.size(F.split("text", " ")).alias("nw"))
+    data = F.replace(F.when(F.col("seq") < F.col("nw") - 1, F.concat("w", F.lit(" "))).otherwise(F.col("w")),
+                     F.lit("\n"), F.lit("\\n"))
+    toks = words.select("msg_id", F.col("seq").cast("int").alias("seq"), data.alias("data"))
+    err = (c.filter(F.col("conv_id") % 4 == 0)
+           .select(mid, F.lit(100000).alias("seq"), F.lit("[ERROR]quota exceeded (429)[/ERROR]").alias("data")))
+    src = (c.filter(F.col("conv_id") % 3 == 0)
+           .select(mid, F.lit(100001).alias("seq"),
+                   F.concat(F.lit('[SOURCES][{"file": "src/mod_'), F.col("conv_id").cast("string"),
+                            F.lit('.py", "start": 1, "end": 9, "name": "f", "type": "function", '
+                                  '"method": "dense"}][/SOURCES]')).alias("data")))
+    return toks.unionByName(err).unionByName(src)
+
+
+def relevance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(query_id, symbol)``: benchmark item -> ``/doc_<id>.txt`` of every document that
+    contains the item's text.  The benchmark side is broadcast after a size check;
+    the documents stream."""
+    from codeloom.session import checked_broadcast
+    b, small = checked_broadcast(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("btext")))
+    if not small:
+        raise ValueError("benchmark table larger than the broadcast bound")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (d.join(b, F.col("text").contains(F.col("btext")))
+            .select(F.col("item_id").alias("query_id"),
+                    F.concat(F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("symbol")))
