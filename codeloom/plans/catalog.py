@@ -225,7 +225,10 @@ def q_build_prompts(spark, sf_dir):
     hist = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("query_id"), "turn", "role", F.col("text").alias("content"))
     sizes = repo_info(doc_chunks(spark, sf_dir)).select("repo_id", F.col("total_chunks").alias("n_chunks"))
-    return build_prompts(benchmark_queries(spark, sf_dir), build_context(res), hist, sizes)
+    p = build_prompts(benchmark_queries(spark, sf_dir), build_context(res), hist, sizes)
+    # One row per message (flat columns); a fixed reply gives one row with null msg_pos.
+    return p.select("query_id", "reply", F.posexplode_outer("messages").alias("msg_pos", "m")) \
+        .select("query_id", "reply", "msg_pos", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
 @register("to_sources")

@@ -499,7 +499,10 @@ pr AS (
                      [{{'role': 'user', 'content': 'CODEBASE CONTEXT:' || {NL} || {NL} || c.context || {NL} || {NL}
                         || repeat('=', 60) || {NL} || {NL} || 'QUESTION: ' || q.question}}::{msg}]) AS msgs
   FROM bq q LEFT JOIN ctx c USING (query_id) LEFT JOIN sizes s USING (repo_id) LEFT JOIN hist h USING (query_id))
-SELECT query_id, reply, CASE WHEN reply IS NULL THEN msgs END AS messages FROM pr"""
+SELECT query_id, reply, CAST(i AS INTEGER) AS msg_pos, msgs[i + 1].role AS role, msgs[i + 1].content AS content
+FROM pr, range(len(msgs)) t(i) WHERE reply IS NULL
+UNION ALL
+SELECT query_id, reply, NULL, NULL, NULL FROM pr WHERE reply IS NOT NULL"""
 
 
 ORACLE["build_prompts"] = _build_prompts()
