@@ -6,6 +6,7 @@ Column names match the DuckDB twins in ``codeloom.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,14 @@ from codeloom.plans.hybrid import build_index, fused_ids, hybrid_search
 from codeloom.functions.markup import citations, code_blocks
 from codeloom.functions.text import display_location, in_skipped_dir, language_of, strip_ws
 from codeloom.functions.urls import clone_url, is_rate_limit, job_id, repo_id, repo_name, valid_question, valid_repo_url
+from codeloom.operators.answers import normalise_answers
 from codeloom.operators.context import build_context, build_prompts, last_turns, parse_sources, reassemble, to_sources
 from codeloom.operators.evaluate import hit_ranks, metrics
 from codeloom.operators.jobs import job_progress, pending_ingests
 from codeloom.operators.metadata import flat_metadata
-from codeloom.session import table
+from codeloom.operators.ivf import ivf_build, ivf_topk
+from codeloom.session import checkpoint_dir, table
+from codeloom.streaming.ingest import current_chunks, ingest_stream
 from codeloom.sources.files import MAX_FILE_BYTES
 from codeloom.sources.fixtures import answers, fragments, part_paths, relevance_pairs, repo_urls
 from codeloom.sources.store import repo_info, upsert_chunks
@@ -309,4 +313,60 @@ def q_job_progress(spark, sf_dir):
     return job_progress(b)
 
 
+@register("normalise_answers")
+def q_normalise_answers(spark, sf_dir):
+    return normalise_answers(answers(spark, sf_dir), "text", "formatted").select("msg_id", "formatted")
+
+
+# ---------------------------------------------------------------- approximate search, streaming
+IVF_CELLS = 16
+
+
+def _bench_qvecs(spark, sf_dir):
+    return embed(benchmark_queries(spark, sf_dir), "question", "qvec", query_prefix=QUERY_PREFIX) \
+        .select("query_id", "qvec")
+
+
+@register("ivf_topk")
+def q_ivf_topk(spark, sf_dir):
+    """All cells probed: equal to exact cosine top-10 (the DuckDB twin)."""
+    idx = ivf_build(table(spark, sf_dir, "embeddings"), IVF_CELLS, id_col="vec_id")
+    return ivf_topk(idx, _bench_qvecs(spark, sf_dir), 10, nprobe=IVF_CELLS) \
+        .select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
+@register("ivf_topk_nprobe4")
+def q_ivf_topk_nprobe4(spark, sf_dir):
+    """A quarter of the cells probed (approximate; rows only, recall measured in tests)."""
+    idx = ivf_build(table(spark, sf_dir, "embeddings"), IVF_CELLS, id_col="vec_id")
+    return ivf_topk(idx, _bench_qvecs(spark, sf_dir), 10, nprobe=4) \
+        .select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
+def _stream_files(spark, sf_dir):
+    """Write the file rows derived from the tables as three arrivals in a fresh source
+    folder under the shared checkpoint folder; returns the folder."""
+    src = f"{checkpoint_dir(spark).rstrip('/')}/codeloom/stream-src-{uuid.uuid4().hex}"
+    cols = ["repo_id", "path", "source", "language"]
+    for part in (py_sources(spark, sf_dir), js_sources(spark, sf_dir), documents_as_files(spark, sf_dir)):
+        part.select(*cols).write.mode("append").parquet(src)
+    return src
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Structured Streaming ingest (availableNow) of all files; the current index."""
+    q, log, _ = ingest_stream(spark, _stream_files(spark, sf_dir), max_files_per_trigger=2)
+    q.awaitTermination()
+    return current_chunks(spark.read.parquet(log)).select(*CHUNK_OUT)
+
+
+@register("stream_progress")
+def q_stream_progress(spark, sf_dir):
+    q, _, prog = ingest_stream(spark, _stream_files(spark, sf_dir), max_files_per_trigger=2)
+    q.awaitTermination()
+    p = spark.read.parquet(prog)
+    return job_progress(p.select(F.col("repo_id").alias("job_id"), "batch_id", "n_chunks"))
+
+
 FLAGSHIP = "hybrid_search"

@@ -645,3 +645,18 @@ r AS (SELECT job_id, batch_id,
 SELECT job_id, batch_id, CAST(indexed AS BIGINT) AS indexed, CAST(total AS BIGINT) AS total,
        CAST(45 + floor(54 * indexed / total) AS INTEGER) AS progress
 FROM r"""
+
+
+ORACLE["ivf_topk"] = f"""
+WITH {BENCH_QUERIES},
+qtok AS (SELECT query_id, unnest({TOKENS.format(x="'Represent this sentence: ' || question")}) AS tok FROM bq),
+qv AS (SELECT query_id, {BUCKET} AS b, sum({SIGN})::DOUBLE AS v FROM qtok GROUP BY ALL),
+qn AS (SELECT query_id, sqrt(sum(v * v)) AS n FROM qv GROUP BY ALL),
+en AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
+dots AS (SELECT q.query_id, e.vec_id, sum(q.v * e.embedding[q.b + 1]::DOUBLE) AS dot
+         FROM qv q CROSS JOIN embeddings e GROUP BY ALL),
+sc AS (SELECT d.query_id, d.vec_id, round(d.dot / (qn.n * en.n), 6) AS score
+       FROM dots d JOIN qn USING (query_id) JOIN en USING (vec_id))
+SELECT query_id, vec_id, score,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS INTEGER) AS rank
+FROM sc QUALIFY rank < 10"""
