@@ -69,9 +69,13 @@ def indent_of(c) -> Column:
     return F.length(col_(c)) - F.length(lstrip_ws(c))
 
 
+# The same set as an explicit character class: much faster than a (?U) class in Java.
+WS_CLASS_RUN = "[" + "".join(f"\\u{ord(c):04x}" for c in WS_CHARS) + "]+"
+
+
 def tokens(text) -> Column:
     """``text.lower().split()``: lower-case, split at whitespace runs, no empties."""
-    return F.filter(F.split(F.lower(col_(text)), WS_RUN, -1), lambda t: t != "")
+    return F.filter(F.split(F.lower(col_(text)), WS_CLASS_RUN, -1), lambda t: t != "")
 
 
 def language_of(path) -> Column:

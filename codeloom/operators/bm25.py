@@ -46,17 +46,33 @@ class Bm25Index:
     idf: DataFrame
 
 
+def with_term_counts(chunks: DataFrame, text_col: str = "embed_text") -> DataFrame:
+    """``(repo_id, chunk_id, dl, tfs array<struct<tok, tf>>)`` counted inside each row.
+
+    All tokens of a chunk are in its row, so term counts need no shuffle: the token
+    array is sorted and every run of equal tokens becomes ``(tok, run length)``."""
+    toks = chunks.select("repo_id", "chunk_id", F.array_sort(tokens(text_col)).alias("_s"))
+    n = F.size("_s")
+    starts = toks.select("repo_id", "chunk_id", "_s", n.alias("dl"), F.filter(
+        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+        lambda i: (n > 0) & ((i == 0) | (F.get(F.col("_s"), i) != F.get(F.col("_s"), i - 1)))).alias("_st"))
+    tfs = F.transform("_st", lambda st, j: F.struct(
+        F.get(F.col("_s"), st).alias("tok"), (F.coalesce(F.get(F.col("_st"), j + 1), F.col("dl")) - st).alias("tf")))
+    return starts.select("repo_id", "chunk_id", "dl", tfs.alias("tfs"))
+
+
 def term_freq(chunks: DataFrame, text_col: str = "embed_text") -> DataFrame:
     """``(repo_id, chunk_id, dl, tok, tf)``: term counts of ``lower().split()``."""
-    toks = chunks.select("repo_id", "chunk_id", tokens(text_col).alias("toks"))
-    return (toks.select("repo_id", "chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("tok"))
-            .groupBy("repo_id", "chunk_id", "dl", "tok").agg(F.count(F.lit(1)).alias("tf")))
+    # inline_outer: plain inline lets the optimizer infer size(tfs) > 0 and push it
+    # below the projections, re-inlining the sort into the per-element lambdas.
+    return (with_term_counts(chunks, text_col).select("repo_id", "chunk_id", "dl", F.inline_outer("tfs"))
+            .filter(F.col("tok").isNotNull()))
 
 
 def build_bm25(chunks: DataFrame, text_col: str = "embed_text", k1: float = K1, b: float = B,
                eps: float = EPS) -> Bm25Index:
     tf = term_freq(chunks, text_col)
-    doc_len = chunks.select("repo_id", "chunk_id", F.size(tokens(text_col)).alias("dl"))
+    doc_len = with_term_counts(chunks, text_col).select("repo_id", "chunk_id", "dl")
     stats = doc_len.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("repo_id", "tok").agg(F.count(F.lit(1)).alias("df"))
     raw = (df.join(stats, "repo_id")
