@@ -70,9 +70,13 @@ def term_freq(chunks: DataFrame, text_col: str = "embed_text") -> DataFrame:
 
 
 def build_bm25(chunks: DataFrame, text_col: str = "embed_text", k1: float = K1, b: float = B,
-               eps: float = EPS) -> Bm25Index:
-    tf = term_freq(chunks, text_col)
-    doc_len = with_term_counts(chunks, text_col).select("repo_id", "chunk_id", "dl")
+               eps: float = EPS, counted: DataFrame | None = None) -> Bm25Index:
+    """BM25 tables for ``chunks``; ``counted`` (from ``with_term_counts``, e.g. written
+    once to storage) replaces the tokenisation pass when given."""
+    counted = counted if counted is not None else with_term_counts(chunks, text_col)
+    tf = (counted.select("repo_id", "chunk_id", "dl", F.inline_outer("tfs"))
+          .filter(F.col("tok").isNotNull()))
+    doc_len = counted.select("repo_id", "chunk_id", "dl")
     stats = doc_len.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("repo_id", "tok").agg(F.count(F.lit(1)).alias("df"))
     raw = (df.join(stats, "repo_id")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import embed_text
-from codeloom.operators.bm25 import Bm25Index, build_bm25, bm25_topk
+from codeloom.operators.bm25 import Bm25Index, build_bm25, bm25_topk, with_term_counts
 from codeloom.operators.dense import cosine_topk
 from codeloom.operators.embed import QUERY_PREFIX, embed
 from codeloom.operators.expand import expand_queries
@@ -52,11 +52,14 @@ def build_index(chunks: DataFrame, make_model=None, materialize_tables: bool = F
         ch = materialize(ch, "chunks")
     vec = embed(ch.select("repo_id", "chunk_id", "embed_text"), "embed_text", "embedding", make_model) \
         .select("repo_id", "chunk_id", "embedding")
-    bm = build_bm25(ch)
     if materialize_tables:
         vec = materialize(vec, "vectors")
-        bm = Bm25Index(materialize(bm.postings, "postings"), materialize(bm.doc_len, "doc_len"),
+        counted = materialize(with_term_counts(ch), "term_counts")
+        bm = build_bm25(ch, counted=counted)
+        bm = Bm25Index(materialize(bm.postings, "postings"), bm.doc_len,
                        materialize(bm.stats, "stats"), materialize(bm.idf, "idf"))
+    else:
+        bm = build_bm25(ch)
     return Index(ch, vec, bm)
 
 
