@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from . import token_files
+from . import mixing, token_files, topk, url_filters, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
+    "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_pivot_topk": topk.op6_pivot_topk,
+    "op8_url_filters": url_filters.op8_url_filters,
     "op10_token_files": token_files.op10_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_warc": warc.OP3_SQL,
+    "op4_mix_sources": mixing.OP4_SQL,
+    "op6_pivot_topk": topk.OP6_SQL,
+    "op8_url_filters": url_filters.OP8_SQL,
+}
