@@ -72,6 +72,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
 _BYTE_LOWER = _BYTE[_LOWER]
@@ -100,8 +102,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the index of its first word (n + 1)."""
+def word_bounds(data: np.ndarray, bounds: np.ndarray, cut_before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each row the index of its first word (n + 1).
+    With ``cut_before``, a mask of bytes, words are also cut between an ASCII letter and such a byte."""
     full = np.empty(len(data) + 2, bool)
     full[0] = full[-1] = False
     np.logical_not(_BLANK[data], out=full[1:-1])
@@ -113,6 +116,10 @@ def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     cut = inner[full[inner] & full[inner + 1]]   # two rows' words that touch
     start[cut] = True
     end[cut] = True
+    if cut_before is not None and len(data) > 1:
+        more = np.flatnonzero(_LETTER[data[:-1]] & cut_before[data[1:]]) + 1
+        start[more] = True
+        end[more] = True
     start, end = np.flatnonzero(start), np.flatnonzero(end)
     return start, end, np.searchsorted(start, bounds)
 

@@ -25,6 +25,7 @@ doc_ids come first; an empty table gives no files and no rows; other columns are
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,14 +39,14 @@ from pyspark.sql import functions as F
 
 from codeloom.session import table
 
-from .common import need, scratch, slices, text_buffer
+from .common import need, scratch, slices, text_buffer, word_bounds, word_hashes
 
 MAGIC = b"TKEF"
 HEAD = struct.Struct("<4sIIQQBBHQ")
 SEGMENT_IDS = 1 << 20     # ids of a segment, unless one document has more
 FILE_SEGMENTS = 8         # segments of a file
 SAMPLE = 256              # one select sample for so many boundaries
-CACHE_WORDS = 200_000     # encoded words that a worker keeps
+CACHE_PIECES = 2_000_000  # encoded pieces that a worker keeps, about 30 bytes each
 
 
 # ------------------------------------------------------------------------- Elias-Fano
@@ -146,11 +147,19 @@ def segments(content: bytes) -> Iterator[Segment]:
 
 # --------------------------------------------------------------------------- encoding
 
-class WordEncoder:
-    """Encodes texts word by word.  The tokenizer's pre-tokens never span blanks, so the ids
-    of a text are those of its words; each distinct word is encoded once while it is kept."""
+# Between an ASCII letter and one of these, every pre-token ends.  Without the characters of
+# special tokens, which must stay whole, and the apostrophe.
+_CUT = np.zeros(256, bool)
+_CUT[[c for c in b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
+
+
+class PieceEncoder:
+    """Encodes texts piece by piece.  Pre-tokens of the tokenizer never span blanks nor the
+    cuts above, and it lowers case, so the ids of a text are those of its lowered pieces; each
+    distinct piece is encoded once while the cache, sorted arrays of piece hashes, holds it."""
 
     def __init__(self, tokenizer_file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -158,44 +167,82 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.at = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, self.dtype)
-
-    def learn(self, words: set[bytes]) -> None:
-        new = sorted(words.difference(self.code))
-        if len(self.code) + len(new) > CACHE_WORDS and self.code:
-            self.clear()
-            new = sorted(words)
-        if not new:
-            return
-        got = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.main, self.recent = none, none     # (sorted hashes, their numbers)
+        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, self.dtype)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash in the cache, -1 if it isn't there."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, number in (self.main, self.recent):
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                np.copyto(out, number[i], where=keys[i] == hashes)
+        return out
+
+    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        got = []
+        for i in range(0, len(texts), 1000):
+            got += [x.ids for x in self.tokenizer.encode_batch_fast(texts[i:i + 1000], add_special_tokens=False)]
+        first = len(self.at) - 1
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in got])])
         self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], self.dtype)])
-
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        add = hashes, np.arange(first, first + len(texts))
+        joined = [np.concatenate(x) for x in zip(self.recent, add, strict=True)]
+        if len(joined[0]) > 1 << 16:
+            joined = [np.concatenate(x) for x in zip(self.main, joined, strict=True)]
+        order = np.argsort(joined[0], kind="stable")
+        both = joined[0][order], joined[1][order]
+        if len(both[0]) > 1 << 16:
+            self.main, self.recent = both, (both[0][:0], both[1][:0])
+        else:
+            self.recent = both
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the position after each text."""
-        words = [t.split() for t in texts]
-        flat = [w for ws in words for w in ws]
-        self.learn(set(flat))
-        code = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
-        n_ids = self.at[code + 1] - self.at[code]
-        first = np.zeros(len(flat) + 1, np.int64)
-        np.cumsum(n_ids, out=first[1:])
-        after = np.cumsum([len(ws) for ws in words], dtype=np.int64)
-        ends = first[after] + np.arange(1, len(words) + 1)
-        out = np.full(first[-1] + len(words), end_id, self.dtype)
+        raw = data.tobytes()
+        if b"<|" in raw:  # may hold special tokens, for which case counts
+            got = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids + [end_id]
+                   for a, b in zip(bounds, bounds[1:], strict=False)]
+            return np.array([i for x in got for i in x], self.dtype), np.cumsum([len(x) for x in got], dtype=np.int64)
+        start, end, first = word_bounds(data, bounds, _CUT)
+        seen, at, back = np.unique(word_hashes(data, start, end, lower=True), return_index=True, return_inverse=True)
+        number = self.numbers(seen)
+        if (number < 0).any():
+            if len(self.at) + len(seen) > CACHE_PIECES:
+                self.clear()
+                number[:] = -1
+            new = np.flatnonzero(number < 0)
+            self.learn(seen[new], [raw[start[i]:end[i]].decode() for i in at[new]])
+            number = self.numbers(seen)
+        number = number[back]
+        from_ids = self.at[number]
+        n_ids = self.at[number + 1] - from_ids
+        before = np.zeros(len(number) + 1, np.int64)
+        np.cumsum(n_ids, out=before[1:])
+        rows = len(bounds) - 1
+        ends = before[first[1:]] + np.arange(1, rows + 1)
+        out = np.full(before[-1] + rows, end_id, self.dtype)
         keep = np.ones(len(out), bool)
         keep[ends - 1] = False
-        out[keep] = self.ids[np.repeat(self.at[code] - first[:-1], n_ids) + np.arange(first[-1])]
+        out[keep] = self.ids[np.repeat(from_ids - before[:-1], n_ids) + np.arange(before[-1])]
         return out, ends
 
 
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder_for(tokenizer_file: str) -> PieceEncoder:
+    """The worker process's encoder, kept from task to task."""
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = PieceEncoder(tokenizer_file)
+    return _encoders[tokenizer_file]
+
+
 def _segment_rows(tokenizer_file: str, end_id: int, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(tokenizer_file)
+        encoder = encoder_for(tokenizer_file)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -215,9 +262,7 @@ def _segment_rows(tokenizer_file: str, end_id: int, segment_ids: int):
             data, bounds = text_buffer(batch.column("text"))
             for a, b in slices(bounds, 1 << 20):
                 docs = batch.column("doc_id").slice(a, b - a).to_pylist()
-                raw = data[bounds[a]:bounds[b]].tobytes()
-                cut = bounds[a:b + 1] - bounds[a]
-                ids, ends = encoder.encode([raw[cut[i]:cut[i + 1]] for i in range(b - a)], end_id)
+                ids, ends = encoder.encode(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a], end_id)
                 if held and size + len(ids) > segment_ids:
                     yield flush()
                 held.append((docs, ends, ids))
