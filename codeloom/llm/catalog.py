@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, token_files, topk, url_filters, warc
+from . import mixing, token_files, topk, toxicity, url_filters, warc
 
 QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_pivot_topk": topk.op6_pivot_topk,
     "op8_url_filters": url_filters.op8_url_filters,
     "op10_token_files": token_files.op10_token_files,
