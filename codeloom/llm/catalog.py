@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, token_files, topk, toxicity, url_filters, warc
+from . import decontaminate, mixing, token_files, topk, toxicity, url_filters, warc
 
 QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_pivot_topk": topk.op6_pivot_topk,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_url_filters": url_filters.op8_url_filters,
     "op10_token_files": token_files.op10_token_files,
 }
@@ -17,5 +18,6 @@ ORACLE: dict[str, str] = {
     "op3_warc": warc.OP3_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
     "op6_pivot_topk": topk.OP6_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_url_filters": url_filters.OP8_SQL,
 }
