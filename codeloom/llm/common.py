@@ -18,8 +18,10 @@ from codeloom.session import checkpoint_dir
 
 # Word pattern of the contracts, for Spark's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
+# Largest table of short rows (a few numbers or one digest) that is broadcast: below 32 MB.
+BROADCAST = 200_000
 # Documents are handled in slices of about this many bytes inside a task.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -40,6 +42,12 @@ def need(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
 
 
+def small(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
+    """``df``, a written table of short rows, marked for broadcast if it has at most ``rows``
+    rows; else it stays as it is and its joins shuffle both sides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 # ---------------------------------------------------------------------------- buffers
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ miss below 1e-5 at the threshold and less above it.
 The outer forms of posexplode and inline keep the optimizer from inferring a filter on the
 array's size, which would be pushed below and have the split text recomputed per element.
 
-The items' side of a join is broadcast only below ``BROADCAST`` rows, else both are shuffled.
+The smaller side of a join is broadcast only below ``common.BROADCAST`` rows, else both are shuffled.
 
 Cases: null and empty texts have no shingles and neither leak nor match; an item of fewer
 than five words is found only in documents that are the same word sequence; items with equal
@@ -35,17 +35,11 @@ from pyspark.sql import functions as F
 
 from codeloom.session import table
 
-from .common import WORD, need, written
+from .common import WORD, need, small, written
 
 K = 5
 SIMILARITY = 0.8
 RADIUS = 23
-BROADCAST = 200_000    # rows of a few numbers each: below 32 MB
-
-
-def small(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
-    """``df``, which must be cheap to count, marked for broadcast if it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def words(text: Column) -> Column:
@@ -97,8 +91,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # Texts with windows once more, to cut the windows out of them.
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-    hit = met.select("doc_id", "th").dropDuplicates()
-    texts = with_shingles(docs.join(hit := small(hit), same(docs, hit), "left_semi").dropDuplicates(["doc_id", "th"]))
+    hit = small(written(met.select("doc_id", "th").dropDuplicates(), "hit"))
+    texts = with_shingles(docs.join(hit, same(docs, hit), "left_semi").dropDuplicates(["doc_id", "th"]))
     start = F.greatest(F.lit(0), F.col("s"))
     n = F.least(F.col("n"), F.col("s") + F.col("size")) - start
     windows = (met.join(texts.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "sh"),

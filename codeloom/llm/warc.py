@@ -14,7 +14,8 @@ without a gap and the joined block must have the stated total length; then the t
 framing is undone and the payload compared with the stated digest.  Any mismatch raises.
 
 Only digests and page ids are shuffled to find revisits; equal digests are combined before
-the shuffle, and pages meet the (repeated) digests in a join that Spark can split.
+the shuffle.  The repeated digests are broadcast while they are few (``common.BROADCAST``);
+beyond that, pages meet them in a join that Spark can split.
 
 Cases: null html is an empty payload; null url: no target header; null page_id: no page
 header, counts as larger than any other; equal payloads of rows with the same smallest
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from codeloom.session import table
 
-from .common import need, scratch
+from .common import need, scratch, small, written
 
 SEGMENT = 16 << 10        # bytes of a record's block
 CHUNK = 4 << 10           # bytes of a chunk of the transfer framing
@@ -184,7 +185,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     rows = need(pages, page_id="bigint", url="string", html="string").withColumn("digest", F.sha2(html, 256))
     first = (rows.where(F.octet_length(html) >= MIN_REVISIT).groupBy("digest")
              .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    rows = rows.join(first, "digest", "left").select(
+    rows = rows.join(small(written(first, "repeated")), "digest", "left").select(
         "page_id", F.monotonically_increasing_id().alias("row"), "url", "html", "digest",
         F.when(F.col("first") != F.coalesce("page_id", F.col("first") + 1), F.col("first")).alias("refers_to"))
     (rows.mapInArrow(_write, "value binary").select(F.col("value").cast("string").alias("value"))
