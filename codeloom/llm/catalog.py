@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, token_files, topk, toxicity, url_filters, warc
+from . import decontaminate, jaccard, mixing, token_files, topk, toxicity, url_filters, warc
 
 QUERIES = {
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_warc": warc.op3_warc,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_toxicity": toxicity.op5_toxicity,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_jaccard_join": jaccard.OP2_SQL,
     "op3_warc": warc.OP3_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
     "op6_pivot_topk": topk.OP6_SQL,
