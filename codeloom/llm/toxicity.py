@@ -313,8 +313,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     return [t or "" for t in rows.column("text").to_pylist()], rows.column("toxic").to_pylist()
 
 
+def _probability(best: np.ndarray, model: tuple) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(model[2] * best + model[3], -500, 500)))
+
+
 def _score(model: tuple[np.ndarray, float, float, float]):
-    weights, bias, slope, shift = model
+    weights, bias = model[:2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,8 +327,7 @@ def _score(model: tuple[np.ndarray, float, float, float]):
             for a, b in slices(bounds, 1 << 20):
                 letters, begin, text, _ = words_of(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a])
                 np.maximum.at(best, text + a, word_scores(letters, begin, weights) + bias)
-            score = 1 / (1 + np.exp(-np.clip(slope * best + shift, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_probability(best, model))], ["row", "score"])
 
     return run
 
@@ -335,15 +338,15 @@ def score(documents: DataFrame, model: tuple) -> DataFrame:
     return rows.mapInArrow(_score(model), rows.select("row", F.lit(0.0).alias("score")).schema)
 
 
-def toxic_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``documents`` as a struct ``row`` with score and predicted."""
+def clean_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that are not predicted toxic."""
     model = fit(*training_rows(documents, labels))
-    return score(documents, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return score(documents, model).where("score < 0.5").select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(*training_rows(documents, labels))
     held = F.coalesce(F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return score(documents.select("doc_id", "text").select("doc_id", "text"), model).select(
+    return score(documents.select("doc_id", "text"), model).select(
         "row.doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

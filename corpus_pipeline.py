@@ -5,17 +5,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import token_files
+from codeloom.llm import decontaminate, jaccard, mixing, token_files, toxicity
 from codeloom.llm.common import written
 from codeloom.session import table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, trained on ``labels``, does not reject."""
+    return toxicity.clean_rows(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles of similarity 0.8 or more."""
+    return jaccard.distinct_rows(docs, k=5, percent=80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without passages of ``benchmark``."""
+    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources at the target weights; a document drawn twice is there twice."""
+    return mixing.mix(docs)
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents that are left; their boundaries and checksums."""
     return token_files.token_files(spark, docs, token_files.word_bpe())
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
     ("token files", encode_tokens),
 ]
 
