@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, token_files, topk, toxicity, url_filters, warc
+from . import decontaminate, jaccard, mixing, pii, token_files, topk, toxicity, url_filters, warc
 
 QUERIES = {
     "op2_jaccard_join": jaccard.op2_jaccard_join,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_pivot_topk": topk.op6_pivot_topk,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_url_filters": url_filters.op8_url_filters,
+    "op9_personal_data": pii.op9_personal_data,
     "op10_token_files": token_files.op10_token_files,
 }
 
