@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, pii, token_files, topk, toxicity, url_filters, warc
+from . import decontaminate, jaccard, mixing, pii, token_counts, token_files, topk, toxicity, url_filters, warc
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_warc": warc.op3_warc,
     "op4_mix_sources": mixing.op4_mix_sources,
