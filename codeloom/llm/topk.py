@@ -16,7 +16,8 @@ takes each query's ``FIRST`` annuli with the highest bounds and yields its k-th
 the second takes exactly those others whose bound reaches that score.  Queries go to a block
 in groups of at most about ``GROUP``, a task multiplies one block by one group, and only
 products that reach the query's score so far leave it, k for each query at most.  Scores are
-exact integers: products are taken in doubles if all of them fit 53 bits, else in Python ints.
+exact integers: products are taken in doubles if all of them fit 53 bits, else in Python ints
+(they must fit a long).
 
 Cases: vectors that are null, or hold null or non-finite components, take no part; a shorter
 vector counts as padded with zeros; rows equal in vec_id and vector are one row; a query's own
