@@ -19,20 +19,20 @@ Query time: query terms (small) join idf, then postings; contributions are summe
 before the shuffle (``WindowGroupLimit``).
 
 Scale notes: all document-side aggregates are partial+final hash aggregates, so hot
-tokens and hot repositories are combined map-side.  The per-repository statistics
-join is a size-checked broadcast.  The posting join broadcasts the query terms when
-they are small; otherwise both sides are salted so a hot (repo, token) key is spread
-over ``salts`` tasks.
+tokens and hot repositories are combined map-side.  The posting join broadcasts the
+query terms when they are small; otherwise both sides are salted so a hot (repo, token)
+key is spread over ``salts`` tasks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import tokens
+from codeloom.operators.ranking import top_k
 from codeloom.session import checked_broadcast
 
 K1, B, EPS = 1.5, 0.75, 0.25
@@ -63,9 +63,13 @@ def with_term_counts(chunks: DataFrame, text_col: str = "embed_text") -> DataFra
 
 def term_freq(chunks: DataFrame, text_col: str = "embed_text") -> DataFrame:
     """``(repo_id, chunk_id, dl, tok, tf)``: term counts of ``lower().split()``."""
+    return exploded_counts(with_term_counts(chunks, text_col))
+
+
+def exploded_counts(counted: DataFrame) -> DataFrame:
     # inline_outer: plain inline lets the optimizer infer size(tfs) > 0 and push it
     # below the projections, re-inlining the sort into the per-element lambdas.
-    return (with_term_counts(chunks, text_col).select("repo_id", "chunk_id", "dl", F.inline_outer("tfs"))
+    return (counted.select("repo_id", "chunk_id", "dl", F.inline_outer("tfs"))
             .filter(F.col("tok").isNotNull()))
 
 
@@ -74,8 +78,7 @@ def build_bm25(chunks: DataFrame, text_col: str = "embed_text", k1: float = K1,
     """BM25 tables for ``chunks``; ``counted`` (from ``with_term_counts``, e.g. written
     once to storage) replaces the tokenisation pass when given."""
     counted = counted if counted is not None else with_term_counts(chunks, text_col)
-    tf = (counted.select("repo_id", "chunk_id", "dl", F.inline_outer("tfs"))
-          .filter(F.col("tok").isNotNull()))
+    tf = exploded_counts(counted)
     doc_len = counted.select("repo_id", "chunk_id", "dl")
     stats = doc_len.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("repo_id", "tok").agg(F.count(F.lit(1)).alias("df"))
@@ -128,6 +131,4 @@ def bm25_topk(index: Bm25Index, queries: DataFrame, k: int, text_col: str = "tex
     summation order."""
     s = bm25_scores(index, queries, text_col).filter(F.col("score") > 0) \
         .withColumn("score", F.round("score", 6))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
-    return (s.withColumn("rank", F.row_number().over(w) - 1)
-            .filter(F.col("rank") < k))
+    return top_k(s, k, F.col("score").desc(), F.col("chunk_id"))

@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import checked_broadcast
+from codeloom.session import checked_broadcast, materialize
 
 DEPTH = 5
+SALTS = 32
 
 
 def hit_ranks(sources: DataFrame, golden: DataFrame, depth: int = DEPTH,
@@ -41,8 +42,13 @@ def hit_ranks(sources: DataFrame, golden: DataFrame, depth: int = DEPTH,
            .select(F.col("query_id").alias("_q"), "pos",
                    F.lower(F.coalesce(F.col("name"), F.lit(""))).alias("_n"),
                    F.lower(F.coalesce(F.col("file"), F.lit(""))).alias("_f")))
-    top_b, _ = checked_broadcast(top)
+    # Written once: the size check and the join would each run the whole search.
+    top_b, small = checked_broadcast(materialize(top, "top-sources"))
     cond = (F.col("query_id") == F.col("_q")) & (F.col("_n").contains(F.col("sym")) | F.col("_f").contains(F.col("sym")))
+    if not small:  # a question with very many symbols is spread over SALTS tasks
+        pairs = pairs.withColumn("_s", F.pmod(F.xxhash64("sym"), F.lit(SALTS)))
+        top_b = top_b.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        cond = cond & (F.col("_s") == F.col("_t"))
     hits = pairs.join(top_b, cond).groupBy("query_id").agg((F.min("pos") + 1).cast("int").alias("hit_rank"))
     return questions.join(hits, "query_id", "left")
 

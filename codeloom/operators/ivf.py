@@ -1,56 +1,86 @@
-"""Approximate dense search with an inverted-file index (D3).
-
-Build: ``pyspark.ml`` KMeans over the unit vectors gives ``n_cells`` centroids; every
-vector is assigned to its nearest cell (``model.transform``, a narrow job).  The index
-is ``(cells: n_cells centroids, members: id, cell, unit vector)``.
-
-Query: the centroid list is a literal array (``n_cells`` x dim, a build parameter, so
-its size is fixed); each query row scores it with a native array expression and keeps
-its ``nprobe`` best cells, which are exploded and equi-joined to the members on
-``cell``.  Only probed cells are scored, and the per-query top-k is a
-``WindowGroupLimit`` before the final shuffle.  The query side of the cell join is
-broadcast after a size check.  With ``nprobe == n_cells`` the result is exact.
+"""Approximate dense search per repository with an inverted-file index (D3).
+
+Build: ``pyspark.ml`` KMeans over the unit vectors gives ``n_cells`` centroids, kept as a
+small table ``(cell, centroid)``; every vector is assigned to its nearest cell
+(``model.transform``, a narrow job).  The members ``(repo_id, cell, id, unit)`` are written
+once, partitioned by cell, so a probe reads its cells only.
+
+Query: each query picks its ``nprobe`` best cells; the (query, cell) pairs meet the members
+of the query's repository in an equi-join on ``(repo_id, cell)``.  The probes are broadcast
+if their size allows; beyond that both sides are salted, so a hot cell is spread over
+``SALTS`` tasks.  Only probed cells are scored, and the per-query top-k is a
+``WindowGroupLimit`` before the final shuffle.  With ``nprobe == n_cells`` the result is
+exact within the repository.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.vectors import dot, l2_normalise
-from codeloom.session import checked_broadcast
+from codeloom.operators.ranking import top_k
+from codeloom.session import checked_broadcast, materialize
+
+SALTS = 32
 
 
 @dataclass
 class IvfIndex:
-    centroids: list[list[float]]
-    members: DataFrame          # (id, cell, unit)
+    centroids: DataFrame        # (cell, centroid), n_cells rows
+    members: DataFrame          # (repo_id, cell, id, unit)
 
 
 def ivf_build(vectors: DataFrame, n_cells: int, id_col: str = "id", vec_col: str = "embedding",
-              seed: int = 42, max_iter: int = 20) -> IvfIndex:
+              repo_col: str | None = None, seed: int = 42, max_iter: int = 20) -> IvfIndex:
+    """Index of ``vectors``; without ``repo_col`` all vectors are of one repository, ``""``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    unit = vectors.select(F.col(id_col).alias("id"), l2_normalise(vec_col).alias("unit"))
+    repo = F.lit("") if repo_col is None else F.col(repo_col).cast("string")
+    unit = vectors.select(repo.alias("repo_id"), F.col(id_col).alias("id"), l2_normalise(vec_col).alias("unit"))
     feats = unit.withColumn("features", array_to_vector("unit"))
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell").fit(feats)
-    members = model.transform(feats).select("id", "cell", "unit")
-    return IvfIndex([list(map(float, c)) for c in model.clusterCenters()], members)
-
-
-def ivf_topk(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, qvec_col: str = "qvec") -> DataFrame:
-    """``(query_id, id, score, rank)``: approximate top ``k`` by cosine, ``rank`` 0-based."""
-    cents = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(x) for x in c]).alias("c"))
-                      for i, c in enumerate(index.centroids)])
-    q = queries.select("query_id", l2_normalise(qvec_col).alias("q"))
-    ranked_cells = F.slice(F.array_sort(F.transform(cents, lambda c: F.struct(
-        (-dot(F.col("q"), c["c"])).alias("d"), c["cell"].alias("cell")))), 1, nprobe)
-    probes = q.select("query_id", "q", F.explode(F.transform(ranked_cells, lambda x: x["cell"])).alias("cell"))
-    probes_b, _ = checked_broadcast(probes)
-    scored = index.members.join(probes_b, "cell").select(
-        "query_id", "id", F.round(dot("q", "unit"), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
-    return scored.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    cells = [(i, list(map(float, c))) for i, c in enumerate(model.clusterCenters())]   # n_cells, a build parameter
+    centroids = vectors.sparkSession.createDataFrame(cells, "cell int, centroid array<double>")
+    members = materialize(model.transform(feats).select("repo_id", "cell", "id", "unit"), "ivf-members", ["cell"])
+    return IvfIndex(centroids, members)
+
+
+def _probe(cells: np.ndarray, centroids: np.ndarray, nprobe: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q = batch.column("q").flatten().to_numpy().reshape(batch.num_rows, -1)
+            best = np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :nprobe]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1]))
+            rows = batch.take(at)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cells[best.ravel()], pa.int32())], [*batch.schema.names, "cell"])
+
+    return run
+
+
+def ivf_topk(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, qvec_col: str = "qvec",
+             repo_col: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """``(query_id, id, score, rank)``: approximate top ``k`` by cosine in the query's
+    repository, ``rank`` 0-based."""
+    repo = F.lit("") if repo_col is None else F.col(repo_col).cast("string")
+    rows = index.centroids.orderBy("cell").collect()
+    cells, centroids = np.array([r.cell for r in rows]), np.array([r.centroid for r in rows])
+    q = queries.select("query_id", repo.alias("repo_id"), l2_normalise(qvec_col).alias("q")).filter(F.col("q").isNotNull())
+    schema = q.withColumn("cell", F.lit(0)).schema
+    probes = materialize(q.mapInArrow(_probe(cells, centroids, nprobe), schema), "ivf-probes")
+    probes, small = checked_broadcast(probes, max_bytes)
+    members, on = index.members, ["repo_id", "cell"]
+    if not small:
+        members = members.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+        probes = probes.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = [*on, "_s"]
+    scored = members.join(probes, on).select("query_id", "id", F.round(dot("q", "unit"), 6).alias("score"))
+    return top_k(scored, k, F.col("score").desc(), F.col("id"))

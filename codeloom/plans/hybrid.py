@@ -13,7 +13,6 @@ re-run chunking, and lets many query batches share one index.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -25,7 +24,8 @@ from codeloom.operators.dense import cosine_topk
 from codeloom.operators.embed import QUERY_PREFIX, embed
 from codeloom.operators.expand import expand_queries
 from codeloom.operators.fuse import lookup, rrf_fuse
-from codeloom.session import checkpoint_dir
+from codeloom.functions.urls import valid_question
+from codeloom.session import materialize
 
 
 @dataclass
@@ -35,17 +35,6 @@ class Index:
     bm25: Bm25Index
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` under the shared checkpoint folder and read it back."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return spark.read.parquet(path)
-
-
 def build_index(chunks: DataFrame, make_model=None, materialize_tables: bool = False) -> Index:
     ch = chunks if "embed_text" in chunks.columns else chunks.withColumn("embed_text", embed_text())
     if materialize_tables:
@@ -77,7 +66,7 @@ def bm25_candidates(index: Index, expanded: DataFrame, k_over: int) -> DataFrame
 
 def fused_ids(index: Index, queries: DataFrame, k: int = 8, make_model=None,
               dense_method: str = "blocked") -> DataFrame:
-    ex = expand_queries(queries.filter(F.trim("question") != ""))
+    ex = materialize(expand_queries(queries.filter(valid_question("question"))), "questions")
     k_over = 3 * k          # min(3k, chunk count) is implied by the data
     return rrf_fuse(dense_candidates(index, ex, k_over, make_model, dense_method),
                     bm25_candidates(index, ex, k_over), k)
@@ -86,4 +75,5 @@ def fused_ids(index: Index, queries: DataFrame, k: int = 8, make_model=None,
 def hybrid_search(index: Index, queries: DataFrame, k: int = 8, make_model=None,
                   dense_method: str = "blocked") -> DataFrame:
     """Results table: fused hits with their chunk rows, ``rank`` 0-based."""
-    return lookup(index.chunks.drop("embed_text"), fused_ids(index, queries, k, make_model, dense_method))
+    hits = materialize(fused_ids(index, queries, k, make_model, dense_method), "hits")
+    return lookup(index.chunks.drop("embed_text"), hits)

@@ -5,14 +5,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-# Largest number of rows we broadcast without a further check.  Sides we hint
-# are query batches, query terms and per-repository statistics; above this bound
-# the caller's shuffle (or salted) strategy is used instead.
-DEFAULT_BROADCAST_ROWS = 200_000
+# Largest side, in bytes, that we broadcast.  Above it the caller's shuffle (or salted)
+# join is used instead.
+DEFAULT_BROADCAST_BYTES = 32 << 20
 
 
 def build_session(master: str | None = None, app: str = "codeloom",
@@ -41,10 +42,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the platform and only read here.  When it is unset
-    (local tests) a fresh scratch folder is created and registered.
+    under a local master (tests) a fresh scratch folder is created and registered; under
+    any other master a folder of the driver's disk would not be shared, so it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="codeloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -52,14 +56,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast-hint ``df`` only if it has at most ``max_rows`` rows.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
 
-    The check reads at most ``max_rows + 1`` rows.  Returns ``(df, hinted)`` so the
-    caller can choose its large-side strategy (salted or skew-aware shuffle join).
-    """
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
+
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once under the shared checkpoint folder and read it back."""
+    path = scratch(df.sparkSession, name)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Approximate size of a row: the bytes of its strings, binaries and arrays, 16 for
+    any other value and for the row itself."""
+    total = F.lit(16 * (1 + len(df.columns)))
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return total
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, bool]:
+    """Broadcast-hint ``df`` only if its rows have at most ``max_bytes`` bytes together.
+
+    The check is an aggregate over ``df``, which is therefore run twice: pass a written
+    table (``materialize``) or something as cheap.  Returns ``(df, hinted)``; an unhinted
+    side is joined by a shuffle (salted where the caller expects hot keys)."""
+    most = DEFAULT_BROADCAST_BYTES if max_bytes is None else max_bytes
+    size = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    if size <= most:
         return F.broadcast(df), True
     return df, False
 
@@ -72,6 +105,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin repartition when the input has fewer partitions than the cluster
     has task slots (a few large row groups feeding CPU-heavy per-row work).  A no-op
     for inputs that already span the cluster, so it never reshuffles a large scan."""
+    # Only the layout depends on the partition count; the rows are the same either way.
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.session import spread, table
+from codeloom.session import checked_broadcast, materialize, spread, table
 
 # Fixed values that must equal the reference: golden questions and expected symbols.
 GOLDEN_QA = [
@@ -259,35 +259,28 @@ def relevance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Exact and linear in the documents instead of a documents x items nested loop: for a
     passage of at least 5 space-separated words, its words 2-4 are whole words of any
     document containing it, so the document must have that word trigram.  Document
-    trigrams are equi-joined to the (size-checked, broadcast) item keys, and only the
-    candidate pairs are verified with ``contains``; the candidates are broadcast back to
-    the streaming documents when small.  Shorter passages use the nested loop."""
-    from codeloom.session import checked_broadcast
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("btext"),
-                                                 F.split("text", " ").alias("bt"))
-    long_b = b.filter(F.size("bt") >= 5).select("item_id", "btext",
-                                               F.array_join(F.slice("bt", 2, 3), " ").alias("key"))
-    short_b = b.filter(F.size("bt") < 5).select("item_id", "btext")
-    keys, small = checked_broadcast(long_b.select("item_id", "key"))
-    if not small:
-        raise ValueError("benchmark table larger than the broadcast bound")
+    trigrams are equi-joined to the item keys, and only the candidate pairs are verified
+    with ``contains``.  Shorter passages are found in the same way by their first three
+    characters.  Each small side is broadcast if its size allows, else both are shuffled."""
+    b = materialize(table(spark, sf_dir, "benchmark").select(
+        "item_id", F.col("text").alias("btext"), F.split("text", " ").alias("bt")), "items")
+    long_b = b.filter(F.size("bt") >= 5).select("item_id", "btext", F.array_join(F.slice("bt", 2, 3), " ").alias("key"))
+    short_b = b.filter(F.size("bt") < 5).select("item_id", "btext", F.substring("btext", 1, 3).alias("key"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = d.select("doc_id", F.split("text", " ").alias("_w"))
     n = F.size("_w")
-    grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(
+    words = d.select("doc_id", F.split("text", " ").alias("_w")).select("doc_id", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
         lambda i: F.array_join(F.slice(F.col("_w"), i + 1, 3), " ")))).alias("key"))
-    # Candidates are computed once (the size check and the join share the cached rows).
-    cand = grams.join(keys, "key").select("doc_id", "item_id").distinct().persist()
-    cand_b, _ = checked_broadcast(cand)
-    hits = (d.join(cand_b, "doc_id").join(F.broadcast(long_b.select("item_id", "btext")), "item_id")
+    chars = d.select("doc_id", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(3))))).alias("key"))
+    cand = words.join(checked_broadcast(long_b.select("item_id", "key"))[0], "key").select("doc_id", "item_id")
+    if not short_b.isEmpty():
+        cand = cand.unionByName(chars.join(checked_broadcast(short_b.select("item_id", "key"))[0], "key").select("doc_id", "item_id"))
+    # Written once: the size check and the join would each run the pass over all documents.
+    cand, _ = checked_broadcast(materialize(cand.distinct(), "relevance-candidates"))
+    texts, _ = checked_broadcast(b.select("item_id", "btext"))
+    hits = (d.join(cand, "doc_id").join(texts, "item_id")
             .filter(F.col("text").contains(F.col("btext"))).select("doc_id", "item_id"))
-    if short_b.limit(1).count() > 0:
-        short_b2, small2 = checked_broadcast(short_b)
-        if not small2:
-            raise ValueError("short benchmark items larger than the broadcast bound")
-        hits = hits.unionByName(
-            d.join(short_b2, F.col("text").contains(F.col("btext"))).select("doc_id", "item_id"))
     return (hits
             .select(F.col("item_id").alias("query_id"),
                     F.concat(F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("symbol")))
