@@ -6,7 +6,6 @@ Column names match the DuckDB twins in ``codeloom.plans.oracle``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +28,14 @@ from codeloom.operators.evaluate import hit_ranks, metrics
 from codeloom.operators.jobs import job_progress, pending_ingests
 from codeloom.operators.metadata import flat_metadata
 from codeloom.operators.ivf import ivf_build, ivf_topk
-from codeloom.session import checkpoint_dir, table
+from codeloom.session import scratch, table
 from codeloom.streaming.ingest import current_chunks, ingest_stream
-from codeloom.sources.files import MAX_FILE_BYTES
+from codeloom.sources.files import keep_source_files, scan_sources, write_files
 from codeloom.sources.fixtures import answers, fragments, part_paths, relevance_pairs, repo_urls
 from codeloom.sources.store import repo_info, upsert_chunks
 from codeloom.operators.chunk_js import chunk_files, chunk_javascript
 from codeloom.operators.chunk_python import chunk_python
-from codeloom.sources.fixtures import benchmark_queries, documents_as_files, js_sources, py_sources
+from codeloom.sources.fixtures import benchmark_queries, documents_as_files, documents_as_named_files, js_sources, py_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,13 +155,22 @@ def q_chunk_files(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- scan filters, URLs
+@register("scan_sources")
+def q_scan_sources(spark, sf_dir):
+    """Every document written out as a file, under names of all kinds, and scanned."""
+    root = f"{scratch(spark, 'scan')}/build/my.repo [1]"
+    write_files(documents_as_named_files(spark, sf_dir), root)
+    f = scan_sources(spark, root, repo_id="r")
+    return f.select("repo_id", "path", "length", "language", F.md5("source").alias("source_md5"))
+
+
 @register("language_detect")
 def q_language_detect(spark, sf_dir):
     p = part_paths(spark, sf_dir)
-    lang = language_of("path")
-    keep = ~in_skipped_dir("path") & (F.col("length") <= MAX_FILE_BYTES) & lang.isNotNull()
-    return p.select("p_partkey", "path", lang.alias("language"), in_skipped_dir("path").alias("skipped"),
-                    keep.alias("keep"))
+    kept = keep_source_files(p).select("p_partkey", F.lit(True).alias("keep"))
+    return p.join(kept, "p_partkey", "left").select(
+        "p_partkey", "path", language_of("path").alias("language"), in_skipped_dir("path").alias("skipped"),
+        F.coalesce("keep", F.lit(False)).alias("keep"))
 
 
 @register("url_functions")
@@ -346,7 +354,7 @@ def q_ivf_topk_nprobe4(spark, sf_dir):
 def _stream_files(spark, sf_dir):
     """Write the file rows derived from the tables as three arrivals in a fresh source
     folder under the shared checkpoint folder; returns the folder."""
-    src = f"{checkpoint_dir(spark).rstrip('/')}/codeloom/stream-src-{uuid.uuid4().hex}"
+    src = scratch(spark, "stream-src")
     cols = ["repo_id", "path", "source", "language"]
     for part in (py_sources(spark, sf_dir), js_sources(spark, sf_dir), documents_as_files(spark, sf_dir)):
         part.select(*cols).write.mode("append").parquet(src)

@@ -367,6 +367,19 @@ FROM pl"""
 
 ORACLE["language_detect"] = _oracle_paths()
 
+# The names are written out here once more, not taken from the code under test.
+ORACLE["scan_sources"] = """
+WITH f AS (
+  SELECT doc_id % 12 AS k, doc_id::VARCHAR AS i, text FROM documents),
+n AS (
+  SELECT CASE k WHEN 0 THEN 'src/main_' || i || '.py' WHEN 1 THEN 'src/pages/[id]_' || i || '.tsx' WHEN 2 THEN 'src/a b/' || i || '.js'
+                WHEN 3 THEN 'src/Upper_' || i || '.Py' WHEN 4 THEN 'src/__init__' || i || '.py' WHEN 5 THEN 'src/.hidden/' || i || '.JSX'
+                WHEN 6 THEN 'src/{a,b}*?_' || i || '.ts' WHEN 11 THEN 'src/x.y/z_' || i || '.c' END AS path,
+         CASE k WHEN 1 THEN 'typescript' WHEN 2 THEN 'javascript' WHEN 5 THEN 'javascript' WHEN 6 THEN 'typescript' WHEN 11 THEN 'c' ELSE 'python' END AS language,
+         text FROM f WHERE k IN (0, 1, 2, 3, 4, 5, 6, 11))
+SELECT 'r' AS repo_id, path, octet_length(encode(text))::BIGINT AS length, language, md5(text) AS source_md5
+FROM n WHERE octet_length(encode(text)) <= 500000"""
+
 REPO_URLS = """
 u AS (
   SELECT page_id,

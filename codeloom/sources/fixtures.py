@@ -78,6 +78,18 @@ def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+# File names that a scan must take, or skip, as they stand; # is the doc_id.
+SCAN_NAMES = ("src/main_#.py", "src/pages/[id]_#.tsx", "src/a b/#.js", "src/Upper_#.Py", "src/__init__#.py", "src/.hidden/#.JSX",
+              "src/{a,b}*?_#.ts", "src/node_modules/x/#.js", "build/#.go", "notes_#.txt", "src/no_suffix_#", "src/x.y/z_#.c")
+
+
+def documents_as_named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, source)``: every document under one of SCAN_NAMES, by doc_id."""
+    name = F.get(F.array(*[F.lit(n) for n in SCAN_NAMES]), F.pmod(F.col("doc_id"), F.lit(len(SCAN_NAMES))).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        F.replace(name, F.lit("#"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("source"))
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``queries(query_id, repo_id, question)`` from the ``benchmark`` table."""
     b = table(spark, sf_dir, "benchmark")

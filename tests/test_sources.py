@@ -21,8 +21,13 @@ def test_scan_sources(spark, tmp_path):
     (root / "pkg" / "big.py").write_bytes(b"#" * 500_001)                        # over the size limit
     (root / "pkg" / "ok.py").write_bytes(b"#" * 500_000)                         # exactly at the limit
     (root / "pkg" / "notes.txt").write_text("text\n")                            # unknown language
+    (root / "pkg" / "pages").mkdir()
+    (root / "pkg" / "pages" / "[id].tsx").write_text("x")
+    (root / "pkg" / "__init__.Py").write_text("")
+    (root / "pkg" / "a b*?{c,d}.jS").write_text("y")
     got = {r.path: (r.language, r.source) for r in scan_sources(spark, str(root), repo_id="r").collect()}
-    assert set(got) == {"pkg/a.py", "pkg/bad.js", "pkg/ok.py"}
+    assert set(got) == {"pkg/a.py", "pkg/bad.js", "pkg/ok.py", "pkg/pages/[id].tsx", "pkg/__init__.Py", "pkg/a b*?{c,d}.jS"}
+    assert got == {r.path: (r.language, r.source) for r in scan_sources(spark, f"file:{root}").collect()}
     assert got["pkg/bad.js"] == ("javascript", "const s = 'ok';\n")
 
 
