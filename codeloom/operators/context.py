@@ -14,8 +14,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from codeloom.functions.text import col_, strip_ws
 
-# Fixed values that must equal the reference: the system prompt and fixed replies.
-SYSTEM_PROMPT = """You are CodebaseGPT. Answer questions about a codebase using the provided code chunks.
+# Fixed values that must equal the reference (but for the assistant's name, a parameter):
+# the system prompt and fixed replies.
+SYSTEM_PROMPT = """You are ASSISTANT_NAME. Answer questions about a codebase using the provided code chunks.
 
 STRICT OUTPUT FORMAT — follow exactly:
 
@@ -41,6 +42,7 @@ MANDATORY RULES:
 - Every bullet has a [file:lines] citation
 - Backticks around all code: `functionName`, `file.js`
 """
+ASSISTANT = "a code assistant"
 NOT_INDEXED = "Repository not indexed yet — please wait for ingestion to finish."
 NOTHING_FOUND = "No relevant code found. Try asking about a specific function or file name."
 RULE = "=" * 60
@@ -94,8 +96,14 @@ def last_turns(conv: DataFrame, n: int = HISTORY_TURNS, key: str = "conv_id", or
     return conv.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
+def client_history(messages: DataFrame, welcome: Column, n: int = 6, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """What a client sends along: its messages without the welcome one, the last ``n``."""
+    return last_turns(messages.filter(~welcome), n, key, order)
+
+
 def build_prompts(queries: DataFrame, context: DataFrame, history: DataFrame | None = None,
-                  repo_sizes: DataFrame | None = None, provider: str = "groq") -> DataFrame:
+                  repo_sizes: DataFrame | None = None, provider: str = "groq",
+                  assistant: str = ASSISTANT) -> DataFrame:
     """``(query_id, reply, messages)`` (Q3, Q5).
 
     ``queries(query_id, repo_id, question)``, ``context(query_id, context)``,
@@ -103,6 +111,7 @@ def build_prompts(queries: DataFrame, context: DataFrame, history: DataFrame | N
     ``repo_sizes(repo_id, n_chunks)``.  ``reply`` is the fixed text when the repository
     is empty or nothing was retrieved; ``messages`` is null then.  Provider ``gemini``
     folds the system prompt into one user message and ignores history."""
+    system = SYSTEM_PROMPT.replace("ASSISTANT_NAME", assistant)
     q = queries.join(context, "query_id", "left")
     if repo_sizes is not None:
         q = q.join(repo_sizes, "repo_id", "left")
@@ -123,9 +132,9 @@ def build_prompts(queries: DataFrame, context: DataFrame, history: DataFrame | N
                           F.array().cast(msg_type))
     if provider == "gemini":
         msgs = F.array(F.struct(F.lit("user").alias("role"),
-                                F.concat(F.lit(SYSTEM_PROMPT + "\n\n"), user).alias("content")))
+                                F.concat(F.lit(system + "\n\n"), user).alias("content")))
     else:
-        msgs = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT).alias("content"))),
+        msgs = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))),
                         hist, F.array(F.struct(F.lit("user").alias("role"), user.alias("content"))))
     empty = F.coalesce(F.col("n_chunks"), F.lit(0)) == 0
     reply = F.when(empty, F.lit(NOT_INDEXED)).when(F.col("context").isNull(), F.lit(NOTHING_FOUND))
@@ -155,11 +164,17 @@ def parse_sources(answers: DataFrame, text_col: str = "text", key: str = "query_
             .select(key, "pos", "s.file", "s.start", "s.end", "s.name", "s.type", "s.method"))
 
 
+def _without_first(text: Column) -> Column:
+    """The text without its first sources payload."""
+    return F.array_join(F.split(text, SOURCES_RE, 2), "")
+
+
 def reassemble(fragments: DataFrame) -> DataFrame:
     """``(msg_id, text, sources_json)`` from streamed ``(msg_id, seq, data)`` fragments.
 
-    Fragments fold in ``seq`` order: a sources fragment is not appended but trims the
-    text so far and supplies the citations; an ``[ERROR]`` fragment appends a warning
+    Fragments fold in ``seq`` order: a sources fragment is not appended but takes the first
+    payload out of the text so far, trims it, and supplies the citations if its payload is
+    JSON (else the earlier ones stay); an ``[ERROR]`` fragment appends a warning
     line; any other fragment appends its text with ``\\n`` escapes undone."""
     g = fragments.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("_f"))
     init = F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("src"))
@@ -167,13 +182,14 @@ def reassemble(fragments: DataFrame) -> DataFrame:
     def step(acc, f):
         d = f["data"]
         is_src = d.rlike(SOURCES_RE)
-        text = (F.when(is_src, strip_ws(F.regexp_replace(acc["text"], SOURCES_RE, "")))
+        payload = F.regexp_extract(d, SOURCES_RE, 1)
+        text = (F.when(is_src, strip_ws(_without_first(acc["text"])))
                 .when(d.contains("[ERROR]"), F.concat(acc["text"], F.lit("\n⚠️ "),
                                                      F.regexp_replace(d, r"\[ERROR\]|\[/ERROR\]", "")))
                 .otherwise(F.concat(acc["text"], F.replace(d, F.lit("\\n"), F.lit("\n")))))
-        src = F.when(is_src, F.regexp_extract(d, SOURCES_RE, 1)).otherwise(acc["src"])
+        src = F.when(is_src & F.get_json_object(payload, "$").isNotNull(), payload).otherwise(acc["src"])
         return F.struct(text.alias("text"), src.alias("src"))
 
     r = F.aggregate("_f", init, step)
-    text = strip_ws(F.regexp_replace(r["text"], SOURCES_RE, ""))
+    text = strip_ws(_without_first(r["text"]))
     return g.select("msg_id", text.alias("text"), r["src"].alias("sources_json"))

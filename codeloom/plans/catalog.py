@@ -23,7 +23,7 @@ from codeloom.functions.markup import citations, code_blocks
 from codeloom.functions.text import display_location, in_skipped_dir, language_of, strip_ws
 from codeloom.functions.urls import clone_url, is_rate_limit, job_id, repo_id, repo_name, valid_question, valid_repo_url
 from codeloom.operators.answers import normalise_answers
-from codeloom.operators.context import build_context, build_prompts, last_turns, parse_sources, reassemble, to_sources
+from codeloom.operators.context import build_context, build_prompts, client_history, last_turns, parse_sources, reassemble, to_sources
 from codeloom.operators.evaluate import hit_ranks, metrics
 from codeloom.operators.jobs import job_progress, pending_ingests
 from codeloom.operators.metadata import flat_metadata
@@ -35,7 +35,7 @@ from codeloom.sources.fixtures import answers, fragments, part_paths, relevance_
 from codeloom.sources.store import repo_info, upsert_chunks
 from codeloom.operators.chunk_js import chunk_files, chunk_javascript
 from codeloom.operators.chunk_python import chunk_python
-from codeloom.sources.fixtures import benchmark_queries, documents_as_files, documents_as_named_files, js_sources, py_sources
+from codeloom.sources.fixtures import answerable_queries, benchmark_queries, documents_as_files, documents_as_named_files, js_sources, py_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -183,7 +183,10 @@ def q_url_functions(spark, sf_dir):
 
 @register("question_checks")
 def q_question_checks(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
+    t = F.col("text")
+    texts = F.array(t, F.lit("  \t\n"), F.lit("HTTP 429 Too Many"), F.concat(t, F.lit(" RESOURCE_EXHAUSTED")),
+                    F.concat(F.substring(t, 1, 9), F.lit("\u00a0Rate_Limit")))
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.get(texts, F.pmod("conv_id", F.lit(5)).cast("int")))
     return c.select("conv_id", "turn", valid_question("text").alias("valid_question"),
                     is_rate_limit("text").alias("rate_limited"))
 
@@ -216,9 +219,9 @@ def q_upsert_last_wins(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- context, prompts, citations
-def _results(spark, sf_dir, k):
+def _results(spark, sf_dir, k, queries=benchmark_queries):
     idx = build_index(doc_chunks(spark, sf_dir), materialize_tables=True)
-    return hybrid_search(idx, benchmark_queries(spark, sf_dir), k=k)
+    return hybrid_search(idx, queries(spark, sf_dir), k=k)
 
 
 @register("build_context")
@@ -231,18 +234,41 @@ def q_history_last4(spark, sf_dir):
     return last_turns(table(spark, sf_dir, "conversations"), 4).select("conv_id", "turn", "role", "text")
 
 
-@register("build_prompts")
-def q_build_prompts(spark, sf_dir):
-    res = _results(spark, sf_dir, 6)
+@register("client_history")
+def q_client_history(spark, sf_dir):
+    return client_history(table(spark, sf_dir, "conversations"), (F.col("turn") == 0) & (F.col("role") == "assistant")) \
+        .select("conv_id", "turn", "role", "text")
+
+
+def _prompt_queries(spark, sf_dir):
+    """The benchmark questions, one for a repository that is not there, and a blank one."""
+    more = table(spark, sf_dir, "documents").agg(F.min("source").alias("s")).select(F.inline(F.array(
+        F.struct(F.lit(-1).cast("long").alias("query_id"), F.lit("no such repository").alias("repo_id"), F.lit("where").alias("question")),
+        F.struct(F.lit(-2).cast("long").alias("query_id"), F.col("s").alias("repo_id"), F.lit("  ").alias("question")))))
+    return benchmark_queries(spark, sf_dir).unionByName(more)
+
+
+def _prompts(spark, sf_dir, provider):
+    res = _results(spark, sf_dir, 6, _prompt_queries)
     hist = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("query_id"), "turn", "role", F.col("text").alias("content"))
     sizes = repo_info(doc_chunks(spark, sf_dir)).select("repo_id", F.col("total_chunks").alias("n_chunks"))
-    p = build_prompts(benchmark_queries(spark, sf_dir), build_context(res), hist, sizes)
+    p = build_prompts(_prompt_queries(spark, sf_dir), build_context(res), hist, sizes, provider)
     # One row per message (flat columns); a fixed reply gives one row with null msg_pos.
     return p.select("query_id", "reply", F.posexplode_outer("messages").alias("msg_pos", "m")) \
         .select("query_id", "reply", "msg_pos", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
+@register("build_prompts")
+def q_build_prompts(spark, sf_dir):
+    return _prompts(spark, sf_dir, "groq")
+
+
+@register("build_prompts_single")
+def q_build_prompts_single(spark, sf_dir):
+    return _prompts(spark, sf_dir, "gemini")
+
+
 @register("to_sources")
 def q_to_sources(spark, sf_dir):
     return to_sources(_results(spark, sf_dir, 6)).select("query_id", "sources_json")
@@ -272,7 +298,7 @@ def q_extract_code(spark, sf_dir):
 
 # ---------------------------------------------------------------- evaluation, jobs
 def _eval_sources(spark, sf_dir):
-    r = _results(spark, sf_dir, 8)
+    r = _results(spark, sf_dir, 8, answerable_queries)
     return r.select("query_id", F.col("rank").alias("pos"), F.col("file_path").alias("file"), "name")
 
 

@@ -59,8 +59,17 @@ idf AS (
 
 BENCH_QUERIES = """
 bq AS (
-  SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS repo_id, text AS question
-  FROM benchmark)"""
+  SELECT item_id AS query_id, repos[item_id % len(repos) + 1] AS repo_id,
+         text || CASE WHEN item_id % 3 = 0 THEN ' ' || (['login', 'auth', 'database', 'error', 'route', 'middleware',
+           'config', 'test', 'websocket', 'cache', 'password', 'upload'])[(item_id // 3) % 12 + 1] ELSE '' END AS question
+  FROM benchmark, (SELECT list(DISTINCT source ORDER BY source) AS repos FROM documents WHERE source IS NOT NULL))"""
+
+# Three in four questions asked where a document contains the item, if there is one.
+ANSWERABLE = BENCH_QUERIES.replace("bq AS", "bq0 AS") + """,
+bq AS (
+  SELECT query_id, coalesce(CASE WHEN query_id % 4 <> 3 THEN
+           (SELECT min(d.source) FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.item_id = query_id) END, repo_id) AS repo_id,
+         question FROM bq0)"""
 
 
 def bm25_ranked(queries_cte: str, text: str, k: int) -> str:
@@ -417,9 +426,13 @@ SELECT page_id, url, {_repo_id('url')} AS repo_id, substr(md5(url), 1, 12) AS jo
 FROM n"""
 
 ORACLE["question_checks"] = """
-SELECT conv_id, turn, trim(text) <> '' AS valid_question,
+WITH m AS (
+  SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN text WHEN 1 THEN '  ' || chr(9) || chr(10)
+    WHEN 2 THEN 'HTTP 429 Too Many' WHEN 3 THEN text || ' RESOURCE_EXHAUSTED' ELSE left(text, 9) || chr(160) || 'Rate_Limit' END AS text
+  FROM conversations)
+SELECT conv_id, turn, regexp_matches(text, '[^ \t\n\r\x0B\x0C\x1C-\x1F\x85\xA0]') AS valid_question,
        regexp_matches(lower(text), '429|quota|rate_limit|resource_exhausted') AS rate_limited
-FROM conversations"""
+FROM m"""
 
 # ---------------------------------------------------------------- chunk projections, store
 PY_CHUNKS_K = f"""{PY_FILES}, {PY_CHUNKS},
@@ -495,7 +508,7 @@ QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4"""
 
 def _build_prompts() -> str:
     from codeloom.operators.context import NOT_INDEXED, NOTHING_FOUND, SYSTEM_PROMPT
-    sp = SYSTEM_PROMPT.replace("'", "''")
+    sp = SYSTEM_PROMPT.replace("ASSISTANT_NAME", "a code assistant").replace("'", "''")
     msg = "STRUCT(role VARCHAR, content VARCHAR)"
     return f"""
 WITH {results_sql(6)}, {CONTEXT},
@@ -511,7 +524,8 @@ pr AS (
          list_concat([{{'role': 'system', 'content': '{sp}'}}::{msg}], coalesce(h.h, []::{msg}[]),
                      [{{'role': 'user', 'content': 'CODEBASE CONTEXT:' || {NL} || {NL} || c.context || {NL} || {NL}
                         || repeat('=', 60) || {NL} || {NL} || 'QUESTION: ' || q.question}}::{msg}]) AS msgs
-  FROM bq q LEFT JOIN ctx c USING (query_id) LEFT JOIN sizes s USING (repo_id) LEFT JOIN hist h USING (query_id))
+  FROM (FROM bq UNION ALL SELECT -1, 'no such repository', 'where' UNION ALL SELECT -2, (SELECT min(source) FROM documents), '  ') q
+  LEFT JOIN ctx c USING (query_id) LEFT JOIN sizes s USING (repo_id) LEFT JOIN hist h USING (query_id))
 SELECT query_id, reply, CAST(i AS INTEGER) AS msg_pos, msgs[i + 1].role AS role, msgs[i + 1].content AS content
 FROM pr, range(len(msgs)) t(i) WHERE reply IS NULL
 UNION ALL
@@ -519,6 +533,15 @@ SELECT query_id, reply, NULL, NULL, NULL FROM pr WHERE reply IS NOT NULL"""
 
 
 ORACLE["build_prompts"] = _build_prompts()
+# The single-message form: no history, the system prompt ahead of the user's text.
+ORACLE["build_prompts_single"] = _build_prompts().replace(
+    "list_concat([{'role': 'system', 'content': '", "list_concat([]::STRUCT(role VARCHAR, content VARCHAR)[], [{'role': 'user', 'content': '").replace(
+    "'}::STRUCT(role VARCHAR, content VARCHAR)], coalesce(h.h, []::STRUCT(role VARCHAR, content VARCHAR)[]),", "' || {NL} || {NL} ||".replace("{NL}", NL)).replace(
+    "[{'role': 'user', 'content': 'CODEBASE CONTEXT:'", "'CODEBASE CONTEXT:'")
+
+ORACLE["client_history"] = """
+SELECT conv_id, turn, role, text FROM conversations WHERE NOT (turn = 0 AND role = 'assistant')
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6"""
 
 ORACLE["to_sources"] = f"""
 WITH {results_sql(6)}
@@ -608,7 +631,7 @@ FROM b, range(len(langs)) t(i)"""
 
 
 # ---------------------------------------------------------------- evaluation, jobs
-EVAL = f"""{results_sql(8)},
+EVAL = f"""{results_sql(8).replace(BENCH_QUERIES, ANSWERABLE)},
 rel AS (SELECT b.item_id AS query_id, '/doc_' || CAST(d.doc_id AS VARCHAR) || '.txt' AS symbol
         FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
 srcs AS (SELECT query_id, rank AS pos, file_path AS file, name FROM res),

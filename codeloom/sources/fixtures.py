@@ -49,10 +49,6 @@ SYNONYMS = [
     ("upload", ["file", "multipart", "storage", "s3", "blob"]),
 ]
 
-# Number of repositories (``documents.source`` values) the benchmark queries are
-# spread over: query ``item_id`` asks repository ``src{item_id mod N_REPOS}``.
-N_REPOS = 20
-
 
 def golden_df(spark: SparkSession) -> DataFrame:
     rows = [(i + 1, q, syms) for i, (q, syms) in enumerate(GOLDEN_QA)]
@@ -91,15 +87,30 @@ def documents_as_named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``queries(query_id, repo_id, question)`` from the ``benchmark`` table."""
-    b = table(spark, sf_dir, "benchmark")
+    """``queries(query_id, repo_id, question)`` from the ``benchmark`` table: item i asks the
+    i-th repository (modulo their number), in order of name.  Every third question ends in
+    a keyword of the synonym dictionary, each keyword in turn."""
+    repos = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("source is not null")
+    repos = repos.agg(F.array_sort(F.collect_list("source")).alias("repos"))   # one row, a name per repository
+    b = table(spark, sf_dir, "benchmark").join(F.broadcast(repos), F.lit(True))
+    keyword = F.get(F.array(*[F.lit(kw) for kw, _ in SYNONYMS]), F.pmod(F.floor(F.col("item_id") / 3), F.lit(len(SYNONYMS))).cast("int"))
     return b.select(
         F.col("item_id").alias("query_id"),
-        F.concat(F.lit("src"), F.pmod(F.col("item_id"), F.lit(N_REPOS)).cast("string")).alias("repo_id"),
-        F.col("text").alias("question"),
+        F.get("repos", F.pmod(F.col("item_id"), F.size("repos")).cast("int")).alias("repo_id"),
+        F.when(F.pmod("item_id", F.lit(3)) == 0, F.concat("text", F.lit(" "), keyword)).otherwise(F.col("text")).alias("question"),
     )
 
 
+def answerable_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``benchmark_queries`` with three in four questions asked in a repository (the first by
+    name) of a document that contains the item, where there is one."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("symbol"), "source")
+    truth = materialize(relevance_pairs(spark, sf_dir).join(docs, "symbol").groupBy("query_id").agg(F.min("source").alias("truth")), "truth")
+    asked = F.when(F.pmod("query_id", F.lit(4)) != 3, F.col("truth"))
+    return benchmark_queries(spark, sf_dir).join(truth, "query_id", "left").select(
+        "query_id", F.coalesce(asked, "repo_id").alias("repo_id"), "question")
+
+
 # Derived code files.  Suppliers are grouped into files by nation and by blocks of
 # SUPPLIERS_PER_FILE consecutive keys, so a file holds at most that many functions
 # (bounded row size, bounded collect_list) however large the tables grow.
