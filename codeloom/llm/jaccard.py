@@ -18,12 +18,13 @@ Equal sets are one class, known by a 64-bit key; all that follows is between cla
    become postings (fingerprint, class, size, place).  Classes whose prefix is all their own
    make none.  Hot shingles' postings come from a scan of their own, which is made only if
    there are any.
-4. Pairs.  First each posting list is joined with its least class only, so a group of copies
+4. Pairs.  First each posting list is joined with one of its classes only, so a group of copies
    makes as many pairs as it has members.  Verified links are contracted to components; lists
-   that lie in one component can add nothing and are dropped.  In the others all pairs across
-   components are taken, by a join on the fingerprint in which a long list is spread over many
-   keys.  Length, positional and suffix filters hold inside the join: the suffix filter bounds the
-   overlap by the sum over 16 parts of the shared shingles of the smaller of the two counts.
+   that lie in one component can add nothing and are dropped.  After STARS such rounds, in the
+   other lists all pairs across components are taken, by a join on the fingerprint in which a long list is spread over many
+   keys.  Length, positional and suffix filters hold inside the join.  The suffix filter bounds
+   the sets' symmetric difference from below: shingles fall into 64 * SIGN parts by hash, and
+   every part whose counts differ in parity holds at least one.
 5. Verification.  Each candidate pair is checked once, on the full 64-bit sets.
 
 Fingerprints only choose candidates: shingles that collide are ordered together, so no pair is
@@ -52,7 +53,9 @@ from .components import components
 HOT_SHARE = 1024       # a shingle is hot from 1 / HOT_SHARE of the rows on
 RANGE_ENTRIES = 2 << 20
 BLOB_BYTES = 8 << 20   # text bytes behind one round of compact rows
-PARTS = 16             # parts of the suffix filter
+SIGN = 4               # 64-bit words of a set's signature in the suffix filter
+SIGNS = [f"s{j}" for j in range(SIGN)]
+STARS = 2              # rounds of pairs with one class of each list
 LIST_BLOCK = 1024      # postings of a list that a join key holds in the last join
 FP = np.uint64(24)     # a fingerprint is the upper 40 bits of a hash
 
@@ -78,6 +81,19 @@ def set_keys(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return np.where(n > 0, key, np.uint64(0))
 
 
+def signatures(h: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
+    """SIGN words of bits for each set: bit i is the parity of its shingles in part i."""
+    full = np.flatnonzero(np.diff(edge))
+    out = [np.zeros(len(edge) - 1, np.uint64) for _ in range(SIGN)]
+    if len(full):
+        part = mix(h ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)
+        bit = np.uint64(1) << (part & np.uint64(63))
+        word = (part >> np.uint64(6)) % np.uint64(SIGN)
+        for j in range(SIGN):
+            out[j][full] = np.bitwise_xor.reduceat(np.where(word == j, bit, np.uint64(0)), edge[full])
+    return [x.view(np.int64) for x in out]
+
+
 def big_slices(col: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``sets_of`` joined to slices of about BLOB_BYTES text bytes."""
     held, size = [], 0
@@ -112,7 +128,7 @@ def classes_of(h: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _scan_keys(k: int):
     """kind 0: (doc_id, text hash, key, size) of a row; kind 1: (fingerprint, classes) common in a batch."""
-    names = ["kind", "a", "b", "c", "d"]
+    names = ["kind", "a", "b", "c", "d", *SIGNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,13 +137,14 @@ def _scan_keys(k: int):
                 key = set_keys(h, edge).view(np.int64)
                 rows = b - a
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(rows, np.int32)), doc.slice(a, rows), th.slice(a, rows), pa.array(key), pa.array(np.diff(edge))], names)
+                    [pa.array(np.zeros(rows, np.int32)), doc.slice(a, rows), th.slice(a, rows), pa.array(key), pa.array(np.diff(edge)),
+                     *map(pa.array, signatures(h, edge))], names)
                 _, found, entry, _ = classes_of(h, edge)
                 fp, n = np.unique(h[entry] >> FP, return_counts=True)
                 many = n >= max(2, 4 + len(found) // HOT_SHARE)
                 fp, n = fp[many].astype(np.int64), n[many]
                 none = pa.nulls(len(fp), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(fp), np.int32)), pa.array(fp), pa.array(n), none, none], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(fp), np.int32)), pa.array(fp), pa.array(n), *[none] * (2 + SIGN)], names)
 
     return run
 
@@ -212,7 +229,8 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-POSTING = "fp bigint, key bigint, n int, place int, parts binary"
+POSTING = "fp bigint, key bigint, n int, place int"
+COLUMNS = ["fp", "key", "n", "place", *SIGNS]
 
 
 def _prefixes(percent: int):
@@ -230,16 +248,12 @@ def _prefixes(percent: int):
         key, n, n_hot, fp = key[order], n[order].astype(np.int64), n_hot[order].astype(np.int64), fp[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         many = np.diff(np.append(first, len(key)))
-        at = np.repeat(np.arange(len(first)), many)
         # Places before: shingles that no other class has.
-        place = n - n_hot - many[at] + np.arange(len(key)) - first[at]
-        counts = np.bincount(at * PARTS + (mix(fp) % np.uint64(PARTS)).astype(np.int64), minlength=len(first) * PARTS)
-        counts = counts.reshape(-1, PARTS).astype("<u4")
+        place = n - n_hot - np.repeat(many, many) + np.arange(len(key)) - np.repeat(first, many)
         keep = np.flatnonzero(place < prefix_length(n, percent))
-        signs = [counts[i].tobytes() + int(n_hot[first[i]]).to_bytes(4, "little") for i in range(len(first))]
         return pa.Table.from_arrays(
             [pa.array(fp[keep].astype(np.int64)), pa.array(key[keep].view(np.int64)), pa.array(n[keep].astype(np.int32)),
-             pa.array(place[keep].astype(np.int32)), pa.array([signs[i] for i in at[keep]], pa.binary())], ["fp", "key", "n", "place", "parts"])
+             pa.array(place[keep].astype(np.int32))], ["fp", "key", "n", "place"])
 
     return run
 
@@ -261,7 +275,7 @@ def _hot_postings(k: int, percent: int, hot):
                 c, f, place = c[keep], fp[warm][keep], place[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(f.astype(np.int64)), pa.array(keys[c].view(np.int64)), pa.array(n[c].astype(np.int32)),
-                     pa.array(place.astype(np.int32)), pa.nulls(len(c), pa.binary())], ["fp", "key", "n", "place", "parts"])
+                     pa.array(place.astype(np.int32))], ["fp", "key", "n", "place"])
 
     return run
 
@@ -280,37 +294,17 @@ def _full_sets(k: int):
 # -------------------------------------------------------------------------------- join
 
 def _passes(percent: int):
-    """Length and positional filter of two postings of a list, x and y."""
+    """Length, positional and suffix filter of two postings of a list, x and y."""
     nx, ny, px, py = F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place")
     least = F.ceil(percent * (nx + ny) / F.lit(100 + percent))
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - px, ny - py) >= least)
-
-
-def _suffix_filter(percent: int):
-    """Drops pairs whose shared shingles can't overlap enough, by their counts in PARTS parts.
-    Postings of hot shingles have no counts and pass."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            ok = np.ones(batch.num_rows, bool)
-            for c in ("px", "py"):
-                col = batch.column(c)
-                ok &= ~np.asarray(col.is_null())
-                sides.append(np.frombuffer(b"".join(x or bytes(4 * PARTS + 4) for x in col.to_pylist()), "<u4").reshape(-1, PARTS + 1).astype(np.int64))
-            bound = np.minimum(*sides).sum(1)
-            n = batch.column("nx").to_numpy().astype(np.int64) + batch.column("ny").to_numpy()
-            keep = ~ok | (bound >= -(-percent * n // (100 + percent)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    return run
+    apart = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in SIGNS), F.lit(0))
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - px, ny - py) >= least) & (apart <= nx + ny - 2 * least)
 
 
 def _pairs(joined: DataFrame, percent: int) -> DataFrame:
     """Distinct candidate pairs (a, b) of a join of postings x and y."""
-    got = joined.where(_passes(percent)).select(
-        F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"),
-        F.col("x.parts").alias("px"), F.col("y.parts").alias("py"))
-    return got.mapInArrow(_suffix_filter(percent), "a bigint, b bigint").dropDuplicates()
+    return joined.where(_passes(percent)).select(
+        F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).dropDuplicates()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -327,7 +321,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percen
             .where((100 + percent) * F.col("i") >= percent * F.col("s")).select("a", "b"))
 
 
-def _postings(docs: DataFrame, k: int, percent: int, n_rows: int, entries: int, common: DataFrame) -> DataFrame:
+def _postings(docs: DataFrame, k: int, percent: int, n_rows: int, entries: int, common: DataFrame, rows: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("text")
     hot_rows = common.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(max(32, n_rows // HOT_SHARE)))
@@ -340,41 +334,51 @@ def _postings(docs: DataFrame, k: int, percent: int, n_rows: int, entries: int,
              .groupBy("b").applyInArrow(_prefixes(percent), POSTING))
     if len(hot):
         of_hot = texts.mapInArrow(_hot_postings(k, percent, shared_hot), POSTING)
-        found = found.unionByName(of_hot.groupBy("fp", "key").agg(*[F.first(c).alias(c) for c in ("n", "place", "parts")]))
-    return written(found, "postings")
+        found = found.unionByName(of_hot.groupBy("fp", "key").agg(*[F.first(c).alias(c) for c in ("n", "place")]))
+    signs = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in SIGNS])
+    return written(found.join(signs, "key").select(*COLUMNS), "postings")
 
 
 def linked(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, th, n, component) of each row of ``documents(doc_id, text)``: th is the hash of
     the text, n the size of its set, and equal components are linked; null for empty sets."""
     docs = need(documents, doc_id="bigint", text="string").withColumn("th", F.xxhash64("text"))
-    scan = written(docs.mapInArrow(_scan_keys(k), "kind int, a bigint, b bigint, c bigint, d bigint"), "keys")
-    rows = scan.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("th"), F.col("c").alias("key"), F.col("d").alias("n"))
+    scan = written(docs.mapInArrow(_scan_keys(k), "kind int, a bigint, b bigint, c bigint, d bigint" + "".join(f", {c} bigint" for c in SIGNS)), "keys")
+    rows = scan.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("th"), F.col("c").alias("key"), F.col("d").alias("n"), *SIGNS)
     n_rows, entries = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     common = scan.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("n"))
-    postings = _postings(docs, k, percent, n_rows, entries, common)
-
-    # Every list with its least class.
-    lists = postings.groupBy("fp").agg(F.count(F.lit(1)).alias("long"), F.min_by(F.struct("fp", "key", "n", "place", "parts"), "key").alias("y"))
-    star = postings.alias("p").join(lists.where("long > 1"), "fp").where("key <> y.key").select(
-        F.struct("fp", "key", "n", "place", "parts").alias("x"), "y")
-    pairs = written(_pairs(star, percent), "pairs")
-    links = written(_verified(pairs, docs, rows, k, percent), "links")
-    of = components(links)
+    postings = _postings(docs, k, percent, n_rows, entries, common, rows)
+
+    # Every list with one of its classes, its pivot: the one with the fewest rarer shingles, so
+    # the least changed of a group of copies.  Then mixed lists again, with a pivot of another
+    # component than the first one's.
+    side = F.struct(*COLUMNS, "component")
+    best = F.min_by(side, F.struct("place", "key"))
+    known, seen, links, of = postings.withColumn("component", F.col("key")), None, None, None
+    for _ in range(STARS):
+        lists = known.groupBy("fp").agg(best.alias("y"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
+        if seen is not None:
+            others = known.join(lists.select("fp", F.col("y.component").alias("first")), "fp").where("component <> first")
+            lists = others.groupBy("fp").agg(best.alias("y"))
+        star = known.select("fp", side.alias("x")).join(lists, "fp").where("x.component <> y.component")
+        pairs = _pairs(star, percent)
+        pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        found = written(_verified(pairs, docs, rows, k, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        of = components(links).select(F.col("node").alias("key"), "component")
+        known = postings.join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
 
     # Lists that still lie in several components, in all pairs across them.
-    known = postings.join(of.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = known.groupBy("fp").agg(F.count(F.lit(1)).alias("long"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     left = known.join(mixed.select("fp", F.ceil(F.col("long") / LIST_BLOCK).cast("int").alias("spread")), "fp")
-    side = F.struct("key", "n", "place", "parts", "component")
     x = left.select("fp", F.pmod(F.xxhash64("key"), F.col("spread")).cast("int").alias("s"), side.alias("x"))
     y = left.select("fp", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("s"), side.alias("y"))
-    across = x.join(y, ["fp", "s"]).where((F.col("x.component") < F.col("y.component")) & (F.col("x.key") != F.col("y.key")))
-    more = written(_pairs(across, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    across = x.join(y, ["fp", "s"]).where(F.col("x.component") < F.col("y.component"))
+    more = written(_pairs(across, percent).join(seen, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         extra = written(_verified(more, docs, rows, k, percent), "links")
-        of = components(links.unionByName(extra))
-    of = of.select(F.col("node").alias("key"), "component")
+        of = components(links.unionByName(extra)).select(F.col("node").alias("key"), "component")
     return rows.join(of, "key", "left").select(
         "doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("component", "key")).alias("component"))
 
