@@ -8,11 +8,10 @@ Index build (per repository, one pass over the chunk texts):
 * ``idf(repo_id, tok, df, idf)``: ``ln(n-df+0.5) - ln(df+0.5)``; negative values are
   replaced by ``eps * mean(idf)`` over the repository's vocabulary.
 
-The per-repository statistics (one row per repository) are joined without a hint:
-AQE measures them after their aggregation stage and broadcasts them when under
-``spark.sql.adaptive.autoBroadcastJoinThreshold``; with very many repositories the
-join stays a sort-merge join whose hot repository partitions AQE's skew handling
-splits.  Counting them up front would cost an extra pass over the corpus.
+The term counts are written once, so the text is tokenised once whatever is asked.  The
+per-repository statistics (one row per repository) are written, then broadcast if their
+size allows; with very many repositories the join is a sort-merge join whose hot
+partitions AQE's skew handling splits.
 
 Query time: query terms (small) join idf, then postings; contributions are summed per
 (query, chunk) and ranked with a per-query window whose top-k limit Spark applies
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import tokens
 from codeloom.operators.ranking import top_k
-from codeloom.session import checked_broadcast
+from codeloom.session import checked_broadcast, materialize
 
 K1, B, EPS = 1.5, 0.75, 0.25
 
@@ -77,10 +76,11 @@ def build_bm25(chunks: DataFrame, text_col: str = "embed_text", k1: float = K1,
                eps: float = EPS, counted: DataFrame | None = None) -> Bm25Index:
     """BM25 tables for ``chunks``; ``counted`` (from ``with_term_counts``, e.g. written
     once to storage) replaces the tokenisation pass when given."""
-    counted = counted if counted is not None else with_term_counts(chunks, text_col)
+    counted = counted if counted is not None else materialize(with_term_counts(chunks, text_col), "term-counts")
     tf = exploded_counts(counted)
     doc_len = counted.select("repo_id", "chunk_id", "dl")
-    stats = doc_len.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    stats = materialize(doc_len.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "repo-stats")
+    stats, _ = checked_broadcast(stats)
     df = tf.groupBy("repo_id", "tok").agg(F.count(F.lit(1)).alias("df"))
     raw = (df.join(stats, "repo_id")
            .select("repo_id", "tok", "df",

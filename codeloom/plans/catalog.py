@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import embed_text
-from codeloom.operators.bm25 import build_bm25, bm25_topk
+from codeloom.operators.bm25 import build_bm25, bm25_topk, term_freq
 from codeloom.operators.chunk_lines import chunk_lines
 from codeloom.functions.vectors import l2_normalise
 from codeloom.operators.dense import cosine_topk
@@ -29,7 +29,7 @@ from codeloom.operators.jobs import job_progress, pending_ingests
 from codeloom.operators.metadata import flat_metadata
 from codeloom.operators.ivf import ivf_build, ivf_topk
 from codeloom.session import scratch, table
-from codeloom.streaming.ingest import current_chunks, ingest_stream
+from codeloom.streaming.ingest import current_chunks, ingest_stream, repo_progress
 from codeloom.sources.files import keep_source_files, scan_sources, write_files
 from codeloom.sources.fixtures import answers, fragments, part_paths, relevance_pairs, repo_urls
 from codeloom.sources.store import repo_info, upsert_chunks
@@ -62,9 +62,7 @@ def q_line_blocks(spark, sf_dir):
 
 @register("term_freq")
 def q_term_freq(spark, sf_dir):
-    idx = build_bm25(doc_chunks(spark, sf_dir))
-    return idx.postings.join(idx.doc_len, ["repo_id", "chunk_id"]) \
-        .select("repo_id", "chunk_id", "tok", "tf", "dl")
+    return term_freq(doc_chunks(spark, sf_dir)).select("repo_id", "chunk_id", "tok", "tf", "dl")
 
 
 @register("doc_stats")
@@ -377,30 +375,34 @@ def q_ivf_topk_nprobe4(spark, sf_dir):
         .select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
-def _stream_files(spark, sf_dir):
-    """Write the file rows derived from the tables as three arrivals in a fresh source
-    folder under the shared checkpoint folder; returns the folder."""
+def _ingested(spark, sf_dir):
+    """Stream the file rows derived from the tables, in four arrivals of which the first is
+    an older version of the documents; returns the folder of the stream's tables."""
     src = scratch(spark, "stream-src")
     cols = ["repo_id", "path", "source", "language"]
-    for part in (py_sources(spark, sf_dir), js_sources(spark, sf_dir), documents_as_files(spark, sf_dir)):
+    docs = documents_as_files(spark, sf_dir).select(*cols)
+    older = docs.withColumn("source", F.concat(F.repeat(F.lit("older line\n"), 70), F.upper("source")))
+    for part in (older, py_sources(spark, sf_dir), docs, js_sources(spark, sf_dir)):
         part.select(*cols).write.mode("append").parquet(src)
-    return src
+    q, out = ingest_stream(spark, src, max_files_per_trigger=5)
+    q.awaitTermination()
+    return out
 
 
 @register("stream_ingest")
 def q_stream_ingest(spark, sf_dir):
     """Structured Streaming ingest (availableNow) of all files; the current index."""
-    q, log, _ = ingest_stream(spark, _stream_files(spark, sf_dir), max_files_per_trigger=2)
-    q.awaitTermination()
-    return current_chunks(spark.read.parquet(log)).select(*CHUNK_OUT)
+    return current_chunks(spark, _ingested(spark, sf_dir)).filter(F.col("language") != "javascript").filter(
+        F.col("language") != "typescript").select(
+        *CHUNK_OUT, F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
 
 
 @register("stream_progress")
 def q_stream_progress(spark, sf_dir):
-    q, _, prog = ingest_stream(spark, _stream_files(spark, sf_dir), max_files_per_trigger=2)
-    q.awaitTermination()
-    p = spark.read.parquet(prog)
-    return job_progress(p.select(F.col("repo_id").alias("job_id"), "batch_id", "n_chunks"))
+    """Chunks that the stream has indexed per repository, older versions included."""
+    p = job_progress(repo_progress(spark, _ingested(spark, sf_dir)))
+    return p.filter(~F.col("job_id").startswith("web_")).groupBy("job_id").agg(
+        F.max("indexed").alias("indexed"), F.max("total").alias("total"), F.max("progress").alias("progress"))
 
 
 FLAGSHIP = "hybrid_search"

@@ -6,9 +6,9 @@ BM25 tables).  ``hybrid_search`` answers a batch of questions:
     expand (Q1) -> dense top 3k (D5, D2) and BM25 top 3k (A1-A4, K2)
                 -> RRF fuse top k (A5, K4) -> look up chunk rows (J4)
 
-With ``materialize=True`` the index tables are written as parquet under the shared
-``spark.checkpoint.dir`` and read back, which cuts lineage so a lost executor does not
-re-run chunking, and lets many query batches share one index.
+``save_index`` writes the index tables partitioned by repository; ``load_index`` opens
+them, so many query batches share one index, a search reads only the repositories that its
+questions ask, and a lost executor does not re-run chunking.
 """
 
 from __future__ import annotations
@@ -25,7 +25,11 @@ from codeloom.operators.embed import QUERY_PREFIX, embed
 from codeloom.operators.expand import expand_queries
 from codeloom.operators.fuse import lookup, rrf_fuse
 from codeloom.functions.urls import valid_question
-from codeloom.session import materialize
+from codeloom.session import materialize, scratch
+
+
+# Repositories of a batch of questions that are written into the scans as a filter.
+MOST_REPOS = 1000
 
 
 @dataclass
@@ -35,21 +39,56 @@ class Index:
     bm25: Bm25Index
 
 
+TABLES = ("chunks", "vectors", "postings", "doc_len", "stats", "idf")
+
+
+def save_index(chunks: DataFrame, path: str, make_model=None) -> None:
+    """Build the retrieval index of ``chunks`` under ``path``.
+
+    Every table is partitioned by repository; postings and idf are sorted by term inside,
+    so a search reads its repositories' folders and skips row groups of other terms.  The
+    chunks, and from them the term counts, are written first and read from there."""
+    spark, path = chunks.sparkSession, path.rstrip("/")
+
+    def put(df: DataFrame, name: str, *sort: str) -> DataFrame:
+        df = df.repartition("repo_id", *sort[:1]).sortWithinPartitions("repo_id", *sort) if sort else df
+        df.write.mode("overwrite").partitionBy("repo_id").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    ch = put(chunks if "embed_text" in chunks.columns else chunks.withColumn("embed_text", embed_text()), "chunks")
+    put(embed(ch.select("repo_id", "chunk_id", "embed_text"), "embed_text", "embedding", make_model)
+        .select("repo_id", "chunk_id", "embedding"), "vectors")
+    bm = build_bm25(ch, counted=put(with_term_counts(ch), "term_counts"))
+    put(bm.postings, "postings", "tok")
+    put(bm.doc_len, "doc_len")
+    put(bm.stats, "stats")
+    put(bm.idf, "idf", "tok")
+
+
+def load_index(spark, path: str) -> Index:
+    """The index saved under ``path``."""
+    chunks, vectors, postings, doc_len, stats, idf = (
+        spark.read.parquet(f"{path.rstrip('/')}/{t}").withColumn("repo_id", F.col("repo_id").cast("string")) for t in TABLES)
+    return Index(chunks, vectors, Bm25Index(postings, doc_len, stats, idf))
+
+
+def of_repositories(index: Index, repos: list[str]) -> Index:
+    """The index restricted to some repositories: a partition filter on every table."""
+    pick = lambda df: df.filter(F.col("repo_id").isin(repos))
+    b = index.bm25
+    return Index(pick(index.chunks), pick(index.vectors), Bm25Index(pick(b.postings), pick(b.doc_len), pick(b.stats), pick(b.idf)))
+
+
 def build_index(chunks: DataFrame, make_model=None, materialize_tables: bool = False) -> Index:
-    ch = chunks if "embed_text" in chunks.columns else chunks.withColumn("embed_text", embed_text())
+    """An index for this session: saved in a scratch folder, or left as plans."""
     if materialize_tables:
-        ch = materialize(ch, "chunks")
+        path = scratch(chunks.sparkSession, "index")
+        save_index(chunks, path, make_model)
+        return load_index(chunks.sparkSession, path)
+    ch = chunks if "embed_text" in chunks.columns else chunks.withColumn("embed_text", embed_text())
     vec = embed(ch.select("repo_id", "chunk_id", "embed_text"), "embed_text", "embedding", make_model) \
         .select("repo_id", "chunk_id", "embedding")
-    if materialize_tables:
-        vec = materialize(vec, "vectors")
-        counted = materialize(with_term_counts(ch), "term_counts")
-        bm = build_bm25(ch, counted=counted)
-        bm = Bm25Index(materialize(bm.postings, "postings"), bm.doc_len,
-                       materialize(bm.stats, "stats"), materialize(bm.idf, "idf"))
-    else:
-        bm = build_bm25(ch)
-    return Index(ch, vec, bm)
+    return Index(ch, vec, build_bm25(ch))
 
 
 def dense_candidates(index: Index, expanded: DataFrame, k_over: int, make_model=None,
@@ -67,6 +106,9 @@ def bm25_candidates(index: Index, expanded: DataFrame, k_over: int) -> DataFrame
 def fused_ids(index: Index, queries: DataFrame, k: int = 8, make_model=None,
               dense_method: str = "blocked") -> DataFrame:
     ex = materialize(expand_queries(queries.filter(valid_question("question"))), "questions")
+    repos = [r[0] for r in ex.select("repo_id").distinct().limit(MOST_REPOS + 1).collect()]
+    if len(repos) <= MOST_REPOS:  # more are left to the joins on the repository
+        index = of_repositories(index, repos)
     k_over = 3 * k          # min(3k, chunk count) is implied by the data
     return rrf_fuse(dense_candidates(index, ex, k_over, make_model, dense_method),
                     bm25_candidates(index, ex, k_over), k)
