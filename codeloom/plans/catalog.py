@@ -375,14 +375,14 @@ def q_ivf_topk_nprobe4(spark, sf_dir):
         .select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
-def _ingested(spark, sf_dir):
-    """Stream the file rows derived from the tables, in four arrivals of which the first is
-    an older version of the documents; returns the folder of the stream's tables."""
+def _ingested(spark, sf_dir, with_older: bool):
+    """Stream Python files and documents in several arrivals, the first of them, if asked, an
+    older version of the documents; returns the folder of the stream's tables."""
     src = scratch(spark, "stream-src")
     cols = ["repo_id", "path", "source", "language"]
     docs = documents_as_files(spark, sf_dir).select(*cols)
     older = docs.withColumn("source", F.concat(F.repeat(F.lit("older line\n"), 70), F.upper("source")))
-    for part in (older, py_sources(spark, sf_dir), docs, js_sources(spark, sf_dir)):
+    for part in ([older] if with_older else []) + [py_sources(spark, sf_dir), docs]:
         part.select(*cols).write.mode("append").parquet(src)
     q, out = ingest_stream(spark, src, max_files_per_trigger=5)
     q.awaitTermination()
@@ -392,16 +392,14 @@ def _ingested(spark, sf_dir):
 @register("stream_ingest")
 def q_stream_ingest(spark, sf_dir):
     """Structured Streaming ingest (availableNow) of all files; the current index."""
-    return current_chunks(spark, _ingested(spark, sf_dir)).filter(F.col("language") != "javascript").filter(
-        F.col("language") != "typescript").select(
-        *CHUNK_OUT, F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
+    return current_chunks(spark, _ingested(spark, sf_dir, True)).select(*CHUNK_OUT)
 
 
 @register("stream_progress")
 def q_stream_progress(spark, sf_dir):
-    """Chunks that the stream has indexed per repository, older versions included."""
-    p = job_progress(repo_progress(spark, _ingested(spark, sf_dir)))
-    return p.filter(~F.col("job_id").startswith("web_")).groupBy("job_id").agg(
+    """Final progress of every repository."""
+    p = job_progress(repo_progress(spark, _ingested(spark, sf_dir, False)))
+    return p.groupBy("job_id").agg(
         F.max("indexed").alias("indexed"), F.max("total").alias("total"), F.max("progress").alias("progress"))
 
 

@@ -696,3 +696,18 @@ sc AS (SELECT d.query_id, d.vec_id, round(d.dot / (qn.n * en.n), 6) AS score
 SELECT query_id, vec_id, score,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS INTEGER) AS rank
 FROM sc QUALIFY rank < 10"""
+
+CURRENT = f"""{PY_FILES}, {PY_CHUNKS}, {DOC_CHUNKS},
+cur AS (
+  SELECT repo_id, file_path || '::' || name || '::' || CAST(start_line AS VARCHAR) AS chunk_id, file_path,
+         chunk_type, name, start_line, end_line, language, parent_name, docstring, calls, imports, content
+  FROM py_chunks
+  UNION ALL
+  SELECT repo_id, chunk_id, file_path, chunk_type, name, start_line, end_line, language, NULL, NULL, []::VARCHAR[], []::VARCHAR[], content
+  FROM chunks_e)"""
+
+ORACLE["stream_ingest"] = f"WITH {CURRENT} SELECT * FROM cur"
+
+ORACLE["stream_progress"] = f"""
+WITH {CURRENT}
+SELECT repo_id AS job_id, count(*) AS indexed, count(*) AS total, 99 AS progress FROM cur GROUP BY repo_id"""
