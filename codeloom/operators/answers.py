@@ -29,11 +29,11 @@ REWRITES = [
     (r"(?U)(?<!\n)\s+-\s+(?=[A-Z`\[\*])", "\n- "),
     (r"(?U)([.!?])\s+(\d+)[.)]\s+", "$1\n- "),
     (r"(?U)([.!?])\s+([A-Z][A-Za-z ]{1,22}: )", "$1\n- $2"),
-    (r"(?U)(?m)^\s*([A-Z][A-Za-z ]{1,22}: )", "- $1"),
+    (r"(?d)(?U)(?m)^\s*([A-Z][A-Za-z ]{1,22}: )", "- $1"),
 ]
-NUMBERED_RE = r"(?U)^\d+[.)]\s+(.*)"
-HEADER_RE = r"(?U)^#{1,3}\s+(.*)"
-LABEL_RE = r"(?U)^\*{0,2}([A-Za-z][A-Za-z\s]{0,20})\*{0,2}:\s+(.*)"
+NUMBERED_RE = r"(?d)(?U)^\d+[.)]\s+(.*)"
+HEADER_RE = r"(?d)(?U)^#{1,3}\s+(.*)"
+LABEL_RE = r"(?d)(?U)^\*{0,2}([A-Za-z][A-Za-z\s]{0,20})\*{0,2}:\s+(.*)"
 BOLD_RE = r"^\*\*[^*]+\*\*"
 MAX_BULLETS = 6
 JOIN_UNDER = 120       # a continuation joins the current bullet while it is shorter

@@ -43,13 +43,13 @@ def hashed_model(dim: int = 64) -> Callable[[], Callable[[list[str]], "object"]]
             return v
 
         def predict(texts):
-            out = np.zeros((len(texts), dim), dtype=np.float64)
-            for r, t in enumerate(texts):
-                if t is None:
-                    continue
-                for tok in t.lower().split():
-                    b, s = slot(tok)
-                    out[r, b] += s
+            toks = [[] if t is None else t.lower().split() for t in texts]
+            flat = [tok for ts in toks for tok in ts]
+            at = {tok: i for i, tok in enumerate(dict.fromkeys(flat))}   # each token is hashed once a batch
+            slots = np.array([slot(tok) for tok in at], np.float64).reshape(-1, 2)
+            code = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
+            row = np.repeat(np.arange(len(toks)), [len(ts) for ts in toks])
+            out = np.bincount(row * dim + slots[code, 0].astype(np.int64), slots[code, 1], len(toks) * dim).reshape(-1, dim)
             n = np.linalg.norm(out, axis=1, keepdims=True)
             return np.divide(out, n, out=out.copy(), where=n > 0)
 

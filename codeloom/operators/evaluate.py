@@ -76,7 +76,23 @@ def evaluate(sources: DataFrame, golden: DataFrame, depth: int = DEPTH,
     return per_q, metrics(per_q)
 
 
-def write_report(per_question: DataFrame, summary: DataFrame, path: str) -> None:
-    """The report as JSON files (metrics and per-question rows)."""
-    summary.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/metrics")
-    per_question.write.mode("overwrite").json(f"{path.rstrip('/')}/results")
+def report(per_question: DataFrame, summary: DataFrame, questions: DataFrame, sources: DataFrame,
+           repo_url: str, repo_id: str, total_chunks: int, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """The report's one-row summary and its row for each question with its top sources.
+
+    ``questions(query_id, question)``, ``sources(query_id, pos, file, name)``."""
+    top = (sources.filter(F.col("pos") < depth).groupBy("query_id")
+           .agg(F.array_sort(F.collect_list(F.struct("pos", "file", "name"))).alias("_s")))
+    results = (questions.select("query_id", "question").join(per_question, "query_id").join(top, "query_id", "left")
+               .select("query_id", "question", "hit_rank", F.coalesce(
+                   F.transform("_s", lambda s: F.struct(s["file"].alias("file"), s["name"].alias("name"))),
+                   F.array().cast("array<struct<file:string,name:string>>")).alias("sources")))
+    head = summary.select(F.lit(repo_url).alias("repo_url"), F.lit(repo_id).alias("repo_id"),
+                          F.lit(total_chunks).cast("long").alias("total_chunks"), "*")
+    return head, results
+
+
+def write_report(head: DataFrame, results: DataFrame, path: str) -> None:
+    """Write the report as JSON files (summary and per-question rows)."""
+    head.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/metrics")
+    results.write.mode("overwrite").json(f"{path.rstrip('/')}/results")

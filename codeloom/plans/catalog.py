@@ -35,7 +35,7 @@ from codeloom.sources.fixtures import answers, fragments, part_paths, relevance_
 from codeloom.sources.store import repo_info, upsert_chunks
 from codeloom.operators.chunk_js import chunk_files, chunk_javascript
 from codeloom.operators.chunk_python import chunk_python
-from codeloom.sources.fixtures import answerable_queries, benchmark_queries, documents_as_files, documents_as_named_files, js_sources, py_sources
+from codeloom.sources.fixtures import answerable_queries, benchmark_queries, documents_as_files, golden_queries, documents_as_named_files, js_sources, py_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -317,6 +317,24 @@ def q_eval_metrics(spark, sf_dir):
     return metrics(per_q)
 
 
+def _golden_results(spark, sf_dir):
+    idx = build_index(chunk_python(py_sources(spark, sf_dir)), materialize_tables=True)
+    return hybrid_search(idx, golden_queries(spark, sf_dir), k=6)
+
+
+@register("golden_context")
+def q_golden_context(spark, sf_dir):
+    """Context of the golden questions over code files: parents and docstrings occur."""
+    return build_context(_golden_results(spark, sf_dir))
+
+
+@register("golden_hits")
+def q_golden_hits(spark, sf_dir):
+    r = _golden_results(spark, sf_dir)
+    src = r.select("query_id", F.col("rank").alias("pos"), F.col("file_path").alias("file"), "name")
+    return hit_ranks(src, golden_queries(spark, sf_dir))
+
+
 JOB_STATUS_BY_EVENT = {"click": "pending", "view": "cloning", "signup": "indexing", "purchase": "done",
                        "error": "error"}
 

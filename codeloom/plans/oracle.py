@@ -711,3 +711,43 @@ ORACLE["stream_ingest"] = f"WITH {CURRENT} SELECT * FROM cur"
 ORACLE["stream_progress"] = f"""
 WITH {CURRENT}
 SELECT repo_id AS job_id, count(*) AS indexed, count(*) AS total, 99 AS progress FROM cur GROUP BY repo_id"""
+
+# ---------------------------------------------------------------- golden questions over code
+CODE_CHUNKS = f"""{PY_CHUNKS_K},
+chunks_e AS (
+  SELECT *, '# ' || language || ' ' || chunk_type || ': ' || name
+       || CASE WHEN parent_name <> '' THEN ' (in class ' || parent_name || ')' ELSE '' END
+       || {NL} || '# File: ' || file_path || ' lines ' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR)
+       || CASE WHEN docstring <> '' THEN {NL} || '# Doc: ' || left(docstring, 200) ELSE '' END
+       || {NL} || {NL} || content AS embed_text FROM pyk)"""
+
+# The golden questions and symbols, written out once more.
+GOLDEN = """
+gq(g, question, syms) AS (VALUES
+  (1, 'How does the application handle HTTP request routing?', ['route', 'add_url_rule', 'dispatch_request', 'Router']),
+  (2, 'Where is authentication or login handled?', ['login', 'authenticate', 'auth', 'token', 'session']),
+  (3, 'How are errors and exceptions handled globally?', ['errorhandler', 'handle_exception', 'error_handler', 'HTTPException']),
+  (4, 'How does the application connect to the database?', ['connect', 'engine', 'session', 'database', 'db']),
+  (5, 'Where is middleware or request preprocessing done?', ['middleware', 'before_request', 'after_request', 'dispatch']),
+  (6, 'How is configuration loaded and managed?', ['config', 'Config', 'from_object', 'settings', 'load_config']),
+  (7, 'How does the app handle static files and templates?', ['render_template', 'send_file', 'static', 'template']),
+  (8, 'How are background tasks or async jobs handled?', ['async', 'task', 'background', 'worker', 'celery', 'queue'])),
+bq AS (
+  SELECT g * 1000 + n_regionkey AS query_id, 'region_' || CAST(n_regionkey AS VARCHAR) AS repo_id, question, syms
+  FROM gq, (SELECT DISTINCT n_regionkey FROM nation))"""
+
+
+def _golden(sql: str) -> str:
+    return (sql.replace(DOC_CHUNKS, CODE_CHUNKS).replace(BENCH_QUERIES, GOLDEN)
+            .replace("NULL::VARCHAR AS parent_name, NULL::VARCHAR AS docstring", "c.parent_name, nullif(left(c.docstring, 500), '') AS docstring")
+            .replace("trim(c.content)", f"trim(c.content, {WSC})"))
+
+
+ORACLE["golden_context"] = _golden(ORACLE["build_context"])
+
+ORACLE["golden_hits"] = _golden(f"""
+WITH {results_sql(6)},
+hit AS (SELECT q.query_id, min(r.rank) + 1 AS hit_rank
+        FROM (SELECT query_id, unnest(syms) AS sym FROM bq) q JOIN res r USING (query_id)
+        WHERE r.rank < 5 AND (contains(lower(r.name), lower(sym)) OR contains(lower(r.file_path), lower(sym))) GROUP BY ALL)
+SELECT bq.query_id, CAST(hit_rank AS INTEGER) AS hit_rank FROM bq LEFT JOIN hit USING (query_id)""")

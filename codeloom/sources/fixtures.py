@@ -50,6 +50,15 @@ SYNONYMS = [
 ]
 
 
+def golden_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(query_id, repo_id, question, expected_symbols)``: every golden question asked in
+    every repository of the derived Python files."""
+    regions = table(spark, sf_dir, "nation").select("n_regionkey").distinct()
+    return golden_df(spark).join(F.broadcast(regions)).select(
+        (F.col("query_id") * 1000 + F.col("n_regionkey")).cast("long").alias("query_id"),
+        F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("repo_id"), "question", "expected_symbols")
+
+
 def golden_df(spark: SparkSession) -> DataFrame:
     rows = [(i + 1, q, syms) for i, (q, syms) in enumerate(GOLDEN_QA)]
     return spark.createDataFrame(rows, "query_id int, question string, expected_symbols array<string>")

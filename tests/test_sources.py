@@ -3,7 +3,7 @@ query expansion with a dictionary table."""
 
 from pyspark.sql import functions as F
 
-from codeloom.operators.evaluate import write_report
+from codeloom.operators.evaluate import report, write_report
 from codeloom.operators.expand import expand_queries
 from codeloom.operators.metadata import flat_metadata, from_flat
 from codeloom.sources.files import scan_sources
@@ -43,8 +43,13 @@ def test_replace_repo_only_touches_its_partitions(spark, tmp_path):
 def test_write_report(spark, tmp_path):
     per_q = spark.createDataFrame([(1, 1), (2, None)], "query_id int, hit_rank int")
     m = spark.createDataFrame([(2, 0.5)], "n long, hit_at_1 double")
-    write_report(per_q, m, str(tmp_path / "report"))
-    assert spark.read.json(str(tmp_path / "report" / "metrics")).collect()[0].hit_at_1 == 0.5
+    asked = spark.createDataFrame([(1, "a?"), (2, "b?")], "query_id int, question string")
+    src = spark.createDataFrame([(1, 1, "g", "n"), (1, 0, "f", "m"), (1, 9, "h", "o")], "query_id int, pos int, file string, name string")
+    write_report(*report(per_q, m, asked, src, "https://h/o/r", "id1", 7), str(tmp_path / "report"))
+    head = spark.read.json(str(tmp_path / "report" / "metrics")).collect()[0]
+    assert (head.hit_at_1, head.repo_url, head.repo_id, head.total_chunks) == (0.5, "https://h/o/r", "id1", 7)
+    rows = {r.query_id: r for r in spark.read.json(str(tmp_path / "report" / "results")).collect()}
+    assert [s.file for s in rows[1].sources] == ["f", "g"] and rows[1].question == "a?" and rows[2].sources == []
 
 
 def test_flat_round_trip(spark):
