@@ -211,8 +211,11 @@ def q_repo_info(spark, sf_dir):
 def q_upsert_last_wins(spark, sf_dir):
     old = doc_chunks(spark, sf_dir).select("repo_id", "chunk_id", "content")
     d = documents_as_files(spark, sf_dir)
-    new = (chunk_lines(d.filter(F.col("path").startswith("docs/en/")))
-           .select("repo_id", "chunk_id", F.lower("content").alias("content")))
+    # English documents again, lower-cased, and as new files of the same and of new repositories.
+    en = chunk_lines(d.filter(F.col("path").startswith("docs/en/"))).select("repo_id", "chunk_id", F.lower("content").alias("content"))
+    more = en.select(F.concat("repo_id", F.when(F.length("content") % 2 == 0, "/fork").otherwise("")).alias("repo_id"),
+                     F.concat(F.lit("new/"), "chunk_id").alias("chunk_id"), "content")
+    new = en.filter(F.col("repo_id") != "src1").unionByName(more.filter(F.col("repo_id") != "src1"))
     return upsert_chunks(old, new)
 
 
@@ -385,9 +388,22 @@ def q_ivf_topk(spark, sf_dir):
         .select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
+@register("ivf_recall")
+def q_ivf_recall(spark, sf_dir):
+    """Whether a quarter of the cells holds at least half of the exact top 10 of the stated
+    queries: the vectors whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings")
+    idx = ivf_build(e, IVF_CELLS, id_col="vec_id")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    some, full = (ivf_topk(idx, q, 10, nprobe=n).select("query_id", "id") for n in (4, IVF_CELLS))
+    found = full.join(some.withColumn("_hit", F.lit(1)), ["query_id", "id"], "left")
+    return found.agg(F.count_distinct("query_id").alias("n_queries"), F.lit(10).alias("k"),
+                     (F.count("_hit") >= 0.5 * F.count(F.lit(1))).alias("half_found"))
+
+
 @register("ivf_topk_nprobe4")
 def q_ivf_topk_nprobe4(spark, sf_dir):
-    """A quarter of the cells probed (approximate; rows only, recall measured in tests)."""
+    """A quarter of the cells probed (approximate: rows only; see ivf_recall)."""
     idx = ivf_build(table(spark, sf_dir, "embeddings"), IVF_CELLS, id_col="vec_id")
     return ivf_topk(idx, _bench_qvecs(spark, sf_dir), 10, nprobe=4) \
         .select("query_id", F.col("id").alias("vec_id"), "score", "rank")

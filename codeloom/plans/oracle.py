@@ -465,7 +465,10 @@ ORACLE["upsert_last_wins"] = f"""
 WITH {DOC_CHUNKS},
 u AS (SELECT repo_id, chunk_id, content, 0 AS side FROM chunks_e
       UNION ALL
-      SELECT repo_id, chunk_id, lower(content), 1 FROM chunks_e WHERE starts_with(file_path, 'docs/en/'))
+      SELECT repo_id, chunk_id, lower(content), 1 FROM chunks_e WHERE starts_with(file_path, 'docs/en/') AND repo_id <> 'src1'
+      UNION ALL
+      SELECT * FROM (SELECT repo_id || CASE WHEN length(lower(content)) % 2 = 0 THEN '/fork' ELSE '' END AS repo_id, 'new/' || chunk_id,
+                            lower(content), 1 FROM chunks_e WHERE starts_with(file_path, 'docs/en/')) WHERE repo_id <> 'src1')
 SELECT repo_id, chunk_id, content FROM u
 QUALIFY row_number() OVER (PARTITION BY repo_id, chunk_id ORDER BY side DESC) = 1"""
 
@@ -751,3 +754,6 @@ hit AS (SELECT q.query_id, min(r.rank) + 1 AS hit_rank
         FROM (SELECT query_id, unnest(syms) AS sym FROM bq) q JOIN res r USING (query_id)
         WHERE r.rank < 5 AND (contains(lower(r.name), lower(sym)) OR contains(lower(r.file_path), lower(sym))) GROUP BY ALL)
 SELECT bq.query_id, CAST(hit_rank AS INTEGER) AS hit_rank FROM bq LEFT JOIN hit USING (query_id)""")
+
+ORACLE["ivf_recall"] = """
+SELECT count(*) AS n_queries, 10 AS k, true AS half_found FROM embeddings WHERE vec_id % 20 = 0"""
