@@ -757,3 +757,70 @@ SELECT bq.query_id, CAST(hit_rank AS INTEGER) AS hit_rank FROM bq LEFT JOIN hit
 
 ORACLE["ivf_recall"] = """
 SELECT count(*) AS n_queries, 10 AS k, true AS half_found FROM embeddings WHERE vec_id % 20 = 0"""
+
+# ---------------------------------------------------------------- JavaScript chunker
+JS_BUILTINS_SQL = ("['console', 'log', 'error', 'warn', 'JSON', 'Object', 'Array', 'Promise', 'resolve', 'reject', 'then', 'catch', "
+                   "'map', 'filter', 'forEach', 'reduce', 'parseInt', 'parseFloat', 'setTimeout']")
+JS_FN = r"^(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+JS_VAR = r"^(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(?:async\s+)?\("
+JS_CLASS = r"^(?:export\s+default\s+)?class\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+JS_REQUIRE = r"^import\s+|^const\s+\w+\s*=\s*require"
+JS_CALL = r"\b([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\("
+
+# Running brace sums per candidate as a window over its 100 lines; the greedy left-to-right
+# pick is a recursion from one kept declaration to the first that begins behind it.
+JS_CHUNKS = f"""
+js_fns AS (
+  SELECT s_nationkey AS k, s_suppkey // 100 AS blk, string_agg('export const supplier_' || s_suppkey || ' = async (x) => {{' || {NL}
+         || '  return fetch_' || s_suppkey || '(x);' || {NL} || '}};' || {NL}, '' ORDER BY s_suppkey) AS body
+  FROM supplier GROUP BY ALL),
+js_files AS (
+  SELECT 'region_' || n_regionkey AS repo_id,
+         'web/nation_' || k || '/block_' || blk || CASE WHEN k % 4 = 1 THEN '.ts' ELSE '.js' END AS file_path,
+         'import tools from ''region_' || n_regionkey || ''';' || {NL} || 'const util = require(''util'');' || {NL}
+         || 'function nation' || k || '() {{ return ' || k || '; }}' || {NL}
+         || 'class Nation' || k || ' extends Base {{' || {NL} || '  constructor() {{' || {NL} || '    super();' || {NL} || '  }}' || {NL} || '}}' || {NL}
+         || 'export default function main() {{' || {NL} || '  run();' || {NL} || '}}' || {NL} || 'export class Skip {{' || {NL} || '  m() {{}}' || {NL} || '}}' || {NL}
+         || body AS source
+  FROM js_fns JOIN nation ON n_nationkey = k),
+jl0 AS (SELECT repo_id, file_path, string_split(source, {NL}) AS l FROM js_files),
+jl1 AS (SELECT repo_id, file_path, CASE WHEN l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM jl0),
+jl AS (SELECT repo_id, file_path, l, unnest(range(len(l))) AS i FROM jl1),
+jt AS (SELECT repo_id, file_path, i, l[i + 1] AS t,
+              len(l[i + 1]) - len(replace(l[i + 1], '{{', '')) - len(l[i + 1]) + len(replace(l[i + 1], '}}', '')) AS delta FROM jl),
+jc AS (
+  SELECT repo_id, file_path, i, CASE WHEN regexp_matches(t, '{JS_FN}') OR regexp_matches(t, '{JS_VAR}') THEN 'function' ELSE 'class' END AS chunk_type,
+         CASE WHEN regexp_matches(t, '{JS_FN}') THEN regexp_extract(t, '{JS_FN}', 1) WHEN regexp_matches(t, '{JS_VAR}') THEN regexp_extract(t, '{JS_VAR}', 1)
+              ELSE regexp_extract(t, '{JS_CLASS}', 1) END AS name
+  FROM jt WHERE regexp_matches(t, '{JS_FN}') OR regexp_matches(t, '{JS_VAR}') OR regexp_matches(t, '{JS_CLASS}')),
+jd AS (SELECT c.repo_id, c.file_path, c.i, t.i AS k, sum(t.delta) OVER w AS depth
+       FROM jc c JOIN jt t ON t.repo_id = c.repo_id AND t.file_path = c.file_path AND t.i BETWEEN c.i AND c.i + 99
+       WINDOW w AS (PARTITION BY c.repo_id, c.file_path, c.i ORDER BY t.i)),
+jm AS (SELECT *, max(depth) OVER (PARTITION BY repo_id, file_path, i ORDER BY k) AS deepest FROM jd),
+je AS (SELECT repo_id, file_path, i, min(k) AS e FROM jm WHERE deepest > 0 AND depth <= 0 GROUP BY ALL),
+jv AS (SELECT c.*, je.e FROM jc c JOIN je USING (repo_id, file_path, i) WHERE je.e - c.i + 1 >= 3),
+jn AS (SELECT a.repo_id, a.file_path, a.i, min(b.i) AS nxt
+       FROM jv a JOIN jv b ON a.repo_id = b.repo_id AND a.file_path = b.file_path AND b.i > a.e GROUP BY ALL),
+jk AS (
+  SELECT repo_id, file_path, min(i) AS i FROM jv GROUP BY ALL
+  UNION ALL
+  SELECT n.repo_id, n.file_path, n.nxt FROM jk k JOIN jn n ON n.repo_id = k.repo_id AND n.file_path = k.file_path AND n.i = k.i),
+js_bodies AS (
+  SELECT v.repo_id, v.file_path, v.chunk_type, v.name, v.i + 1 AS start_line, v.e + 1 AS end_line,
+         array_to_string(l.l[v.i + 1 : v.e + 1], {NL}) AS content
+  FROM jk k JOIN jv v USING (repo_id, file_path, i) JOIN jl1 l ON l.repo_id = v.repo_id AND l.file_path = v.file_path
+  UNION ALL
+  SELECT repo_id, file_path, 'import_block', 'imports', 1, count(*), string_agg(t, {NL} ORDER BY i)
+  FROM jt WHERE regexp_matches(t, '{JS_REQUIRE}') GROUP BY ALL),
+js_chunks AS (
+  SELECT repo_id, file_path || '::' || name || '::' || start_line AS chunk_id, file_path, chunk_type, name, start_line::INTEGER AS start_line,
+         end_line::INTEGER AS end_line, 'javascript' AS language, NULL::VARCHAR AS parent_name, NULL::VARCHAR AS docstring,
+         CASE WHEN chunk_type = 'import_block' THEN []::VARCHAR[] ELSE
+           list_slice(list_sort(list_filter(list_distinct(regexp_extract_all(content, '{JS_CALL}', 1)),
+                                            lambda c: NOT list_contains({JS_BUILTINS_SQL}, c))), 1, 15) END AS calls,
+         []::VARCHAR[] AS imports, content
+  FROM js_bodies)"""
+
+ORACLE["js_chunks"] = f"WITH RECURSIVE {JS_CHUNKS} SELECT * FROM js_chunks"
+
+ORACLE["chunk_files"] = f"WITH RECURSIVE {CURRENT}, {JS_CHUNKS} SELECT * FROM cur UNION ALL SELECT * FROM js_chunks"
