@@ -781,6 +781,10 @@ js_files AS (
          || 'function nation' || k || '() {{ return ' || k || '; }}' || {NL}
          || 'class Nation' || k || ' extends Base {{' || {NL} || '  constructor() {{' || {NL} || '    super();' || {NL} || '  }}' || {NL} || '}}' || {NL}
          || 'export default function main() {{' || {NL} || '  run();' || {NL} || '}}' || {NL} || 'export class Skip {{' || {NL} || '  m() {{}}' || {NL} || '}}' || {NL}
+         || 'async function wide' || k || '(a,' || {NL} || '  b) {{' || {NL} || repeat('  step(a);' || {NL}, (k % 6 + 94)::INTEGER) || '}}' || {NL}
+         || 'let text' || k || ' = (s) => {{' || {NL} || '  return ''}}'' + s;' || {NL} || '  // }}' || {NL} || '}};' || {NL}
+         || chr(9) || 'function inner() {{' || {NL} || chr(9) || chr(9) || 'x();' || {NL} || chr(9) || '}}' || {NL}
+         || 'export const typed' || k || ' = async (a: Map<string, {{n: number}}>): Promise<void> => {{' || {NL} || '  await $(a);' || {NL} || '}};' || {NL}
          || body AS source
   FROM js_fns JOIN nation ON n_nationkey = k),
 jl0 AS (SELECT repo_id, file_path, string_split(source, {NL}) AS l FROM js_files),

@@ -177,7 +177,9 @@ def py_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def js_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JavaScript / TypeScript files: imports and ``require``, a one-line function that
     runs on into the next declaration, a class, ``export default function`` and
-    ``export class`` (not matched), and one arrow function per supplier."""
+    ``export class`` (not matched), a declaration over two lines whose braces close within
+    the 100 lines of the scan or just beyond, braces in strings and comments, an indented
+    function, a typed arrow function, and one arrow function per supplier."""
     fn = F.concat(
         F.lit("export const supplier_"), _s("s_suppkey"), F.lit(" = async (x) => {\n  return fetch_"),
         _s("s_suppkey"), F.lit("(x);\n};\n"))
@@ -189,6 +191,9 @@ def js_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("function nation"), _s("k"), F.lit("() { return "), _s("k"), F.lit("; }\n"),
         F.lit("class Nation"), _s("k"), F.lit(" extends Base {\n  constructor() {\n    super();\n  }\n}\n"),
         F.lit("export default function main() {\n  run();\n}\nexport class Skip {\n  m() {}\n}\n"),
+        F.lit("async function wide"), _s("k"), F.lit("(a,\n  b) {\n"), F.repeat(F.lit("  step(a);\n"), (k % 6 + 94).cast("int")), F.lit("}\n"),
+        F.lit("let text"), _s("k"), F.lit(" = (s) => {\n  return '}' + s;\n  // }\n};\n\tfunction inner() {\n\t\tx();\n\t}\n"),
+        F.lit("export const typed"), _s("k"), F.lit(" = async (a: Map<string, {n: number}>): Promise<void> => {\n  await $(a);\n};\n"),
         F.col("body"))
     ext = F.when(k % 4 == 1, F.lit(".ts")).otherwise(F.lit(".js"))
     out = files.join(n, files.k == n.n_nationkey).select(
