@@ -242,6 +242,9 @@ py_files AS (
          || '    async def refresh(self):' || {NL} || '        await load_' || CAST(k AS VARCHAR) || '(self.key)'
          || {NL} || '        def inner():' || {NL} || '            return helper()' || {NL}
          || '        return inner' || {NL} || {NL}
+         || '@cached' || {NL} || '@app.route(''/x'')' || {NL} || 'async def fetch_' || CAST(k AS VARCHAR) || '(a,' || {NL} || '             b=1):' || {NL}
+         || chr(9) || '"Tabs."' || {NL} || chr(9) || 'return tool_' || CAST(k AS VARCHAR) || '(a)' || {NL} || {NL}
+         || 'def one_liner(): return 1' || {NL} || {NL} || 'if __name__ == ''__main__'':' || {NL} || '    run()' || {NL} || {NL}
          || body AS source
   FROM py_fns JOIN nation ON n_nationkey = k)"""
 
@@ -261,7 +264,7 @@ PY_CHUNKS = f"""
 pl0 AS (SELECT repo_id, path AS file_path, string_split(source, {NL}) AS p FROM py_files),
 pl1 AS (SELECT repo_id, file_path, CASE WHEN p[len(p)] = '' THEN p[1:len(p)-1] ELSE p END AS l FROM pl0),
 pln AS (SELECT repo_id, file_path, len(l) AS n, unnest(range(len(l))) AS i, unnest(l) AS line FROM pl1),
-pa AS (SELECT *, trim(line) AS s, trim(line) = '' AS blank, length(line) - length(ltrim(line)) AS ind FROM pln),
+pa AS (SELECT *, trim(line, ' ' || chr(9)) AS s, trim(line, ' ' || chr(9)) = '' AS blank, length(line) - length(ltrim(line, ' ' || chr(9))) AS ind FROM pln),
 pw AS (
   SELECT *,
     coalesce(min(CASE WHEN NOT blank AND ind = 0 THEN i END) OVER after - 1, n - 1) AS end0,

@@ -165,6 +165,8 @@ def py_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(")\n\n    def name(self): return '"), F.col("n_name"), F.lit("'\n\n"),
         F.lit("    async def refresh(self):\n        await load_"), _s("k"),
         F.lit("(self.key)\n        def inner():\n            return helper()\n        return inner\n\n"),
+        F.lit("@cached\n@app.route('/x')\nasync def fetch_"), _s("k"), F.lit("(a,\n             b=1):\n\t\"Tabs.\"\n\treturn tool_"), _s("k"), F.lit("(a)\n\n"),
+        F.lit("def one_liner(): return 1\n\nif __name__ == '__main__':\n    run()\n\n"),
         F.col("body"))
     out = files.join(n, files.k == n.n_nationkey).select(
         F.concat(F.lit("region_"), _s("n_regionkey")).alias("repo_id"),
