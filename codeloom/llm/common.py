@@ -6,8 +6,9 @@ A word is a maximal run of bytes other than space and 0x09-0x0D of the UTF-8 tex
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from codeloom.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 # Largest table of short rows (a few numbers or one digest) that is broadcast: below 32 MB.
 BROADCAST = 200_000
+BATCH_ROWS = 2000
 # Documents are handled in slices of about this many bytes inside a task.
 SLICE_BYTES = 1 << 19
 
@@ -48,6 +50,41 @@ def small(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on in this session: with rows of whole
+    texts, Spark's usual 10,000 take tens of MB in the JVM and again in each worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def tidy(task: Callable) -> Callable:
+    """A task's function that gives freed memory back to the system when it ends: workers
+    are kept from task to task, and a heap that only grew would be held by idle ones."""
+    def run(data):
+        out = task(data)
+        if not isinstance(out, Iterator):
+            release()
+            return out
+        return _released(out)
+
+    return run
+
+
+def _released(out: Iterator) -> Iterator:
+    try:
+        yield from out
+    finally:
+        release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 # ---------------------------------------------------------------------------- buffers
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

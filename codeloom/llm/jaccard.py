@@ -47,12 +47,12 @@ from pyspark.sql import functions as F
 
 from codeloom.session import table
 
-from .common import WORD, mix, need, sets_of, small, text_buffer, written
+from .common import limit_batches, mix, need, sets_of, small, tidy, written
 from .components import components
 
 HOT_SHARE = 1024       # a shingle is hot from 1 / HOT_SHARE of the rows on
-RANGE_ENTRIES = 2 << 20
-BLOB_BYTES = 8 << 20   # text bytes behind one round of compact rows
+RANGE_ENTRIES = 1 << 20
+BLOB_BYTES = 6 << 20   # text bytes behind one round of compact rows
 SIGN = 4               # 64-bit words of a set's signature in the suffix filter
 SIGNS = [f"s{j}" for j in range(SIGN)]
 STARS = 2              # rounds of pairs with one class of each list
@@ -94,23 +94,36 @@ def signatures(h: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
     return [x.view(np.int64) for x in out]
 
 
-def big_slices(col: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``sets_of`` joined to slices of about BLOB_BYTES text bytes."""
-    held, size = [], 0
-    for a, b, h, edge in sets_of(col, k):
-        held.append((a, b, h, edge))
-        size += len(h)
-        if size * 6 > BLOB_BYTES:
-            yield _joined(held)
-            held, size = [], 0
-    if held:
-        yield _joined(held)
+class Gathered:
+    """Sets of several slices, handed on in portions of about BLOB_BYTES text bytes."""
 
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
 
-def _joined(held: list) -> tuple[int, int, np.ndarray, np.ndarray]:
-    shift = np.cumsum([0, *(len(x[2]) for x in held)])
-    edge = np.concatenate([[0], *(x[3][1:] + s for x, s in zip(held, shift, strict=False))])
-    return held[0][0], held[-1][1], np.concatenate([x[2] for x in held]), edge
+    def add(self, h: np.ndarray, edge: np.ndarray) -> bool:
+        """Takes a slice; true if a portion is full."""
+        self.held.append((h, edge))
+        self.size += len(h)
+        return self.size * 6 > BLOB_BYTES
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        shift = np.cumsum([0, *(len(x[0]) for x in self.held)])
+        h = np.concatenate([x[0] for x in self.held])
+        edge = np.concatenate([[0], *(x[1][1:] + s for x, s in zip(self.held, shift, strict=False))])
+        self.held, self.size = [], 0
+        return h, edge
+
+
+def portions(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of all rows, in portions."""
+    held = Gathered()
+    for batch in batches:
+        for _, _, h, edge in sets_of(batch.column("text"), k):
+            if held.add(h, edge):
+                yield held.take()
+    if held.held:
+        yield held.take()
 
 
 def classes_of(h: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,21 +143,27 @@ def _scan_keys(k: int):
     """kind 0: (doc_id, text hash, key, size) of a row; kind 1: (fingerprint, classes) common in a batch."""
     names = ["kind", "a", "b", "c", "d", *SIGNS]
 
+    def common(h: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        _, found, entry, _ = classes_of(h, edge)
+        fp, n = np.unique(h[entry] >> FP, return_counts=True)
+        many = n >= max(2, 4 + len(found) // HOT_SHARE)
+        fp, n = fp[many].astype(np.int64), n[many]
+        none = pa.nulls(len(fp), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(fp), np.int32)), pa.array(fp), pa.array(n), *[none] * (2 + SIGN)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Gathered()
         for batch in batches:
             doc, th = batch.column("doc_id"), batch.column("th")
-            for a, b, h, edge in big_slices(batch.column("text"), k):
-                key = set_keys(h, edge).view(np.int64)
+            for a, b, h, edge in sets_of(batch.column("text"), k):
                 rows = b - a
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(rows, np.int32)), doc.slice(a, rows), th.slice(a, rows), pa.array(key), pa.array(np.diff(edge)),
-                     *map(pa.array, signatures(h, edge))], names)
-                _, found, entry, _ = classes_of(h, edge)
-                fp, n = np.unique(h[entry] >> FP, return_counts=True)
-                many = n >= max(2, 4 + len(found) // HOT_SHARE)
-                fp, n = fp[many].astype(np.int64), n[many]
-                none = pa.nulls(len(fp), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(fp), np.int32)), pa.array(fp), pa.array(n), *[none] * (2 + SIGN)], names)
+                    [pa.array(np.zeros(rows, np.int32)), doc.slice(a, rows), th.slice(a, rows), pa.array(set_keys(h, edge).view(np.int64)),
+                     pa.array(np.diff(edge)), *map(pa.array, signatures(h, edge))], names)
+                if held.add(h, edge):
+                    yield common(*held.take())
+        if held.held:
+            yield common(*held.take())
 
     return run
 
@@ -154,27 +173,26 @@ def _scan_entries(k: int, ranges: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_fp = hot.value
         lows = np.array([(r << 40) // ranges for r in range(ranges + 1)], np.uint64)
-        for batch in batches:
-            for _, _, h, edge in big_slices(batch.column("text"), k):
-                rows, keys, entry, cls = classes_of(h, edge)
-                fp = h[entry] >> FP
-                warm = _among(hot_fp, fp)
-                n = np.diff(edge)[rows].astype(np.uint32)
-                n_hot = np.bincount(cls[warm], minlength=len(rows)).astype(np.uint32)
-                fp, cls = fp[~warm], cls[~warm]
-                order = np.argsort(fp, kind="stable")
-                fp, cls = fp[order], cls[order]
-                cut = np.searchsorted(fp, lows)
-                out = []
-                for r in np.flatnonzero(np.diff(cut)):
-                    f, c = fp[cut[r]:cut[r + 1]], cls[cut[r]:cut[r + 1]]
-                    used, at = np.unique(c, return_inverse=True)
-                    step = np.diff(f, prepend=lows[r]).astype(np.uint32 if ranges > 256 else np.uint64)
-                    out.append((int(r), planes(keys[used]), planes(n[used]), planes(n_hot[used]), planes(at.astype(np.uint32)), planes(step)))
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)],
-                        ["r", "keys", "sizes", "hot", "cls", "fps"])
+        for h, edge in portions(batches, k):
+            rows, keys, entry, cls = classes_of(h, edge)
+            fp = h[entry] >> FP
+            warm = _among(hot_fp, fp)
+            n = np.diff(edge)[rows].astype(np.uint32)
+            n_hot = np.bincount(cls[warm], minlength=len(rows)).astype(np.uint32)
+            fp, cls = fp[~warm], cls[~warm]
+            order = np.argsort(fp, kind="stable")
+            fp, cls = fp[order], cls[order]
+            cut = np.searchsorted(fp, lows)
+            out = []
+            for r in np.flatnonzero(np.diff(cut)):
+                f, c = fp[cut[r]:cut[r + 1]], cls[cut[r]:cut[r + 1]]
+                used, at = np.unique(c, return_inverse=True)
+                step = np.diff(f, prepend=lows[r]).astype(np.uint32 if ranges > 256 else np.uint64)
+                out.append((int(r), planes(keys[used]), planes(n[used]), planes(n_hot[used]), planes(at.astype(np.uint32)), planes(step)))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)],
+                    ["r", "keys", "sizes", "hot", "cls", "fps"])
 
     return run
 
@@ -261,21 +279,20 @@ def _prefixes(percent: int):
 def _hot_postings(k: int, percent: int, hot):
     """Postings of hot shingles, of classes whose prefix reaches them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, h, edge in big_slices(batch.column("text"), k):
-                rows, keys, entry, cls = classes_of(h, edge)
-                fp = h[entry] >> FP
-                warm = np.flatnonzero(_among(hot.value, fp))
-                n = np.diff(edge)[rows]
-                cold = n - np.bincount(cls[warm], minlength=len(rows))
-                c = cls[warm]                       # sets are sorted, so fingerprints are too
-                start = np.searchsorted(c, c)
-                place = cold[c] + np.arange(len(c)) - start
-                keep = place < prefix_length(n, percent)[c]
-                c, f, place = c[keep], fp[warm][keep], place[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(f.astype(np.int64)), pa.array(keys[c].view(np.int64)), pa.array(n[c].astype(np.int32)),
-                     pa.array(place.astype(np.int32))], ["fp", "key", "n", "place"])
+        for h, edge in portions(batches, k):
+            rows, keys, entry, cls = classes_of(h, edge)
+            fp = h[entry] >> FP
+            warm = np.flatnonzero(_among(hot.value, fp))
+            n = np.diff(edge)[rows]
+            cold = n - np.bincount(cls[warm], minlength=len(rows))
+            c = cls[warm]                       # sets are sorted, so fingerprints are too
+            start = np.searchsorted(c, c)
+            place = cold[c] + np.arange(len(c)) - start
+            keep = place < prefix_length(n, percent)[c]
+            c, f, place = c[keep], fp[warm][keep], place[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(f.astype(np.int64)), pa.array(keys[c].view(np.int64)), pa.array(n[c].astype(np.int32)),
+                 pa.array(place.astype(np.int32))], ["fp", "key", "n", "place"])
 
     return run
 
@@ -313,7 +330,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percen
     one = written(rows.join(small(needed), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("r"))
                   .select(F.col("r.doc_id").alias("_d"), F.col("r.th").alias("_t")), "one")
     sets = (docs.join(small(one), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left_semi")
-            .select("text").mapInArrow(_full_sets(k), "key bigint, shingles array<bigint>").dropDuplicates(["key"]))
+            .select("text").mapInArrow(tidy(_full_sets(k)), "key bigint, shingles array<bigint>").dropDuplicates(["key"]))
     x, y = sets.withColumnRenamed("key", "a"), sets.select(F.col("key").alias("b"), F.col("shingles").alias("others"))
     size = F.size(F.array_intersect("shingles", "others"))
     return (pairs.join(x, "a").join(y, "b")
@@ -329,11 +346,11 @@ def _postings(docs: DataFrame, k: int, percent: int, n_rows: int, entries: int,
     shared_hot = spark.sparkContext.broadcast(hot)
     ranges = max(32, -(-entries // RANGE_ENTRIES))
     compact = "keys binary, sizes binary, hot binary, "
-    found = (texts.mapInArrow(_scan_entries(k, ranges, shared_hot), f"r int, {compact}cls binary, fps binary")
-             .groupBy("r").applyInArrow(_shared(ranges, ranges), f"b int, {compact}times binary, fps binary, ranks binary")
-             .groupBy("b").applyInArrow(_prefixes(percent), POSTING))
+    found = (texts.mapInArrow(tidy(_scan_entries(k, ranges, shared_hot)), f"r int, {compact}cls binary, fps binary")
+             .groupBy("r").applyInArrow(tidy(_shared(ranges, ranges)), f"b int, {compact}times binary, fps binary, ranks binary")
+             .groupBy("b").applyInArrow(tidy(_prefixes(percent)), POSTING))
     if len(hot):
-        of_hot = texts.mapInArrow(_hot_postings(k, percent, shared_hot), POSTING)
+        of_hot = texts.mapInArrow(tidy(_hot_postings(k, percent, shared_hot)), POSTING)
         found = found.unionByName(of_hot.groupBy("fp", "key").agg(*[F.first(c).alias(c) for c in ("n", "place")]))
     signs = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in SIGNS])
     return written(found.join(signs, "key").select(*COLUMNS), "postings")
@@ -342,8 +359,9 @@ def _postings(docs: DataFrame, k: int, percent: int, n_rows: int, entries: int,
 def linked(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, th, n, component) of each row of ``documents(doc_id, text)``: th is the hash of
     the text, n the size of its set, and equal components are linked; null for empty sets."""
+    limit_batches(documents.sparkSession)
     docs = need(documents, doc_id="bigint", text="string").withColumn("th", F.xxhash64("text"))
-    scan = written(docs.mapInArrow(_scan_keys(k), "kind int, a bigint, b bigint, c bigint, d bigint" + "".join(f", {c} bigint" for c in SIGNS)), "keys")
+    scan = written(docs.mapInArrow(tidy(_scan_keys(k)), "kind int, a bigint, b bigint, c bigint, d bigint" + "".join(f", {c} bigint" for c in SIGNS)), "keys")
     rows = scan.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("th"), F.col("c").alias("key"), F.col("d").alias("n"), *SIGNS)
     n_rows, entries = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     common = scan.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("n"))

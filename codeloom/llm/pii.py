@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from codeloom.session import table
 
-from .common import need, text_buffer, tidy
+from .common import limit_batches, need, text_buffer, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 400
@@ -460,6 +460,7 @@ def _search(model: dict | None):
 def find_personal_data(documents: DataFrame, model: dict | None) -> DataFrame:
     """(doc_id, counts of base spans by kind, base_sha256, spans, n_added) of each row."""
     schema = "doc_id bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, n_added bigint"
+    limit_batches(documents.sparkSession)
     return need(documents, doc_id="bigint", text="string").mapInArrow(tidy(_search(model)), schema)
 
 

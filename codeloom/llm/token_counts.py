@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from codeloom.session import table
 
-from .common import need
+from .common import limit_batches, need
 
 LEAF = 64
 CACHE = 400_000      # pre-tokens whose count a worker keeps
@@ -304,6 +304,7 @@ def edited_counts(documents: DataFrame, ranks_file: str, pattern: str, edits_of:
         _, tree, encoded = edit(text, tree, edits, counter)
         return r["doc_id"], n_pieces, before, len(edits), encoded, tree.tokens[1]
 
+    limit_batches(documents.sparkSession)
     return need(documents, doc_id="bigint", text="string").mapInArrow(
         _rows(COUNTS, make), ", ".join(f"{c} bigint" for c in COUNTS))
 

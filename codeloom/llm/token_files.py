@@ -39,14 +39,14 @@ from pyspark.sql import functions as F
 
 from codeloom.session import table
 
-from .common import need, scratch, slices, text_buffer, word_bounds, word_hashes
+from .common import limit_batches, need, scratch, slices, text_buffer, tidy, word_bounds, word_hashes
 
 MAGIC = b"TKEF"
 HEAD = struct.Struct("<4sIIQQBBHQ")
 SEGMENT_IDS = 1 << 20     # ids of a segment, unless one document has more
-FILE_SEGMENTS = 8         # segments of a file
+FILE_SEGMENTS = 4         # segments of a file
 SAMPLE = 256              # one select sample for so many boundaries
-CACHE_PIECES = 2_000_000  # encoded pieces that a worker keeps, about 30 bytes each
+CACHE_PIECES = 1_000_000  # encoded pieces that a worker keeps, about 30 bytes each
 
 
 # ------------------------------------------------------------------------- Elias-Fano
@@ -137,7 +137,7 @@ class Segment:
         return (get(i - 1) if i else 0), get(i)
 
 
-def segments(content: bytes) -> Iterator[Segment]:
+def segments(content) -> Iterator[Segment]:
     data, at = memoryview(content), 0
     while at < len(data):
         one = Segment(data, at)
@@ -167,9 +167,9 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.main, self.recent = none, none     # (sorted hashes, their numbers)
-        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, self.dtype)
+        self.at, self.ids = np.zeros(1, np.int32), np.zeros(0, self.dtype)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each hash in the cache, -1 if it isn't there."""
@@ -185,9 +185,9 @@ class PieceEncoder:
         for i in range(0, len(texts), 1000):
             got += [x.ids for x in self.tokenizer.encode_batch_fast(texts[i:i + 1000], add_special_tokens=False)]
         first = len(self.at) - 1
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in got])])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in got], dtype=np.int32)])
         self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], self.dtype)])
-        add = hashes, np.arange(first, first + len(texts))
+        add = hashes, np.arange(first, first + len(texts), dtype=np.int32)
         joined = [np.concatenate(x) for x in zip(self.recent, add, strict=True)]
         if len(joined[0]) > 1 << 16:
             joined = [np.concatenate(x) for x in zip(self.main, joined, strict=True)]
@@ -216,7 +216,7 @@ class PieceEncoder:
             self.learn(seen[new], [raw[start[i]:end[i]].decode() for i in at[new]])
             number = self.numbers(seen)
         number = number[back]
-        from_ids = self.at[number]
+        from_ids = self.at[number].astype(np.int64)
         n_ids = self.at[number + 1] - from_ids
         before = np.zeros(len(number) + 1, np.int64)
         np.cumsum(n_ids, out=before[1:])
@@ -260,7 +260,7 @@ def _segment_rows(tokenizer_file: str, end_id: int, segment_ids: int):
 
         for batch in batches:
             data, bounds = text_buffer(batch.column("text"))
-            for a, b in slices(bounds, 1 << 20):
+            for a, b in slices(bounds):
                 docs = batch.column("doc_id").slice(a, b - a).to_pylist()
                 ids, ends = encoder.encode(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a], end_id)
                 if held and size + len(ids) > segment_ids:
@@ -280,18 +280,19 @@ def write_token_files(documents: DataFrame, path: str, tokenizer_file: str, end_
     The texts are dealt out by ranges of doc_id (rows of one doc_id also by their text) and
     sorted within a range; a task encodes its range segment by segment."""
     spark = documents.sparkSession
+    limit_batches(spark)
     docs = need(documents, doc_id="bigint", text="string").withColumn("h", F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = (docs.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
             .select("doc_id", "text")
-            .mapInArrow(_segment_rows(tokenizer_file, end_id, segment_ids), "part int, segment int, ids bigint, content binary"))
+            .mapInArrow(tidy(_segment_rows(tokenizer_file, end_id, segment_ids)), "part int, segment int, ids bigint, content binary"))
     rows.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
 def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
-            for s in segments(content.as_py()):
+            for s in segments(content.as_buffer()):
                 ends = s.ends()
                 starts = np.concatenate([[0], ends[:-1]])
                 raw = s.ids.astype("<u4")
@@ -305,7 +306,7 @@ def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _read_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [(s.part, s.number, len(s.ids)) for c in batch.column("content") for s in segments(c.as_py())]
+        got = [(s.part, s.number, len(s.ids)) for c in batch.column("content") for s in segments(c.as_buffer())]
         yield pa.RecordBatch.from_pydict(dict(zip(("part", "segment", "n"), map(list, zip(*got, strict=True)), strict=True)) if got
                                          else {"part": [], "segment": [], "n": []},
                                          pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n", pa.int64())]))
@@ -314,7 +315,7 @@ def _read_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files under ``path``."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    rows = files.mapInArrow(_read_segments, "part int, segment int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = files.mapInArrow(tidy(_read_segments), "part int, segment int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
     sizes = files.mapInArrow(_read_heads, "part int, segment int, n bigint")
     # Ids before a segment: those of earlier parts, then of earlier segments of its part.
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))

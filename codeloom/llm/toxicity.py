@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from codeloom.session import table
 
-from .common import mix, slices, text_buffer
+from .common import limit_batches, mix, slices, text_buffer, tidy
 
 SAMPLE = 1500          # labelled texts of either class that the model is fitted on
 LANDMARKS = 160
@@ -322,7 +322,7 @@ def _score(model: tuple[np.ndarray, float, float, float]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = text_buffer(batch.column("text"))
+            data, bounds = text_buffer(batch.column("row").field("text").cast(pa.large_string()))
             best = np.full(batch.num_rows, -2.0)
             for a, b in slices(bounds, 1 << 20):
                 letters, begin, text, _ = words_of(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a])
@@ -334,8 +334,9 @@ def _score(model: tuple[np.ndarray, float, float, float]):
 
 def score(documents: DataFrame, model: tuple) -> DataFrame:
     """The rows of ``documents`` as a struct ``row`` with the text's score."""
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(model), rows.select("row", F.lit(0.0).alias("score")).schema)
+    limit_batches(documents.sparkSession)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    return rows.mapInArrow(tidy(_score(model)), rows.select("row", F.lit(0.0).alias("score")).schema)
 
 
 def clean_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:

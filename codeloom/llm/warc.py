@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from codeloom.session import table
 
-from .common import need, scratch, small, written
+from .common import limit_batches, need, scratch, small, written
 
 SEGMENT = 16 << 10        # bytes of a record's block
 CHUNK = 4 << 10           # bytes of a chunk of the transfer framing
@@ -181,6 +181,7 @@ def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write ``pages(page_id, url, html)`` as WARC files under ``path``."""
+    limit_batches(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = need(pages, page_id="bigint", url="string", html="string").withColumn("digest", F.sha2(html, 256))
     first = (rows.where(F.octet_length(html) >= MIN_REVISIT).groupBy("digest")
