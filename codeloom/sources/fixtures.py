@@ -7,7 +7,7 @@ given tables, so their size grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.session import checked_broadcast, materialize, spread, table
@@ -53,9 +53,11 @@ SYNONYMS = [
 def golden_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(query_id, repo_id, question, expected_symbols)``: every golden question asked in
     every repository of the derived Python files."""
+    golden = F.array(*[F.struct(F.lit(i + 1).alias("g"), F.lit(q).alias("question"), F.array(*[F.lit(s) for s in syms]).alias("expected_symbols"))
+                       for i, (q, syms) in enumerate(GOLDEN_QA)])
     regions = table(spark, sf_dir, "nation").select("n_regionkey").distinct()
-    return golden_df(spark).join(F.broadcast(regions)).select(
-        (F.col("query_id") * 1000 + F.col("n_regionkey")).cast("long").alias("query_id"),
+    return regions.select("n_regionkey", F.inline(golden)).select(
+        (F.col("g") * 1000 + F.col("n_regionkey")).cast("long").alias("query_id"),
         F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("repo_id"), "question", "expected_symbols")
 
 
@@ -99,13 +101,13 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``queries(query_id, repo_id, question)`` from the ``benchmark`` table: item i asks the
     i-th repository (modulo their number), in order of name.  Every third question ends in
     a keyword of the synonym dictionary, each keyword in turn."""
-    repos = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("source is not null")
-    repos = repos.agg(F.array_sort(F.collect_list("source")).alias("repos"))   # one row, a name per repository
-    b = table(spark, sf_dir, "benchmark").join(F.broadcast(repos), F.lit(True))
+    repos = materialize(table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id")).where("source is not null").distinct(), "repos")
+    repos = repos.withColumn("_i", F.row_number().over(Window.orderBy("repo_id")) - 1)
+    b = table(spark, sf_dir, "benchmark").withColumn("_i", F.pmod(F.col("item_id"), F.lit(max(1, repos.count()))).cast("int")).join(repos, "_i")
     keyword = F.get(F.array(*[F.lit(kw) for kw, _ in SYNONYMS]), F.pmod(F.floor(F.col("item_id") / 3), F.lit(len(SYNONYMS))).cast("int"))
     return b.select(
         F.col("item_id").alias("query_id"),
-        F.get("repos", F.pmod(F.col("item_id"), F.size("repos")).cast("int")).alias("repo_id"),
+        "repo_id",
         F.when(F.pmod("item_id", F.lit(3)) == 0, F.concat("text", F.lit(" "), keyword)).otherwise(F.col("text")).alias("question"),
     )
 
