@@ -61,15 +61,14 @@ def fitting_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return text, verdict
 
 
-def _shrunk(level: DataFrame, parent: DataFrame, on: list[str]) -> DataFrame:
-    """``level`` with the parent's posterior mean ``m`` and this level's prior strength ``k``."""
-    rows = level.join(parent.withColumnRenamed("mean", "m"), on) if on else level.crossJoin(F.broadcast(parent.withColumnRenamed("mean", "m")))
+def _shrunk(rows: DataFrame) -> tuple[DataFrame, float]:
+    """``rows(n, b, m)`` with their posterior mean, and this level's prior strength k."""
     spread = F.col("m") * (1 - F.col("m"))
-    fit = rows.agg(F.sum(F.pow(F.col("b") - F.col("n") * F.col("m"), F.lit(2.0)) - F.col("n") * spread).alias("over"),
-                   F.sum(F.col("n") * (F.col("n") - 1) * spread).alias("pairs"))
-    rho = F.least(F.lit(0.99), F.greatest(F.lit(1 / (1 + MOST)), F.col("over") / F.col("pairs")))
-    fit = fit.select(F.when(F.col("pairs") > 0, 1 / rho - 1).otherwise(F.lit(1.0)).alias("k"))  # one row
-    return rows.crossJoin(F.broadcast(fit)).withColumn("mean", (F.col("b") + F.col("k") * F.col("m")) / (F.col("n") + F.col("k")))
+    over, pairs = rows.agg(F.sum(F.pow(F.col("b") - F.col("n") * F.col("m"), F.lit(2.0)) - F.col("n") * spread),
+                           F.sum(F.col("n") * (F.col("n") - 1) * spread)).first()
+    rho = min(0.99, max(1 / (1 + MOST), over / pairs)) if pairs else 0.5
+    k = 1 / rho - 1 if pairs else 1.0
+    return rows.withColumn("mean", (F.col("b") + F.lit(k) * F.col("m")) / (F.col("n") + F.lit(k))), k
 
 
 def host_reputation(hosts: DataFrame) -> DataFrame:
@@ -80,12 +79,11 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
              .withColumn("domain", F.array_join(F.slice(label, F.greatest(F.lit(1), F.size(label) - 1), 2), ".")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    everything = suffixes.agg(((F.coalesce(F.sum("b"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("mean"))
-    suffixes = _shrunk(suffixes, everything, [])
-    domains = _shrunk(domains, suffixes.select("suffix", "mean"), ["suffix"])
-    hosts = _shrunk(hosts, domains.select("domain", "mean"), ["domain"])
-    weight = F.col("n") + F.col("k")
-    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (weight + 1))
+    bad, all_ = suffixes.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    suffixes, _ = _shrunk(suffixes.withColumn("m", F.lit((bad + 0.5) / (all_ + 1.0))))
+    domains, _ = _shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("m")), "suffix"))
+    hosts, k = _shrunk(hosts.join(domains.select("domain", F.col("mean").alias("m")), "domain"))
+    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.lit(k + 1)))
     return hosts.select("host", "mean", (F.col("mean") - F.lit(Z) * sd).alias("bound"))
 
 
