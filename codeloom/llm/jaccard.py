@@ -51,8 +51,8 @@ from .common import limit_batches, mix, need, sets_of, small, tidy, written
 from .components import components
 
 HOT_SHARE = 1024       # a shingle is hot from 1 / HOT_SHARE of the rows on
-RANGE_ENTRIES = 1 << 20
-BLOB_BYTES = 6 << 20   # text bytes behind one round of compact rows
+RANGE_ENTRIES = 2 << 20
+BLOB_BYTES = 8 << 20  # text bytes behind one round of compact rows
 SIGN = 4               # 64-bit words of a set's signature in the suffix filter
 SIGNS = [f"s{j}" for j in range(SIGN)]
 STARS = 2              # rounds of pairs with one class of each list
