@@ -5,15 +5,20 @@ or the whole sequence if it has fewer words, as a multiset of 64-bit hashes.  An
 words is leaked where a window of n words of a document has weighted Jaccard similarity (sum of
 the smaller by sum of the larger multiplicities) of at least ``SIMILARITY`` with it.
 
-1. Windows.  Only windows that share a shingle with an item can reach the threshold, so the
-   items' distinct shingles meet those of all documents in a join, and each meeting at offset o
-   of an item and position p of a document gives the item-sized window that starts at p - o,
-   clipped to the document.
+1. Windows.  The items' distinct shingles meet those of all documents in a join.  For a document
+   and an item size, the sorted positions that hold a shingle of such an item give every start
+   whose window, clipped to the document, holds enough of them to reach the threshold: with m
+   shingles against the item's k, at least SIMILARITY / (1 + SIMILARITY) * (m + k).  The order of
+   the item's parts does not matter.  A window is aligned if it starts at p - o for a shingle at
+   position p of the document and offset o of an item.
 2. Fingerprints.  Every window and item gets a 64-bit SimHash of its shingle multiset.
 3. Candidates.  Fingerprints are cut into RADIUS + 1 blocks; two within RADIUS bits agree in a
    block, so the join on (size, block, value) finds all of them, once per pair.
 4. Verification.  The exact similarity is taken from the two shingle multisets.
 
+Of a pair's windows that reach the threshold, whole or aligned ones go before the other clipped
+ones; then the most similar, an aligned one, the first and the longest is reported.
+
 At similarity 0.8 the expected distance is 10 of 64 bits with deviation 3; RADIUS 23 leaves a
 miss below 1e-5 at the threshold and less above it.
 
@@ -76,6 +81,29 @@ def common_shingles(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, h: s + F.least(times(a, h), times(b, h)))
 
 
+def enough(m: Column, k: Column) -> Column:
+    """Shared shingles that m shingles against k need for SIMILARITY."""
+    return F.ceil((m + k) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9).cast("int")
+
+
+def window_codes(at: Column, n: Column, size: Column) -> Column:
+    """start_word * (size + 1) + n_words of every window, clipped to a document of n words, that
+    holds enough of the sorted shingle positions ``at``."""
+    k, all_ = F.greatest(F.lit(1), size - K + 1), F.greatest(F.lit(1), n - K + 1)
+    code = lambda start, length: start.cast("bigint") * (size + 1) + length
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    need_ = enough(k, k)
+    # Whole windows: those with the i-th to (i + need - 1)-th position that the run of i - 1 has not given.
+    run = lambda i: span(F.greatest(F.lit(0), F.get(at, i + need_ - 1) - k + 1, F.get(at, i - 1) + 1), F.least(all_ - k, F.get(at, i)))
+    whole = F.transform(F.flatten(F.transform(span(F.lit(0), F.size(at) - need_), run)), lambda s: code(s, size))
+    # Windows of m < k shingles at the start and at the end of the document.
+    cut = span(F.ceil(k * SIMILARITY - 1e-9).cast("int"), F.least(k - 1, all_))
+    first = F.filter(cut, lambda m: F.coalesce(F.get(at, enough(m, k) - 1) < m, F.lit(False)))
+    last = F.filter(cut, lambda m: F.coalesce(F.get(at, F.size(at) - enough(m, k)) >= all_ - m, F.lit(False)))
+    return F.array_distinct(F.concat(whole, F.transform(first, lambda m: code(F.lit(0), m + K - 1)),
+                                     F.transform(last, lambda m: code(all_ - m, m + K - 1))))
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, th, item_id, start_word, n_words, similarity): the best window of each leaked
     item in each document; th is the hash of the document's text."""
@@ -86,20 +114,26 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     met = (with_shingles(docs).select("doc_id", "th", "n", F.posexplode_outer("sh").alias("p", "h"))
            .join(small(offsets), "h").where((F.col("size") >= K) | (F.col("n") == F.col("size")))
-           .select("doc_id", "th", "n", "size", (F.col("p") - F.col("o")).alias("s")).dropDuplicates())
+           .groupBy("doc_id", "th", "n", "size").agg(F.sort_array(F.collect_set("p")).alias("at"), F.collect_set(F.col("p") - F.col("o")).alias("starts")))
+    codes = window_codes(F.col("at"), F.col("n"), F.col("size"))
+    start = lambda s: F.greatest(F.lit(0), s)
+    aligned = F.transform("starts", lambda s: start(s).cast("bigint") * (F.col("size") + 1) + F.least(F.col("n"), s + F.col("size")) - start(s))
+    met = (met.where(F.size("at") >= SIMILARITY * (F.col("size") - K + 1) - 1e-9)
+           .select("doc_id", "th", "size", codes.alias("codes"), aligned.alias("aligned")).where(F.size("codes") > 0))
     met = written(met, "met")
 
     # Texts with windows once more, to cut the windows out of them.
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
     hit = small(written(met.select("doc_id", "th").dropDuplicates(), "hit"))
     texts = with_shingles(docs.join(hit, same(docs, hit), "left_semi").dropDuplicates(["doc_id", "th"]))
-    start = F.greatest(F.lit(0), F.col("s"))
-    n = F.least(F.col("n"), F.col("s") + F.col("size")) - start
-    windows = (met.join(texts.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "sh"),
-                        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-               .select("doc_id", "th", "size", start.alias("start_word"), n.alias("n_words"),
+    flag = lambda codes, value: F.transform(codes, lambda c: F.struct(c.alias("code"), F.lit(value).alias("aligned")))
+    both = F.concat(flag(F.array_intersect("codes", "aligned"), True), flag(F.array_except("codes", "aligned"), False))
+    start, n = F.expr("int(code div (size + 1))"), F.expr("int(code % (size + 1))")
+    windows = (met.select("doc_id", "th", "size", F.inline_outer(both))
+               .join(texts.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "sh"),
+                     F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+               .select("doc_id", "th", "size", "aligned", start.alias("start_word"), n.alias("n_words"),
                        F.slice("sh", start + 1, F.greatest(F.lit(1), n - K + 1)).alias("sh"))
-               .where("n_words > 0").dropDuplicates(["doc_id", "th", "size", "start_word", "n_words"])
                .withColumn("print", simhash(F.col("sh"))))
     windows = written(windows, "windows")
 
@@ -111,13 +145,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
              .select("doc_id", "th", "size", "start_word", "n_words", "item_id").dropDuplicates())
     shared = common_shingles(F.col("sh"), F.col("item_sh"))
     both = (found.join(windows.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("size").alias("z"),
-                                      F.col("start_word").alias("b"), F.col("n_words").alias("c"), "sh"),
+                                      F.col("start_word").alias("b"), F.col("n_words").alias("c"), "aligned", "sh"),
                        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("size") == F.col("z"))
                        & (F.col("start_word") == F.col("b")) & (F.col("n_words") == F.col("c")))
             .join(marks.select("item_id", "item_sh", "size"), ["item_id", "size"])
             .withColumn("shared", shared)
             .withColumn("similarity", F.col("shared") / (F.size("sh") + F.size("item_sh") - F.col("shared"))))
-    best = F.max(F.struct("similarity", (-F.col("start_word")).alias("b"), F.col("n_words")))
+    first = F.col("aligned") | (F.col("n_words") == F.col("size"))
+    best = F.max(F.struct(first.alias("f"), "similarity", "aligned", (-F.col("start_word")).alias("b"), F.col("n_words")))
     return (both.where(F.col("similarity") >= SIMILARITY).groupBy("doc_id", "th", "item_id").agg(best.alias("x"))
             .select("doc_id", "th", "item_id", (-F.col("x.b")).alias("start_word"), F.col("x.n_words").alias("n_words"), "x.similarity"))
 

@@ -65,6 +65,46 @@ def test_against_every_window(spark):
     assert got(spark, docs, items) == plain(docs, items)
 
 
+def all_starts(docs, items):
+    """The best similarity of each pair over the windows at every start, clipped or not, and of the whole ones."""
+    out = {}
+    for d, t in docs:
+        w = words(t)
+        for i, it in items:
+            v, size = shingles(words(it)), len(words(it))
+            for s in range(1 - size, len(w)):
+                x = shingles(w[max(0, s):s + size])
+                shared = sum((x & v).values())
+                sim = shared / (sum(x.values()) + sum(v.values()) - shared)
+                if sim >= 0.8:
+                    whole = 0 <= s <= len(w) - size
+                    best = out.get((d, i), (0, 0))
+                    out[d, i] = max(best[0], sim), max(best[1], sim if whole else 0)
+    return out
+
+
+def test_reordered_items(spark):
+    """Windows that hold an item's parts in another order, also cut off at the text's edges."""
+    rng = np.random.default_rng(3)
+    text = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    items = [text(n) for n in (59, 45, 80, 59)]
+    docs = []
+    for d in range(48):
+        w = items[d % 4]
+        cut = sorted(rng.integers(5, len(w) - 5, 1 + d % 2).tolist())
+        parts = [w[a:b] for a, b in zip([0, *cut], [*cut, len(w)], strict=True)][::-1]
+        w = sum(parts, [])
+        before, after = text(int(rng.integers(0, 60)) * (d % 3 > 0)), text(int(rng.integers(0, 60)) * (d % 5 > 0))
+        docs.append((d, " ".join(before + w[(d % 3 == 0) * (d % 4):len(w) - (d % 5 == 0) * (d % 4)] + after)))
+    docs.append((100, " ".join(text(20) + items[0][30:] + items[0][:30] + text(20))))
+    items = [(i, " ".join(w)) for i, w in enumerate(items)]
+    want, out = all_starts(docs, items), got(spark, docs, items)
+    assert (100, 0) in out and not plain([docs[-1]], items)
+    assert len(out) > 20 and set(out) == set(want)
+    for pair, (sim, _) in out.items():
+        assert round(want[pair][1], 9) <= sim <= round(want[pair][0], 9)
+
+
 def test_leaky_long_text_repeated_rows_and_empty_tables(spark):
     item = "the quick brown fox jumps over the lazy dog by the old stone bridge at noon"
     docs = [(1, "filler " * 50_000 + item), (2, item), (2, item), (None, item), (3, "clean text of no interest whatsoever to us")]
