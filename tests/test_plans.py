@@ -95,6 +95,23 @@ def test_ivf_recall_and_repositories(vectors, queries):
     assert len(some & exact) / len(exact) >= 0.6
 
 
+def test_registered_probes_reach_the_recall(spark):
+    import codeloom.plans.catalog as C
+    sf = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    index = ivf_build(e, C.IVF_CELLS, id_col="vec_id")
+    by_id = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    asked = C._bench_qvecs(spark, sf)
+    exact = cosine_topk(e.select(F.lit("r").alias("repo_id"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), by_id.withColumn("repo_id", F.lit("r")), 10)
+    exact = {(r.query_id, int(r.chunk_id)) for r in exact.collect()}
+    found = {(r.query_id, r.id) for r in ivf_topk(index, by_id, 10, C.IVF_PROBES).collect()}
+    assert C.ivf_found(index, by_id).first().recall == pytest.approx(len(found & exact) / len(exact)) and len(found & exact) >= 0.9 * len(exact)
+    assert C.ivf_found(index, asked).first().recall >= 0.9
+    probed = {(r.query_id, r.vec_id) for r in C.q_ivf_topk_nprobe4(spark, sf).collect()}
+    full = {(r.query_id, r.id) for r in ivf_topk(index, asked, 10, C.IVF_CELLS).collect()}
+    assert len(probed & full) >= 0.9 * len(full)
+
+
 def test_checkpoint_folder_must_be_shared(monkeypatch, spark):
     class Other:
         master = "spark://somewhere:7077"
