@@ -27,6 +27,8 @@ from codeloom.session import materialize
 
 # Fixed value that must equal the reference: files over this many bytes are skipped.
 MAX_FILE_BYTES = 500_000
+# Removed or unreadable meanwhile; any other error fails the task, which Spark then retries.
+SKIPPED = (FileNotFoundError, PermissionError)
 
 
 def keep_source_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, path_col: str = "path") -> DataFrame:
@@ -56,7 +58,7 @@ def _list(root: str):
             for d in batch.column("path").to_pylist():
                 try:
                     found = fs.get_file_info(pa.fs.FileSelector(f"{base}/{d}".rstrip("/")))
-                except OSError:  # removed or unreadable meanwhile
+                except SKIPPED:
                     continue
                 prefix = f"{d}/" if d else ""
                 yield pa.RecordBatch.from_arrays(
@@ -75,7 +77,7 @@ def _read(root: str):
                 try:
                     with fs.open_input_stream(f"{base}/{path}") as f:
                         content = f.read()
-                except OSError:
+                except SKIPPED:
                     continue
                 row = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], [*row.schema.names, "content"])

@@ -1,11 +1,14 @@
 """File scan, per-repository overwrite, report sink, flat metadata round trip, and
 query expansion with a dictionary table."""
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators.evaluate import report, write_report
 from codeloom.operators.expand import expand_queries
 from codeloom.operators.metadata import flat_metadata, from_flat
+from codeloom.sources import files
 from codeloom.sources.files import scan_sources
 from codeloom.sources.fixtures import synonyms_df
 from codeloom.sources.store import replace_repo
@@ -31,6 +34,26 @@ def test_scan_sources(spark, tmp_path):
     assert got["pkg/bad.js"] == ("javascript", "const s = 'ok';\n")
 
 
+@pytest.mark.parametrize("task", [files._list, files._read])
+def test_only_missing_and_forbidden_files_are_skipped(monkeypatch, task):
+    class Store:
+        def __init__(self, error):
+            self.error = error
+
+        def get_file_info(self, _):
+            raise self.error
+
+        open_input_stream = get_file_info
+
+    rows = pa.RecordBatch.from_pydict({"path": ["a"]})
+    for error in (FileNotFoundError("a"), PermissionError("a")):
+        monkeypatch.setattr(files, "file_system", lambda _, e=error: (Store(e), "/r"))
+        assert list(task("/r")(iter([rows]))) == []
+    monkeypatch.setattr(files, "file_system", lambda _: (Store(OSError("timed out")), "/r"))
+    with pytest.raises(OSError, match="timed out"):
+        list(task("/r")(iter([rows])))
+
+
 def test_replace_repo_only_touches_its_partitions(spark, tmp_path):
     path = str(tmp_path / "index")
     mk = lambda rows: spark.createDataFrame(rows, "repo_id string, chunk_id string, content string")
