@@ -1,12 +1,16 @@
 """Global dictionary encoding of words without a broadcast dictionary.
 
-A shard is a slice of rows of bounded size.  Its words get local numbers first; only one row
-per shard and distinct word is shuffled, so no word, however frequent, makes a hot key.  The
-dictionary's numbers come back as one array per shard.
+A shard is a slice of rows of bounded size.  Its distinct words get local numbers in the order
+of their hashes, so the words of any hash range are one run.  Each shard sends one compact row
+per range; a task per range (about RANGE_WORDS words, whatever the size of the corpus) numbers
+its words and answers each shard with one array.  A word, however frequent, comes at most once
+from a shard, so no key is hot; offsets of the ranges make the numbers dense.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -14,9 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import limit_batches, scratch, small, written
+from .common import limit_batches, scratch, small, text_buffer, tidy, word_hashes
 
 SHARD_BYTES = 4 << 20
+RANGE_WORDS = 1 << 20
+VOCABULARY = "words binary, sizes binary, times binary"   # of a shard: UTF-8 bytes, int32 lengths, int32 counts
+_DEALT = "range int, shard bigint, start int, " + VOCABULARY
+_NUMBERED = "range int, shard bigint, start int, ids binary, " + VOCABULARY
 
 
 def limit_bytes(spark: SparkSession) -> None:
@@ -25,7 +33,7 @@ def limit_bytes(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SHARD_BYTES))
 
 
-def shard_numbers():
+def shard_numbers() -> Iterator[int]:
     """Numbers that no other task of the same stage gives; the table that holds them is written
     once and read from there."""
     n = TaskContext.get().partitionId() << 32
@@ -34,17 +42,6 @@ def shard_numbers():
         n += 1
 
 
-def local_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """The local number of every word data[start:end], and the distinct words in that order."""
-    size = end - start
-    offsets = np.zeros(len(size) + 1, np.int64)
-    np.cumsum(size, out=offsets[1:])
-    take = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
-    words = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(data[take].tobytes()))
-    coded = words.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-
-
 def zstd(df: DataFrame, name: str) -> DataFrame:
     """``written`` with the compression that suits packed arrays."""
     path = scratch(df.sparkSession, name)
@@ -52,29 +49,110 @@ def zstd(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dictionary(counted: DataFrame) -> DataFrame:
-    """Rows of ``counted`` with a dense ``id`` from 0.  Rows are numbered inside the written
-    table's partitions; partitions are offset by the counts of those before them."""
-    rows = written(counted.withColumn("_at", F.monotonically_increasing_id()), "dictionary")
-    part, nth = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth")
-    rows = rows.select(*counted.columns, part, nth)
-    # One row per partition of the dictionary: the window is over partitions, not over words.
-    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_part", (F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_from"))
-    return rows.join(F.broadcast(parts), "_part").select(*counted.columns, (F.col("_from") + F.col("_nth")).alias("id"))
-
-
-def columns(vocabulary: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """(shard, map array<struct<local, id>>): the global numbers of a shard's words.
-    ``vocabulary(shard, local, *keys)`` has one row per shard and word; ``words(*keys, id)`` is
-    a written table, broadcast only while it is small."""
-    return (vocabulary.join(small(words.select(*keys, "id")), keys)
-            .groupBy("shard").agg(F.collect_list(F.struct("local", "id")).alias("map")))
-
-
-def lookup(entry: pa.Array, size: int) -> np.ndarray:
-    """The global number of every local one, -1 where the dictionary has none."""
-    out = np.full(size, -1, np.int64)
-    if entry is not None and len(entry):
-        out[entry.field("local").to_numpy(zero_copy_only=False)] = entry.field("id").to_numpy(zero_copy_only=False)
-    return out
+def _strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data, bounds = text_buffer(words)
+    return word_hashes(data, bounds[:-1], bounds[1:], False), data, np.diff(bounds)
+
+
+def local_words(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, tuple[bytes, bytes, bytes]]:
+    """The local number of every word (``data`` holds their bytes one after the other), and the
+    shard's vocabulary in that order."""
+    coded = _strings(data, sizes).dictionary_encode()
+    order = np.argsort(_hashes(coded.dictionary)[0], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    local = place[coded.indices.to_numpy(zero_copy_only=False)]
+    blob, bounds = text_buffer(coded.dictionary.take(pa.array(order)))
+    times = np.bincount(local, minlength=len(order))
+    return local, (blob.tobytes(), np.diff(bounds).astype("<i4").tobytes(), times.astype("<i4").tobytes())
+
+
+def _deal(ranges: int):
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["range", "shard", "start", "words", "sizes", "times"]
+        for batch in batches:
+            for shard, words, sizes, times in zip(*[batch.column(c).to_pylist() for c in ("shard", "words", "sizes", "times")]):
+                size, words, times = np.frombuffer(sizes, "<i4"), np.frombuffer(words, np.uint8), np.frombuffer(times, "<i4")
+                bounds = np.zeros(len(size) + 1, np.int64)
+                np.cumsum(size, out=bounds[1:])
+                h = word_hashes(words, bounds[:-1], bounds[1:], False)
+                cut = np.searchsorted((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+                rows = [(r, shard, int(a), words[bounds[a]:bounds[b]].tobytes(), size[a:b].tobytes(), times[a:b].tobytes())
+                        for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
+                        pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names)
+    return run
+
+
+def _number(least: int):
+    @tidy
+    def run(table: pa.Table) -> pa.Table:
+        size = [np.frombuffer(x, "<i4") for x in table["sizes"].to_pylist()]
+        coded = _strings(np.frombuffer(b"".join(table["words"].to_pylist()), np.uint8), np.concatenate(size)).dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        times = np.concatenate([np.frombuffer(x, "<i4") for x in table["times"].to_pylist()])
+        total = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(total, at, times)
+        keep = np.flatnonzero(total >= least)
+        number = np.full(len(total), -1, np.int64)
+        number[keep] = np.arange(len(keep))
+        ids = np.split(number[at].astype("<i4"), np.cumsum([len(s) for s in size])[:-1])
+        blob, bounds = text_buffer(coded.dictionary.take(pa.array(keep)))
+        part, none = table["range"][0].as_py(), [None] * len(ids)
+        cols = ([part] * (len(ids) + 1), table["shard"].to_pylist() + [None], table["start"].to_pylist() + [None],
+                [x.tobytes() for x in ids] + [None], none + [blob.tobytes()], none + [np.diff(bounds).astype("<i4").tobytes()],
+                none + [total[keep].astype("<i8").tobytes()])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4))],
+                        ["range", "shard", "start", "ids", "words", "sizes", "times"])
+    return run
+
+
+def number_words(shards: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(dictionary, numbers) of ``shards(shard, words, sizes, times)``, a written table.  The
+    dictionary has a row per hash range: ``start``, the number of its first word, and the packed
+    words that occur at least ``least`` times (their ``times`` int64); ``word_rows`` unpacks it.
+    ``numbers(shard, map)`` goes to ``global_numbers``."""
+    words = shards.agg(F.sum(F.octet_length("sizes") / 4)).first()[0] or 0
+    ranges = int(words // RANGE_WORDS) + 1
+    dealt = shards.select("shard", "words", "sizes", "times").mapInArrow(_deal(ranges), _DEALT)
+    rows = zstd(dealt.groupBy("range").applyInArrow(_number(least), _NUMBERED), "numbered")
+    kept = (F.octet_length("sizes") / 4).cast("bigint")
+    # The window has one row per hash range.
+    starts = rows.where("shard IS NULL").select("range", kept.alias("n")).select(
+        "range", (F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("first"))
+    starts = small(zstd(starts, "ranges"))
+    dictionary = rows.where("shard IS NULL").select("range", "words", "sizes", "times").join(starts, "range").select(
+        F.col("first").alias("start"), "words", "sizes", "times")
+    numbers = rows.where("shard IS NOT NULL").select("range", "shard", "start", "ids").join(starts, "range").groupBy(
+        "shard").agg(F.collect_list(F.struct("start", "first", "ids")).alias("map"))
+    return dictionary, numbers
+
+
+def global_numbers(entry: list[dict] | None) -> np.ndarray:
+    """The global number of every local one from a row's ``map``; -1 for words not kept."""
+    parts = sorted(entry or [], key=lambda e: e["start"])
+    out = [np.frombuffer(e["ids"], "<i4").astype(np.int64) for e in parts]
+    return np.concatenate([np.where(x < 0, -1, x + e["first"]) for x, e in zip(out, parts)]) if out else np.zeros(0, np.int64)
+
+
+@tidy
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, words, sizes, times in zip(*[batch.column(c).to_pylist() for c in ("start", "words", "sizes", "times")]):
+            size = np.frombuffer(sizes, "<i4")
+            yield pa.RecordBatch.from_arrays([
+                pa.array(start + np.arange(len(size))), _strings(np.frombuffer(words, np.uint8), size).cast(pa.string()),
+                pa.array(np.frombuffer(times, "<i8"))], ["id", "word", "times"])
+
+
+def word_rows(dictionary: DataFrame) -> DataFrame:
+    """(id, word, times) of every word of a dictionary."""
+    return dictionary.mapInArrow(_unpack, "id bigint, word string, times bigint")

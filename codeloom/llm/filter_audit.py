@@ -6,8 +6,7 @@ Five failure conditions of a document (text null: empty; words: runs of anything
 
 1. Shards.  One scan packs slices of documents into CSR shards with local word numbers, counts
    per document and word, and the marks that need the characters (C, D, SHA-256 of the text).
-2. Dictionary.  The shards' distinct words get dense global numbers (``encode.dictionary``); one
-   row per shard and word is shuffled.
+2. Dictionary.  The shards' distinct words get dense global numbers by hash ranges (``encode``).
 3. Matrix.  Each shard meets the numbers of its own words and is written again as CSR over
    global columns.  Row sums are the word counts, nonzero counts the distinct words: A and B.
 4. Audit.  Documents shrink to five bits, are counted per part and combination of bits (at most
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from codeloom.session import table
 
 from .common import need, slices, small, text_buffer, tidy, word_bounds, written
-from .encode import SHARD_BYTES, columns, dictionary, limit_bytes, local_words, lookup, shard_numbers, zstd
+from .encode import SHARD_BYTES, VOCABULARY, global_numbers, limit_bytes, local_words, number_words, shard_numbers, zstd
 
 FILTERS = "ABCDE"
 FEWEST_WORDS = 200
@@ -45,10 +44,12 @@ MARKS = "#$%&*|"
 SALTS = 16             # of copied texts, where these are too many to broadcast
 _DOCS = "shard bigint, doc_id array<bigint>, part array<string>, digest array<binary>, marks array<int>"
 _CSR = ", indptr binary, cols binary, counts binary"
-SHARDS = _DOCS + _CSR + ", words array<string>"
+SHARDS = f"{_DOCS}{_CSR}, {VOCABULARY}"
 MATRIX = _DOCS + _CSR
 ROWS = "doc_id bigint, part string, digest binary, words bigint, distinct_words bigint, marks int"
 
+_WORD = np.ones(256, bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
 _CAPITAL = np.zeros(256, np.int64)
 _CAPITAL[65:91] = 1
 _POINT = np.ones(256, np.int64)
@@ -67,27 +68,24 @@ def _sums(value: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = shard_numbers()
     schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("part", pa.list_(pa.string())),
-                        ("digest", pa.list_(pa.binary())), ("marks", pa.list_(pa.int32())), ("indptr", pa.binary()),
-                        ("cols", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.string()))])
+                        ("digest", pa.list_(pa.binary())), ("marks", pa.list_(pa.int32())),
+                        *[(c, pa.binary()) for c in ("indptr", "cols", "counts", "words", "sizes", "times")]])
     for batch in batches:
         ids, parts = batch.column("doc_id").to_pylist(), batch.column("part").to_pylist()
         data, bounds = text_buffer(batch.column("text"))
         for a, b in slices(bounds, SHARD_BYTES):
             part, cut = data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a]
             start, end, first = word_bounds(part, cut)
-            local, words = local_words(part, start, end)
-            rows = np.repeat(np.arange(b - a), np.diff(first))
-            size = max(len(words), 1)
-            cells, counts = np.unique(rows * size + local, return_counts=True)
+            local, vocabulary = local_words(part[_WORD[part]], end - start)
+            size = max(len(vocabulary[1]) // 4, 1)
+            cells, counts = np.unique(np.repeat(np.arange(b - a) * size, np.diff(first)) + local, return_counts=True)
             indptr = np.searchsorted(cells, np.arange(b - a + 1) * size)
             capital = 100 * _sums(_CAPITAL, part, cut) > MOST_CAPITALS * _sums(_POINT, part, cut)
             marks = capital * 4 + (_sums(_MARK, part, cut) > 0) * 8
             digest = [hashlib.sha256(part[cut[i]:cut[i + 1]]).digest() for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([x], t) for x, t in zip(
-                    [next(number), ids[a:b], parts[a:b], digest, marks.tolist(), indptr.astype("<i8").tobytes(),
-                     (cells % size).astype("<i4").tobytes(), counts.astype("<i4").tobytes(), words.to_pylist()], schema.types)],
-                schema=schema)
+            row = [next(number), ids[a:b], parts[a:b], digest, marks.tolist(), indptr.astype("<i8").tobytes(),
+                   (cells % size).astype("<i4").tobytes(), counts.astype("<i4").tobytes(), *vocabulary]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types)], schema=schema)
 
 
 @tidy
@@ -95,14 +93,13 @@ def _globalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in MATRIX.split(", ")]
     for batch in batches:
         cols, counts = [], []
-        for i in range(batch.num_rows):
-            local = np.frombuffer(batch.column("cols")[i].as_py(), "<i4")
-            count = np.frombuffer(batch.column("counts")[i].as_py(), "<i4")
-            indptr = np.frombuffer(batch.column("indptr")[i].as_py(), "<i8")
-            ids = lookup(batch.column("map")[i].values, int(batch.column("n_words")[i].as_py()))[local]
-            order = np.lexsort((ids, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
+        for local, count, indptr, entry in zip(*[batch.column(c).to_pylist() for c in ("cols", "counts", "indptr", "map")]):
+            ids = global_numbers(entry)[np.frombuffer(local, "<i4")]
+            rows = np.diff(np.frombuffer(indptr, "<i8"))
+            # Rows stay in place; inside each the global columns ascend.
+            order = np.lexsort((ids, np.repeat(np.arange(len(rows)), rows)))
             cols.append(ids[order].astype("<i8").tobytes())
-            counts.append(count[order].tobytes())
+            counts.append(np.frombuffer(count, "<i4")[order].tobytes())
         new = {"cols": pa.array(cols, pa.binary()), "counts": pa.array(counts, pa.binary())}
         yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
 
@@ -122,15 +119,13 @@ def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_matrix(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(dictionary, matrix) of ``documents(doc_id, part, text)``, both written: words with dense
-    numbers and the number of shards that hold them, and CSR shards over those numbers (indptr and cols
+    """(dictionary, matrix) of ``documents(doc_id, part, text)``: the numbered words (see
+    ``encode.number_words``), and written CSR shards over those numbers (indptr and cols
     little-endian int64, counts int32)."""
     limit_bytes(documents.sparkSession)
     shards = zstd(documents.mapInArrow(_pack, SHARDS), "csr-local")
-    vocabulary = shards.select("shard", F.posexplode("words").alias("local", "word"))
-    words = written(dictionary(vocabulary.groupBy("word").agg(F.count(F.lit(1)).alias("shards"))), "words")
-    numbers = columns(vocabulary, words, ["word"])
-    local = shards.withColumn("n_words", F.size("words")).drop("words")
+    words, numbers = number_words(shards)
+    local = shards.drop("words", "sizes", "times")
     return words, zstd(local.join(numbers, "shard", "left").mapInArrow(_globalise, MATRIX), "csr")
 
 

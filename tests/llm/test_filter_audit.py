@@ -6,7 +6,8 @@ from itertools import permutations
 
 import numpy as np
 
-from codeloom.llm import filter_audit
+from codeloom.llm import encode, filter_audit
+from codeloom.llm.encode import word_rows
 from codeloom.llm.filter_audit import audit, failures, term_matrix
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,8 +76,13 @@ def test_failures_of_given_documents(spark, documents):
 
 def test_matrix_holds_every_word(spark, documents, monkeypatch):
     docs = documents.selectExpr("doc_id", "source as part", "text")
+    monkeypatch.setattr(encode, "RANGE_WORDS", 3000)   # several hash ranges
+    monkeypatch.setattr(filter_audit, "SHARD_BYTES", 1 << 16)
     words, matrix = term_matrix(docs)
-    name = {r.id: r.word for r in words.collect()}
+    rows = word_rows(words).collect()
+    name = {r.id: r.word for r in rows}
+    times = Counter(w for r in docs.collect() for w in WORDS.findall(r.text or ""))
+    assert {r.word: r.times for r in rows} == times and len(rows) == len(times)
     assert sorted(name) == list(range(len(name)))
     got = {}
     for r in matrix.collect():
