@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, jaccard, mixing, pii, token_counts, token_files, topk, toxicity, url_filters, warc
+from . import decontaminate, filter_audit, jaccard, mixing, phrases, pii, token_counts, token_files, topk, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_personal_data": pii.op9_personal_data,
     "op10_token_files": token_files.op10_token_files,
+    "op11_phrases": phrases.op11_phrases,
     "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 
@@ -25,5 +26,6 @@ ORACLE: dict[str, str] = {
     "op6_pivot_topk": topk.OP6_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_url_filters": url_filters.OP8_SQL,
+    "op11_phrases": phrases.OP11_SQL,
     "op12_filter_audit": filter_audit.OP12_SQL,
 }
