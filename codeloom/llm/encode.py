@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -22,7 +22,7 @@ from .common import limit_batches, scratch, small, text_buffer, tidy, word_hashe
 
 SHARD_BYTES = 4 << 20
 RANGE_WORDS = 1 << 20
-VOCABULARY = "words binary, sizes binary, times binary"   # of a shard: UTF-8 bytes, int32 lengths, int32 counts
+VOCABULARY = "words binary, sizes binary, times binary"   # of a shard: UTF-8 bytes, int32 lengths, int32 counts, all zipped
 _DEALT = "range int, shard bigint, start int, " + VOCABULARY
 _NUMBERED = "range int, shard bigint, start int, ids binary, " + VOCABULARY
 
@@ -42,6 +42,16 @@ def shard_numbers() -> Iterator[int]:
         n += 1
 
 
+def zipped(a: np.ndarray) -> bytes:
+    """The array's bytes, compressed, behind their number: shuffles of packed arrays stay small."""
+    raw = np.ascontiguousarray(a).tobytes()
+    return len(raw).to_bytes(8, "big") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unzipped(b: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "big"), codec="zstd", asbytes=True), kind)
+
+
 def zstd(df: DataFrame, name: str) -> DataFrame:
     """``written`` with the compression that suits packed arrays."""
     path = scratch(df.sparkSession, name)
@@ -70,7 +80,7 @@ def local_words(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, tuple[
     local = place[coded.indices.to_numpy(zero_copy_only=False)]
     blob, bounds = text_buffer(coded.dictionary.take(pa.array(order)))
     times = np.bincount(local, minlength=len(order))
-    return local, (blob.tobytes(), np.diff(bounds).astype("<i4").tobytes(), times.astype("<i4").tobytes())
+    return local, (zipped(blob), zipped(np.diff(bounds).astype("<i4")), zipped(times.astype("<i4")))
 
 
 def _deal(ranges: int):
@@ -79,12 +89,12 @@ def _deal(ranges: int):
         names = ["range", "shard", "start", "words", "sizes", "times"]
         for batch in batches:
             for shard, words, sizes, times in zip(*[batch.column(c).to_pylist() for c in ("shard", "words", "sizes", "times")]):
-                size, words, times = np.frombuffer(sizes, "<i4"), np.frombuffer(words, np.uint8), np.frombuffer(times, "<i4")
+                size, words, times = unzipped(sizes, "<i4"), unzipped(words, "u1"), unzipped(times, "<i4")
                 bounds = np.zeros(len(size) + 1, np.int64)
                 np.cumsum(size, out=bounds[1:])
                 h = word_hashes(words, bounds[:-1], bounds[1:], False)
                 cut = np.searchsorted((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
-                rows = [(r, shard, int(a), words[bounds[a]:bounds[b]].tobytes(), size[a:b].tobytes(), times[a:b].tobytes())
+                rows = [(r, shard, int(a), zipped(words[bounds[a]:bounds[b]]), zipped(size[a:b]), zipped(times[a:b]))
                         for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
@@ -95,10 +105,10 @@ def _deal(ranges: int):
 def _number(least: int):
     @tidy
     def run(table: pa.Table) -> pa.Table:
-        size = [np.frombuffer(x, "<i4") for x in table["sizes"].to_pylist()]
-        coded = _strings(np.frombuffer(b"".join(table["words"].to_pylist()), np.uint8), np.concatenate(size)).dictionary_encode()
+        size = [unzipped(x, "<i4") for x in table["sizes"].to_pylist()]
+        coded = _strings(np.concatenate([unzipped(x, "u1") for x in table["words"].to_pylist()]), np.concatenate(size)).dictionary_encode()
         at = coded.indices.to_numpy(zero_copy_only=False)
-        times = np.concatenate([np.frombuffer(x, "<i4") for x in table["times"].to_pylist()])
+        times = np.concatenate([unzipped(x, "<i4") for x in table["times"].to_pylist()])
         total = np.zeros(len(coded.dictionary), np.int64)
         np.add.at(total, at, times)
         keep = np.flatnonzero(total >= least)
@@ -108,23 +118,28 @@ def _number(least: int):
         blob, bounds = text_buffer(coded.dictionary.take(pa.array(keep)))
         part, none = table["range"][0].as_py(), [None] * len(ids)
         cols = ([part] * (len(ids) + 1), table["shard"].to_pylist() + [None], table["start"].to_pylist() + [None],
-                [x.tobytes() for x in ids] + [None], none + [blob.tobytes()], none + [np.diff(bounds).astype("<i4").tobytes()],
-                none + [total[keep].astype("<i8").tobytes()])
+                [zipped(x) for x in ids] + [None], none + [zipped(blob)], none + [zipped(np.diff(bounds).astype("<i4"))],
+                none + [zipped(total[keep].astype("<i8"))])
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4))],
                         ["range", "shard", "start", "ids", "words", "sizes", "times"])
     return run
 
 
+def _length(col: str) -> Column:
+    """Bytes of a zipped column before compression."""
+    return F.conv(F.hex(F.substring(col, 1, 8)), 16, 10).cast("bigint")
+
+
 def number_words(shards: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """(dictionary, numbers) of ``shards(shard, words, sizes, times)``, a written table.  The
     dictionary has a row per hash range: ``start``, the number of its first word, and the packed
     words that occur at least ``least`` times (their ``times`` int64); ``word_rows`` unpacks it.
     ``numbers(shard, map)`` goes to ``global_numbers``."""
-    words = shards.agg(F.sum(F.octet_length("sizes") / 4)).first()[0] or 0
+    words = shards.agg(F.sum(_length("sizes") / 4)).first()[0] or 0
     ranges = int(words // RANGE_WORDS) + 1
     dealt = shards.select("shard", "words", "sizes", "times").mapInArrow(_deal(ranges), _DEALT)
     rows = zstd(dealt.groupBy("range").applyInArrow(_number(least), _NUMBERED), "numbered")
-    kept = (F.octet_length("sizes") / 4).cast("bigint")
+    kept = (_length("sizes") / 4).cast("bigint")
     # The window has one row per hash range.
     starts = rows.where("shard IS NULL").select("range", kept.alias("n")).select(
         "range", (F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("first"))
@@ -139,7 +154,7 @@ def number_words(shards: DataFrame, least: int = 1) -> tuple[DataFrame, DataFram
 def global_numbers(entry: list[dict] | None) -> np.ndarray:
     """The global number of every local one from a row's ``map``; -1 for words not kept."""
     parts = sorted(entry or [], key=lambda e: e["start"])
-    out = [np.frombuffer(e["ids"], "<i4").astype(np.int64) for e in parts]
+    out = [unzipped(e["ids"], "<i4").astype(np.int64) for e in parts]
     return np.concatenate([np.where(x < 0, -1, x + e["first"]) for x, e in zip(out, parts)]) if out else np.zeros(0, np.int64)
 
 
@@ -147,10 +162,10 @@ def global_numbers(entry: list[dict] | None) -> np.ndarray:
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, words, sizes, times in zip(*[batch.column(c).to_pylist() for c in ("start", "words", "sizes", "times")]):
-            size = np.frombuffer(sizes, "<i4")
+            size = unzipped(sizes, "<i4")
             yield pa.RecordBatch.from_arrays([
-                pa.array(start + np.arange(len(size))), _strings(np.frombuffer(words, np.uint8), size).cast(pa.string()),
-                pa.array(np.frombuffer(times, "<i8"))], ["id", "word", "times"])
+                pa.array(start + np.arange(len(size))), _strings(unzipped(words, "u1"), size).cast(pa.string()),
+                pa.array(unzipped(times, "<i8"))], ["id", "word", "times"])
 
 
 def word_rows(dictionary: DataFrame) -> DataFrame:

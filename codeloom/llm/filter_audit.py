@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from codeloom.session import table
 
 from .common import need, slices, small, text_buffer, tidy, word_bounds, written
-from .encode import SHARD_BYTES, VOCABULARY, global_numbers, limit_bytes, local_words, number_words, shard_numbers, zstd
+from .encode import SHARD_BYTES, VOCABULARY, global_numbers, limit_bytes, local_words, number_words, shard_numbers, unzipped, zipped, zstd
 
 FILTERS = "ABCDE"
 FEWEST_WORDS = 200
@@ -77,14 +77,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, cut = data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a]
             start, end, first = word_bounds(part, cut)
             local, vocabulary = local_words(part[_WORD[part]], end - start)
-            size = max(len(vocabulary[1]) // 4, 1)
+            size = int(local.max(initial=0)) + 1
             cells, counts = np.unique(np.repeat(np.arange(b - a) * size, np.diff(first)) + local, return_counts=True)
             indptr = np.searchsorted(cells, np.arange(b - a + 1) * size)
             capital = 100 * _sums(_CAPITAL, part, cut) > MOST_CAPITALS * _sums(_POINT, part, cut)
             marks = capital * 4 + (_sums(_MARK, part, cut) > 0) * 8
             digest = [hashlib.sha256(part[cut[i]:cut[i + 1]]).digest() for i in range(b - a)]
             row = [next(number), ids[a:b], parts[a:b], digest, marks.tolist(), indptr.astype("<i8").tobytes(),
-                   (cells % size).astype("<i4").tobytes(), counts.astype("<i4").tobytes(), *vocabulary]
+                   zipped((cells % size).astype("<i4")), zipped(counts.astype("<i4")), *vocabulary]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types)], schema=schema)
 
 
@@ -94,12 +94,12 @@ def _globalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols, counts = [], []
         for local, count, indptr, entry in zip(*[batch.column(c).to_pylist() for c in ("cols", "counts", "indptr", "map")]):
-            ids = global_numbers(entry)[np.frombuffer(local, "<i4")]
+            ids = global_numbers(entry)[unzipped(local, "<i4")]
             rows = np.diff(np.frombuffer(indptr, "<i8"))
             # Rows stay in place; inside each the global columns ascend.
             order = np.lexsort((ids, np.repeat(np.arange(len(rows)), rows)))
-            cols.append(ids[order].astype("<i8").tobytes())
-            counts.append(np.frombuffer(count, "<i4")[order].tobytes())
+            cols.append(zipped(ids[order].astype("<i8")))
+            counts.append(zipped(unzipped(count, "<i4")[order]))
         new = {"cols": pa.array(cols, pa.binary()), "counts": pa.array(counts, pa.binary())}
         yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
 
@@ -109,7 +109,7 @@ def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             indptr = np.frombuffer(batch.column("indptr")[i].as_py(), "<i8")
-            counts = np.frombuffer(batch.column("counts")[i].as_py(), "<i4")
+            counts = unzipped(batch.column("counts")[i].as_py(), "<i4")
             total = np.zeros(len(counts) + 1, np.int64)
             np.cumsum(counts, out=total[1:])
             doc, part, digest, marks = (batch.column(c)[i].values for c in ("doc_id", "part", "digest", "marks"))
@@ -120,8 +120,8 @@ def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_matrix(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(dictionary, matrix) of ``documents(doc_id, part, text)``: the numbered words (see
-    ``encode.number_words``), and written CSR shards over those numbers (indptr and cols
-    little-endian int64, counts int32)."""
+    ``encode.number_words``), and written CSR shards over those numbers (indptr and zipped
+    cols little-endian int64, zipped counts int32)."""
     limit_bytes(documents.sparkSession)
     shards = zstd(documents.mapInArrow(_pack, SHARDS), "csr-local")
     words, numbers = number_words(shards)

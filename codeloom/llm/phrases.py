@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from codeloom.session import table
 
 from .common import mix, need, slices, small, text_buffer, tidy
-from .encode import SHARD_BYTES, VOCABULARY, global_numbers, limit_bytes, local_words, number_words, shard_numbers, word_rows, zstd
+from .encode import SHARD_BYTES, VOCABULARY, global_numbers, limit_bytes, local_words, number_words, shard_numbers, unzipped, word_rows, zipped, zstd
 
 LEAST = 100
 LONGEST = 5
@@ -58,7 +58,7 @@ _rng = np.random.Generator(np.random.PCG64(11))
 _ODD = _rng.integers(0, 2**64, 16, np.uint64) | np.uint64(1)
 
 SHARDS = f"shard bigint, lang string, n bigint, local binary, {VOCABULARY}"
-STATE = "lang string, shard bigint, range int, ids binary, entry binary, keys binary, counts binary"
+STATE = "lang string, shard bigint, range int, n bigint, ids binary, heads binary, keys binary, counts binary"
 MERGED = "lang string, range int, shard bigint, keys binary, counts binary, bits binary"
 
 
@@ -98,7 +98,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 local, vocabulary = local_words(part[_WORD[part]], sizes)
                 # Gaps stand before the first word of a piece.
                 seq = np.insert(local, np.flatnonzero(begins), END)
-                yield _record([(next(number), lang, len(local), seq.astype("<i4").tobytes(), *vocabulary)], SHARDS)
+                yield _record([(next(number), lang, len(local), zipped(seq.astype("<i4")), *vocabulary)], SHARDS)
 
     held, size = [], 0
     for batch in batches:
@@ -113,14 +113,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @tidy
 def _first_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shard's words as global numbers; every number is its own entry."""
+    """The shard's words as global numbers."""
     for batch in batches:
         for lang, shard, local, entry in zip(*[batch.column(c).to_pylist() for c in ("lang", "shard", "local", "map")]):
             numbers = np.append(global_numbers(entry), END)     # the last is what END points at
             if numbers.max() >= 1 << 31:
                 raise OverflowError("more than 2**31 frequent words")
-            ids = squeeze(numbers[np.frombuffer(local, "<i4")]).astype("<i4").tobytes()
-            yield _record([(lang, shard, None, ids, None, None, None)], STATE)
+            ids = squeeze(numbers[unzipped(local, "<i4")])
+            yield _record([(lang, shard, None, len(ids), zipped(ids.astype("<i4")), zipped(np.packbits(ids >= 0)), None, None)], STATE)
 
 
 def squeeze(ids: np.ndarray) -> np.ndarray:
@@ -136,61 +136,76 @@ def hashes(keys: np.ndarray) -> np.ndarray:
     return h
 
 
-def frequent(ids: np.ndarray, entry: np.ndarray, bits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and, per position, the entry of the frequent phrase of k words that begins there (-1: none),
-    with all positions dropped that no such phrase covers."""
-    rank = np.where((entry >= 0) & np.append(bits, False)[entry], entry, -1)
+def number(ids: np.ndarray, heads: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the phrases of k words that begin at the positions marked in ``heads``, in the order of
+    their words; -1 elsewhere."""
+    rank = np.full(len(ids), -1, np.int64)
+    at = np.flatnonzero(heads)
+    r = ids[at]
+    for j in range(1, k):
+        r = np.unique(r << 32 | ids[at + j], return_inverse=True)[1]
+    rank[at] = r
+    return rank
+
+
+def frequent(ids: np.ndarray, heads: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and heads without the positions that no phrase of k words from a head covers."""
+    at = np.flatnonzero(heads)
     cover = np.zeros(len(ids) + k, np.int64)
-    at = np.flatnonzero(rank >= 0)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + k, -1)
     keep = np.flatnonzero(np.cumsum(cover)[:len(ids)] > 0)
     holes = np.flatnonzero(np.diff(keep) > 1) + 1
-    return np.insert(ids[keep], holes, END), np.insert(rank[keep], holes, -1)
+    return np.insert(ids[keep], holes, END), np.insert(heads[keep], holes, False)
 
 
-def stripes(ids: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, counts, entry) of the phrases of k words: rows of prefix and next word (or END) in the order of
-    their hashes, how often each occurs, and the row of the phrase that begins at each position (-1: none).
-    ``rank`` numbers the frequent phrases of k - 1 words that begin at each position."""
+def stripes(ids: np.ndarray, heads: np.ndarray, k: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, bounds, entry) of the phrases of k words: rows of prefix and next word (or END), how
+    often each occurs, the bounds of the hash ranges, and the row of the phrase that begins at each position
+    (-1: none).  ``heads`` marks the frequent phrases of k - 1 words.  The same input gives the same rows."""
+    rank = number(ids, heads, k - 1)
     n = max(len(ids) - k + 1, 0)
     at = np.flatnonzero((rank[:n] >= 0) & (rank[1:n + 1] >= 0)) if n else np.zeros(0, np.int64)
-    pair = rank[at].astype(np.int64) << 32 | ids[at + k - 1]
+    pair = rank[at] << 32 | ids[at + k - 1]
     _, first, place, counts = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
     begins = np.flatnonzero(rank >= 0)
     _, head, total = np.unique(rank[begins], return_index=True, return_counts=True)
     whole = ids[at[first][:, None] + np.arange(k)].reshape(-1, k)
     ends = np.concatenate([ids[begins[head][:, None] + np.arange(k - 1)].reshape(-1, k - 1), np.full((len(head), 1), END)], axis=1)
     keys = np.concatenate([whole, ends]).astype("<i4")
-    order = np.argsort(hashes(keys), kind="stable")
+    part = ((hashes(keys) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")     # inside a range in the order of the words, which packs well
     new = np.empty(len(order), np.int64)
     new[order] = np.arange(len(order))
     entry = np.full(len(ids), -1, np.int64)
     entry[at] = new[place]
-    return keys[order], np.concatenate([counts, total])[order], entry
+    return keys[order], np.concatenate([counts, total])[order], np.searchsorted(part[order], np.arange(ranges + 1)), entry
 
 
-def _count(k: int, ranges: int):
+def _count(k: int, ranges: int, before: int):
+    """Stripes of phrases of k words.  ``before`` was the number of ranges of those of k - 1 words."""
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
-                ids = np.frombuffer(get("ids"), "<i4").astype(np.int64)
-                rank = ids
+                ids = unzipped(get("ids"), "<i4").astype(np.int64)
+                heads = np.unpackbits(unzipped(get("heads"), "u1"), count=len(ids)).astype(bool)
                 if k > 2:
-                    answers = sorted(get("answers") or [], key=lambda a: a["range"])
-                    bits = np.concatenate([np.frombuffer(a["bits"], np.uint8).astype(bool) for a in answers] or [np.zeros(0, bool)])
-                    ids, rank = frequent(ids, np.frombuffer(get("entry"), "<i4").astype(np.int64), bits, k - 1)
-                if not (rank >= 0).any():
+                    _, _, cut, entry = stripes(ids, heads, k - 1, before)
+                    bits = np.zeros(cut[-1] + 1, bool)     # the last is what no phrase points at
+                    for answer in get("answers") or []:
+                        a, b = cut[answer["range"]:answer["range"] + 2]
+                        bits[a:b] = np.unpackbits(unzipped(answer["bits"], "u1"), count=b - a)
+                    ids, heads = frequent(ids, bits[entry], k - 1)
+                if not heads.any():
                     continue
-                keys, counts, entry = stripes(ids, rank, k)
-                part = hashes(keys) >> np.uint64(32)
-                cut = np.searchsorted(part * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
-                rows = [(get("lang"), get("shard"), r, None, None, keys[a:b].tobytes(), counts[a:b].astype("<i4").tobytes())
+                keys, counts, cut, _ = stripes(ids, heads, k, ranges)
+                lang, shard = get("lang"), get("shard")
+                rows = [(lang, shard, r, None, None, None, zipped(keys[a:b].T), zipped(counts[a:b].astype("<i4")))
                         for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
                 if k < LONGEST:
-                    rows.append((get("lang"), get("shard"), None, ids.astype("<i4").tobytes(), entry.astype("<i4").tobytes(), None, None))
+                    rows.append((lang, shard, None, len(ids), zipped(ids.astype("<i4")), zipped(np.packbits(heads)), None, None))
                 yield _record(rows, STATE)
     return run
 
@@ -198,10 +213,10 @@ def _count(k: int, ranges: int):
 def _merge(k: int, least: int):
     @tidy
     def run(group: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, "<i4").reshape(-1, k) for x in group["keys"].to_pylist()]
+        keys = [unzipped(x, "<i4").reshape(k, -1).T for x in group["keys"].to_pylist()]
         sizes = [len(x) for x in keys]
         keys = np.concatenate(keys)
-        counts = np.concatenate([np.frombuffer(x, "<i4") for x in group["counts"].to_pylist()]).astype(np.int64)
+        counts = np.concatenate([unzipped(x, "<i4") for x in group["counts"].to_pylist()]).astype(np.int64)
         h = hashes(keys)
         order = np.argsort(h, kind="stable")
         new = (keys[order][1:] != keys[order][:-1]).any(axis=1)
@@ -215,8 +230,8 @@ def _merge(k: int, least: int):
         bits = np.empty(len(order), np.uint8)
         bits[order] = (keep & (keys[first, -1] != END))[np.cumsum(new) - 1]
         lang, part = group["lang"][0].as_py(), group["range"][0].as_py()
-        rows = [(lang, part, s, None, None, b.tobytes()) for s, b in zip(group["shard"].to_pylist(), np.split(bits, np.cumsum(sizes)[:-1]))]
-        rows.append((lang, part, None, keys[first][keep].tobytes(), total[keep].astype("<i8").tobytes(), None))
+        rows = [(lang, part, s, None, None, zipped(np.packbits(b))) for s, b in zip(group["shard"].to_pylist(), np.split(bits, np.cumsum(sizes)[:-1]))]
+        rows.append((lang, part, None, zipped(keys[first][keep]), zipped(total[keep].astype("<i8")), None))
         return pa.Table.from_batches([_record(rows, MERGED)])
     return run
 
@@ -226,7 +241,7 @@ def _entries(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, keys, counts in zip(*[batch.column(c).to_pylist() for c in ("lang", "keys", "counts")]):
-                words, counts = np.frombuffer(keys, "<i4"), np.frombuffer(counts, "<i8")
+                words, counts = unzipped(keys, "<i4"), unzipped(counts, "<i8")
                 yield pa.RecordBatch.from_arrays([
                     pa.array([lang] * len(counts), pa.string()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, k, dtype=np.int32)), pa.array(words)),
@@ -243,14 +258,14 @@ def merged_stripes(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     sizes = zstd(shards.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "phrase-sizes")
     words, numbers = number_words(shards, least)
     state = zstd(shards.select("shard", "lang", "local").join(numbers, "shard", "left").mapInArrow(_first_ids, STATE), "phrase-ids")
-    entries = None
+    entries, ranges = None, 1
     for k in range(2, LONGEST + 1):
-        ranges = int((state.agg(F.sum(F.octet_length("ids") / 4)).first()[0] or 0) // RANGE_ENTRIES) + 1
+        before, ranges = ranges, int((state.agg(F.sum("n")).first()[0] or 0) // RANGE_ENTRIES) + 1
         whole = state.where("ids IS NOT NULL")
         if k > 2:
             answers = merged.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("range", "bits")).alias("answers"))  # noqa: F821
             whole = whole.join(answers, "shard", "left")
-        state = zstd(whole.mapInArrow(_count(k, ranges), STATE), f"stripes-{k}")
+        state = zstd(whole.mapInArrow(_count(k, ranges, before), STATE), f"stripes-{k}")
         merged = zstd(state.where("range IS NOT NULL").groupBy("lang", "range").applyInArrow(_merge(k, least), MERGED), f"merged-{k}")
         found = merged.where("keys IS NOT NULL").mapInArrow(_entries(k), "lang string, phrase array<int>, a bigint")
         entries = found if entries is None else entries.unionByName(found)

@@ -7,7 +7,7 @@ from itertools import permutations
 import numpy as np
 
 from codeloom.llm import encode, filter_audit
-from codeloom.llm.encode import word_rows
+from codeloom.llm.encode import unzipped, word_rows
 from codeloom.llm.filter_audit import audit, failures, term_matrix
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,7 +86,7 @@ def test_matrix_holds_every_word(spark, documents, monkeypatch):
     assert sorted(name) == list(range(len(name)))
     got = {}
     for r in matrix.collect():
-        ptr, cols, counts = (np.frombuffer(b, t) for b, t in ((r.indptr, "<i8"), (r.cols, "<i8"), (r.counts, "<i4")))
+        ptr, cols, counts = np.frombuffer(r.indptr, "<i8"), unzipped(r.cols, "<i8"), unzipped(r.counts, "<i4")
         for i, doc in enumerate(r.doc_id):
             row = cols[ptr[i]:ptr[i + 1]]
             assert (np.diff(row) > 0).all()
