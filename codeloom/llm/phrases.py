@@ -257,14 +257,14 @@ def merged_stripes(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     shards = zstd(docs.mapInArrow(_pack, SHARDS), "phrase-shards")
     sizes = zstd(shards.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "phrase-sizes")
     words, numbers = number_words(shards, least)
-    state = zstd(shards.select("shard", "lang", "local").join(numbers, "shard", "left").mapInArrow(_first_ids, STATE), "phrase-ids")
+    state = zstd(shards.select("shard", "lang", "local").join(numbers.hint("merge"), "shard", "left").mapInArrow(_first_ids, STATE), "phrase-ids")
     entries, ranges = None, 1
     for k in range(2, LONGEST + 1):
         before, ranges = ranges, int((state.agg(F.sum("n")).first()[0] or 0) // RANGE_ENTRIES) + 1
         whole = state.where("ids IS NOT NULL")
         if k > 2:
             answers = merged.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("range", "bits")).alias("answers"))  # noqa: F821
-            whole = whole.join(answers, "shard", "left")
+            whole = whole.join(answers.hint("merge"), "shard", "left")   # grow with the corpus: never broadcast
         state = zstd(whole.mapInArrow(_count(k, ranges, before), STATE), f"stripes-{k}")
         merged = zstd(state.where("range IS NOT NULL").groupBy("lang", "range").applyInArrow(_merge(k, least), MERGED), f"merged-{k}")
         found = merged.where("keys IS NOT NULL").mapInArrow(_entries(k), "lang string, phrase array<int>, a bigint")
