@@ -45,7 +45,7 @@ LONGEST = 5
 TOP = 2000
 PERCENT = 100               # a phrase goes if a longer one has this share of its occurrences
 GATHER_BYTES = 16 << 20     # of texts that a task sorts by lang at once
-RANGE_ENTRIES = 1 << 20
+RANGE_ENTRIES = 4 << 20     # positions of shards behind a hash range; their entries are fewer
 END = -1                    # in a stripe: all occurrences of the prefix; in a shard: a gap
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -111,20 +111,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(held)
 
 
-@tidy
-def _first_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shard's words as global numbers."""
-    for batch in batches:
-        for lang, shard, local, entry in zip(*[batch.column(c).to_pylist() for c in ("lang", "shard", "local", "map")]):
-            numbers = np.append(global_numbers(entry), END)     # the last is what END points at
-            if numbers.max() >= 1 << 31:
-                raise OverflowError("more than 2**31 frequent words")
-            ids = squeeze(numbers[unzipped(local, "<i4")])
-            yield _record([(lang, shard, None, len(ids), zipped(ids.astype("<i4")), zipped(np.packbits(ids >= 0)), None, None)], STATE)
-
-
-def squeeze(ids: np.ndarray) -> np.ndarray:
-    """``ids`` with one gap for several."""
+def global_ids(local: np.ndarray, entry: list[dict] | None) -> np.ndarray:
+    """A shard's words as global numbers, with one gap for several."""
+    numbers = np.append(global_numbers(entry), END)     # the last is what END points at
+    if numbers.max() >= 1 << 31:
+        raise OverflowError("more than 2**31 frequent words")
+    ids = numbers[local]
     gap = ids == END
     return ids[~(gap & np.concatenate([[True], gap[:-1]]))] if len(ids) else ids
 
@@ -189,9 +181,12 @@ def _count(k: int, ranges: int, before: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
-                ids = unzipped(get("ids"), "<i4").astype(np.int64)
-                heads = np.unpackbits(unzipped(get("heads"), "u1"), count=len(ids)).astype(bool)
-                if k > 2:
+                if k == 2:
+                    ids = global_ids(unzipped(get("local"), "<i4"), get("map"))
+                    heads = ids >= 0
+                else:
+                    ids = unzipped(get("ids"), "<i4").astype(np.int64)
+                    heads = np.unpackbits(unzipped(get("heads"), "u1"), count=len(ids)).astype(bool)
                     _, _, cut, entry = stripes(ids, heads, k - 1, before)
                     bits = np.zeros(cut[-1] + 1, bool)     # the last is what no phrase points at
                     for answer in get("answers") or []:
@@ -202,7 +197,7 @@ def _count(k: int, ranges: int, before: int):
                     continue
                 keys, counts, cut, _ = stripes(ids, heads, k, ranges)
                 lang, shard = get("lang"), get("shard")
-                rows = [(lang, shard, r, None, None, None, zipped(keys[a:b].T), zipped(counts[a:b].astype("<i4")))
+                rows = [(lang, shard, r, None, None, None, zipped(np.diff(keys[a:b].T, prepend=np.int32(0))), zipped(counts[a:b].astype("<i4")))
                         for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
                 if k < LONGEST:
                     rows.append((lang, shard, None, len(ids), zipped(ids.astype("<i4")), zipped(np.packbits(heads)), None, None))
@@ -213,7 +208,7 @@ def _count(k: int, ranges: int, before: int):
 def _merge(k: int, least: int):
     @tidy
     def run(group: pa.Table) -> pa.Table:
-        keys = [unzipped(x, "<i4").reshape(k, -1).T for x in group["keys"].to_pylist()]
+        keys = [np.cumsum(unzipped(x, "<i4").reshape(k, -1), axis=1, dtype=np.int32).T for x in group["keys"].to_pylist()]
         sizes = [len(x) for x in keys]
         keys = np.concatenate(keys)
         counts = np.concatenate([unzipped(x, "<i4") for x in group["counts"].to_pylist()]).astype(np.int64)
@@ -257,14 +252,15 @@ def merged_stripes(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     shards = zstd(docs.mapInArrow(_pack, SHARDS), "phrase-shards")
     sizes = zstd(shards.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "phrase-sizes")
     words, numbers = number_words(shards, least)
-    state = zstd(shards.select("shard", "lang", "local").join(numbers.hint("merge"), "shard", "left").mapInArrow(_first_ids, STATE), "phrase-ids")
-    entries, ranges = None, 1
+    state, entries, ranges = shards, None, 1
     for k in range(2, LONGEST + 1):
         before, ranges = ranges, int((state.agg(F.sum("n")).first()[0] or 0) // RANGE_ENTRIES) + 1
-        whole = state.where("ids IS NOT NULL")
-        if k > 2:
+        # What goes back to the shards grows with the corpus: it is never broadcast.
+        if k == 2:
+            whole = shards.select("shard", "lang", "local").join(numbers.hint("merge"), "shard", "left")
+        else:
             answers = merged.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("range", "bits")).alias("answers"))  # noqa: F821
-            whole = whole.join(answers.hint("merge"), "shard", "left")   # grow with the corpus: never broadcast
+            whole = state.where("ids IS NOT NULL").join(answers.hint("merge"), "shard", "left")
         state = zstd(whole.mapInArrow(_count(k, ranges, before), STATE), f"stripes-{k}")
         merged = zstd(state.where("range IS NOT NULL").groupBy("lang", "range").applyInArrow(_merge(k, least), MERGED), f"merged-{k}")
         found = merged.where("keys IS NOT NULL").mapInArrow(_entries(k), "lang string, phrase array<int>, a bigint")
