@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, jaccard, mixing, phrases, pii, token_counts, token_files, topk, toxicity, url_filters, warc
+from . import decontaminate, filter_audit, jaccard, mixing, phrases, pii, repeats, token_counts, token_files, topk, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_files": token_files.op10_token_files,
     "op11_phrases": phrases.op11_phrases,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_remove_repeats": repeats.op13_remove_repeats,
 }
 
 ORACLE: dict[str, str] = {
