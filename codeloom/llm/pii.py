@@ -75,7 +75,7 @@ def digits_of(s: str) -> str:
 def sound(kind: str, s: str) -> bool:
     """The check of a match of the kind's pattern."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in s.split(".")))
     if kind == "card":
         d = digits_of(s)
         return 13 <= len(d) <= 19 and luhn(d)
