@@ -48,11 +48,14 @@ GROUP = 512
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component, without the vectors that take no part."""
+    """(vec_id, v): floor(scale * x) of each component, without the vectors that take no part:
+    null ids and vectors, null or non-finite components, and squared lengths of 2^62 or more, as
+    shorter vectors' products all fit a long."""
     v = F.col(f"`{vector_col}`").cast("array<double>")
     sound = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     return (rows.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), v.alias("x"))
             .where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & sound)
+            .where(F.aggregate("x", F.lit(0.0), lambda n, x: n + F.pow(F.floor(x * F.lit(scale)).cast("double"), F.lit(2.0))) < F.lit(2.0 ** 62))
             .select("vec_id", F.transform("x", lambda x: F.floor(x * F.lit(scale)).cast("bigint")).alias("v"))
             .dropDuplicates())
 
@@ -230,9 +233,10 @@ def op6_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """
-WITH e AS (SELECT DISTINCT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+WITH e AS (SELECT DISTINCT vec_id, [try_cast(floor(1024 * x::DOUBLE) AS BIGINT) for x in embedding] AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-             AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+             AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+             AND coalesce(list_sum([floor(1024 * x::DOUBLE) * floor(1024 * x::DOUBLE) for x in embedding]), 0) < 4611686018427387904::DOUBLE),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
       FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s

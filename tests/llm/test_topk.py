@@ -6,7 +6,8 @@ from codeloom.llm import topk as K
 
 def brute(rows, every, k):
     vectors = {(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)) for i, v in rows
-               if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+               if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+               and sum(int(np.floor(1024 * float(np.float32(x)))) ** 2 for x in v) < 2**62}
     out = []
     for q, a in vectors:
         if q % every == 0:
@@ -48,6 +49,12 @@ def test_large_integers_are_exact(spark):
     assert found(spark, rows)[0] == brute(rows, 10, 5)
 
 
+def test_components_too_large_for_a_long(spark):
+    rows = [(0, [1e20, 1.0]), (1, [-1e38, 0.0]), (10, [1.0, 2.0]), (20, [2e6, 0.0]), (30, [2.05e6, 0.5]), (31, [-2.5e6, 0.0]), (40, [9e14, 0.0])]
+    got = found(spark, rows)[0]
+    assert got == brute(rows, 10, 5) and {q for q, *_ in got} == {10, 20, 30}
+
+
 def test_whole_table(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     got = sorted(tuple(r) for r in K.op6_pivot_topk(spark, "/root/testdata/sf0.01").select("query_id", "rank", "vec_id", "score").collect())
