@@ -89,7 +89,7 @@ def page_records(page_id, row: int, url: str | None, html: bytes, digest: str, r
         ("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("Page-ID", page_id),
         ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response"),
         ("WARC-Profile", PROFILE if refers_to is not None else None),
-        ("WARC-Refers-To", None if refers_to is None else f"<urn:page:{refers_to}>"),
+        ("WARC-Refers-To", None if refers_to is None else f"<urn:page:{refers_to['page_id']}:{refers_to['row']}>"),
         ("WARC-Segment-Number", 1 if cut else None)], block[:SEGMENT])
     for number, at in enumerate(range(SEGMENT, len(block), SEGMENT), 2):
         last = at + SEGMENT >= len(block)
@@ -125,7 +125,7 @@ def decoded(headers: dict[str, str], block: bytes) -> tuple:
             raise ValueError(f"payload of {headers['WARC-Record-ID']} differs from its digest or length")
         size = len(payload)
     else:
-        refers_to, size = int(refers_to.removeprefix("<urn:page:").rstrip(">")), int(lines["Content-Length"])
+        refers_to, size = int(refers_to.split(":")[2]), int(lines["Content-Length"])
     page_id = headers.get("Page-ID")
     return None if page_id is None else int(page_id), size, digest, headers["WARC-Type"], refers_to
 
@@ -183,12 +183,15 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """Write ``pages(page_id, url, html)`` as WARC files under ``path``."""
     limit_batches(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = need(pages, page_id="bigint", url="string", html="string").withColumn("digest", F.sha2(html, 256))
+    # The scan numbers its rows, by its splits and so each time alike; the numbers make records' names.
+    rows = need(pages, page_id="bigint", url="string", html="string").withColumn(
+        "row", F.monotonically_increasing_id()).withColumn("digest", F.sha2(html, 256))
     first = (rows.where(F.octet_length(html) >= MIN_REVISIT).groupBy("digest")
-             .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+             .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first"), F.count(F.lit(1)).alias("n"))
+             .where("n > 1 AND first IS NOT NULL").drop("n"))
     rows = rows.join(small(written(first, "repeated")), "digest", "left").select(
-        "page_id", F.monotonically_increasing_id().alias("row"), "url", "html", "digest",
-        F.when(F.col("first") != F.coalesce("page_id", F.col("first") + 1), F.col("first")).alias("refers_to"))
+        "page_id", "row", "url", "html", "digest",
+        F.when(F.col("page_id").isNull() | (F.col("first.page_id") != F.col("page_id")), F.col("first")).alias("refers_to"))
     (rows.mapInArrow(_write, "value binary").select(F.col("value").cast("string").alias("value"))
      .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path))
 

@@ -44,6 +44,16 @@ def test_whole_table(spark, tmp_path):
     assert got == expected(rows)
 
 
+def test_every_revisit_refers_to_a_response(spark, tmp_path):
+    rows = [(i, f"u{i}", "x" * (100 + i % 7)) for i in range(60)] + [(3, "u3", "x" * 103)] * 2 + [(None, "n", "x" * 101)]
+    path, got = round_trip(spark, tmp_path, rows)
+    heads = [h for f in spark.read.format("binaryFile").load(path).collect() for h, _ in A.records(bytes(f.content))]
+    names = {h["WARC-Record-ID"]: h["WARC-Payload-Digest"] for h in heads if h["WARC-Type"] == "response"}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert got == expected(rows) and len(names) == sum(r[3] == "response" for r in got)
+    assert len(revisits) == 54 and all(names[h["WARC-Refers-To"]] == h["WARC-Payload-Digest"] for h in revisits)
+
+
 def test_repeated_rows_and_empty_table(spark, tmp_path):
     rows = [(1, "u", "a" * 300)] * 3 + [(2, "u", "a" * 300)]
     _, got = round_trip(spark, tmp_path, rows)
