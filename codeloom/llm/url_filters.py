@@ -2,14 +2,19 @@
 
 A rule is (host, path, verdict): it fits its host and all subdomains if the url's path
 starts with the rule's; the longest fitting rule wins (of two as long, that of the longer
-host).  Pages that a rule judges are the labelled outcomes.  The others are judged by the
+host).  The labelled outcomes are the pages of hosts that some rule's host fits: bad if a rule
+blocks them, else good; a rule that can only block stands for the paths it names, not for
+the whole host, whose other pages are outcomes too.  Pages without a rule are judged by the
 reputation of their host:
 
 * bad and labelled pages are counted per host, registered domain (last two labels), suffix
   (last label) and over all;
 * each level's rates are shrunk towards its parent's posterior mean by a beta prior.  The
   prior's strength is fitted per level from the beta-binomial overdispersion: with
-  E(b - n m)^2 = n m (1 - m) (1 + (n - 1) rho), strength = 1 / rho - 1;
+  E(b - n m)^2 = n m (1 - m) (1 + (n - 1) rho), strength = 1 / rho - 1; no prior is stronger
+  than the labelled pages behind it, those of the parent, and one;
+* the variance of a posterior is its own and, by the squared weight of the prior, that of its
+  parent, so a host without outcomes is as unsure as its domain and more;
 * a page is blocked if the lower bound of its host's posterior bad rate (mean - z * standard
   deviation) is above ``THRESHOLD``; else it is allowed.
 
@@ -61,14 +66,26 @@ def fitting_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return text, verdict
 
 
-def _shrunk(rows: DataFrame) -> tuple[DataFrame, float]:
-    """``rows(n, b, m)`` with their posterior mean, and this level's prior strength k."""
+def in_scope(host: Column, rules) -> Column:
+    """Whether some rule's host is the page's or one above it."""
+    test = F.lit(False)
+    for h in sorted({h for h, _, _ in rules}):
+        test = test | (host == h) | host.endswith("." + h)
+    return test
+
+
+def _shrunk(rows: DataFrame) -> DataFrame:
+    """``rows(n, b)`` with the parent's (m, v, behind: mean, variance, labelled pages) to the
+    posterior's ``mean`` and ``var``."""
     spread = F.col("m") * (1 - F.col("m"))
     over, pairs = rows.agg(F.sum(F.pow(F.col("b") - F.col("n") * F.col("m"), F.lit(2.0)) - F.col("n") * spread),
                            F.sum(F.col("n") * (F.col("n") - 1) * spread)).first()
     rho = min(0.99, max(1 / (1 + MOST), over / pairs)) if pairs else 0.5
-    k = 1 / rho - 1 if pairs else 1.0
-    return rows.withColumn("mean", (F.col("b") + F.lit(k) * F.col("m")) / (F.col("n") + F.lit(k))), k
+    k = F.least(F.lit(1 / rho - 1 if pairs else 1.0), F.col("behind") + 1)
+    mean = (F.col("b") + F.col("k") * F.col("m")) / (F.col("n") + F.col("k"))
+    own = F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("k") + 1)
+    return rows.withColumn("k", k).withColumn("mean", mean).withColumn(
+        "var", own + F.pow(F.col("k") / (F.col("n") + F.col("k")), F.lit(2.0)) * F.col("v"))
 
 
 def host_reputation(hosts: DataFrame) -> DataFrame:
@@ -80,11 +97,12 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     bad, all_ = suffixes.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    suffixes, _ = _shrunk(suffixes.withColumn("m", F.lit((bad + 0.5) / (all_ + 1.0))))
-    domains, _ = _shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("m")), "suffix"))
-    hosts, k = _shrunk(hosts.join(domains.select("domain", F.col("mean").alias("m")), "domain"))
-    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.lit(k + 1)))
-    return hosts.select("host", "mean", (F.col("mean") - F.lit(Z) * sd).alias("bound"))
+    rate = (bad + 0.5) / (all_ + 1.0)
+    above = lambda df, key: df.select(key, F.col("mean").alias("m"), F.col("var").alias("v"), F.col("n").alias("behind"))
+    suffixes = _shrunk(suffixes.withColumns({"m": F.lit(rate), "v": F.lit(rate * (1 - rate) / (all_ + 2.0)), "behind": F.lit(all_)}))
+    domains = _shrunk(domains.join(above(suffixes, "suffix"), "suffix"))
+    hosts = _shrunk(hosts.join(above(domains, "domain"), "domain"))
+    return hosts.select("host", "mean", (F.col("mean") - F.lit(Z) * F.sqrt("var")).alias("bound"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -93,7 +111,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = need(pages, page_id="bigint", url="string").select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    hosts = written(rows.groupBy("host").agg(F.count("ruled").alias("n"), F.count(F.when(F.col("ruled") == "block", 1)).alias("b")), "hosts")
+    hosts = written(rows.groupBy("host").agg(F.count(F.when(in_scope(F.col("host"), rules), 1)).alias("n"), F.count(F.when(F.col("ruled") == "block", 1)).alias("b")), "hosts")
     judged = host_reputation(hosts).select("host", F.when(F.col("bound") > THRESHOLD, "block").otherwise("allow").alias("learned"))
     return rows.join(judged, "host").select("page_id", "host", "path", "rule", F.coalesce("ruled", "learned").alias("verdict"))
 
@@ -104,10 +122,12 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _level(name: str, parent: str, on: str) -> str:
     return f"""
-{name}_m AS (SELECT x.*, p.mean AS m FROM {name} x {on.format(parent=parent)}),
+{name}_m AS (SELECT x.*, p.mean AS m, p.var AS v, p.n AS behind FROM {name} x {on.format(parent=parent)}),
 {name}_k AS (SELECT CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0 THEN 1 / least(0.99, greatest(1 / 1001.0::DOUBLE,
-   sum(pow(b - n * m, 2) - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)))) - 1 ELSE 1.0 END AS k FROM {name}_m),
-{name}_s AS (SELECT x.*, k, (b + k * m) / (n + k) AS mean FROM {name}_m x, {name}_k),"""
+   sum(pow(b - n * m, 2) - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)))) - 1 ELSE 1.0 END AS top FROM {name}_m),
+{name}_l AS (SELECT x.*, least(top, behind + 1)::DOUBLE AS k FROM {name}_m x, {name}_k),
+{name}_p AS (SELECT *, (b + k * m) / (n + k) AS mean FROM {name}_l),
+{name}_s AS (SELECT * EXCLUDE (m, v, behind, k), mean * (1 - mean) / (n + k + 1) + pow(k / (n + k), 2) * v AS var FROM {name}_p),"""
 
 
 OP8_SQL = r"""
@@ -123,14 +143,15 @@ r AS (
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p),
 q AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r),
-h AS (SELECT host, string_split(host, '.') AS x, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS b FROM q GROUP BY host),
+h AS (SELECT host, string_split(host, '.') AS x, count(*) FILTER (host IN ('com', 'net') OR ends_with(host, '.com') OR ends_with(host, '.net')) AS n, count(*) FILTER (ruled = 'block') AS b FROM q GROUP BY host),
 hosts AS (SELECT host, x[-1] AS suffix, array_to_string(x[-2:], '.') AS domain, n, b FROM h),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM domains GROUP BY ALL),
-whole AS (SELECT (coalesce(sum(b), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS mean FROM suffixes),
+rate AS (SELECT (coalesce(sum(b), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS mean, coalesce(sum(n), 0) AS n FROM suffixes),
+whole AS (SELECT *, mean * (1 - mean) / (n + 2.0::DOUBLE) AS var FROM rate),
 """ + _level("suffixes", "whole", ", {parent} p") + _level("domains", "suffixes_s", "JOIN {parent} p USING (suffix)") \
     + _level("hosts", "domains_s", "JOIN {parent} p USING (domain)").rstrip(",") + r"""
 SELECT page_id, host, path, rule, coalesce(ruled,
-   CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (n + k + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM q JOIN (SELECT host, mean, n, k FROM hosts_s) USING (host)
+   CASE WHEN mean - 1.645 * sqrt(var) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM q JOIN (SELECT host, mean, var FROM hosts_s) USING (host)
 """

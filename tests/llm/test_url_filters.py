@@ -20,28 +20,34 @@ def ruled(host, path):
 
 def reputation(rows):
     """Posterior lower bound of each host, level by level."""
-    def fit(groups, mean_of):
-        over = sum((b - n * mean_of[k]) ** 2 - n * mean_of[k] * (1 - mean_of[k]) for k, (n, b) in groups.items())
-        pairs = sum(n * (n - 1) * mean_of[k] * (1 - mean_of[k]) for k, (n, b) in groups.items())
-        strength = 1 / min(0.99, max(1 / 1001, over / pairs)) - 1 if pairs > 0 else 1.0
-        return strength, {k: (b + strength * mean_of[k]) / (n + strength) for k, (n, b) in groups.items()}
+    def fit(groups, parent):     # parent: key -> (mean, variance, labelled pages)
+        over = sum((b - n * parent[k][0]) ** 2 - n * parent[k][0] * (1 - parent[k][0]) for k, (n, b) in groups.items())
+        pairs = sum(n * (n - 1) * parent[k][0] * (1 - parent[k][0]) for k, (n, b) in groups.items())
+        top = 1 / min(0.99, max(1 / 1001, over / pairs)) - 1 if pairs > 0 else 1.0
+        out = {}
+        for k, (n, b) in groups.items():
+            m, v, behind = parent[k]
+            s = min(top, behind + 1)
+            mean = (b + s * m) / (n + s)
+            out[k] = mean, mean * (1 - mean) / (n + s + 1) + (s / (n + s)) ** 2 * v, n
+        return out
 
     def count(key):
         out = {}
         for host, verdict in rows:
             n, b = out.get(key(host), (0, 0))
-            out[key(host)] = n + (verdict is not None), b + (verdict == "block")
+            scope = any(host == h or host.endswith("." + h) for h, _, _ in U.RULES)
+            out[key(host)] = n + scope, b + (verdict == "block")
         return out
 
     domain, suffix = lambda h: ".".join(h.split(".")[-2:]), lambda h: h.split(".")[-1]
-    n, b = sum(v is not None for _, v in rows), sum(v == "block" for _, v in rows)
-    s = count(suffix)
-    _, s_mean = fit(s, dict.fromkeys(s, (b + 0.5) / (n + 1)))
-    d = count(domain)
-    _, d_mean = fit(d, {k: s_mean[suffix(k)] for k in d})
-    h = count(lambda x: x)
-    strength, h_mean = fit(h, {k: d_mean[domain(k)] for k in h})
-    return {k: h_mean[k] - U.Z * (h_mean[k] * (1 - h_mean[k]) / (h[k][0] + strength + 1)) ** 0.5 for k in h}
+    s, d, h = count(suffix), count(domain), count(lambda x: x)
+    n, b = sum(x for x, _ in s.values()), sum(x for _, x in s.values())
+    rate = (b + 0.5) / (n + 1)
+    s = fit(s, dict.fromkeys(s, (rate, rate * (1 - rate) / (n + 2), n)))
+    d = fit(d, {k: s[suffix(k)] for k in d})
+    h = fit(h, {k: d[domain(k)] for k in h})
+    return {k: m - U.Z * v ** 0.5 for k, (m, v, _) in h.items()}
 
 
 def check(spark, urls):
@@ -66,7 +72,17 @@ def test_reputation_levels(spark):
     good = [f"http://ok{i}.fine.com/{j}" for i in range(20) for j in range(10)]
     mixed = [f"http://x.mixed.net/{'fr' if j % 3 == 0 else 'de'}/{j}" for j in range(60)] + ["http://new.spam.net/en/1", "http://new.org/", "http://www.example.org/en/"]
     got = check(spark, bad + good + mixed)
-    assert {v for *_, v in got.values()} == {"allow", "block"}
+    by_url = {u: got[i][3] for i, u in enumerate(bad + good + mixed)}
+    # Blocked on nine of ten labelled paths: its other pages go too; a third bad, new or outside: allowed.
+    assert all(v == "block" for u, v in by_url.items() if ".spam.net/en/" in u and "//bad" in u)
+    assert all(v == "allow" for u, v in by_url.items() if ".mixed.net/de/" in u or ".org/" in u)
+
+
+def test_hosts_without_outcomes_are_not_blocked_wholesale(spark):
+    urls = [f"http://h{i}.example.net/{p}/{j}" for i in range(8) for j in range(5) for p in ("es", "fr", "en", "de", "en", "en")]
+    got = check(spark, urls + ["http://example.org/en/1", "http://other.net/en/2", "http://a.b.org/"])
+    assert {v for _, _, r, v in got.values() if r is None} == {"allow"}
+    assert {v for _, _, r, v in got.values() if r} == {"block"}
 
 
 def test_whole_table_and_empty_table(spark):
