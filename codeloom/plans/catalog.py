@@ -30,6 +30,7 @@ from codeloom.operators.metadata import flat_metadata
 from codeloom.operators.ivf import ivf_build, ivf_topk
 from codeloom.session import scratch, table
 from codeloom.streaming.ingest import current_chunks, ingest_stream, repo_progress
+from codeloom.streaming.living import compact, living_stream, open_index, replace_in, upsert_into, vacuum
 from codeloom.sources.files import keep_source_files, scan_sources, write_files
 from codeloom.sources.fixtures import answers, fragments, part_paths, relevance_pairs, repo_urls
 from codeloom.sources.store import repo_info, upsert_chunks
@@ -445,4 +446,76 @@ def q_stream_progress(spark, sf_dir):
         F.max("indexed").alias("indexed"), F.max("total").alias("total"), F.max("progress").alias("progress"))
 
 
+# ---------------------------------------------------------------- the index as a living table
+def _arrivals(spark, sf_dir):
+    """Three arrivals of files after which just the documents are left.  First, older versions of them and
+    files that will vanish.  Then every third repository starts a new snapshot (epoch 1) with half of its
+    documents, the others replace theirs and delete what must go; last, the other half."""
+    docs = documents_as_files(spark, sf_dir).select("repo_id", "path", "source", "language")
+    snapshot = F.pmod(F.xxhash64("repo_id"), F.lit(3)) == 0
+    half = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
+    epoch = F.when(snapshot, 1).otherwise(0).cast("long").alias("epoch")
+    older = docs.withColumn("source", F.concat(F.repeat(F.lit("older line\n"), 70), F.upper("source")))
+    ghosts = docs.select("repo_id", F.concat(F.lit("gone/"), "path").alias("path"), "source", "language")
+    row = lambda df, epoch, deleted: df.select("repo_id", "path", "source", "language", epoch, F.lit(deleted).alias("deleted"))
+    zero = F.lit(0).cast("long").alias("epoch")
+    yield row(older.unionByName(ghosts), zero, False)
+    yield row(docs.where(half | ~snapshot), epoch, False).unionByName(row(ghosts.where(~snapshot).withColumn("source", F.lit(None).cast("string")), zero, True))
+    late = row(older.where(snapshot), zero, False)      # rows of an older snapshot that come too late
+    yield row(docs.where(snapshot & ~half), epoch, False).unionByName(late)
+
+
+def living_index(spark, sf_dir) -> str:
+    """The folder of an index that the arrivals have been streamed into, one run of the stream for each."""
+    src, path = scratch(spark, "living-src"), scratch(spark, "living")
+    for part in _arrivals(spark, sf_dir):
+        part.write.mode("append").parquet(src)
+        living_stream(spark, src, path).awaitTermination()
+    return path
+
+
+@register("living_search")
+def q_living_search(spark, sf_dir):
+    """Hybrid search over the streamed index: equal to the search over an index built at once."""
+    r = hybrid_search(open_index(spark, living_index(spark, sf_dir)), benchmark_queries(spark, sf_dir), k=8)
+    return r.select("query_id", "rank", "repo_id", "chunk_id", "retrieval_method", "score",
+                    "file_path", "chunk_type", "name", "start_line", "end_line", "language", "content")
+
+
+@register("living_compacted")
+def q_living_compacted(spark, sf_dir):
+    """idf of the streamed index after compaction and vacuum: that of an index built at once."""
+    path = living_index(spark, sf_dir)
+    compact(spark, path)
+    vacuum(spark, path)
+    return open_index(spark, path).bm25.idf.select("repo_id", "tok", "df", F.round("idf", 6).alias("idf"))
+
+
+def _edited(spark, sf_dir) -> DataFrame:
+    """All documents' chunks again, lower-cased, as new files of the same repositories or of forks."""
+    d = doc_chunks(spark, sf_dir).withColumn("content", F.lower("content"))
+    more = d.withColumn("repo_id", F.concat("repo_id", F.when(F.length("content") % 2 == 0, "/fork").otherwise(""))).withColumn(
+        "chunk_id", F.concat(F.lit("new/"), "chunk_id"))
+    return d.where(F.pmod(F.col("start_line"), F.lit(100)) == 1).unionByName(more).drop("embed_text")
+
+
+def _saved(spark, sf_dir, change, edited) -> DataFrame:
+    path = scratch(spark, "living")
+    replace_in(doc_chunks(spark, sf_dir).drop("embed_text"), path)
+    change(edited, path)
+    return open_index(spark, path).chunks.select("repo_id", "chunk_id", "content")
+
+
+@register("living_upsert")
+def q_living_upsert(spark, sf_dir):
+    """S2 on a saved index: changed and new chunks of all documents upserted, then read back."""
+    return _saved(spark, sf_dir, upsert_into, _edited(spark, sf_dir))
+
+
+@register("living_replace")
+def q_living_replace(spark, sf_dir):
+    """S3 on a saved index: repositories with names of even length replaced by their changed chunks, the others left."""
+    return _saved(spark, sf_dir, replace_in, _edited(spark, sf_dir).where(F.length("repo_id") % 2 == 0))
+
+
 FLAGSHIP = "hybrid_search"

@@ -42,27 +42,44 @@ class Index:
 TABLES = ("chunks", "vectors", "postings", "doc_len", "stats", "idf")
 
 
-def save_index(chunks: DataFrame, path: str, make_model=None) -> None:
-    """Build the retrieval index of ``chunks`` under ``path``.
+SORTED_BY = {"postings": ("tok",), "idf": ("tok",)}
+SALTS = 8       # tasks, and so files, that share a repository
+
+
+def put_table(df: DataFrame, path: str, *sort: str) -> DataFrame:
+    """Write ``df`` partitioned by repository and read it back.  Rows are dealt by repository and, so that
+    a large one is no single task's work, by term or by SALTS parts of the chunk ids."""
+    if sort:
+        df = df.repartition("repo_id", *sort[:1]).sortWithinPartitions("repo_id", *sort)
+    elif "chunk_id" in df.columns:
+        df = df.repartition(F.col("repo_id"), F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
+    else:
+        df = df.repartition("repo_id")
+    df.write.mode("overwrite").partitionBy("repo_id").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def save_index(chunks: DataFrame, path: str, make_model=None, vectors: DataFrame | None = None, leaf: str = "") -> None:
+    """Build the retrieval index of ``chunks`` under ``path``; each table in its folder, or in ``leaf`` below it.
+    ``vectors(repo_id, chunk_id, embedding)`` of the chunks are taken as they are if given.
 
     Every table is partitioned by repository; postings and idf are sorted by term inside,
     so a search reads its repositories' folders and skips row groups of other terms.  The
     chunks, and from them the term counts, are written first and read from there."""
-    spark, path = chunks.sparkSession, path.rstrip("/")
+    path = path.rstrip("/")
 
-    def put(df: DataFrame, name: str, *sort: str) -> DataFrame:
-        df = df.repartition("repo_id", *sort[:1]).sortWithinPartitions("repo_id", *sort) if sort else df
-        df.write.mode("overwrite").partitionBy("repo_id").parquet(f"{path}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    def put(df: DataFrame, name: str) -> DataFrame:
+        return put_table(df, f"{path}/{name}{leaf}", *SORTED_BY.get(name, ()))
 
     ch = put(chunks if "embed_text" in chunks.columns else chunks.withColumn("embed_text", embed_text()), "chunks")
-    put(embed(ch.select("repo_id", "chunk_id", "embed_text"), "embed_text", "embedding", make_model)
-        .select("repo_id", "chunk_id", "embedding"), "vectors")
+    if vectors is None:
+        vectors = embed(ch.select("repo_id", "chunk_id", "embed_text"), "embed_text", "embedding", make_model)
+    put(vectors.select("repo_id", "chunk_id", "embedding"), "vectors")
     bm = build_bm25(ch, counted=put(with_term_counts(ch), "term_counts"))
-    put(bm.postings, "postings", "tok")
+    put(bm.postings, "postings")
     put(bm.doc_len, "doc_len")
     put(bm.stats, "stats")
-    put(bm.idf, "idf", "tok")
+    put(bm.idf, "idf")
 
 
 def load_index(spark, path: str) -> Index:

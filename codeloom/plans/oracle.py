@@ -718,6 +718,32 @@ ORACLE["stream_progress"] = f"""
 WITH {CURRENT}
 SELECT repo_id AS job_id, count(*) AS indexed, count(*) AS total, 99 AS progress FROM cur GROUP BY repo_id"""
 
+# ---------------------------------------------------------------- the index as a living table
+ORACLE["living_search"] = ORACLE["hybrid_search"]
+
+ORACLE["living_compacted"] = ORACLE["term_idf"]
+
+EDITED = f"""{DOC_CHUNKS},
+low AS (SELECT repo_id, chunk_id, start_line, lower(content) AS content FROM chunks_e),
+edited AS (
+  SELECT repo_id, chunk_id, content FROM low WHERE start_line % 100 = 1
+  UNION ALL
+  SELECT repo_id || CASE WHEN length(content) % 2 = 0 THEN '/fork' ELSE '' END, 'new/' || chunk_id, content FROM low)"""
+
+ORACLE["living_upsert"] = f"""
+WITH {EDITED}
+SELECT * FROM edited
+UNION ALL
+SELECT repo_id, chunk_id, content FROM chunks_e c
+WHERE NOT EXISTS (SELECT 1 FROM edited e WHERE e.repo_id = c.repo_id AND e.chunk_id = c.chunk_id)"""
+
+ORACLE["living_replace"] = f"""
+WITH {EDITED}
+SELECT * FROM edited WHERE length(repo_id) % 2 = 0
+UNION ALL
+SELECT repo_id, chunk_id, content FROM chunks_e
+WHERE repo_id NOT IN (SELECT repo_id FROM edited WHERE length(repo_id) % 2 = 0)"""
+
 # ---------------------------------------------------------------- golden questions over code
 CODE_CHUNKS = f"""{PY_CHUNKS_K},
 chunks_e AS (
