@@ -9,9 +9,8 @@ Index build (per repository, one pass over the chunk texts):
   replaced by ``eps * mean(idf)`` over the repository's vocabulary.
 
 The term counts are written once, so the text is tokenised once whatever is asked.  The
-per-repository statistics (one row per repository) are written, then broadcast if their
-size allows; with very many repositories the join is a sort-merge join whose hot
-partitions AQE's skew handling splits.
+per-repository statistics and mean idf (one row per repository) are written, then broadcast if
+their size allows; with very many repositories both sides of their joins are salted.
 
 Query time: query terms (small) join idf, then postings; contributions are summed per
 (query, chunk) and ranked with a per-query window whose top-k limit Spark applies
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import tokens
 from codeloom.operators.ranking import top_k
-from codeloom.session import checked_broadcast, materialize
+from codeloom.session import SALTS, checked_broadcast, materialize, spread_join
 
 K1, B, EPS = 1.5, 0.75, 0.25
 
@@ -80,17 +79,20 @@ def build_bm25(chunks: DataFrame, text_col: str = "embed_text", k1: float = K1,
     tf = exploded_counts(counted)
     doc_len = counted.select("repo_id", "chunk_id", "dl")
     stats = materialize(doc_len.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "repo-stats")
-    stats, _ = checked_broadcast(stats)
+    stats, hinted = checked_broadcast(stats)
     df = tf.groupBy("repo_id", "tok").agg(F.count(F.lit(1)).alias("df"))
-    raw = (df.join(stats, "repo_id")
-           .select("repo_id", "tok", "df",
-                   (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf")))
-    mean = raw.groupBy("repo_id").agg(F.avg("raw_idf").alias("mean_idf"))
-    idf = (raw.join(mean, "repo_id")
+    raw = materialize(spread_join(df, stats, hinted, ["repo_id"], F.col("tok"))
+                      .select("repo_id", "tok", "df",
+                              (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf")), "raw-idf")
+    # Partial sums of a salt of the vocabulary, then one row per repository: the vocabulary is not shuffled by it.
+    part = raw.groupBy("repo_id", F.pmod(F.xxhash64("tok"), F.lit(SALTS)).alias("s")).agg(
+        F.sum("raw_idf").alias("total"), F.count(F.lit(1)).alias("terms"))
+    mean = materialize(part.groupBy("repo_id").agg((F.sum("total") / F.sum("terms")).alias("mean_idf")), "mean-idf")
+    idf = (spread_join(raw, *checked_broadcast(mean), ["repo_id"], F.col("tok"))
            .select("repo_id", "tok", "df",
                    F.when(F.col("raw_idf") < 0, F.lit(eps) * F.col("mean_idf"))
                     .otherwise(F.col("raw_idf")).alias("idf")))
-    postings = (tf.join(stats.select("repo_id", "avgdl"), "repo_id")
+    postings = (spread_join(tf, stats.select("repo_id", "avgdl"), hinted, ["repo_id"], F.col("chunk_id"))
                 .select("repo_id", "tok", "chunk_id", "tf",
                         (F.col("tf") * (k1 + 1) /
                          (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w")))
@@ -103,22 +105,15 @@ def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
             .groupBy("query_id", "repo_id", "tok").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def _salted_join(postings: DataFrame, qw: DataFrame, salts: int) -> DataFrame:
-    p = postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
-    q = qw.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return p.join(q, ["repo_id", "tok", "salt"]).drop("salt")
-
-
 def bm25_scores(index: Bm25Index, queries: DataFrame, text_col: str = "text",
-                salts: int = 32) -> DataFrame:
+                salts: int = SALTS) -> DataFrame:
     """``(query_id, repo_id, chunk_id, score)`` for every chunk sharing a query term."""
     qt = query_terms(queries, text_col)
     # qw has at most one row per query term, so the bound checked on qt holds for it.
     qt_b, small = checked_broadcast(qt)
     qw = (index.idf.join(qt_b, ["repo_id", "tok"])
           .select("query_id", "repo_id", "tok", (F.col("qtf") * F.col("idf")).alias("qw")))
-    joined = index.postings.join(F.broadcast(qw), ["repo_id", "tok"]) if small else \
-        _salted_join(index.postings, qw, salts)
+    joined = spread_join(index.postings, F.broadcast(qw) if small else qw, small, ["repo_id", "tok"], F.col("chunk_id"), salts)
     return (joined.groupBy("query_id", "repo_id", "chunk_id")
             .agg(F.sum(F.col("qw") * F.col("w")).alias("score")))
 

@@ -1,8 +1,9 @@
 """Pluggable text embedding.
 
-``embed`` runs a user model over a text column in Arrow batches with an iterator
-pandas UDF, so the model is built once per task and fed whole batches.  A model is
-given as ``make_model() -> predict(texts: list[str]) -> np.ndarray[n, dim]``.
+``embed`` runs a user model over a text column with ``predict_batch_udf``: a model is built
+once per Python worker process, kept from task to task, and fed at most ``batch_size`` texts at
+a time.  It is given as ``make_model() -> predict(texts: list[str]) -> np.ndarray[n, dim]``; a null
+text is passed as None.  Vectors are arrays of double, or of float with ``single=True``.
 
 The default model, ``hashed_model``, stands in for a sentence encoder (no weights are
 available offline): a signed bag of ``lower().split()`` tokens hashed into ``dim``
@@ -12,12 +13,12 @@ computes the same vectors in DuckDB).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from codeloom.functions.text import col_
 
@@ -58,22 +59,24 @@ def hashed_model(dim: int = 64) -> Callable[[], Callable[[list[str]], "object"]]
     return make
 
 
-def embed_column(text, make_model=None) -> Column:
-    """Column of ``array<double>`` embeddings of ``text``."""
+BATCH_SIZE = 1024
+
+
+def embed_column(text, make_model=None, batch_size: int = BATCH_SIZE, single: bool = False) -> Column:
+    """Column of the embeddings of ``text``."""
     make_model = make_model or hashed_model()
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make_predict():
+        import numpy as np
         predict = make_model()
-        for s in batches:
-            vecs = predict(s.tolist())
-            yield pd.Series(list(vecs))
+        return lambda texts: np.asarray(predict(list(texts)), np.float32 if single else np.float64)
 
-    return _embed(col_(text))
+    kind = ArrayType(FloatType() if single else DoubleType())
+    return predict_batch_udf(make_predict, return_type=kind, batch_size=batch_size)(col_(text))
 
 
 def embed(df: DataFrame, text_col: str, out_col: str = "embedding", make_model=None,
-          query_prefix: str | None = None) -> DataFrame:
+          query_prefix: str | None = None, batch_size: int = BATCH_SIZE, single: bool = False) -> DataFrame:
     """Add ``out_col`` = model(``[query_prefix] + text``)."""
     text = F.col(text_col) if query_prefix is None else F.concat(F.lit(query_prefix), F.col(text_col))
-    return df.withColumn(out_col, embed_column(text, make_model))
+    return df.withColumn(out_col, embed_column(text, make_model, batch_size, single))

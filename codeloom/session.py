@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, NumericType, StringType, StructType
 
 # Largest side, in bytes, that we broadcast.  Above it the caller's shuffle (or salted)
 # join is used instead.
@@ -79,6 +79,8 @@ def row_bytes(df: DataFrame) -> Column:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (StringType, BinaryType)):
             total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, NumericType):
+            total = total + F.coalesce(F.size(c), F.lit(0)) * 8
         elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
             total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
     return total
@@ -97,6 +99,19 @@ def checked_broadcast(df: DataFrame, max_bytes: int | None = None) -> tuple[Data
     return df, False
 
 
+SALTS = 32
+
+
+def spread_join(large: DataFrame, few: DataFrame, hinted: bool, on: list[str], by: Column, salts: int = SALTS) -> DataFrame:
+    """Join on keys of which one may hold most rows of ``large``.  ``few`` is as ``checked_broadcast``
+    returned it; unhinted, each of its rows is repeated per salt, and a key of ``large`` is spread over
+    ``salts`` tasks by the hash of ``by``."""
+    if hinted:
+        return large.join(few, on)
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return large.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts))).join(salted, [*on, "_salt"]).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

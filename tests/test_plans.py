@@ -121,3 +121,51 @@ def test_checkpoint_folder_must_be_shared(monkeypatch, spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         S.checkpoint_dir(Session)
+
+
+def test_vocabulary_is_not_shuffled_by_repository(bm25):
+    idf = plan(bm25.idf)
+    assert "hashpartitioning(repo_id" not in idf and "BroadcastHashJoin" in idf
+
+
+def test_one_repository_is_spread_without_broadcast(spark, monkeypatch):
+    """All rows are of one repository and nothing may be broadcast: no task has over twice the median."""
+    monkeypatch.setattr(S, "DEFAULT_BROADCAST_BYTES", 0)
+    large = spark.range(20_000).select(F.lit("r").alias("repo_id"), F.concat(F.lit("c"), "id").alias("chunk_id"))
+    few = spark.createDataFrame([("r", 1)], "repo_id string, n int")
+    few, hinted = S.checked_broadcast(few)
+    assert not hinted
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = S.spread_join(large, few.hint("merge"), hinted, ["repo_id"], F.col("chunk_id"), salts=64)
+        sizes = sorted(r.n for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 20_000 and len(sizes) == 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_model_is_built_once_a_worker_and_fed_batches(spark, tmp_path):
+    from codeloom.operators.embed import embed
+    log = str(tmp_path)
+
+    def model():
+        import os
+        import uuid
+
+        import numpy as np
+        open(f"{log}/built-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def predict(texts):
+            open(f"{log}/batch-{len(texts)}-{uuid.uuid4().hex}", "w").close()
+            return np.array([[0.0 if t is None else len(t), 1.0] for t in texts])
+        return predict
+
+    rows = spark.range(0, 1000, 1, 10).select("id", F.when(F.col("id") % 9 > 0, F.repeat(F.lit("x"), (F.col("id") % 7).cast("int"))).alias("t"))
+    got = embed(rows, "t", make_model=model, batch_size=32, single=True)
+    assert dict(got.dtypes)["embedding"] == "array<float>"
+    assert all(r.embedding == [0.0 if r.t is None else float(len(r.t)), 1.0] for r in got.collect())
+    import os
+    names = os.listdir(log)
+    built = [n.split("-")[1] for n in names if n.startswith("built")]
+    assert len(built) == len(set(built)) < 10       # ten tasks, fewer workers
+    assert max(int(n.split("-")[1]) for n in names if n.startswith("batch")) == 32
