@@ -34,6 +34,7 @@ from codeloom.streaming.living import compact, living_stream, open_index, replac
 from codeloom.sources.files import keep_source_files, scan_sources, write_files
 from codeloom.sources.fixtures import answers, fragments, part_paths, relevance_pairs, repo_urls
 from codeloom.sources.store import repo_info, upsert_chunks
+from codeloom.operators.blockmax import block_postings, blockmax_topk
 from codeloom.operators.chunk_js import chunk_files, chunk_javascript
 from codeloom.operators.chunk_python import chunk_python
 from codeloom.sources.fixtures import answerable_queries, benchmark_queries, documents_as_files, golden_queries, documents_as_named_files, js_sources, py_sources
@@ -85,6 +86,24 @@ def q_bm25_topk(spark, sf_dir):
     return bm25_topk(idx, q, 18).select("query_id", "repo_id", "chunk_id", "score", "rank")
 
 
+def _blockmax(spark, sf_dir):
+    idx = build_bm25(doc_chunks(spark, sf_dir))
+    q = benchmark_queries(spark, sf_dir).withColumnRenamed("question", "text")
+    return blockmax_topk(idx, block_postings(idx), q, 18)
+
+
+@register("bm25_blockmax")
+def q_bm25_blockmax(spark, sf_dir):
+    """The rows of ``bm25_topk``, without scoring blocks that cannot hold any of them."""
+    return _blockmax(spark, sf_dir)[0].select("query_id", "repo_id", "chunk_id", "score", "rank")
+
+
+@register("bm25_blockmax_cost")
+def q_bm25_blockmax_cost(spark, sf_dir):
+    """Postings of each query's terms, and those that were scored."""
+    return _blockmax(spark, sf_dir)[1].select("query_id", "postings_all", "postings_read")
+
+
 def _dense(spark, sf_dir, method):
     idx = build_index(doc_chunks(spark, sf_dir), materialize_tables=True)
     ex = expand_queries(benchmark_queries(spark, sf_dir))

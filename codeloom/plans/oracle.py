@@ -718,6 +718,8 @@ ORACLE["stream_progress"] = f"""
 WITH {CURRENT}
 SELECT repo_id AS job_id, count(*) AS indexed, count(*) AS total, 99 AS progress FROM cur GROUP BY repo_id"""
 
+ORACLE["bm25_blockmax"] = ORACLE["bm25_topk"]
+
 # ---------------------------------------------------------------- the index as a living table
 ORACLE["living_search"] = ORACLE["hybrid_search"]
 
