@@ -89,7 +89,7 @@ def q_bm25_topk(spark, sf_dir):
 def _blockmax(spark, sf_dir):
     idx = build_bm25(doc_chunks(spark, sf_dir))
     q = benchmark_queries(spark, sf_dir).withColumnRenamed("question", "text")
-    return blockmax_topk(idx, block_postings(idx), q, 18)
+    return blockmax_topk(idx, block_postings(idx, 4), q, 18, size=4)     # small repositories, small blocks
 
 
 @register("bm25_blockmax")
