@@ -19,7 +19,6 @@ from codeloom.functions.text import strip_ws
 from codeloom.functions.urls import clone_url, job_id, repo_id, valid_repo_url
 
 # Fixed values that must equal the reference: job states and progress constants.
-JOB_STATES = ["pending", "cloning", "chunking", "indexing", "done", "error"]
 BUSY_OR_DONE = ["done", "cloning", "chunking", "indexing"]
 PROGRESS_BASE, PROGRESS_SPAN = 45, 54
 

@@ -24,11 +24,12 @@ from codeloom.functions.text import display_location, in_skipped_dir, language_o
 from codeloom.functions.urls import clone_url, is_rate_limit, job_id, repo_id, repo_name, valid_question, valid_repo_url
 from codeloom.operators.answers import normalise_answers
 from codeloom.operators.context import build_context, build_prompts, client_history, last_turns, parse_sources, reassemble, to_sources
-from codeloom.operators.evaluate import hit_ranks, metrics
+from codeloom.operators.evaluate import evaluate, hit_ranks, metrics, report, write_report
 from codeloom.operators.jobs import job_progress, pending_ingests
-from codeloom.operators.metadata import flat_metadata
+from codeloom.operators.metadata import flat_metadata, from_flat
 from codeloom.operators.ivf import ivf_build, ivf_topk
-from codeloom.session import scratch, table
+from codeloom.operators.signatures import recall, signature_index, signature_topk
+from codeloom.session import materialize, scratch, table
 from codeloom.streaming.ingest import current_chunks, ingest_stream, repo_progress
 from codeloom.streaming.living import compact, living_stream, open_index, replace_in, upsert_into, vacuum
 from codeloom.sources.files import keep_source_files, scan_sources, write_files
@@ -201,11 +202,12 @@ def q_url_functions(spark, sf_dir):
 
 @register("question_checks")
 def q_question_checks(spark, sf_dir):
+    """Every whole text (variant 0), and planted forms of it as further rows."""
     t = F.col("text")
     texts = F.array(t, F.lit("  \t\n"), F.lit("HTTP 429 Too Many"), F.concat(t, F.lit(" RESOURCE_EXHAUSTED")),
-                    F.concat(F.substring(t, 1, 9), F.lit("\u00a0Rate_Limit")))
-    c = table(spark, sf_dir, "conversations").withColumn("text", F.get(texts, F.pmod("conv_id", F.lit(5)).cast("int")))
-    return c.select("conv_id", "turn", valid_question("text").alias("valid_question"),
+                    F.concat(t, F.lit("\u00a0Rate_Limit")))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(texts).alias("variant", "text"))
+    return c.select("conv_id", "turn", "variant", valid_question("text").alias("valid_question"),
                     is_rate_limit("text").alias("rate_limited"))
 
 
@@ -231,12 +233,19 @@ def q_repo_info(spark, sf_dir):
 def q_upsert_last_wins(spark, sf_dir):
     old = doc_chunks(spark, sf_dir).select("repo_id", "chunk_id", "content")
     d = documents_as_files(spark, sf_dir)
-    # English documents again, lower-cased, and as new files of the same and of new repositories.
-    en = chunk_lines(d.filter(F.col("path").startswith("docs/en/"))).select("repo_id", "chunk_id", F.lower("content").alias("content"))
-    more = en.select(F.concat("repo_id", F.when(F.length("content") % 2 == 0, "/fork").otherwise("")).alias("repo_id"),
-                     F.concat(F.lit("new/"), "chunk_id").alias("chunk_id"), "content")
-    new = en.filter(F.col("repo_id") != "src1").unionByName(more.filter(F.col("repo_id") != "src1"))
-    return upsert_chunks(old, new)
+    # All documents again, lower-cased, and as new files of the same and of new repositories.
+    low = chunk_lines(d).select("repo_id", "chunk_id", F.lower("content").alias("content"))
+    more = low.select(F.concat("repo_id", F.when(F.length("content") % 2 == 0, "/fork").otherwise("")).alias("repo_id"),
+                      F.concat(F.lit("new/"), "chunk_id").alias("chunk_id"), "content")
+    return upsert_chunks(old, low.unionByName(more))
+
+
+@register("flat_round_trip")
+def q_flat_round_trip(spark, sf_dir):
+    """Chunk rows rebuilt from flattened metadata and the stored embed text."""
+    ch = chunk_python(py_sources(spark, sf_dir))
+    text = ch.select("repo_id", "chunk_id", embed_text().alias("document"))
+    return from_flat(flat_metadata(ch).join(text, ["repo_id", "chunk_id"]))
 
 
 # ---------------------------------------------------------------- context, prompts, citations
@@ -340,6 +349,21 @@ def q_eval_metrics(spark, sf_dir):
     return metrics(per_q)
 
 
+@register("eval_report")
+def q_eval_report(spark, sf_dir):
+    """The report written as JSON and read back, a row per question with the repository's totals."""
+    sources, path = materialize(_eval_sources(spark, sf_dir), "eval-sources"), scratch(spark, "report")
+    per_q, summary = evaluate(sources, relevance_pairs(spark, sf_dir), questions=_questions(spark, sf_dir))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    n = table(spark, sf_dir, "documents").count()
+    write_report(*report(per_q, summary, asked, sources, "https://github.com/a/b", "docs", n), path)
+    head = spark.read.schema("repo_id string, total_chunks bigint, n bigint, hits_at_5 bigint, mrr_at_5 double").json(f"{path}/metrics")
+    rows = spark.read.schema("query_id bigint, question string, hit_rank int, sources array<struct<file: string, name: string>>").json(f"{path}/results")
+    named = F.array_join(F.transform("sources", lambda x: F.concat(x["file"], F.lit("#"), x["name"])), ",")
+    return rows.withColumn("repo_id", F.lit("docs")).join(F.broadcast(head), "repo_id").select(
+        "query_id", "question", "hit_rank", named.alias("sources"), "total_chunks", "n", "hits_at_5", "mrr_at_5")
+
+
 def _golden_results(spark, sf_dir):
     idx = build_index(chunk_python(py_sources(spark, sf_dir)), materialize_tables=True)
     return hybrid_search(idx, golden_queries(spark, sf_dir), k=6)
@@ -421,22 +445,37 @@ def ivf_found(index, queries, nprobe=IVF_PROBES) -> DataFrame:
 @register("ivf_recall")
 def q_ivf_recall(spark, sf_dir):
     """Whether the probed cells hold at least IVF_RECALL of the exact top 10 of the stated
-    queries: the vectors whose id is divisible by 20.  The column keeps its twin's name."""
+    queries: the vectors whose id is divisible by 20."""
     e = table(spark, sf_dir, "embeddings")
     idx = ivf_build(e, IVF_CELLS, id_col="vec_id")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    return ivf_found(idx, q).select("n_queries", "k", (F.col("recall") >= IVF_RECALL).alias("half_found"))
+    return ivf_found(idx, q).select("n_queries", "k", (F.col("recall") >= IVF_RECALL).alias("recall_reached"))
 
 
-@register("ivf_topk_nprobe4")
-def q_ivf_topk_nprobe4(spark, sf_dir):
-    """IVF_PROBES of the cells probed (approximate: rows only; see ivf_found).  The registered
-    name is older: 4 of the 16 cells lost about four in ten true neighbours."""
+@register("ivf_topk_12_of_16")
+def q_ivf_topk_12_of_16(spark, sf_dir):
+    """IVF_PROBES of the cells probed (approximate: rows only; see ivf_found)."""
     idx = ivf_build(table(spark, sf_dir, "embeddings"), IVF_CELLS, id_col="vec_id")
     return ivf_topk(idx, _bench_qvecs(spark, sf_dir), 10, nprobe=IVF_PROBES) \
         .select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
+SIGNATURE_SHARE = 0.2     # of the vectors that are scored exactly
+
+
+@register("signature_recall")
+def q_signature_recall(spark, sf_dir):
+    """``(n_queries, recall, scored_share)`` of the approximate top 10 by signatures, for the vectors whose id is
+    divisible by 20 against all, held against the exact top 10."""
+    e = table(spark, sf_dir, "embeddings")
+    n = e.count()
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    found = signature_topk(signature_index(e, id_col="vec_id"), q, 10, max(1, int(n * SIGNATURE_SHARE)))
+    one = e.select(F.lit("").alias("repo_id"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    exact = cosine_topk(one, q.withColumn("repo_id", F.lit("")), 10).select("query_id", F.col("chunk_id").alias("id"))
+    return recall(materialize(found, "found"), exact, n)
+
+
 def _ingested(spark, sf_dir, with_older: bool):
     """Stream Python files and documents in several arrivals, the first of them, if asked, an
     older version of the documents; returns the folder of the stream's tables."""

@@ -394,14 +394,15 @@ FROM n WHERE octet_length(encode(text)) <= 500000"""
 
 REPO_URLS = """
 u AS (
+  SELECT page_id, url FROM pages WHERE url IS NOT NULL
+  UNION ALL
   SELECT page_id,
-         CASE page_id % 6 WHEN 0 THEN url
-              WHEN 1 THEN 'https://github.com/' || repo
+         CASE page_id % 6 WHEN 1 THEN 'https://github.com/' || repo
               WHEN 2 THEN 'https://github.com/' || repo || '.git'
               WHEN 3 THEN 'http://github.com/' || repo || '/'
               WHEN 4 THEN '  gitlab.com/' || repo || ' '
               ELSE 'https://bitbucket.org/' || repo || '//' END AS url
-  FROM (SELECT *, regexp_extract(url, '://([^/.]+)', 1) || '/repo' || CAST(page_id AS VARCHAR) AS repo FROM pages))"""
+  FROM (SELECT *, regexp_extract(url, '://([^/.]+)', 1) || '/repo' || CAST(page_id AS VARCHAR) AS repo FROM pages) WHERE page_id % 6 <> 0)"""
 
 
 def _repo_id(x: str) -> str:
@@ -429,13 +430,13 @@ SELECT page_id, url, {_repo_id('url')} AS repo_id, substr(md5(url), 1, 12) AS jo
 FROM n"""
 
 ORACLE["question_checks"] = """
-WITH m AS (
-  SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN text WHEN 1 THEN '  ' || chr(9) || chr(10)
-    WHEN 2 THEN 'HTTP 429 Too Many' WHEN 3 THEN text || ' RESOURCE_EXHAUSTED' ELSE left(text, 9) || chr(160) || 'Rate_Limit' END AS text
+WITH v AS (
+  SELECT conv_id, turn, unnest([0, 1, 2, 3, 4]) AS variant,
+         unnest([text, '  ' || chr(9) || chr(10), 'HTTP 429 Too Many', text || ' RESOURCE_EXHAUSTED', text || chr(160) || 'Rate_Limit']) AS text
   FROM conversations)
-SELECT conv_id, turn, regexp_matches(text, '[^ \t\n\r\x0B\x0C\x1C-\x1F\x85\xA0]') AS valid_question,
+SELECT conv_id, turn, variant, regexp_matches(text, '[^ \t\n\r\x0B\x0C\x1C-\x1F\x85\xA0]') AS valid_question,
        regexp_matches(lower(text), '429|quota|rate_limit|resource_exhausted') AS rate_limited
-FROM m"""
+FROM v"""
 
 # ---------------------------------------------------------------- chunk projections, store
 PY_CHUNKS_K = f"""{PY_FILES}, {PY_CHUNKS},
@@ -459,6 +460,16 @@ SELECT repo_id, chunk_id, file_path, chunk_type, name, start_line, end_line, lan
        array_to_string(calls[1:20], ',') AS calls
 FROM pyk"""
 
+ORACLE["flat_round_trip"] = f"""
+WITH {PY_CHUNKS_K}
+SELECT repo_id, chunk_id, file_path, chunk_type, name, start_line, end_line, language, nullif(parent_name, '') AS parent_name,
+       nullif(left(coalesce(docstring, ''), 500), '') AS docstring,
+       CASE WHEN len(calls) = 0 THEN []::VARCHAR[] ELSE string_split(array_to_string(calls[1:20], ','), ',') END AS calls,
+       regexp_replace(regexp_replace('# Header' || {NL}
+           || CASE WHEN docstring IS NOT NULL AND docstring <> '' THEN '# Doc: ' || left(docstring, 200) ELSE '#' END
+           || {NL} || {NL} || content, '^(#[^\n]*\n)*', ''), '^\\s+|\\s+$', '', 'g') AS content
+FROM pyk"""
+
 ORACLE["repo_info"] = f"""
 WITH {DOC_CHUNKS}
 SELECT repo_id, count(*) AS total_chunks, CASE WHEN count(*) > 0 THEN 'ready' ELSE 'not_indexed' END AS status
@@ -468,10 +479,10 @@ ORACLE["upsert_last_wins"] = f"""
 WITH {DOC_CHUNKS},
 u AS (SELECT repo_id, chunk_id, content, 0 AS side FROM chunks_e
       UNION ALL
-      SELECT repo_id, chunk_id, lower(content), 1 FROM chunks_e WHERE starts_with(file_path, 'docs/en/') AND repo_id <> 'src1'
+      SELECT repo_id, chunk_id, lower(content), 1 FROM chunks_e
       UNION ALL
       SELECT * FROM (SELECT repo_id || CASE WHEN length(lower(content)) % 2 = 0 THEN '/fork' ELSE '' END AS repo_id, 'new/' || chunk_id,
-                            lower(content), 1 FROM chunks_e WHERE starts_with(file_path, 'docs/en/')) WHERE repo_id <> 'src1')
+                            lower(content), 1 FROM chunks_e))
 SELECT repo_id, chunk_id, content FROM u
 QUALIFY row_number() OVER (PARTITION BY repo_id, chunk_id ORDER BY side DESC) = 1"""
 
@@ -664,6 +675,15 @@ SELECT n, CAST(h1 AS BIGINT) AS hits_at_1, CAST(h3 AS BIGINT) AS hits_at_3, CAST
        round(rr / n, 6) AS mrr_at_5
 FROM m"""
 
+ORACLE["eval_report"] = f"""
+WITH {EVAL},
+top AS (SELECT query_id, string_agg(file || '#' || name, ',' ORDER BY pos) AS sources FROM srcs WHERE pos < 5 GROUP BY query_id),
+total AS (SELECT count(*) AS n, sum(CASE WHEN hit_rank <= 5 THEN 1 ELSE 0 END)::BIGINT AS hits_at_5,
+                 round(sum(CASE WHEN hit_rank IS NOT NULL THEN 1.0 / hit_rank ELSE 0.0 END) / count(*), 6) AS mrr_at_5 FROM per_q)
+SELECT p.query_id, b.text AS question, p.hit_rank, coalesce(t.sources, '') AS sources,
+       (SELECT count(*) FROM documents) AS total_chunks, total.n, total.hits_at_5, total.mrr_at_5
+FROM per_q p JOIN benchmark b ON b.item_id = p.query_id LEFT JOIN top t ON t.query_id = p.query_id, total"""
+
 ORACLE["pending_ingests"] = f"""
 WITH {REPO_URLS},
 log AS (
@@ -787,7 +807,7 @@ hit AS (SELECT q.query_id, min(r.rank) + 1 AS hit_rank
 SELECT bq.query_id, CAST(hit_rank AS INTEGER) AS hit_rank FROM bq LEFT JOIN hit USING (query_id)""")
 
 ORACLE["ivf_recall"] = """
-SELECT count(*) AS n_queries, 10 AS k, true AS half_found FROM embeddings WHERE vec_id % 20 = 0"""
+SELECT count(*) AS n_queries, 10 AS k, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0"""
 
 # ---------------------------------------------------------------- JavaScript chunker
 JS_BUILTINS_SQL = ("['console', 'log', 'error', 'warn', 'JSON', 'Object', 'Array', 'Promise', 'resolve', 'reject', 'then', 'catch', "

@@ -61,11 +61,6 @@ def golden_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("repo_id"), "question", "expected_symbols")
 
 
-def golden_df(spark: SparkSession) -> DataFrame:
-    rows = [(i + 1, q, syms) for i, (q, syms) in enumerate(GOLDEN_QA)]
-    return spark.createDataFrame(rows, "query_id int, question string, expected_symbols array<string>")
-
-
 def synonyms_df(spark: SparkSession) -> DataFrame:
     rows = [(i, kw, syns) for i, (kw, syns) in enumerate(SYNONYMS)]
     return spark.createDataFrame(rows, "kw_pos int, kw string, syns array<string>")
@@ -229,20 +224,20 @@ def part_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(page_id, url)``: the page URL and repository URL variants (GitHub with and
+    """``(page_id, url)``: every page's URL and a repository URL variant (GitHub with and
     without ``.git``, trailing slashes, http, GitLab without scheme and padded,
     Bitbucket)."""
     pg = table(spark, sf_dir, "pages")
     owner = F.regexp_extract("url", r"://([^/.]+)", 1)
     repo = F.concat(owner, F.lit("/repo"), F.col("page_id").cast("string"))
     v = F.col("page_id") % 6
-    url = (F.when(v == 0, F.col("url"))
+    url = (F.when(v == 0, F.lit(None).cast("string"))
            .when(v == 1, F.concat(F.lit("https://github.com/"), repo))
            .when(v == 2, F.concat(F.lit("https://github.com/"), repo, F.lit(".git")))
            .when(v == 3, F.concat(F.lit("http://github.com/"), repo, F.lit("/")))
            .when(v == 4, F.concat(F.lit("  gitlab.com/"), repo, F.lit(" ")))
            .otherwise(F.concat(F.lit("https://bitbucket.org/"), repo, F.lit("//"))))
-    return pg.select("page_id", url.alias("url"))
+    return pg.select("page_id", F.explode(F.array_compact(F.array("url", url))).alias("url"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

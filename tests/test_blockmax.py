@@ -40,7 +40,7 @@ def test_same_rows(index, queries, k, size, first):
 
 
 def test_rare_words_read_few_postings(index, queries):
-    cost = {r.query_id: r for r in blockmax_topk(index, block_postings(index, 4), queries, 3)[1].collect()}
+    cost = {r.query_id: r for r in blockmax_topk(index, block_postings(index, 4), queries, 3, size=4)[1].collect()}
     assert cost[0].postings_read < cost[0].postings_all / 2 and cost[2].postings_read < cost[2].postings_all / 2
     assert sum(r.postings_read for r in cost.values()) < sum(r.postings_all for r in cost.values())
 

@@ -107,7 +107,7 @@ def test_registered_probes_reach_the_recall(spark):
     found = {(r.query_id, r.id) for r in ivf_topk(index, by_id, 10, C.IVF_PROBES).collect()}
     assert C.ivf_found(index, by_id).first().recall == pytest.approx(len(found & exact) / len(exact)) and len(found & exact) >= 0.9 * len(exact)
     assert C.ivf_found(index, asked).first().recall >= 0.9
-    probed = {(r.query_id, r.vec_id) for r in C.q_ivf_topk_nprobe4(spark, sf).collect()}
+    probed = {(r.query_id, r.vec_id) for r in C.q_ivf_topk_12_of_16(spark, sf).collect()}
     full = {(r.query_id, r.id) for r in ivf_topk(index, asked, 10, C.IVF_CELLS).collect()}
     assert len(probed & full) >= 0.9 * len(full)
 
@@ -169,3 +169,20 @@ def test_model_is_built_once_a_worker_and_fed_batches(spark, tmp_path):
     built = [n.split("-")[1] for n in names if n.startswith("built")]
     assert len(built) == len(set(built)) < 10       # ten tasks, fewer workers
     assert max(int(n.split("-")[1]) for n in names if n.startswith("batch")) == 32
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_signatures(vectors, queries, most):
+    from codeloom.operators.signatures import signature_index, signature_topk
+    index = signature_index(vectors, id_col="vec_id", repo_col="repo_id")
+    exact = {(r.query_id, int(r.chunk_id), r.score, r.rank) for r in cosine_topk(vectors, queries, 5).collect()}
+    full = signature_topk(index, queries, 5, 10_000, repo_col="repo_id", max_bytes=most)
+    assert {(r.query_id, int(r.id), r.score, r.rank) for r in full.collect()} == exact
+    some = signature_topk(index, queries, 5, 40, repo_col="repo_id", max_bytes=most).collect()
+    assert len({(r.query_id, int(r.id)) for r in some} & {x[:2] for x in exact}) >= 0.9 * len(exact) and {r.scored for r in some} == {40}
+
+
+def test_signatures_reach_the_recall_with_few_scored(spark):
+    import codeloom.plans.catalog as C
+    row = C.q_signature_recall(spark, "/root/testdata/sf0.01").first()
+    assert row.n_queries == 25 and row.recall >= 0.9 and row.scored_share <= 0.2
