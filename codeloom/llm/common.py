@@ -22,6 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Largest table of short rows (a few numbers or one digest) that is broadcast: below 32 MB.
 BROADCAST = 200_000
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 # Documents are handled in slices of about this many bytes inside a task.
 SLICE_BYTES = 1 << 19
 
@@ -51,11 +52,12 @@ def small(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows from now on in this session: with rows of whole
-    texts, Spark's usual 10,000 take tens of MB in the JVM and again in each worker."""
+    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes from now on in this session:
+    with rows of whole texts, Spark's usual 10,000 take tens of MB in the JVM and again in each worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def tidy(task: Callable) -> Callable:

@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import limit_batches, scratch, small, text_buffer, tidy, word_hashes
+from .common import scratch, small, text_buffer, tidy, word_hashes
 
 SHARD_BYTES = 4 << 20
 RANGE_WORDS = 1 << 20
@@ -27,12 +27,6 @@ _DEALT = "range int, shard bigint, start int, " + VOCABULARY
 _NUMBERED = "range int, shard bigint, start int, ids binary, " + VOCABULARY
 
 
-def limit_bytes(spark: SparkSession) -> None:
-    """Arrow batches of few rows and about SHARD_BYTES bytes: a row may be a whole shard."""
-    limit_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SHARD_BYTES))
-
-
 def shard_numbers() -> Iterator[int]:
     """Numbers that no other task of the same stage gives; the table that holds them is written
     once and read from there."""

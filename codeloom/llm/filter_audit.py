@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from codeloom.session import table
 
-from .common import need, slices, small, text_buffer, tidy, word_bounds, written
-from .encode import SHARD_BYTES, VOCABULARY, global_numbers, limit_bytes, local_words, number_words, shard_numbers, unzipped, zipped, zstd
+from .common import limit_batches, need, slices, small, text_buffer, tidy, word_bounds, written
+from .encode import SHARD_BYTES, VOCABULARY, global_numbers, local_words, number_words, shard_numbers, unzipped, zipped, zstd
 
 FILTERS = "ABCDE"
 FEWEST_WORDS = 200
@@ -122,7 +122,7 @@ def term_matrix(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(dictionary, matrix) of ``documents(doc_id, part, text)``: the numbered words (see
     ``encode.number_words``), and written CSR shards over those numbers (indptr and zipped
     cols little-endian int64, zipped counts int32)."""
-    limit_bytes(documents.sparkSession)
+    limit_batches(documents.sparkSession)
     shards = zstd(documents.mapInArrow(_pack, SHARDS), "csr-local")
     words, numbers = number_words(shards)
     local = shards.drop("words", "sizes", "times")

@@ -37,8 +37,8 @@ from pyspark.sql import Window as W
 
 from codeloom.session import table
 
-from .common import mix, need, slices, small, text_buffer, tidy
-from .encode import SHARD_BYTES, VOCABULARY, global_numbers, limit_bytes, local_words, number_words, shard_numbers, unzipped, word_rows, zipped, zstd
+from .common import limit_batches, mix, need, slices, small, text_buffer, tidy
+from .encode import SHARD_BYTES, VOCABULARY, global_numbers, local_words, number_words, shard_numbers, unzipped, word_rows, zipped, zstd
 
 LEAST = 100
 LONGEST = 5
@@ -247,7 +247,7 @@ def _entries(k: int):
 def merged_stripes(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, sizes, words) of ``documents(text, lang)``: ``entries(lang, phrase array<int>, a)`` of all
     stripes, of ``least`` or more (a last word END: the prefix's total); ``sizes(lang, n)``; ``words(id, word, times)``."""
-    limit_bytes(documents.sparkSession)
+    limit_batches(documents.sparkSession)
     docs = need(documents, text="string", lang="string").withColumn("lang", F.coalesce("lang", F.lit("und")))
     shards = zstd(docs.mapInArrow(_pack, SHARDS), "phrase-shards")
     sizes = zstd(shards.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "phrase-sizes")

@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from codeloom.session import table
 
-from .common import _BYTE, _power, mix, need, slices, text_buffer, tidy
-from .encode import limit_bytes, shard_numbers, unzipped, zipped, zstd
+from .common import _BYTE, _power, limit_batches, mix, need, slices, text_buffer, tidy
+from .encode import shard_numbers, unzipped, zipped, zstd
 
 SPAN = 400
 SHARD = 1 << 20
@@ -254,7 +254,7 @@ def _remove(span: int):
 def remove_repeats(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row of ``documents(doc_id, text)``: the removed byte
     ranges [start, end) and the remaining bytes, which may cut a code point."""
-    limit_bytes(documents.sparkSession)
+    limit_batches(documents.sparkSession)
     shards = zstd(need(documents, doc_id="bigint", text="string").mapInArrow(_pack, SHARDS), "repeat-shards")
     anchors = zstd(shards.mapInArrow(_anchors(span), ANCHORS), "repeat-anchors")
     kinds = zstd(anchors.groupBy("anchor", "digest").agg(
