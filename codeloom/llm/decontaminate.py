@@ -9,15 +9,18 @@ the smaller by sum of the larger multiplicities) of at least ``SIMILARITY`` with
    and an item size, the sorted positions that hold a shingle of such an item give every start
    whose window, clipped to the document, holds enough of them to reach the threshold: with m
    shingles against the item's k, at least SIMILARITY / (1 + SIMILARITY) * (m + k).  The order of
-   the item's parts does not matter.  A window is aligned if it starts at p - o for a shingle at
-   position p of the document and offset o of an item.
+   the item's parts does not matter.
 2. Fingerprints.  Every window and item gets a 64-bit SimHash of its shingle multiset.
 3. Candidates.  Fingerprints are cut into RADIUS + 1 blocks; two within RADIUS bits agree in a
-   block, so the join on (size, block, value) finds all of them, once per pair.
+   block.  Blocks of two or three bits select little by themselves, so a block's key also holds a
+   shingle: of n shingles in the order of their hashes, the first n - ceil(SIMILARITY * n) + 1 are
+   the prefix, and two multisets that reach the threshold share one of their prefixes.  The join
+   on (size, shingle, block, value) finds every pair that does; a pair is kept in the first block
+   that agrees, once per shared prefix shingle, then made distinct.  An item that a third of all
+   documents hold is spread over as many keys as it has blocks and prefix shingles.
 4. Verification.  The exact similarity is taken from the two shingle multisets.
 
-Of a pair's windows that reach the threshold, whole or aligned ones go before the other clipped
-ones; then the most similar, an aligned one, the first and the longest is reported.
+The most similar of a pair's windows is reported; of equal ones the first, then the longest.
 
 At similarity 0.8 the expected distance is 10 of 64 bits with deviation 3; RADIUS 23 leaves a
 miss below 1e-5 at the threshold and less above it.
@@ -75,6 +78,34 @@ def blocks(fingerprint: Column) -> Column:
                      for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False))])
 
 
+def first_block(a: Column, b: Column) -> Column:
+    """The first block in which two fingerprints agree; null if there is none."""
+    edge = [i * 64 // (RADIUS + 1) for i in range(RADIUS + 2)]
+    differ = a.bitwiseXOR(b)
+    agree = [F.when(F.shiftrightunsigned(differ, x).bitwiseAND(F.lit((1 << (y - x)) - 1)) == 0, i)
+             for i, (x, y) in enumerate(zip(edge, edge[1:], strict=False))]
+    return F.coalesce(*agree)
+
+
+def prefix(sh: Column) -> Column:
+    """The distinct shingles of which two multisets of similarity SIMILARITY share one."""
+    return F.array_distinct(F.slice(F.sort_array(sh), 1, F.size(sh) - F.ceil(F.size(sh) * SIMILARITY - 1e-9).cast("int") + 1))
+
+
+def candidates(windows: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, th, size, start_word, n_words, item_id), once each: the windows and items of a size
+    that share a prefix shingle and a block, and differ in at most RADIUS bits."""
+    parts = lambda p: [F.explode(prefix(F.col("sh"))).alias("h"), F.col(p), F.col("size")]
+    keys = (windows.select("doc_id", "th", "start_word", "n_words", *parts("print"))
+            .select("*", F.inline_outer(blocks(F.col("print")))))
+    marks = (marks.withColumnRenamed("item_sh", "sh").select("item_id", *parts("item_print"))
+             .select("*", F.inline_outer(blocks(F.col("item_print")))))
+    return (keys.join(small(marks), ["size", "h", "block", "value"])
+            .where((F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+                   & (F.col("block") == first_block(F.col("print"), F.col("item_print"))))
+            .select("doc_id", "th", "size", "start_word", "n_words", "item_id").dropDuplicates())
+
+
 def common_shingles(a: Column, b: Column) -> Column:
     """Sum over distinct hashes of the smaller multiplicity."""
     times = lambda xs, h: F.size(F.filter(xs, lambda y: y == h))
@@ -109,50 +140,42 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     item in each document; th is the hash of the document's text."""
     items = with_shingles(need(benchmark, item_id="bigint", text="string").where("text is not null")).where("n > 0")
     items = written(items.withColumnRenamed("n", "size"), "items")
-    offsets = items.select("size", F.posexplode_outer("sh").alias("o", "h")).dropDuplicates()
+    theirs = items.select("size", F.explode_outer("sh").alias("h")).dropDuplicates()
     docs = need(documents, doc_id="bigint", text="string").withColumn("th", F.xxhash64("text"))
 
     met = (with_shingles(docs).select("doc_id", "th", "n", F.posexplode_outer("sh").alias("p", "h"))
-           .join(small(offsets), "h").where((F.col("size") >= K) | (F.col("n") == F.col("size")))
-           .groupBy("doc_id", "th", "n", "size").agg(F.sort_array(F.collect_set("p")).alias("at"), F.collect_set(F.col("p") - F.col("o")).alias("starts")))
+           .join(small(theirs), "h").where((F.col("size") >= K) | (F.col("n") == F.col("size")))
+           .groupBy("doc_id", "th", "n", "size").agg(F.sort_array(F.collect_set("p")).alias("at")))
     codes = window_codes(F.col("at"), F.col("n"), F.col("size"))
-    start = lambda s: F.greatest(F.lit(0), s)
-    aligned = F.transform("starts", lambda s: start(s).cast("bigint") * (F.col("size") + 1) + F.least(F.col("n"), s + F.col("size")) - start(s))
     met = (met.where(F.size("at") >= SIMILARITY * (F.col("size") - K + 1) - 1e-9)
-           .select("doc_id", "th", "size", codes.alias("codes"), aligned.alias("aligned")).where(F.size("codes") > 0))
+           .select("doc_id", "th", "size", codes.alias("codes")).where(F.size("codes") > 0))
     met = written(met, "met")
 
     # Texts with windows once more, to cut the windows out of them.
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
     hit = small(written(met.select("doc_id", "th").dropDuplicates(), "hit"))
     texts = with_shingles(docs.join(hit, same(docs, hit), "left_semi").dropDuplicates(["doc_id", "th"]))
-    flag = lambda codes, value: F.transform(codes, lambda c: F.struct(c.alias("code"), F.lit(value).alias("aligned")))
-    both = F.concat(flag(F.array_intersect("codes", "aligned"), True), flag(F.array_except("codes", "aligned"), False))
     start, n = F.expr("int(code div (size + 1))"), F.expr("int(code % (size + 1))")
-    windows = (met.select("doc_id", "th", "size", F.inline_outer(both))
+    windows = (met.select("doc_id", "th", "size", F.explode_outer("codes").alias("code"))
                .join(texts.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "sh"),
                      F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-               .select("doc_id", "th", "size", "aligned", start.alias("start_word"), n.alias("n_words"),
+               .select("doc_id", "th", "size", start.alias("start_word"), n.alias("n_words"),
                        F.slice("sh", start + 1, F.greatest(F.lit(1), n - K + 1)).alias("sh"))
                .withColumn("print", simhash(F.col("sh"))))
     windows = written(windows, "windows")
 
     marks = items.select("item_id", "size", simhash(F.col("sh")).alias("item_print"), F.col("sh").alias("item_sh"))
     marks = written(marks, "marks")
-    keys = windows.select("size", "doc_id", "th", "start_word", "n_words", "print", F.inline_outer(blocks(F.col("print"))))
-    found = (keys.join(small(marks.select("size", "item_id", "item_print", F.inline_outer(blocks(F.col("item_print")))).drop("item_sh")), ["size", "block", "value"])
-             .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-             .select("doc_id", "th", "size", "start_word", "n_words", "item_id").dropDuplicates())
+    found = candidates(windows, marks)
     shared = common_shingles(F.col("sh"), F.col("item_sh"))
     both = (found.join(windows.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("size").alias("z"),
-                                      F.col("start_word").alias("b"), F.col("n_words").alias("c"), "aligned", "sh"),
+                                      F.col("start_word").alias("b"), F.col("n_words").alias("c"), "sh"),
                        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("size") == F.col("z"))
                        & (F.col("start_word") == F.col("b")) & (F.col("n_words") == F.col("c")))
             .join(marks.select("item_id", "item_sh", "size"), ["item_id", "size"])
             .withColumn("shared", shared)
             .withColumn("similarity", F.col("shared") / (F.size("sh") + F.size("item_sh") - F.col("shared"))))
-    first = F.col("aligned") | (F.col("n_words") == F.col("size"))
-    best = F.max(F.struct(first.alias("f"), "similarity", "aligned", (-F.col("start_word")).alias("b"), F.col("n_words")))
+    best = F.max(F.struct("similarity", (-F.col("start_word")).alias("b"), F.col("n_words")))
     return (both.where(F.col("similarity") >= SIMILARITY).groupBy("doc_id", "th", "item_id").agg(best.alias("x"))
             .select("doc_id", "th", "item_id", (-F.col("x.b")).alias("start_word"), F.col("x.n_words").alias("n_words"), "x.similarity"))
 
@@ -177,13 +200,16 @@ ds AS (SELECT doc_id, len(w) AS n, unnest(range(len(w) - 4)) AS p, w FROM d WHER
 dh AS (SELECT doc_id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS h FROM ds),
 it AS (SELECT item_id, len(w) AS size, unnest(range(len(w) - 4)) AS o, w FROM i WHERE len(w) >= 5),
 ih AS (SELECT item_id, size, o, array_to_string(w[o + 1:o + 5], ' ') AS h FROM it),
-win AS (SELECT DISTINCT doc_id, item_id, size, greatest(0, p - o) AS s, least(n, p - o + size) - greatest(0, p - o) AS c
-        FROM dh JOIN ih USING (h)),
+met AS (SELECT doc_id, n, item_id, size, p FROM dh JOIN ih USING (h) GROUP BY ALL),
+pair AS (SELECT doc_id, n, item_id, size FROM met GROUP BY ALL HAVING count(*) >= 0.8 * (size - 4) - 1e-9),
+st AS (SELECT DISTINCT doc_id, n, item_id, size, unnest(range(p - size + 5, p + 1)) AS f FROM met JOIN pair USING (doc_id, n, item_id, size)),
+win AS (SELECT DISTINCT doc_id, item_id, size, greatest(0, f) AS s, least(n, f + size) - greatest(0, f) AS c FROM st),
 wc AS (SELECT win.doc_id, win.item_id, size, s, c, h, count(*) AS m
-       FROM win JOIN dh ON dh.doc_id = win.doc_id AND dh.p BETWEEN s AND s + greatest(c - 5, 0) GROUP BY ALL),
+       FROM win JOIN dh ON dh.doc_id = win.doc_id AND dh.p BETWEEN s AND s + c - 5 GROUP BY ALL),
 ic AS (SELECT item_id, h, count(*) AS m FROM ih GROUP BY ALL),
 sh AS (SELECT wc.doc_id, wc.item_id, size, s, c, sum(least(wc.m, ic.m)) AS x FROM wc JOIN ic USING (item_id, h) GROUP BY ALL),
-si AS (SELECT doc_id, item_id, s, c, x / (greatest(c - 4, 1) + size - 4 - x) AS similarity FROM sh),
+si AS (SELECT doc_id, item_id, s, c, x / (c - 4 + size - 4 - x) AS similarity FROM sh WHERE c >= 5
+       UNION ALL SELECT doc_id, item_id, 0, len(d.w), 1.0 FROM d JOIN i ON d.w = i.w WHERE len(d.w) BETWEEN 1 AND 4),
 r AS (SELECT doc_id, item_id, s, c, similarity,
              row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s, c DESC) AS k FROM si WHERE similarity >= 0.8)
 SELECT doc_id, item_id, s::INT AS start_word, c::INT AS n_words, similarity FROM r WHERE k = 1
