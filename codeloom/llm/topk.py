@@ -11,13 +11,20 @@ smallest and largest distance.  Pivots come from a sample of at most ``SAMPLE``
 farthest-first choice; they affect speed alone.
 
 Search.  By the triangle inequality, no point of an annulus is nearer to q than the gap
-between d(q, pivot) and the annulus, which bounds its products from above.  A first round
-takes each query's ``FIRST`` annuli with the highest bounds and yields its k-th score so far;
-the second takes exactly those others whose bound reaches that score.  Queries go to a block
+between d(q, pivot) and the annulus, which bounds its products from above.  A pivot's annuli are
+sorted by distance and kept in pages of at most ``PAGE``, each the owner of a stretch of the
+distance axis.  A first round opens, for a query's ``FIRST`` nearest pivots, and for as many more as
+it takes to hold over k rows, the two nearest annuli of the page that owns its distance, which
+yields its k-th score so far.  That score is a
+radius: an annulus whose gap is larger can be skipped, and as the annuli are sorted, the others
+are one run around the query's distance.  The second round opens the pages, and of them the
+annuli, that the run reaches; what it does not reach never becomes a row.  Queries go to a block
 in groups of at most about ``GROUP``, a task multiplies one block by one group, and only
 products that reach the query's score so far leave it, k for each query at most.  Scores are
 exact integers: products are taken in doubles if all of them fit 53 bits, else in Python ints
-(they must fit a long).
+(they must fit a long).  The pages are broadcast only while they hold at most ``ANNULI`` annuli
+of 32 bytes; else both sides are shuffled by (pivot, salt), with a copy of the pages for each of
+``SALTS`` salts.
 
 Cases: vectors that are null, or hold null or non-finite components, take no part; a shorter
 vector counts as padded with zeros; rows equal in vec_id and vector are one row; a query's own
@@ -43,8 +50,12 @@ SCALE = 1024
 PIVOTS = 32
 SAMPLE = 2000
 BLOCK = 2048
-FIRST = 4
+FIRST = 2
 GROUP = 512
+PAGE = 1024
+ANNULI = 200_000
+SALTS = 8
+NONE = -(2**63)
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -195,33 +206,85 @@ def _bounds(pivots: np.ndarray, dims: int):
     return run
 
 
+def paged(blocks: DataFrame, page: int = PAGE) -> DataFrame:
+    """(pivot, since, until, annuli): a pivot's annuli by distance in pages of at most ``page``.
+    A page owns the distances from its first annulus to the next page's, the first and the last
+    page all that lie beyond.  Blocks are numbered in the order of (pivot, distance)."""
+    number = F.row_number().over(W.partitionBy("pivot", "part").orderBy("block")) - 1
+    # A partition of the ranges holds consecutive blocks: its number is in the upper bits of theirs.
+    pages = (blocks.select("block", "pivot", "low", "high", F.size("ids").alias("rows"), F.shiftright("block", 33).alias("part"))
+             .withColumn("page", F.floor(number / page))
+             .groupBy("pivot", "part", "page").agg(F.sort_array(F.collect_list(F.struct("low", "high", "block", "rows"))).alias("annuli")))
+    after = W.partitionBy("pivot").orderBy("part", "page")
+    low = F.col("annuli")[0]["low"]
+    pages = pages.select(
+        "pivot", F.when(F.lag("page").over(after).isNotNull(), low).otherwise(F.lit(float("-inf"))).alias("since"),
+        F.coalesce(F.lead(low).over(after), F.lit(float("inf"))).alias("until"), "annuli")
+    return written(pages, "pages")
+
+
+def opening(blocks: DataFrame, facts: dict, queries: DataFrame, k: int):
+    """The two rounds' choices for ``queries(query_id, q)``: a table (query_id, block) of the first
+    round, and a function from floors(query_id, floor) to the rest, (query_id, block, floor)."""
+    top = facts["top"]
+    pages = paged(blocks)
+    at = queries.mapInArrow(_bounds(facts["pivots"], facts["dims"]), "query_id bigint, pivot int, dist double, qq double")
+    at = written(at, "query-pivots")
+    few = blocks.count() <= ANNULI
+
+    def with_pages(rows: DataFrame) -> DataFrame:
+        if few:
+            return rows.join(F.broadcast(pages), "pivot")
+        salt = F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int")
+        copies = pages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("salt", salt).join(copies, ["pivot", "salt"])
+
+    gap = lambda x: F.greatest(F.lit(0.0), F.col("dist") - x["high"], x["low"] - F.col("dist"))
+
+    nearest = F.slice(F.array_sort(F.transform("annuli", lambda x: F.struct(gap(x).alias("gap"), x["block"].alias("block"), x["rows"].alias("rows")))), 1, 2)
+    own = (with_pages(at).where((F.col("since") <= F.col("dist")) & (F.col("dist") < F.col("until")))
+           .select("query_id", "dist", "pivot", nearest.alias("nearest")))
+    near = W.partitionBy("query_id").orderBy("dist", "pivot")
+    before = F.sum(F.aggregate("nearest", F.lit(0), lambda s, x: s + x["rows"])).over(near.rowsBetween(W.unboundedPreceding, -1))
+    first = (own.withColumn("n", F.row_number().over(near)).withColumn("before", before)
+             .where((F.col("n") <= FIRST) | (F.col("before") <= k))
+             .select("query_id", F.explode("nearest").alias("x")).select("query_id", "x.block"))
+    first = written(first, "first")
+
+    def rest(floors: DataFrame) -> DataFrame:
+        # A product reaches the floor only within this distance; without a floor all annuli are opened.
+        slack = F.lit(1e-9) * (F.col("qq") + top) + 1.0
+        radius = F.sqrt(F.greatest(F.lit(0.0), (F.col("qq") + top - 2 * (F.col("floor") - slack)) * (1 + 1e-9)))
+        done = first.groupBy("query_id").agg(F.collect_set("block").alias("done"))
+        near = (at.join(done, "query_id", "left").join(floors, "query_id", "left")
+                .withColumn("radius", F.when(F.col("floor").isNull(), F.lit(float("inf"))).otherwise(radius)))
+        end = F.element_at("annuli", -1)["high"]
+        reached = (F.col("since") <= F.col("dist") + F.col("radius")) & (end >= F.col("dist") - F.col("radius"))
+        inside = F.filter("annuli", lambda x: (gap(x) <= F.col("radius")) & ~F.array_contains("done", x["block"]))
+        return (with_pages(near).where(reached)
+                .select("query_id", "floor", F.explode(inside).alias("x"))
+                .select("query_id", F.col("x.block").alias("block"), F.coalesce("floor", F.lit(NONE).cast("bigint")).alias("floor")))
+
+    return first, rest
+
+
 def search(blocks: DataFrame, facts: dict, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries(query_id, q)``, exact."""
-    pivots, dims, top = facts["pivots"], facts["dims"], facts["top"]
-    # One row for each query and pivot, then for each query and annulus.
-    at = queries.mapInArrow(_bounds(pivots, dims), "query_id bigint, pivot int, dist double, qq double")
-    gap = F.greatest(F.lit(0.0), F.col("dist") - F.col("high"), F.col("low") - F.col("dist"))
-    slack = F.lit(1e-9) * (F.col("qq") + top) + 1.0
-    bound = (F.col("qq") + top - gap * gap * (1 - 1e-9)) / 2 + slack
-    reach = at.join(blocks.select("block", "pivot", "low", "high"), "pivot").select("query_id", "block", bound.alias("bound"))
-    first = reach.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("bound").desc(), "block"))).where(F.col("n") <= FIRST).drop("n")
-    first = written(first.select("query_id", "block"), "first")
+    first, rest = opening(blocks, facts, queries, k)
+    n_groups = max(1, -(-queries.count() // GROUP))
 
     def run(pairs: DataFrame) -> DataFrame:
         groups = (pairs.join(queries, "query_id")
                   .groupBy("block", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("g"))
                   .agg(F.collect_list(F.struct("query_id", "q", "floor")).alias("group")).drop("g"))
         return blocks.select("block", "ids", "vs").join(groups, "block").mapInArrow(
-            _scored(dims, k, top * 2 < 2**53), "query_id bigint, vec_id bigint, score bigint")
+            _scored(facts["dims"], k, facts["top"] * 2 < 2**53), "query_id bigint, vec_id bigint, score bigint")
 
-    n_groups = max(1, -(-queries.count() // GROUP))
-    none = F.lit(-(2**63)).cast("bigint")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    found = written(run(first.withColumn("floor", none)).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k), "found")
+    found = run(first.withColumn("floor", F.lit(NONE).cast("bigint")))
+    found = written(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k), "found")
     floors = found.where(F.col("n") == k).select("query_id", F.col("score").alias("floor"))
-    rest = (reach.join(floors, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")))
-            .join(first, ["query_id", "block"], "left_anti").select("query_id", "block", F.coalesce("floor", none).alias("floor")))
-    both = found.drop("n").unionByName(run(rest))
+    both = found.drop("n").unionByName(run(rest(floors)))
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -55,6 +55,49 @@ def test_components_too_large_for_a_long(spark):
     assert got == brute(rows, 10, 5) and {q for q, *_ in got} == {10, 20, 30}
 
 
+def test_far_clusters_are_never_opened(spark, monkeypatch):
+    """Tight clusters far apart: a query opens annuli of its own cluster alone."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (8, 16))
+    centres *= 40 / np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, (centres[i % 8] + rng.normal(0, 0.05, 16)).astype(np.float32).tolist()) for i in range(1600)]
+    opened = []
+    plain_opening = K.opening
+
+    def watched(blocks, facts, queries, k):
+        first, rest = plain_opening(blocks, facts, queries, k)
+
+        def kept(floors):
+            out = rest(floors)
+            opened.append((first.count() + out.count(), blocks.count() * queries.count()))
+            return out
+
+        return first, kept
+
+    monkeypatch.setattr(K, "opening", watched)
+    monkeypatch.setattr(K, "FIRST", 1)
+    got, blocks = found(spark, rows, every=15, pivots=8, block=20)
+    assert got == brute(rows, 15, 5)
+    (n, every), = opened
+    assert n < 0.2 * every, opened
+
+
+@pytest.mark.parametrize("annuli", [K.ANNULI, 0])
+def test_pages(spark, monkeypatch, annuli):
+    """Many pages a pivot, and with no broadcast: every annulus in one page, the distances' owners without gaps."""
+    monkeypatch.setattr(K, "paged", lambda blocks, plain=K.paged: plain(blocks, 3))
+    monkeypatch.setattr(K, "ANNULI", annuli)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 1, 6).astype(np.float32).tolist()) for i in range(900)]
+    got, blocks = found(spark, rows, pivots=4, block=16)
+    assert got == brute(rows, 10, 5)
+    pages = K.paged(blocks).collect()
+    assert sorted(x.block for p in pages for x in p.annuli) == sorted(r.block for r in blocks.collect())
+    for pivot in {p.pivot for p in pages}:
+        own = sorted((p.since, p.until) for p in pages if p.pivot == pivot)
+        assert own[0][0] == -np.inf and own[-1][1] == np.inf and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+
+
 def test_whole_table(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     got = sorted(tuple(r) for r in K.op6_pivot_topk(spark, "/root/testdata/sf0.01").select("query_id", "rank", "vec_id", "score").collect())
