@@ -5,7 +5,8 @@ doc_id) stand one after the other in a segment.  A segment holds, in this order:
 
     magic "TKEF", then little-endian: u32 part, u32 segment, u64 documents, u64 ids,
     u8 id width (2 or 4 bytes), u8 low bits l, u16 zero, u64 bytes of the high part
-    doc ids      int64 for each document, then u8 for each: 1 if the id is null
+    doc ids      u64 null ids (they come first), i64 smallest id, u8 low bits, u64 bytes of the high
+                 part, then low part, high part and select samples of the others less the smallest
     low part     the l low bits of each boundary, packed
     high part    the upper bits in unary (bit (b >> l) + i is set for boundary i)
     select       u32 position of every 256th set bit of the high part
@@ -13,7 +14,8 @@ doc_id) stand one after the other in a segment.  A segment holds, in this order:
 
 A boundary is where a document ends, so there are as many as documents, and they take
 about 2 + log2(ids / documents) bits each.  ``bounds_at`` finds single boundaries through
-the select samples without decoding the rest; no 64-bit offset table exists anywhere.
+the select samples without decoding the rest; no 64-bit table of offsets or ids exists anywhere:
+the ids ascend too, and take about 2 + log2(their range / documents) bits each.
 
 Segments are rows of a text writer with one-byte separators, so they are written to and
 read from whatever file system Spark uses; a file holds a bounded number of segments.
@@ -43,6 +45,7 @@ from .common import limit_batches, need, scratch, slices, text_buffer, tidy, wor
 
 MAGIC = b"TKEF"
 HEAD = struct.Struct("<4sIIQQBBHQ")
+ID_HEAD = struct.Struct("<QqBQ")
 SEGMENT_IDS = 1 << 20     # ids of a segment, unless one document has more
 FILE_SEGMENTS = 4         # segments of a file
 SAMPLE = 256              # one select sample for so many boundaries
@@ -52,13 +55,14 @@ CACHE_PIECES = 1_000_000  # encoded pieces that a worker keeps, about 30 bytes e
 # ------------------------------------------------------------------------- Elias-Fano
 
 def ef_encode(values: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
-    """(low bits, low part, high part, select samples) of a non-decreasing sequence."""
+    """(low bits, low part, high part, select samples) of a non-decreasing sequence from 0 to 2^64 - 1."""
     n = len(values)
     if not n:
         return 0, b"", b"", b""
-    low = max(0, int(np.log2(max(1, int(values[-1]) // n))))
-    bits = ((values[:, None] >> np.arange(low)) & 1).astype(np.uint8) if low else np.zeros((n, 0), np.uint8)
-    ones = (values >> low) + np.arange(n)
+    values = values.astype(np.uint64)
+    low = max(0, (int(values[-1]) // n).bit_length() - 1)
+    bits = ((values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if low else np.zeros((n, 0), np.uint8)
+    ones = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
     high = np.zeros(int(ones[-1]) + 1, np.uint8)
     high[ones] = 1
     return (low, np.packbits(bits.ravel(), bitorder="little").tobytes(),
@@ -66,14 +70,14 @@ def ef_encode(values: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
 
 
 def ef_decode(n: int, low: int, low_part: bytes, high_part: bytes) -> np.ndarray:
-    """The whole sequence."""
+    """The whole sequence, unsigned."""
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     ones = np.flatnonzero(np.unpackbits(np.frombuffer(high_part, np.uint8), bitorder="little"))[:n]
-    out = (ones - np.arange(n)) << low
+    out = (ones - np.arange(n)).astype(np.uint64) << np.uint64(low)
     if low:
         bits = np.unpackbits(np.frombuffer(low_part, np.uint8), bitorder="little")[:n * low].reshape(n, low)
-        out = out + (bits.astype(np.int64) << np.arange(low)).sum(1)
+        out = out + (bits.astype(np.uint64) << np.arange(low, dtype=np.uint64)).sum(1, dtype=np.uint64)
     return out
 
 
@@ -99,13 +103,21 @@ def ef_get(i: int, low: int, low_part: bytes, high_part: bytes, select: bytes) -
 
 # --------------------------------------------------------------------------- segments
 
+def pack_ids(doc_ids: list) -> bytes:
+    """Ascending ids, null ones first."""
+    absent = sum(d is None for d in doc_ids)
+    known = np.array(doc_ids[absent:], np.int64)
+    base = int(known[0]) if len(known) else 0
+    # Differences of two int64 may pass int64; as unsigned numbers they are right.
+    low, low_part, high_part, select = ef_encode(known.view(np.uint64) - np.uint64(base % 2**64))
+    return b"".join((ID_HEAD.pack(absent, base, low, len(high_part)), low_part, high_part, select))
+
+
 def pack_segment(part: int, number: int, doc_ids: list, ends: np.ndarray, ids: np.ndarray) -> bytes:
     n = len(doc_ids)
     low, low_part, high_part, select = ef_encode(ends)
-    known = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    absent = np.array([d is None for d in doc_ids], np.uint8)
     head = HEAD.pack(MAGIC, part, number, n, len(ids), ids.dtype.itemsize, low, 0, len(high_part))
-    return b"".join((head, known.tobytes(), absent.tobytes(), low_part, high_part, select, ids.tobytes()))
+    return b"".join((head, pack_ids(doc_ids), low_part, high_part, select, ids.tobytes()))
 
 
 class Segment:
@@ -117,19 +129,32 @@ class Segment:
             raise ValueError(f"no segment at byte {at}")
         self.n = n
         at += HEAD.size
-        self.doc_ids = np.frombuffer(data, "<i8", n, at)
-        self.absent = np.frombuffer(data, np.uint8, n, at + 8 * n)
-        at += 9 * n
-        low = -(-n * self.low // 8)
-        self.low_part, self.high_part = bytes(data[at:at + low]), bytes(data[at + low:at + low + high])
-        at += low + high
-        self.select = bytes(data[at:at + 4 * -(-n // SAMPLE)])
-        at += len(self.select)
+        self.absent, self.base, self.id_low, id_high = ID_HEAD.unpack_from(data, at)
+        at += ID_HEAD.size
+
+        def sequence(count: int, low: int, high: int) -> tuple[bytes, bytes, bytes]:
+            nonlocal at
+            out = []
+            for width in (-(-count * low // 8), high, 4 * -(-count // SAMPLE)):
+                out.append(bytes(data[at:at + width]))
+                at += width
+            return tuple(out)
+
+        self.id_parts = sequence(n - self.absent, self.id_low, id_high)
+        self.low_part, self.high_part, self.select = sequence(n, self.low, high)
         self.ids = np.frombuffer(data, f"<u{width}", size, at)
         self.end = at + size * width
 
+    def doc_ids(self) -> pa.Array:
+        known = ef_decode(self.n - self.absent, self.id_low, *self.id_parts[:2]) + np.uint64(self.base % 2**64)
+        return pa.concat_arrays([pa.nulls(self.absent, pa.int64()), pa.array(known.view(np.int64))])
+
+    def doc_id_at(self, i: int) -> int | None:
+        """The id of document i of the segment."""
+        return None if i < self.absent else self.base + ef_get(i - self.absent, self.id_low, *self.id_parts)
+
     def ends(self) -> np.ndarray:
-        return ef_decode(self.n, self.low, self.low_part, self.high_part)
+        return ef_decode(self.n, self.low, self.low_part, self.high_part).astype(np.int64)
 
     def bounds_at(self, i: int) -> tuple[int, int]:
         """Where document i of the segment begins and ends in its ids."""
@@ -299,7 +324,7 @@ def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s.part] * s.n, pa.int32()), pa.array([s.number] * s.n, pa.int32()),
-                     pa.array(s.doc_ids, mask=s.absent.astype(bool)), pa.array(starts), pa.array(ends - starts),
+                     s.doc_ids(), pa.array(starts), pa.array(ends - starts),
                      pa.array(crc, pa.int64())],
                     ["part", "segment", "doc_id", "local", "n_tokens", "ids_crc32"])
 

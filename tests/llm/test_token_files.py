@@ -24,6 +24,18 @@ def test_elias_fano_is_small():
     assert sum(map(len, parts)) < 2 * 5000
 
 
+@given(st.lists(st.one_of(st.integers(-2**63, 2**63 - 1), st.integers(0, 900), st.none()), max_size=600))
+def test_doc_ids_round_trip(ids):
+    ids = sorted(ids, key=lambda d: (d is not None, d or 0))
+    s = T.Segment(memoryview(T.pack_segment(1, 2, ids, np.arange(1, len(ids) + 1), np.ones(len(ids), "<u2"))), 0)
+    assert s.doc_ids().to_pylist() == ids and s.ends().tolist() == list(range(1, len(ids) + 1))
+    assert [s.doc_id_at(i) for i in range(0, len(ids), 17)] == ids[::17]
+
+
+def test_doc_ids_are_small():
+    assert len(T.pack_ids([None] * 5000 + list(range(10**12, 10**12 + 5000)))) < 2000
+
+
 def expected(rows, tokenizer):
     out, start = [], 0
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
