@@ -26,6 +26,9 @@ Equal sets are one class, known by a 64-bit key; all that follows is between cla
    the sets' symmetric difference from below: shingles fall into 64 * SIGN parts by hash, and
    every part whose counts differ in parity holds at least one.
 5. Verification.  Each candidate pair is checked once, on the full 64-bit sets.
+6. Links.  The rounds above settle the components, not every link inside them.  ``counted`` joins
+   the classes of each component by blocks (``links.py``): all links are verified, and each row
+   gets their number, copies included.
 
 Fingerprints only choose candidates: shingles that collide are ordered together, so no pair is
 lost, and no false one passes verification.
@@ -49,6 +52,7 @@ from codeloom.session import table
 
 from .common import limit_batches, mix, need, sets_of, small, tidy, written
 from .components import components
+from .links import link_counts, placed, prefix_length
 
 HOT_SHARE = 1024       # a shingle is hot from 1 / HOT_SHARE of the rows on
 RANGE_ENTRIES = 2 << 20
@@ -243,10 +247,6 @@ def _shared(ranges: int, buckets: int):
     return run
 
 
-def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - -(-percent * n // 100) + 1
-
-
 POSTING = "fp bigint, key bigint, n int, place int"
 COLUMNS = ["fp", "key", "n", "place", *SIGNS]
 
@@ -356,9 +356,8 @@ def _postings(docs: DataFrame, k: int, percent: int, n_rows: int, entries: int,
     return written(found.join(signs, "key").select(*COLUMNS), "postings")
 
 
-def linked(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, th, n, component) of each row of ``documents(doc_id, text)``: th is the hash of
-    the text, n the size of its set, and equal components are linked; null for empty sets."""
+def _joined(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, key, n, component) of each row, and the postings."""
     limit_batches(documents.sparkSession)
     docs = need(documents, doc_id="bigint", text="string").withColumn("th", F.xxhash64("text"))
     scan = written(docs.mapInArrow(tidy(_scan_keys(k)), "kind int, a bigint, b bigint, c bigint, d bigint" + "".join(f", {c} bigint" for c in SIGNS)), "keys")
@@ -398,7 +397,47 @@ def linked(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         extra = written(_verified(more, docs, rows, k, percent), "links")
         of = components(links.unionByName(extra)).select(F.col("node").alias("key"), "component")
     return rows.join(of, "key", "left").select(
-        "doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("component", "key")).alias("component"))
+        "doc_id", "th", "key", "n", F.when(F.col("n") > 0, F.coalesce("component", "key")).alias("component")), postings
+
+
+def linked(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, th, n, component) of each row of ``documents(doc_id, text)``: th is the hash of
+    the text, n the size of its set, and equal components are linked; null for empty sets."""
+    return _joined(documents, k, percent)[0].select("doc_id", "th", "n", "component")
+
+
+def _placed_sets(k: int):
+    """(block, key, copies, shingles) of rows (block, copies, text); once a slice where rows repeat."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, copies = batch.column("block"), batch.column("copies")
+            for a, _, h, edge in sets_of(batch.column("text"), k):
+                rows, keys, entry, _ = classes_of(h, edge)
+                at, bound = pa.array(rows + a), np.append(0, np.cumsum(np.diff(edge)[rows]))
+                yield pa.RecordBatch.from_arrays(
+                    [block.take(at), pa.array(keys.view(np.int64)), copies.take(at),
+                     pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(h[entry].view(np.int64)))], ["block", "key", "copies", "shingles"])
+
+    return run
+
+
+def counted(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, th, n, component, n_links) of each row: ``linked`` and the number of other rows
+    that the row links with, copies included; 0 for empty sets."""
+    rows, postings = _joined(documents, k, percent)
+    rows = written(rows, "joined")
+    classes = written(rows.where("n > 0").groupBy("key").agg(
+        F.first("n").alias("n"), F.first("component").alias("component"), F.count(F.lit(1)).alias("copies"),
+        F.min(F.struct("doc_id", "th")).alias("r")).select("key", "n", "component", "copies", F.col("r.doc_id").alias("_d"), F.col("r.th").alias("_t")), "classes")
+    members = written(placed(classes, percent), "members")
+    docs = need(documents, doc_id="bigint", text="string").withColumn("th", F.xxhash64("text"))
+    sets = (docs.join(small(members.select("_d", "_t", "block", "copies")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
+            .select("block", "copies", "text").mapInArrow(tidy(_placed_sets(k)), "block bigint, key bigint, copies bigint, shingles array<bigint>"))
+    links = written(link_counts(members, sets, postings, percent), "counts")
+    # Classes without links or copies of their own need no row; what is left meets by key.
+    some = written(classes.where("copies > 1").select("key", (F.col("copies") - 1).alias("links")).unionByName(links)
+                   .groupBy("key").agg(F.sum("links").alias("n_links")), "some")
+    return rows.join(small(some), "key", "left").select("doc_id", "th", "n", "component", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def distinct_rows(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -420,10 +459,10 @@ def distinct_rows(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = linked(table(spark, sf_dir, "documents"), 3, 90)
+    rows = counted(table(spark, sf_dir, "documents"), 3, 90)
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "n_links")
 
 
 OP2_SQL = r"""
@@ -437,7 +476,8 @@ p AS (SELECT x.r AS a, y.r AS b, count(*) AS i FROM s x JOIN s y ON x.h = y.h AN
       JOIN n nx ON nx.r = x.r JOIN n ny ON ny.r = y.r WHERE 100 * least(nx.n, ny.n) >= 90 * greatest(nx.n, ny.n) GROUP BY ALL),
 e AS (SELECT a, b FROM p JOIN n nx ON nx.r = a JOIN n ny ON ny.r = b WHERE 190 * i >= 90 * (nx.n + ny.n)),
 e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+l AS (SELECT a AS r, count(*) AS n_links FROM e2 GROUP BY a),
 c AS (SELECT r, r AS t FROM d UNION SELECT c.r, e2.b FROM c JOIN e2 ON e2.a = c.t)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
-FROM d LEFT JOIN n USING (r) JOIN c USING (r) JOIN d o ON o.r = c.t GROUP BY d.r, d.doc_id, n.n
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id, coalesce(l.n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (r) LEFT JOIN l USING (r) JOIN c USING (r) JOIN d o ON o.r = c.t GROUP BY d.r, d.doc_id, n.n, l.n_links
 """

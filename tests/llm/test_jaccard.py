@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from codeloom.llm import jaccard as J
+from codeloom.llm import links as L
 from codeloom.llm.components import components
 
 
@@ -42,6 +43,16 @@ def got_components(df, k, percent):
     return sorted(map(tuple, out), key=str)
 
 
+def plain_links(ids, texts, k, percent):
+    sets = plain_sets(texts, k)
+    many = [sum(1 for j, t in enumerate(sets) if i != j and s and t and 100 * len(s & t) >= percent * len(s | t)) for i, s in enumerate(sets)]
+    return sorted(zip(ids, map(len, sets), many, strict=True), key=str)
+
+
+def got_links(df, k, percent):
+    return sorted(((r.doc_id, r.n, r.n_links) for r in J.counted(df, k, percent).collect()), key=str)
+
+
 def near_copies(rng, groups, copies, words=120, vocabulary=400):
     texts = []
     for _ in range(groups):
@@ -121,3 +132,31 @@ def test_components(spark):
             a, b = sorted((root(a), root(b)))
             parent[b] = a
     assert got == {x: root(x) for x in parent}
+
+
+def test_every_link_inside_a_group_counts(spark):
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(w if i != at else f"new{at}" for i, w in enumerate(base)) for at in rng.choice(300, 12, replace=False)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sum(n for *_, n in got_links(df, 3, 90)) == 2 * 66
+
+
+@pytest.mark.parametrize("blocks", [(1 << 18, 1024), (900, 7), (1, 1)])
+def test_links_against_all_pairs(spark, monkeypatch, blocks):
+    """Small components that share blocks; components over many blocks; a block for each class."""
+    monkeypatch.setattr(L, "BLOCK_ENTRIES", blocks[0])
+    monkeypatch.setattr(L, "BLOCK_CLASSES", blocks[1])
+    rng = np.random.default_rng(blocks[1])
+    base = [f"c{i}" for i in range(100)]
+    chain = [" ".join(f"z{i}" if i < s * 2 else w for i, w in enumerate(base)) for s in range(12)]
+    growing = [" ".join(f"g{i}" for i in range(n)) for n in (60, 63, 66, 70, 74, 80)]
+    texts = near_copies(rng, 5, 12) + near_copies(rng, 10, 1) + chain + growing + ["a b c d"] * 3 + [None, "", " ", "one", "One"]
+    ids = [int(x) for x in rng.permutation(len(texts))]
+    ids[2] = None
+    rows = list(zip(ids, texts, strict=True))
+    rows += [rows[0], rows[0], rows[2]]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, block string")
+    for k, percent in ((3, 90), (5, 80), (1, 100)):
+        assert got_links(df, k, percent) == plain_links(*zip(*rows, strict=True), k, percent)
+    assert J.counted(df.limit(0)).count() == 0
