@@ -8,6 +8,8 @@ views over the same parquet files.
 
 from __future__ import annotations
 
+from codeloom.functions.text import WS_CHARS
+
 NL = "chr(10)"
 
 # documents -> files -> line blocks (window 60, step 50, at least 3 lines) with the
@@ -603,6 +605,85 @@ SELECT msg_id, CAST(pos AS INTEGER) AS pos, s.file AS file, s.start AS start, s.
        s.type AS type, s.method AS method
 FROM e"""
 
+
+# Answer clean-up.  RE2 knows neither look-arounds nor Java's Unicode classes: white space is spelled
+# out, the character that a look-ahead asks for is captured and put back, and the look-behind is left
+# out, as a match that begins at the first blank of a run never follows a line break.  The fold over
+# lines is a state machine that takes one line of every answer a step.
+_WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_STRIPPED = "||".join(f"chr({ord(c)})" for c in WS_CHARS)
+_ANSWER_RULES = [
+    (f"•{_WS}*", "'- '"),
+    (f"[·‣]{_WS}*", "'- '"),
+    (rf"(^|\n)({_WS}*)[*+]{_WS}+", r"'\1\2- '"),
+    (f"([.!?]){_WS}+(-{_WS}+)", rf"'\1' || {NL} || '\2'"),
+    (rf"{_WS}+-{_WS}+([A-Z`\[*])", rf"{NL} || '- \1'"),
+    (rf"([.!?]){_WS}+\p{{Nd}}+[.)]{_WS}+", rf"'\1' || {NL} || '- '"),
+    (f"([.!?]){_WS}+([A-Z][A-Za-z ]{{1,22}}: )", rf"'\1' || {NL} || '- \2'"),
+    (f"(?m)^{_WS}*([A-Z][A-Za-z ]{{1,22}}: )", r"'- \1'"),
+]
+
+
+def _stripped(x: str) -> str:
+    return f"trim({x}, {_STRIPPED})"
+
+
+def _titled(x: str) -> str:
+    """Upper case where the character before has no case, else lower case."""
+    here, before = f"substr({x}, CAST(i AS BIGINT), 1)", f"substr({x}, CAST(i - 1 AS BIGINT), 1)"
+    return (f"array_to_string([CASE WHEN i > 1 AND lower({before}) <> upper({before}) THEN lower({here}) ELSE upper({here}) END"
+            f" FOR i IN range(1, length({x}) + 1)], '')")
+
+
+_ruled = f"replace(replace({_stripped('text')}, chr(13) || chr(10), {NL}), chr(13), {NL})"
+for _pattern, _put in _ANSWER_RULES:
+    _ruled = f"regexp_replace({_ruled}, '{_pattern}', {_put}, 'g')"
+_NUMBERED, _HEADER = rf"^\p{{Nd}}+[.)]{_WS}+(.*)", f"^#{{1,3}}{_WS}+(.*)"
+_LABEL = rf"^\*{{0,2}}([A-Za-z](?:[A-Za-z]|{_WS}){{0,20}})\*{{0,2}}:{_WS}+(.*)"
+
+ORACLE["normalise_answers"] = f"""
+WITH RECURSIVE {ANSWERS},
+t AS (SELECT msg_id, text, [rtrim(x, {_STRIPPED}) FOR x IN string_split({_ruled}, {NL})] AS l FROM a),
+f AS (SELECT *, list_position([{_stripped('x')} <> '' FOR x IN l], true) AS first FROM t),
+b AS (SELECT msg_id, text, CASE WHEN first > 0 THEN {_stripped('l[first]')} ELSE '' END AS summary,
+             CASE WHEN first > 0 THEN l[first + 1:] ELSE [] END AS rest FROM f),
+r AS (SELECT msg_id, unnest(range(1, len(rest) + 1)) AS i, {_stripped('unnest(rest)')} AS s FROM b),
+x AS (SELECT *, {_stripped(f"regexp_extract(s, '{_LABEL}', 1)")} AS lab FROM r),
+k AS (SELECT msg_id, i, s,
+             CASE WHEN s = '' THEN NULL
+                  WHEN starts_with(s, '- ') THEN s
+                  WHEN regexp_matches(s, '{_NUMBERED}') THEN '- ' || regexp_extract(s, '{_NUMBERED}', 1)
+                  WHEN regexp_matches(s, '{_HEADER}') THEN '- **' || {_stripped(f"regexp_extract(s, '{_HEADER}', 1)")} || '**'
+                  WHEN length(lab) BETWEEN 2 AND 22 THEN '- **' || {_titled('lab')} || ':** ' || {_stripped(f"regexp_extract(s, '{_LABEL}', 2)")}
+             END AS own
+      FROM x),
+fold AS (
+  SELECT msg_id, 0 AS i, CAST([] AS VARCHAR[]) AS done, '' AS cur FROM b
+  UNION ALL
+  SELECT msg_id, k.i,
+         CASE WHEN s = '' OR own IS NULL AND cur <> '' AND length(cur) < 120 OR cur = '' THEN done ELSE list_append(done, cur) END,
+         CASE WHEN s = '' THEN cur
+              WHEN own IS NOT NULL THEN own
+              WHEN cur <> '' AND length(cur) < 120 THEN cur || ' ' || s
+              WHEN length(s) > 8 THEN '- ' || s ELSE '' END
+  FROM fold JOIN k USING (msg_id) WHERE k.i = fold.i + 1),
+e AS (SELECT msg_id, text, summary, unnest(range(1, 7)) AS n,
+             unnest((CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END)[1:6]) AS bullet
+      FROM fold JOIN b USING (msg_id) WHERE fold.i = len(rest)),
+c AS (SELECT msg_id, n, {_stripped('substr(bullet, 3)')} AS c FROM e WHERE bullet IS NOT NULL),
+g AS (SELECT msg_id, n, '- ' || CASE
+               WHEN regexp_matches(c, '^\\*\\*[^*]+\\*\\*') THEN c
+               WHEN instr(c, ':') BETWEEN 2 AND 22 AND left(c, 1) NOT IN ('[', '`')
+                 THEN '**' || {_titled(_stripped("substr(c, 1, instr(c, ':') - 1)"))} || ':** ' || {_stripped("substr(c, instr(c, ':') + 1)")}
+               WHEN instr(c, ' — ') > 0
+                 THEN '**' || {_stripped("substr(c, 1, instr(c, ' — ') - 1)")} || '** — ' || {_stripped("substr(c, instr(c, ' — ') + 3)")}
+               ELSE c END AS bullet
+      FROM c),
+j AS (SELECT msg_id, string_agg(bullet, {NL} ORDER BY n) AS bullets FROM g GROUP BY msg_id)
+SELECT msg_id, CASE WHEN text IS NULL OR {_stripped('text')} = '' THEN text
+                    WHEN bullets IS NULL THEN summary ELSE summary || {NL} || {NL} || bullets END AS formatted
+FROM b LEFT JOIN j USING (msg_id)"""
+
 WSC = "' ' || chr(10) || chr(9) || chr(13)"
 
 ORACLE["reassemble_fragments"] = f"""

@@ -52,3 +52,23 @@ def test_parse_sources_malformed(spark):
     ], "query_id int, text string")
     got = [(r.query_id, r.pos, r.file, r.start, r.method) for r in parse_sources(a).collect()]
     assert got == [(1, 0, "a.py", 1, "dense")]
+
+
+def test_sql_twin_on_composed_answers(spark):
+    """Random rows of everything the rules look at: marks, labels, numbers, blanks of all kinds, long lines."""
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+
+    from codeloom.plans.oracle import ANSWERS, ORACLE
+
+    pieces = ["• ", "·", "* ", "+ ", " - ", "- ", "\n", "\n\n", "\r\n", " \t", " ", " ", ". ", "! ", "1. ", "2) ", "٣. ", "# ", "### ", "#### ", "**", "**Bold** ",
+              "Entry point: ", "on error: ", "a: b", "Élan: vital ", "1st x: y", " — ", "`code`", "[a.py:1-2]", "word ", "Word ", "ok", "it's: so ",
+              "a very long line of plain words that goes on and on ", "x" * 60, "", ":", "Label:\t"]
+    rng = np.random.default_rng(4)
+    texts = ["".join(pieces[i] for i in rng.integers(0, len(pieces), int(rng.integers(0, 30)))) for _ in range(600)]
+    texts += [None, "", " \n ", "\n\nA.\n", "- ", "- a\n- ", "Sum.\n- \n- : x\n- a: b — c\n- `a`: b\n- [a]: b — c"]
+    given = pa.table({"msg_id": list(range(len(texts))), "text": pa.array(texts, pa.string())})  # noqa: F841
+    want = dict(duckdb.sql(ORACLE["normalise_answers"].replace(ANSWERS, "\na AS (SELECT * FROM given)")).fetchall())
+    got = fmt(spark, texts)
+    assert got == [want[i] for i in range(len(texts))]
