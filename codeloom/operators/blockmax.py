@@ -59,8 +59,9 @@ def blockmax_topk(index: Bm25Index, blocks: DataFrame, queries: DataFrame, k: in
                             F.sum("n").alias("n")), "block-bounds")
 
     def score(pairs: DataFrame) -> DataFrame:
-        asked, small = checked_broadcast(materialize(pairs.select("query_id", "repo_id", "block").join(few, ["query_id", "repo_id"]), "opened"))
-        met = spread_join(blocks.select("repo_id", "tok", "block", "entries"), asked, small, ["repo_id", "tok", "block"], F.col("block"))
+        asked, _ = checked_broadcast(materialize(pairs.select("query_id", "repo_id", "block").join(few, ["query_id", "repo_id"]), "opened"))
+        # A key has one row of blocks, so a shuffle join needs no salt.
+        met = blocks.select("repo_id", "tok", "block", "entries").join(asked, ["repo_id", "tok", "block"])
         summed = met.select("query_id", "repo_id", "qw", F.explode("entries").alias("e")).groupBy("query_id", "repo_id", "e.chunk_id").agg(
             F.round(F.sum(F.col("qw") * F.col("e.w")), 6).alias("score"))
         return top_k(summed.where("score > 0"), k, F.col("score").desc(), F.col("chunk_id"))
