@@ -21,9 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from codeloom.functions.text import col_
+from codeloom.session import limit_batches
 
 # The reference prefixes query texts (not documents) with this instruction.
 QUERY_PREFIX = "Represent this sentence: "
+# What a worker of the default model keeps does not grow with the texts.
+CACHE_TOKENS = 100_000
+CACHE_LENGTH = 64
+SLICE_CHARS = 1 << 20
 
 
 def hashed_model(dim: int = 64) -> Callable[[], Callable[[list[str]], "object"]]:
@@ -32,34 +37,41 @@ def hashed_model(dim: int = 64) -> Callable[[], Callable[[list[str]], "object"]]
 
         import numpy as np
 
-        cache: dict[str, tuple[int, float]] = {}
+        cache: dict[str, int] = {}      # 2 * bucket, + 1 if the sign is negative
 
-        def slot(tok: str) -> tuple[int, float]:
+        def slot(tok: str) -> int:
             v = cache.get(tok)
             if v is None:
                 h = hashlib.md5(tok.encode("utf-8")).hexdigest()
-                v = (int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0)
-                if len(cache) < 1_000_000:
+                v = int(h[:8], 16) % dim * 2 + int(h[8], 16) % 2
+                if len(cache) < CACHE_TOKENS and len(tok) <= CACHE_LENGTH:
                     cache[tok] = v
             return v
 
-        def predict(texts):
+        def vectors(texts):
             toks = [[] if t is None else t.lower().split() for t in texts]
             flat = [tok for ts in toks for tok in ts]
-            at = {tok: i for i, tok in enumerate(dict.fromkeys(flat))}   # each token is hashed once a batch
-            slots = np.array([slot(tok) for tok in at], np.float64).reshape(-1, 2)
-            code = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
+            at = {tok: i for i, tok in enumerate(dict.fromkeys(flat))}   # each token is hashed once a slice
+            slots = np.fromiter(map(slot, at), np.int64, len(at))
+            code = slots[np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))]
             row = np.repeat(np.arange(len(toks)), [len(ts) for ts in toks])
-            out = np.bincount(row * dim + slots[code, 0].astype(np.int64), slots[code, 1], len(toks) * dim).reshape(-1, dim)
+            out = np.bincount(row * dim + code // 2, 1.0 - 2.0 * (code % 2), len(toks) * dim).reshape(-1, dim)
             n = np.linalg.norm(out, axis=1, keepdims=True)
             return np.divide(out, n, out=out.copy(), where=n > 0)
 
+        def predict(texts):
+            if not len(texts):
+                return np.zeros((0, dim))
+            ends = np.cumsum([len(t or "") for t in texts])     # slices of about SLICE_CHARS, a longer text by itself
+            cuts = np.flatnonzero(np.diff(ends // SLICE_CHARS)) + 1
+            return np.concatenate([vectors(texts[a:b]) for a, b in zip([0, *cuts], [*cuts, len(texts)])])
+
         return predict
 
     return make
 
 
-BATCH_SIZE = 1024
+BATCH_SIZE = 256
 
 
 def embed_column(text, make_model=None, batch_size: int = BATCH_SIZE, single: bool = False) -> Column:
@@ -79,4 +91,5 @@ def embed(df: DataFrame, text_col: str, out_col: str = "embedding", make_model=N
           query_prefix: str | None = None, batch_size: int = BATCH_SIZE, single: bool = False) -> DataFrame:
     """Add ``out_col`` = model(``[query_prefix] + text``)."""
     text = F.col(text_col) if query_prefix is None else F.concat(F.lit(query_prefix), F.col(text_col))
+    limit_batches(df.sparkSession)
     return df.withColumn(out_col, embed_column(text, make_model, batch_size, single))
