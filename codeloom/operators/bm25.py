@@ -49,7 +49,7 @@ def with_term_counts(chunks: DataFrame, text_col: str = "embed_text") -> DataFra
 
     All tokens of a chunk are in its row, so term counts need no shuffle: the token
     array is sorted and every run of equal tokens becomes ``(tok, run length)``."""
-    toks = chunks.select("repo_id", "chunk_id", F.array_sort(tokens(text_col)).alias("_s"))
+    toks = chunks.select("repo_id", "chunk_id", F.sort_array(tokens(text_col)).alias("_s"))
     n = F.size("_s")
     starts = toks.select("repo_id", "chunk_id", "_s", n.alias("dl"), F.filter(
         F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
