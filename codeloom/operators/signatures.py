@@ -6,9 +6,9 @@ from a seed; bits x dimensions numbers, whatever the table's size); the signs ar
 of signatures ranks by angle at an eighth of a float vector's bytes or less.
 
 Search: signatures of a repository in one Arrow batch are a block; blocks meet groups of queries
-(broadcast after a size check, else dealt by repository and salt), and a task keeps, per query and
-block, the ``keep`` nearest signatures.  ``keep`` nearest per query remain after a
-``WindowGroupLimit``; only these meet their vectors and are scored exactly.  With ``keep`` as large as
+(broadcast after a size check, else dealt by repository and salt) twice: first a task counts, per query and
+block, the signatures at each distance, then it gives those within the distance that holds the query's ``keep``
+nearest.  ``keep`` nearest per query remain after a ``WindowGroupLimit``; only these meet their vectors and are scored exactly.  With ``keep`` as large as
 the repository the result is exact.
 
 Cases: null vectors take no part; ties in distance go to the smaller id, as do ties in score;
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.vectors import dot, l2_normalise
@@ -32,6 +32,7 @@ from codeloom.session import checked_broadcast, materialize, spread_join
 BITS = 256
 SEED = 7
 GROUP = 512
+EMIT = 100_000    # rows of a batch that a task gives back
 
 
 @dataclass
@@ -82,26 +83,44 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["repo_id", "ids", "signs"])
 
 
-def _nearest(keep: int):
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.StructArray, np.ndarray]]:
+    """Each block and group that meet: the row, the group's queries, and the Hamming distances, a row per query."""
+    words = lambda lists, n: lists.flatten().to_numpy().view(np.uint64).reshape(n, -1)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            group = row.column("group").flatten()
+            q, s = words(group.field("sign"), len(group)), words(row.column("signs").flatten(), len(row.column("ids")[0]))
+            yield row, group, sum(np.bitwise_count(q[:, j, None] ^ s[None, :, j]).astype(np.int32) for j in range(s.shape[1]))
+
+
+def _counts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                group = row.column("group").flatten()
-                qid, ids = group.field("query_id").to_numpy(), row.column("ids").flatten().to_numpy(zero_copy_only=False).astype(str)
-                words = lambda lists, n: lists.flatten().to_numpy().view(np.uint64).reshape(n, -1)
-                q, s = words(group.field("sign"), len(qid)), words(row.column("signs").flatten(), len(ids))
-                apart = sum(np.bitwise_count(q[:, j, None] ^ s[None, :, j]).astype(np.int32) for j in range(s.shape[1]))
-                order = np.lexsort((np.broadcast_to(ids, apart.shape), apart), axis=1)[:, :keep]
-                r = np.repeat(np.arange(len(qid)), order.shape[1])
-                c = order.ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qid[r]), pa.array([row.column("repo_id")[0].as_py()] * len(r), pa.string()), pa.array(ids[c]), pa.array(apart[r, c])],
-                    ["query_id", "repo_id", "id", "apart"])
+        for _, group, apart in _distances(batches):
+            n = np.bincount((apart + np.arange(len(apart))[:, None] * (bits + 1)).ravel(), minlength=len(apart) * (bits + 1))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([group.field("query_id").take(pa.array(at // (bits + 1))), pa.array((at % (bits + 1)).astype(np.int32)), pa.array(n[at])],
+                                             ["query_id", "apart", "n"])
 
     return run
 
 
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, group, apart in _distances(batches):
+        ids, edge = row.column("ids").flatten(), group.field("edge").to_numpy()
+        r, c = np.nonzero(apart <= edge[:, None])
+        for a in range(0, len(r), EMIT):
+            x, y = r[a:a + EMIT], c[a:a + EMIT]
+            repo = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(x), np.int32)), row.column("repo_id")).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([group.field("query_id").take(pa.array(x)), repo, ids.take(pa.array(y)), pa.array(apart[x, y])],
+                                             ["query_id", "repo_id", "id", "apart"])
+
+
+def _groups(q: DataFrame, columns: list[str], n_groups: int, max_bytes: int | None) -> tuple[DataFrame, bool]:
+    dealt = q.groupBy("repo_id", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("g"))
+    return checked_broadcast(materialize(dealt.agg(F.collect_list(F.struct(*columns)).alias("group")).drop("g"), "query-groups"), max_bytes)
+
+
 def signature_topk(index: SignatureIndex, queries: DataFrame, k: int, keep: int, qvec_col: str = "qvec",
                    repo_col: str | None = None, max_bytes: int | None = None) -> DataFrame:
     """``(query_id, id, score, rank, scored)``: approximate top ``k`` by cosine in the query's repository, ``rank``
@@ -110,15 +129,20 @@ def signature_topk(index: SignatureIndex, queries: DataFrame, k: int, keep: int,
     units = queries.select(F.col("query_id").cast("long").alias("query_id"), repo.alias("repo_id"), l2_normalise(qvec_col).alias("unit")).where("unit IS NOT NULL")
     q = materialize(_signed(units, index.bits, index.seed), "query-signatures")
     n_groups = max(1, -(-q.count() // GROUP))
-    groups = materialize(q.groupBy("repo_id", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("g")).agg(
-        F.collect_list(F.struct("query_id", "sign")).alias("group")).drop("g"), "query-groups")
-    groups, hinted = checked_broadcast(groups, max_bytes)
     blocks = index.rows.select("repo_id", "id", "sign").mapInArrow(_pack, "repo_id string, ids array<string>, signs array<array<bigint>>")
-    met = spread_join(blocks, groups, hinted, ["repo_id"], F.element_at("ids", 1)).select("repo_id", "ids", "signs", "group")
-    near = met.mapInArrow(_nearest(keep), "query_id bigint, repo_id string, id string, apart int")
+    met = lambda rows, columns: spread_join(blocks, *_groups(rows, columns, n_groups, max_bytes), ["repo_id"], F.element_at("ids", 1)).select(
+        "repo_id", "ids", "signs", "group")
+    # How many vectors lie at each distance of a query says within which distance its first ``keep`` are; only those become rows.
+    counts = met(q, ["query_id", "sign"]).mapInArrow(_counts(index.bits), "query_id bigint, apart int, n bigint").groupBy("query_id", "apart").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("query_id").orderBy("apart"))
+    edges = counts.withColumn("upto", upto).where(F.col("upto") >= keep).groupBy("query_id").agg(F.min("apart").alias("edge"))
+    edged = q.select("query_id", "repo_id", "sign").join(edges, "query_id", "left").withColumn("edge", F.coalesce("edge", F.lit(index.bits)))
+    near = met(edged, ["query_id", "sign", "edge"]).mapInArrow(_nearest, "query_id bigint, repo_id string, id string, apart int")
     chosen = materialize(top_k(near, keep, F.col("apart"), F.col("id")).select("query_id", "repo_id", "id"), "near")
     sizes = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("scored"))
-    pairs = chosen.join(q.select("query_id", F.col("unit").alias("q")), "query_id").join(index.rows.select("repo_id", "id", "unit"), ["repo_id", "id"])
+    # The pairs meet the vectors first: what is shuffled for that holds no vector of a pair, and the queries are few.
+    asking, _ = checked_broadcast(q.select("query_id", F.col("unit").alias("q")), max_bytes)
+    pairs = chosen.join(index.rows.select("repo_id", "id", "unit"), ["repo_id", "id"]).join(asking, "query_id")
     scored = pairs.select("query_id", "id", F.round(dot("q", "unit"), 6).alias("score"))
     return top_k(scored, k, F.col("score").desc(), F.col("id")).join(sizes, "query_id")
 
