@@ -46,6 +46,7 @@ TOP = 2000
 PERCENT = 100               # a phrase goes if a longer one has this share of its occurrences
 GATHER_BYTES = 16 << 20     # of texts that a task sorts by lang at once
 RANGE_ENTRIES = 4 << 20     # positions of shards behind a hash range; their entries are fewer
+LEVEL = 7                   # of the packed arrays' compression: they are all of the disk used
 END = -1                    # in a stripe: all occurrences of the prefix; in a shard: a gap
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -62,6 +63,10 @@ STATE = "lang string, shard bigint, range int, n bigint, ids binary, heads binar
 MERGED = "lang string, range int, shard bigint, keys binary, counts binary, bits binary"
 
 
+def packed(a: np.ndarray) -> bytes:
+    return zipped(a, LEVEL)
+
+
 def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
     types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
@@ -98,7 +103,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 local, vocabulary = local_words(part[_WORD[part]], sizes)
                 # Gaps stand before the first word of a piece.
                 seq = np.insert(local, np.flatnonzero(begins), END)
-                yield _record([(next(number), lang, len(local), zipped(seq.astype("<i4")), *vocabulary)], SHARDS)
+                yield _record([(next(number), lang, len(local), packed(seq.astype("<i4")), *vocabulary)], SHARDS)
 
     held, size = [], 0
     for batch in batches:
@@ -197,10 +202,10 @@ def _count(k: int, ranges: int, before: int):
                     continue
                 keys, counts, cut, _ = stripes(ids, heads, k, ranges)
                 lang, shard = get("lang"), get("shard")
-                rows = [(lang, shard, r, None, None, None, zipped(np.diff(keys[a:b].T, prepend=np.int32(0))), zipped(counts[a:b].astype("<i4")))
+                rows = [(lang, shard, r, None, None, None, packed(np.diff(keys[a:b].T, prepend=np.int32(0))), packed(counts[a:b].astype("<i4")))
                         for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
                 if k < LONGEST:
-                    rows.append((lang, shard, None, len(ids), zipped(ids.astype("<i4")), zipped(np.packbits(heads)), None, None))
+                    rows.append((lang, shard, None, len(ids), packed(ids.astype("<i4")), packed(np.packbits(heads)), None, None))
                 yield _record(rows, STATE)
     return run
 
@@ -225,8 +230,8 @@ def _merge(k: int, least: int):
         bits = np.empty(len(order), np.uint8)
         bits[order] = (keep & (keys[first, -1] != END))[np.cumsum(new) - 1]
         lang, part = group["lang"][0].as_py(), group["range"][0].as_py()
-        rows = [(lang, part, s, None, None, zipped(np.packbits(b))) for s, b in zip(group["shard"].to_pylist(), np.split(bits, np.cumsum(sizes)[:-1]))]
-        rows.append((lang, part, None, zipped(keys[first][keep]), zipped(total[keep].astype("<i8")), None))
+        rows = [(lang, part, s, None, None, packed(np.packbits(b))) for s, b in zip(group["shard"].to_pylist(), np.split(bits, np.cumsum(sizes)[:-1]))]
+        rows.append((lang, part, None, packed(keys[first][keep]), packed(total[keep].astype("<i8")), None))
         return pa.Table.from_batches([_record(rows, MERGED)])
     return run
 
