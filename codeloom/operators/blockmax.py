@@ -53,6 +53,7 @@ def blockmax_topk(index: Bm25Index, blocks: DataFrame, queries: DataFrame, k: in
     qt, _ = checked_broadcast(materialize(query_terms(queries, text_col), "query-terms"))
     qw = materialize(index.idf.join(qt, ["repo_id", "tok"]).select("query_id", "repo_id", "tok", (F.col("qtf") * F.col("idf")).alias("qw")), "query-weights")
     few, hinted = checked_broadcast(qw)
+    terms, _ = checked_broadcast(qw.select("repo_id", "tok").distinct())
     heads = materialize(spread_join(blocks.select("repo_id", "tok", "block", "n", "top", "low"), few, hinted, ["repo_id", "tok"], F.col("block"))
                         .groupBy("query_id", "repo_id", "block").agg(
                             F.sum(F.greatest(F.col("qw") * F.col("top"), F.col("qw") * F.col("low"), F.lit(0.0))).alias("bound"),
@@ -60,8 +61,9 @@ def blockmax_topk(index: Bm25Index, blocks: DataFrame, queries: DataFrame, k: in
 
     def score(pairs: DataFrame) -> DataFrame:
         asked, _ = checked_broadcast(materialize(pairs.select("query_id", "repo_id", "block").join(few, ["query_id", "repo_id"]), "opened"))
-        # A key has one row of blocks, so a shuffle join needs no salt.
-        met = blocks.select("repo_id", "tok", "block", "entries").join(asked, ["repo_id", "tok", "block"])
+        # Blocks of other terms are not shuffled.  A key has one row of blocks, so a shuffle join needs no salt.
+        held = blocks.select("repo_id", "tok", "block", "entries").join(terms, ["repo_id", "tok"], "left_semi")
+        met = held.join(asked, ["repo_id", "tok", "block"])
         summed = met.select("query_id", "repo_id", "qw", F.explode("entries").alias("e")).groupBy("query_id", "repo_id", "e.chunk_id").agg(
             F.round(F.sum(F.col("qw") * F.col("e.w")), 6).alias("score"))
         return top_k(summed.where("score > 0"), k, F.col("score").desc(), F.col("chunk_id"))
