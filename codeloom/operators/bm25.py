@@ -24,14 +24,18 @@ key is spread over ``salts`` tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import tokens
 from codeloom.operators.ranking import top_k
-from codeloom.session import SALTS, checked_broadcast, materialize, spread_join
+from codeloom.session import SALTS, checked_broadcast, limit_batches, materialize, spread_join
 
 K1, B, EPS = 1.5, 0.75, 0.25
 
@@ -45,18 +49,30 @@ class Bm25Index:
 
 
 def with_term_counts(chunks: DataFrame, text_col: str = "embed_text") -> DataFrame:
-    """``(repo_id, chunk_id, dl, tfs array<struct<tok, tf>>)`` counted inside each row.
-
-    All tokens of a chunk are in its row, so term counts need no shuffle: the token
-    array is sorted and every run of equal tokens becomes ``(tok, run length)``."""
-    toks = chunks.select("repo_id", "chunk_id", F.sort_array(tokens(text_col)).alias("_s"))
-    n = F.size("_s")
-    starts = toks.select("repo_id", "chunk_id", "_s", n.alias("dl"), F.filter(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda i: (n > 0) & ((i == 0) | (F.get(F.col("_s"), i) != F.get(F.col("_s"), i - 1)))).alias("_st"))
-    tfs = F.transform("_st", lambda st, j: F.struct(
-        F.get(F.col("_s"), st).alias("tok"), (F.coalesce(F.get(F.col("_st"), j + 1), F.col("dl")) - st).alias("tf")))
-    return starts.select("repo_id", "chunk_id", "dl", tfs.alias("tfs"))
+    """``(repo_id, chunk_id, dl, tfs array<struct<tok, tf>>)`` counted inside each row, ``tfs`` by token.
+
+    All tokens (``functions.text.tokens``) of a chunk are in its row, so term counts need no shuffle: the texts
+    of an Arrow batch are counted together, by the codes of their tokens."""
+    limit_batches(chunks.sparkSession)
+    texts = chunks.select(F.col("repo_id").cast("string").alias("repo_id"), F.col("chunk_id").cast("string").alias("chunk_id"), F.lower(text_col).alias("text"))
+    return texts.mapInArrow(_count, "repo_id string, chunk_id string, dl int, tfs array<struct<tok: string, tf: int>>")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [None if t is None else t.split() for t in batch.column("text").to_pylist()]
+        dl = pa.array([None if w is None else len(w) for w in words], pa.int32())
+        coded = pa.array([tok for w in words if w for tok in w], pa.string()).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        row = np.repeat(np.arange(len(words)), dl.fill_null(0).to_numpy())
+        key, tf = np.unique(row * len(order) + place[coded.indices.to_numpy()], return_counts=True)
+        row, tok = np.divmod(key, max(1, len(order)))
+        ends = np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32)
+        terms = pa.StructArray.from_arrays([coded.dictionary.take(order).take(pa.array(tok)), pa.array(tf.astype(np.int32))], ["tok", "tf"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("repo_id"), batch.column("chunk_id"), dl, pa.ListArray.from_arrays(pa.array(ends), terms)], ["repo_id", "chunk_id", "dl", "tfs"])
 
 
 def term_freq(chunks: DataFrame, text_col: str = "embed_text") -> DataFrame:

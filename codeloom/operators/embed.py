@@ -33,27 +33,27 @@ SLICE_CHARS = 1 << 20
 
 def hashed_model(dim: int = 64) -> Callable[[], Callable[[list[str]], "object"]]:
     def make():
-        import hashlib
+        from hashlib import md5
 
         import numpy as np
+        import pyarrow as pa
 
         cache: dict[str, int] = {}      # 2 * bucket, + 1 if the sign is negative
 
         def slot(tok: str) -> int:
             v = cache.get(tok)
             if v is None:
-                h = hashlib.md5(tok.encode("utf-8")).hexdigest()
-                v = int(h[:8], 16) % dim * 2 + int(h[8], 16) % 2
+                h = md5(tok.encode("utf-8")).digest()
+                v = int.from_bytes(h[:4], "big") % dim * 2 + (h[4] >> 4) % 2
                 if len(cache) < CACHE_TOKENS and len(tok) <= CACHE_LENGTH:
                     cache[tok] = v
             return v
 
         def vectors(texts):
             toks = [[] if t is None else t.lower().split() for t in texts]
-            flat = [tok for ts in toks for tok in ts]
-            at = {tok: i for i, tok in enumerate(dict.fromkeys(flat))}   # each token is hashed once a slice
-            slots = np.fromiter(map(slot, at), np.int64, len(at))
-            code = slots[np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))]
+            flat = pa.array([tok for ts in toks for tok in ts], pa.string()).dictionary_encode()    # each token is hashed once a slice
+            slots = np.fromiter(map(slot, flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
+            code = slots[flat.indices.to_numpy()]
             row = np.repeat(np.arange(len(toks)), [len(ts) for ts in toks])
             out = np.bincount(row * dim + code // 2, 1.0 - 2.0 * (code % 2), len(toks) * dim).reshape(-1, dim)
             n = np.linalg.norm(out, axis=1, keepdims=True)
