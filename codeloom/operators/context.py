@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from codeloom.functions.text import col_, strip_ws
+from codeloom.session import checked_broadcast, materialize
 
 # Fixed values that must equal the reference (but for the assistant's name, a parameter):
 # the system prompt and fixed replies.
@@ -124,7 +125,9 @@ def build_prompts(queries: DataFrame, context: DataFrame, history: DataFrame | N
         hist = F.array().cast(msg_type)
         q2 = q
     else:
-        h = (last_turns(history, HISTORY_TURNS, "query_id", "turn")
+        # Turns of other conversations are left out before any is sorted.
+        asked, _ = checked_broadcast(materialize(queries.select("query_id").distinct(), "asked"))
+        h = (last_turns(history.join(asked, "query_id", "left_semi"), HISTORY_TURNS, "query_id", "turn")
              .groupBy("query_id")
              .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("_h")))
         q2 = q.join(h, "query_id", "left")

@@ -249,9 +249,9 @@ def q_flat_round_trip(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- context, prompts, citations
-def _results(spark, sf_dir, k, queries=benchmark_queries):
+def _results(spark, sf_dir, k):
     idx = build_index(doc_chunks(spark, sf_dir).drop("embed_text"), materialize_tables=True)
-    return hybrid_search(idx, queries(spark, sf_dir), k=k)
+    return hybrid_search(idx, benchmark_queries(spark, sf_dir), k=k)
 
 
 @register("build_context")
@@ -279,11 +279,15 @@ def _prompt_queries(spark, sf_dir):
 
 
 def _prompts(spark, sf_dir, provider):
-    res = _results(spark, sf_dir, 6, _prompt_queries)
+    asked = materialize(_prompt_queries(spark, sf_dir), "asked")
+    idx = build_index(doc_chunks(spark, sf_dir).drop("embed_text"), materialize_tables=True)
+    res = hybrid_search(idx, asked, k=6)
     hist = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("query_id"), "turn", "role", F.col("text").alias("content"))
-    sizes = repo_info(doc_chunks(spark, sf_dir)).select("repo_id", F.col("total_chunks").alias("n_chunks"))
-    p = build_prompts(_prompt_queries(spark, sf_dir), build_context(res), hist, sizes, provider)
+    # A folder's name holds every repository but the one without a name, whose chunks are counted by themselves.
+    nameless = doc_chunks(spark, sf_dir).select("repo_id").where("repo_id = ''")
+    sizes = repo_info(idx.chunks.select("repo_id").unionByName(nameless)).select("repo_id", F.col("total_chunks").alias("n_chunks"))
+    p = build_prompts(asked, build_context(res), hist, sizes, provider)
     # One row per message (flat columns); a fixed reply gives one row with null msg_pos.
     return p.select("query_id", "reply", F.posexplode_outer("messages").alias("msg_pos", "m")) \
         .select("query_id", "reply", "msg_pos", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
@@ -327,9 +331,12 @@ def q_extract_code(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- evaluation, jobs
-def _eval_sources(spark, sf_dir):
-    r = _results(spark, sf_dir, 8, answerable_queries)
-    return r.select("query_id", F.col("rank").alias("pos"), F.col("file_path").alias("file"), "name")
+def _eval_inputs(spark, sf_dir):
+    """The sources found for the questions, and the relevance pairs, which are written once."""
+    pairs = materialize(relevance_pairs(spark, sf_dir), "relevance")
+    idx = build_index(doc_chunks(spark, sf_dir).drop("embed_text"), materialize_tables=True)
+    r = hybrid_search(idx, answerable_queries(spark, sf_dir, pairs), k=8)
+    return r.select("query_id", F.col("rank").alias("pos"), F.col("file_path").alias("file"), "name"), pairs
 
 
 def _questions(spark, sf_dir):
@@ -338,22 +345,20 @@ def _questions(spark, sf_dir):
 
 @register("eval_hits")
 def q_eval_hits(spark, sf_dir):
-    return hit_ranks(_eval_sources(spark, sf_dir), relevance_pairs(spark, sf_dir),
-                     questions=_questions(spark, sf_dir))
+    return hit_ranks(*_eval_inputs(spark, sf_dir), questions=_questions(spark, sf_dir))
 
 
 @register("eval_metrics")
 def q_eval_metrics(spark, sf_dir):
-    per_q = hit_ranks(_eval_sources(spark, sf_dir), relevance_pairs(spark, sf_dir),
-                      questions=_questions(spark, sf_dir))
-    return metrics(per_q)
+    return metrics(hit_ranks(*_eval_inputs(spark, sf_dir), questions=_questions(spark, sf_dir)))
 
 
 @register("eval_report")
 def q_eval_report(spark, sf_dir):
     """The report written as JSON and read back, a row per question with the repository's totals."""
-    sources, path = materialize(_eval_sources(spark, sf_dir), "eval-sources"), scratch(spark, "report")
-    per_q, summary = evaluate(sources, relevance_pairs(spark, sf_dir), questions=_questions(spark, sf_dir))
+    found, pairs = _eval_inputs(spark, sf_dir)
+    sources, path = materialize(found, "eval-sources"), scratch(spark, "report")
+    per_q, summary = evaluate(sources, pairs, questions=_questions(spark, sf_dir))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     n = table(spark, sf_dir, "documents").count()
     write_report(*report(per_q, summary, asked, sources, "https://github.com/a/b", "docs", n), path)

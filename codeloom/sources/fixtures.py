@@ -7,6 +7,8 @@ given tables, so their size grows with the tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,11 +109,12 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def answerable_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answerable_queries(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
     """``benchmark_queries`` with three in four questions asked in a repository (the first by
-    name) of a document that contains the item, where there is one."""
+    name) of a document that contains the item, where there is one.  ``pairs``: written ``relevance_pairs``."""
+    few, _ = checked_broadcast(pairs if pairs is not None else materialize(relevance_pairs(spark, sf_dir), "relevance"))
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("symbol"), "source")
-    truth = materialize(relevance_pairs(spark, sf_dir).join(docs, "symbol").groupBy("query_id").agg(F.min("source").alias("truth")), "truth")
+    truth = materialize(docs.join(few, "symbol").groupBy("query_id").agg(F.min("source").alias("truth")), "truth")
     asked = F.when(F.pmod("query_id", F.lit(4)) != 3, F.col("truth"))
     return benchmark_queries(spark, sf_dir).join(truth, "query_id", "left").select(
         "query_id", F.coalesce(asked, "repo_id").alias("repo_id"), "question")
@@ -288,35 +291,51 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toks.unionByName(err).unionByName(src)
 
 
+# Keys of items that are looked for inside the documents' rows; more are left to joins.
+MOST_KEYS = 1000
+
+
 def relevance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(query_id, symbol)``: benchmark item -> ``/doc_<id>.txt`` of every document that
     contains the item's text.
 
     Exact and linear in the documents instead of a documents x items nested loop: for a
     passage of at least 5 space-separated words, its words 2-4 are whole words of any
-    document containing it, so the document must have that word trigram.  Document
-    trigrams are equi-joined to the item keys, and only the candidate pairs are verified
-    with ``contains``.  Shorter passages are found in the same way by their first three
-    characters.  Each small side is broadcast if its size allows, else both are shuffled."""
+    document containing it, so the document must have that word trigram.  Up to MOST_KEYS
+    trigrams are looked for at the places of their first words inside a document's row, which
+    verifies its candidates with ``contains`` at once.  Of more items, document trigrams are equi-joined
+    to the item keys, and the candidate pairs are verified.  Shorter passages are found so by their first
+    three characters.  Each small side is broadcast if its size allows, else both are shuffled."""
     b = materialize(table(spark, sf_dir, "benchmark").select(
         "item_id", F.col("text").alias("btext"), F.split("text", " ").alias("bt")), "items")
     long_b = b.filter(F.size("bt") >= 5).select("item_id", "btext", F.array_join(F.slice("bt", 2, 3), " ").alias("key"))
     short_b = b.filter(F.size("bt") < 5).select("item_id", "btext", F.substring("btext", 1, 3).alias("key"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = F.size("_w")
-    words = d.select("doc_id", F.split("text", " ").alias("_w")).select("doc_id", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
-        lambda i: F.array_join(F.slice(F.col("_w"), i + 1, 3), " ")))).alias("key"))
+    starts = F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)))
+    trigram = lambda i: F.array_join(F.slice(F.col("_w"), i + 1, 3), " ")
+    split = d.select("doc_id", "text", F.split("text", " ").alias("_w"))
+    keys = [r.key for r in long_b.select("key").distinct().limit(MOST_KEYS + 1).collect()]
+    inside, short = 0 < len(keys) <= MOST_KEYS, not short_b.isEmpty()
+    found, cand = [], []
+    if inside:
+        first = sorted({k.split(" ")[0] for k in keys})
+        held = F.filter(F.transform(F.filter(starts, lambda i: F.get(F.col("_w"), i).isin(first)), trigram), lambda t: t.isin(keys))
+        with_key = split.select("doc_id", "text", F.array_distinct(held).alias("_k")).select("doc_id", "text", F.explode_outer("_k").alias("key"))
+        found.append(with_key.join(checked_broadcast(long_b)[0], "key").filter(F.col("text").contains(F.col("btext"))).select("doc_id", "item_id"))
+    elif keys:
+        words = split.select("doc_id", F.explode(F.array_distinct(F.transform(starts, trigram))).alias("key"))
+        cand.append(words.join(checked_broadcast(long_b.select("item_id", "key"))[0], "key").select("doc_id", "item_id"))
     chars = d.select("doc_id", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(3))))).alias("key"))
-    cand = words.join(checked_broadcast(long_b.select("item_id", "key"))[0], "key").select("doc_id", "item_id")
-    if not short_b.isEmpty():
-        cand = cand.unionByName(chars.join(checked_broadcast(short_b.select("item_id", "key"))[0], "key").select("doc_id", "item_id"))
-    # Written once: the size check and the join would each run the pass over all documents.
-    cand, _ = checked_broadcast(materialize(cand.distinct(), "relevance-candidates"))
-    texts, _ = checked_broadcast(b.select("item_id", "btext"))
-    hits = (d.join(cand, "doc_id").join(texts, "item_id")
-            .filter(F.col("text").contains(F.col("btext"))).select("doc_id", "item_id"))
-    return (hits
+    if short or not keys:
+        cand.append(chars.join(checked_broadcast(short_b.select("item_id", "key"))[0], "key").select("doc_id", "item_id"))
+    if cand:
+        # Written once: the size check and the join would each run the pass over all documents.
+        some, _ = checked_broadcast(materialize(reduce(DataFrame.unionByName, cand).distinct(), "relevance-candidates"))
+        texts, _ = checked_broadcast((short_b if inside else b).select("item_id", "btext"))
+        found.append(d.join(some, "doc_id").join(texts, "item_id")
+                     .filter(F.col("text").contains(F.col("btext"))).select("doc_id", "item_id"))
+    return (reduce(DataFrame.unionByName, found)
             .select(F.col("item_id").alias("query_id"),
                     F.concat(F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("symbol")))
