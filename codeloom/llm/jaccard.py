@@ -57,11 +57,14 @@ from .links import link_counts, placed, prefix_length
 HOT_SHARE = 1024       # a shingle is hot from 1 / HOT_SHARE of the rows on
 RANGE_ENTRIES = 2 << 20
 BLOB_BYTES = 8 << 20  # text bytes behind one round of compact rows
+YIELD_BYTES = 1 << 20  # of compact rows handed on at once
+STEP = 1 << 16         # numbers whose temporaries are made at once
 SIGN = 4               # 64-bit words of a set's signature in the suffix filter
 SIGNS = [f"s{j}" for j in range(SIGN)]
 STARS = 2              # rounds of pairs with one class of each list
 LIST_BLOCK = 1024      # postings of a list that a join key holds in the last join
 FP = np.uint64(24)     # a fingerprint is the upper 40 bits of a hash
+CLS = np.uint64((1 << 24) - 1)         # the other bits hold a class of a portion; a portion has fewer
 
 
 # ------------------------------------------------------------------------ compact rows
@@ -79,7 +82,9 @@ def unplaned(data: bytes, dtype) -> np.ndarray:
 def set_keys(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """A 64-bit key of each sorted set; 0 only for empty ones."""
     total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mix(h + np.uint64(0x5851F42D4C957F2D)), out=total[1:])
+    for a in range(0, len(h), STEP):
+        total[a + 1:a + STEP + 1] = mix(h[a:a + STEP] + np.uint64(0x5851F42D4C957F2D))
+    np.cumsum(total, out=total)
     n = np.diff(edge).astype(np.uint64)
     key = mix((total[edge[1:]] - total[edge[:-1]]) ^ mix(n)) | np.uint64(1)
     return np.where(n > 0, key, np.uint64(0))
@@ -131,14 +136,28 @@ def portions(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.nda
 
 
 def classes_of(h: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the non-empty different sets in a slice: their rows, keys, and (entry, class) of their shingles."""
+    """Of the non-empty different sets in a slice: their rows, keys, and (hash, class) of their shingles, in arrays of their own."""
     key = set_keys(h, edge)
     _, rows = np.unique(key, return_index=True)
     rows = np.sort(rows[key[rows] != 0])
-    n = np.diff(edge)[rows]
-    cls = np.repeat(np.arange(len(rows)), n)
-    entry = edge[rows][cls] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return rows, key[rows], entry, cls
+    n = np.diff(edge)
+    first = np.zeros(len(n), bool)
+    first[rows] = True
+    return rows, key[rows], h[np.repeat(first, n)], np.repeat(np.arange(len(rows), dtype=np.uint32), n[rows])
+
+
+def _blobs(names: list[str], row: Iterator[tuple], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a number and binaries, in batches of about ``most`` bytes."""
+    types, held, size = [pa.int32(), *[pa.binary()] * (len(names) - 1)], [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names)
+    for x in row:
+        held.append(x)
+        size += sum(map(len, x[1:]))
+        if size >= most:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 # ------------------------------------------------------------------------------- scans
@@ -148,10 +167,13 @@ def _scan_keys(k: int):
     names = ["kind", "a", "b", "c", "d", *SIGNS]
 
     def common(h: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
-        _, found, entry, _ = classes_of(h, edge)
-        fp, n = np.unique(h[entry] >> FP, return_counts=True)
-        many = n >= max(2, 4 + len(found) // HOT_SHARE)
-        fp, n = fp[many].astype(np.int64), n[many]
+        _, found, every, _ = classes_of(h, edge)
+        every >>= FP
+        every.sort()
+        many = max(2, 4 + len(found) // HOT_SHARE)
+        fp = np.unique(every[:max(len(every) - many + 1, 0)][every[:max(len(every) - many + 1, 0)] == every[many - 1:]])
+        n = np.searchsorted(every, fp, "right") - np.searchsorted(every, fp)
+        fp = fp.astype(np.int64)
         none = pa.nulls(len(fp), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(fp), np.int32)), pa.array(fp), pa.array(n), *[none] * (2 + SIGN)], names)
 
@@ -174,79 +196,111 @@ def _scan_keys(k: int):
 
 def _scan_entries(k: int, ranges: int, hot):
     """Compact rows (r, keys, sizes, hot, cls, fps): entries of one range of fingerprints."""
+    def compact(h: np.ndarray, edge: np.ndarray, hot_fp: np.ndarray, lows: np.ndarray) -> Iterator[tuple]:
+        rows, keys, entries, cls = classes_of(h, edge)
+        n = np.diff(edge)[rows].astype(np.uint32)
+        assert len(rows) <= int(CLS)
+        warm = _among(hot_fp, entries, FP)
+        n_hot = np.bincount(cls[warm], minlength=len(rows)).astype(np.uint32)
+        entries &= ~CLS
+        entries |= cls
+        del cls
+        if warm.any():
+            entries = entries[~warm]
+        entries.sort()                      # by fingerprint, then class
+        cut = np.append(np.searchsorted(entries, lows[:-1] << FP), len(entries))
+        for r in np.flatnonzero(np.diff(cut)):
+            f = entries[cut[r]:cut[r + 1]]
+            used, at = np.unique(f & CLS, return_inverse=True)
+            step = np.diff(f >> FP, prepend=lows[r]).astype(np.uint32 if ranges > 256 else np.uint64)
+            used = used.astype(np.int64)
+            yield int(r), planes(keys[used]), planes(n[used]), planes(n_hot[used]), planes(at.astype(np.uint32)), planes(step)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_fp = hot.value
         lows = np.array([(r << 40) // ranges for r in range(ranges + 1)], np.uint64)
-        for h, edge in portions(batches, k):
-            rows, keys, entry, cls = classes_of(h, edge)
-            fp = h[entry] >> FP
-            warm = _among(hot_fp, fp)
-            n = np.diff(edge)[rows].astype(np.uint32)
-            n_hot = np.bincount(cls[warm], minlength=len(rows)).astype(np.uint32)
-            fp, cls = fp[~warm], cls[~warm]
-            order = np.argsort(fp, kind="stable")
-            fp, cls = fp[order], cls[order]
-            cut = np.searchsorted(fp, lows)
-            out = []
-            for r in np.flatnonzero(np.diff(cut)):
-                f, c = fp[cut[r]:cut[r + 1]], cls[cut[r]:cut[r + 1]]
-                used, at = np.unique(c, return_inverse=True)
-                step = np.diff(f, prepend=lows[r]).astype(np.uint32 if ranges > 256 else np.uint64)
-                out.append((int(r), planes(keys[used]), planes(n[used]), planes(n_hot[used]), planes(at.astype(np.uint32)), planes(step)))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)],
-                    ["r", "keys", "sizes", "hot", "cls", "fps"])
+        for portion in portions(batches, k):
+            yield from _blobs(["r", "keys", "sizes", "hot", "cls", "fps"], compact(*portion, hot.value, lows), YIELD_BYTES)
 
     return run
 
 
-def _among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+def _among(known: np.ndarray, x: np.ndarray, shift: np.uint64) -> np.ndarray:
+    """Which of x, shifted to the right, are known."""
+    out = np.zeros(len(x), bool)
+    for a in range(0, len(x) if len(known) else 0, STEP):
+        f = x[a:a + STEP] >> shift
+        out[a:a + STEP] = known[np.minimum(np.searchsorted(known, f), len(known) - 1)] == f
+    return out
+
+
+def _parts(group: pa.Table) -> Iterator[dict]:
+    """The rows of a group, their binaries as buffers of its own."""
+    for batch in group.to_batches():
+        for i in range(batch.num_rows):
+            yield {c: x.as_buffer() if pa.types.is_binary(x.type) else x.as_py() for c in batch.schema.names for x in [batch.column(c)[i]]}
 
 
 def _shared(ranges: int, buckets: int):
     """Of one range: entries whose fingerprint two or more classes have, dealt to class buckets."""
     def run(group: pa.Table) -> pa.Table:
-        parts = []
-        for row in group.to_pylist():
-            keys, at = unplaned(row["keys"], np.uint64), unplaned(row["cls"], np.uint32)
-            step = unplaned(row["fps"], np.uint32 if ranges > 256 else np.uint64).astype(np.uint64)
-            fp = np.cumsum(step, dtype=np.uint64) + np.uint64((row["r"] << 40) // ranges)
-            # Colliding shingles of one class are entries of their own.
-            nth = np.zeros(len(fp), np.uint8)
-            nth[1:] = (fp[1:] == fp[:-1]) & (at[1:] == at[:-1])
-            parts.append((fp, keys[at], unplaned(row["sizes"], np.uint32)[at], unplaned(row["hot"], np.uint32)[at], nth))
-        fp, key, n, n_hot, nth = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.lexsort((nth, key, fp))
-        fp, key, n, n_hot, nth = fp[order], key[order], n[order], n_hot[order], nth[order]
+        # An entry is one number: its fingerprint's place in the range, its class and whether it is a
+        # shingle that collides with another of its class, which is an entry of its own.
+        low = (group.column("r")[0].as_py() << 40) // ranges
+        keys, first, at = np.unique(_joint(group, "keys", np.uint64), return_index=True, return_inverse=True)
+        n, n_hot = _joint(group, "sizes", np.uint32)[first], _joint(group, "hot", np.uint32)[first]
+        shift = max(1, len(keys).bit_length())
+        assert shift < 28
+        shift, bit = np.uint64(shift), np.uint64(1)
+        at, done = at.astype(np.uint64), 0
+        entries, end = np.empty(sum(row["cls"].size for row in _parts(group)) // 4, np.uint64), 0
+        for row in _parts(group):
+            c = at[done:done + row["keys"].size // 8][unplaned(row["cls"], np.uint32)]
+            f = np.cumsum(unplaned(row["fps"], np.uint32 if ranges > 256 else np.uint64), dtype=np.uint64)
+            f = (f << shift | c) << bit
+            f[1:] |= f[1:] == f[:-1]
+            entries[end:end + len(f)] = f
+            done, end = done + row["keys"].size // 8, end + len(f)
+        del at
+        entries.sort()
         # The same class from two batches is one.
-        other = np.append(True, (fp[1:] != fp[:-1]) | (key[1:] != key[:-1]))
-        same = np.append(False, ~other[1:] & (nth[1:] == nth[:-1]))
-        first = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
-        df = np.repeat(np.add.reduceat(other.astype(np.int64), first), np.diff(np.append(first, len(fp))))
-        keep = ~same & (df > 1)
-        fp, key, n, n_hot, df = fp[keep], key[keep], n[keep], n_hot[keep], df[keep]
-        rank = np.minimum(255, 8 * np.log2(df)).astype(np.uint8)
-        bucket = key % np.uint64(buckets)
-        order = np.lexsort((key, bucket))
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        out = []
-        for b in np.flatnonzero(np.diff(cut)):
-            i = order[cut[b]:cut[b + 1]]
-            start = np.flatnonzero(np.append(True, key[i][1:] != key[i][:-1]))
-            times = np.diff(np.append(start, len(i))).astype(np.uint32)
-            out.append((int(b), planes(key[i][start]), planes(n[i][start]), planes(n_hot[i][start]), planes(times), planes(fp[i])[:5 * len(i)], rank[i].tobytes()))
-        columns = zip(*out, strict=True) if out else [()] * 7
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 6], strict=True)],
-                                    ["b", "keys", "sizes", "hot", "times", "fps", "ranks"])
+        entries = entries[np.append(True, entries[1:] != entries[:-1])]
+        near = (entries[1:] ^ entries[:-1]) < bit << (shift + bit)      # neighbours of one fingerprint
+        entries = entries[np.append(False, near) | np.append(near, False)]
+        start = np.flatnonzero(np.append(True, (entries[1:] ^ entries[:-1]) >= bit << (shift + bit))[:len(entries)])
+        df = np.add.reduceat((entries & bit == 0).astype(np.int64), start)
+        many = np.diff(np.append(start, len(entries)))
+        keep = np.repeat(df > 1, many)
+        rank = np.repeat(np.minimum(255, 8 * np.log2(df)).astype(np.uint8), many)[keep]
+        entries = entries[keep] >> bit
+        del keep, many, start, near
+        # By bucket and key; fingerprints stay in order.
+        bucket = keys % np.uint64(buckets)
+        by = np.lexsort((keys, bucket))
+        place = np.empty(len(by), np.uint32)
+        place[by] = np.arange(len(by), dtype=np.uint32)
+        own = place[(entries & ((bit << shift) - bit)).astype(np.int64)]
+        order = np.argsort(own, kind="stable")
+        times = np.bincount(own, minlength=len(by)).astype(np.uint32)
+        del own
+        cut, ends = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64)), np.append(0, np.cumsum(times, dtype=np.int64))
+
+        def dealt() -> Iterator[tuple]:
+            for b in np.flatnonzero(np.diff(ends[cut])):
+                some = np.arange(cut[b], cut[b + 1])[times[cut[b]:cut[b + 1]] > 0]
+                i, c = order[ends[cut[b]]:ends[cut[b + 1]]], by[some]
+                fp = (entries[i] >> shift) + np.uint64(low)
+                yield int(b), planes(keys[c]), planes(n[c]), planes(n_hot[c]), planes(times[some]), planes(fp)[:5 * len(i)], rank[i].tobytes()
+
+        names = ["b", "keys", "sizes", "hot", "times", "fps", "ranks"]
+        return pa.Table.from_batches(_blobs(names, dealt(), YIELD_BYTES), pa.schema(list(zip(names, [pa.int32(), *[pa.binary()] * 6], strict=True))))
 
     return run
 
 
+def _joint(group: pa.Table, name: str, dtype) -> np.ndarray:
+    return np.concatenate([unplaned(row[name], dtype) for row in _parts(group.select([name]))])
+
+
 POSTING = "fp bigint, key bigint, n int, place int"
 COLUMNS = ["fp", "key", "n", "place", *SIGNS]
 
@@ -254,24 +308,25 @@ COLUMNS = ["fp", "key", "n", "place", *SIGNS]
 def _prefixes(percent: int):
     """Of one bucket of classes: their postings."""
     def run(group: pa.Table) -> pa.Table:
-        parts = []
-        for row in group.to_pylist():
-            times = unplaned(row["times"], np.uint32)
-            fp = unplaned(row["fps"] + bytes(3 * int(times.sum())), np.uint64)
-            parts.append((*(np.repeat(unplaned(row[c], t), times) for c, t in (("keys", np.uint64), ("sizes", np.uint32), ("hot", np.uint32))),
-                          fp, np.frombuffer(row["ranks"], np.uint8)))
-        key, n, n_hot, fp, rank = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.lexsort((fp, rank, key))
-        key, n, n_hot, fp = key[order], n[order].astype(np.int64), n_hot[order].astype(np.int64), fp[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        many = np.diff(np.append(first, len(key)))
+        keys, first, at = np.unique(_joint(group, "keys", np.uint64), return_index=True, return_inverse=True)
+        sizes, hots = (_joint(group, c, np.uint32)[first].astype(np.int64) for c in ("sizes", "hot"))
+        cls = np.repeat(at.astype(np.uint32), _joint(group, "times", np.uint32))
+        entries, end = np.empty(len(cls), np.uint64), 0     # frequency class, then fingerprint
+        for row in _parts(group):
+            f = unplaned(row["fps"].to_pybytes() + bytes(3 * row["ranks"].size), np.uint64)
+            entries[end:end + len(f)] = np.frombuffer(row["ranks"], np.uint8).astype(np.uint64) << np.uint64(40) | f
+            end += len(f)
+        order = np.lexsort((entries, cls))
+        entries, cls = entries[order], cls[order]
+        del order
+        many = np.bincount(cls, minlength=len(keys))
         # Places before: shingles that no other class has.
-        place = n - n_hot - np.repeat(many, many) + np.arange(len(key)) - np.repeat(first, many)
-        keep = np.flatnonzero(place < prefix_length(n, percent))
+        place = np.arange(len(cls)) + np.repeat(sizes - hots - many - (np.cumsum(many) - many), many)
+        keep = np.flatnonzero(place < np.repeat(prefix_length(sizes, percent), many))
+        fp, cls, place = entries[keep] & np.uint64((1 << 40) - 1), cls[keep], place[keep]
         return pa.Table.from_arrays(
-            [pa.array(fp[keep].astype(np.int64)), pa.array(key[keep].view(np.int64)), pa.array(n[keep].astype(np.int32)),
-             pa.array(place[keep].astype(np.int32))], ["fp", "key", "n", "place"])
+            [pa.array(fp.astype(np.int64)), pa.array(keys[cls].view(np.int64)), pa.array(sizes[cls].astype(np.int32)),
+             pa.array(place.astype(np.int32))], ["fp", "key", "n", "place"])
 
     return run
 
@@ -280,16 +335,15 @@ def _hot_postings(k: int, percent: int, hot):
     """Postings of hot shingles, of classes whose prefix reaches them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, edge in portions(batches, k):
-            rows, keys, entry, cls = classes_of(h, edge)
-            fp = h[entry] >> FP
-            warm = np.flatnonzero(_among(hot.value, fp))
+            rows, keys, entries, cls = classes_of(h, edge)
             n = np.diff(edge)[rows]
+            warm = np.flatnonzero(_among(hot.value, entries, FP))
             cold = n - np.bincount(cls[warm], minlength=len(rows))
             c = cls[warm]                       # sets are sorted, so fingerprints are too
             start = np.searchsorted(c, c)
             place = cold[c] + np.arange(len(c)) - start
             keep = place < prefix_length(n, percent)[c]
-            c, f, place = c[keep], fp[warm][keep], place[keep]
+            c, f, place = c[keep], entries[warm][keep] >> FP, place[keep]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(f.astype(np.int64)), pa.array(keys[c].view(np.int64)), pa.array(n[c].astype(np.int32)),
                  pa.array(place.astype(np.int32))], ["fp", "key", "n", "place"])
@@ -412,11 +466,11 @@ def _placed_sets(k: int):
         for batch in batches:
             block, copies = batch.column("block"), batch.column("copies")
             for a, _, h, edge in sets_of(batch.column("text"), k):
-                rows, keys, entry, _ = classes_of(h, edge)
+                rows, keys, hashes, _ = classes_of(h, edge)
                 at, bound = pa.array(rows + a), np.append(0, np.cumsum(np.diff(edge)[rows]))
                 yield pa.RecordBatch.from_arrays(
                     [block.take(at), pa.array(keys.view(np.int64)), copies.take(at),
-                     pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(h[entry].view(np.int64)))], ["block", "key", "copies", "shingles"])
+                     pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["block", "key", "copies", "shingles"])
 
     return run
 
